@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histspark.session import with_package
+
 #: Rows of one Arrow batch; texts can be long, so batches stay small.
 BATCH_ROWS = 500
 
@@ -18,7 +20,7 @@ BATCH_ROWS = 500
 def tune(spark: SparkSession) -> SparkSession:
     """Set the session options the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return with_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

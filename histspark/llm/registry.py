@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, sharding
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_sharding": sharding.query,
 }
