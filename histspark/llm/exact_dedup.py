@@ -31,6 +31,8 @@ from .common import stored, text_of, tune
 BUCKET_BYTES = 32 << 20
 #: Levels of partitioning; each splits an oversized bucket by its size over BUCKET_BYTES.
 MAX_LEVELS = 8
+#: Oversized buckets that are broadcast at most (about 1 MB); more are joined.
+BROADCAST_BUCKETS = 20_000
 
 _LOCAL = "kind int, uid long, doc_id long, sha binary, lk long, h long, text binary, bytes long, n long, max_id long, win_uid long"
 _LOCAL_ARROW = pa.schema(
@@ -168,7 +170,7 @@ def plan_buckets(reps: DataFrame, bucket_bytes: int, max_levels: int = MAX_LEVEL
     """
     sizes = reps.groupBy("h").agg(F.max("bytes").alias("bytes"))
     total = int(sizes.agg(F.sum("bytes")).first()[0] or 0)
-    fan = max(1, -(-total // bucket_bytes))
+    fan = max(1, -(-2 * total // bucket_bytes))
     out = reps.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(0)), F.lit(fan)).cast("string"))
     sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(0)), F.lit(fan)).cast("string"))
     for level in range(1, max_levels):
@@ -178,8 +180,11 @@ def plan_buckets(reps: DataFrame, bucket_bytes: int, max_levels: int = MAX_LEVEL
             .where((F.col("b") > bucket_bytes) & (F.col("c") > 1))
             .select("bucket", F.ceil(F.col("b") / F.lit(bucket_bytes)).alias("split"))
         )
-        if over.isEmpty():
+        large = over.limit(BROADCAST_BUCKETS + 1).count()
+        if not large:
             break
+        if large <= BROADCAST_BUCKETS:
+            over = F.broadcast(over)
         deeper = F.concat_ws(".", F.col("bucket"), F.when(F.col("split").isNotNull(), F.pmod(F.xxhash64("h", F.lit(level)), F.col("split") + 1).cast("string")))
         out = out.join(over, "bucket", "left").withColumn("bucket", deeper).drop("split")
         sizes = sizes.join(over, "bucket", "left").withColumn("bucket", deeper).drop("split")
