@@ -32,12 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+#: Spark removes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go when it ends, since its table replaces them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
