@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding
+from . import decontamination, exact_dedup, licenses, packing, sharding
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_sharding": sharding.query,
+    "op7_decontamination": decontamination.query,
+    "op10_licenses": licenses.query,
 }
 
 ORACLES = {
