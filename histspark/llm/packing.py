@@ -30,7 +30,7 @@ from .tokens import cache_for
 WINDOW = 4096
 END_ID = 2
 #: Tokens of one index shard.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 500_000
 K1, B = 1.2, 0.75
 #: Best neighbours fetched at once; when they are used up the next best follow.
 FETCH = 32
@@ -46,10 +46,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_for(path)
         end = np.array([end_id], cache.dtype).tobytes()
+        ranks = (mix64(np.arange(1, 1 + len(cache.packed), dtype=np.uint64)) >> np.uint64(40)).astype(np.int32)
         base, row = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             ids = [cache.ids(t) + end for t in batch.column("text").to_pylist()]
-            sigs = [int(mix64(np.unique(np.frombuffer(x, cache.dtype))).min() >> np.uint64(40)) & 0xFFFF for x in ids]
+            sigs = [int(ranks[np.frombuffer(x, cache.dtype)].min() >> 8) for x in ids]
             n = [len(x) // cache.dtype.itemsize for x in ids]
             uids = np.arange(base + row, base + row + len(ids))
             row += len(ids)
@@ -61,7 +62,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 def route(tokens: DataFrame, shard_tokens: int) -> DataFrame:
     """Add ``shard``: the signatures' token masses laid end to end and cut every ``shard_tokens``.
 
-    There are at most 65536 signatures, so their totals are a table of bounded size.
+    There are at most 2^16 signatures, so their totals are a table of bounded size.
     """
     totals = tokens.groupBy("sig").agg(F.sum("n").alias("mass"))
     before = F.sum("mass").over(Window.orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("mass")
@@ -77,7 +78,8 @@ class Bm25Shard:
         n = len(ids)
         sizes = np.array([len(x) for x in ids])
         doc = np.repeat(np.arange(n), sizes)
-        key, tf = np.unique(np.concatenate(ids).astype(np.int64) * n + doc, return_counts=True)
+        wide = np.int32 if n < 1 << 14 and ids[0].dtype.itemsize == 2 else np.int64
+        key, tf = np.unique(np.concatenate(ids).astype(wide) * wide(n) + doc.astype(wide), return_counts=True)
         term, self.doc = key // n, (key % n).astype(np.int64)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.first = np.append(first, len(term))
@@ -89,8 +91,8 @@ class Bm25Shard:
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """BM25 scores of all documents for the distinct terms of ``ids``."""
         at = np.searchsorted(self.terms, np.unique(ids))
-        lo, hi = self.first[at], self.first[at + 1]
-        posts = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+        lo, sizes = self.first[at], self.first[at + 1] - self.first[at]
+        posts = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[posts], self.weight[posts], self.n)
 
 

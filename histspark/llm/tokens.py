@@ -7,17 +7,19 @@ any other chunk through the whole tokenizer.
 
 from __future__ import annotations
 
-import re
+import string
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks of one cache generation; two generations are held.
-CACHE_CHUNKS = 250_000
-#: ASCII white space that every tokenizer step treats as white space.
-_SPACE = re.compile(r"[ \t\n\r]+")
-_TAIL = ".,;:!?"
-_BEYOND = "ɐ"
+CACHE_CHUNKS = 500_000
+#: A chunk longer than this is not kept.
+LONGEST = 64
+#: Behind letters a run of these is one piece of its own.
+_TAIL = string.punctuation
+#: Letters below this one are lowered alike everywhere.
+_BEYOND = "\u0130"
 
 
 def _byte_letters() -> list[str]:
@@ -34,39 +36,47 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkCache(dict):
-    """Chunk -> its ids as little-endian bytes; a miss is computed, an old generation is dropped."""
+    """Chunk (bytes) -> its ids as little-endian bytes; a miss is computed, an old generation is dropped."""
 
     def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.letters = _byte_letters()
         self.limit, self.older = limit, {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         found = self.older.get(chunk)
         if found is None:
             found = self._encode(chunk)
-        if len(chunk) <= 64:
+        if len(chunk) <= LONGEST:
             self[chunk] = found
         return found
 
-    def _encode(self, chunk: str) -> bytes:
-        stem = chunk.rstrip(_TAIL)
+    def _encode(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        stem = text.rstrip(_TAIL)
         if stem.isalpha() and max(stem) < _BEYOND:
-            if len(stem) < len(chunk) or not stem.islower():
-                return self[stem.lower()] + (self[chunk[len(stem) :]] if len(stem) < len(chunk) else b"")
-            word = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-            return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+            if len(stem) < len(text):
+                return self[stem.encode()] + self[text[len(stem) :].encode()]
+            lower = stem.lower()
+            word = lower if lower.isascii() else "".join(map(self.letters.__getitem__, lower.encode()))
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(word)])
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text as bytes of ``dtype``."""
-        return b"".join(map(self.__getitem__, filter(None, _SPACE.split(text))))
+        """Ids of a whole text as bytes of ``dtype``. The tokenizer lowers letters itself, so A-Z may be lowered first
+        (for more hits), but not where a special token's text could arise."""
+        raw = text.encode()
+        if b"<|" not in raw:
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 _caches: dict[str, ChunkCache] = {}
