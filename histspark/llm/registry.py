@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, licenses, packing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, licenses, lm_scoring, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_sharding": sharding.query,
     "op4_quality": quality.query,
+    "op5_lm_scoring": lm_scoring.query,
     "op8_toxicity": toxicity.query,
     "op7_decontamination": decontamination.query,
     "op10_licenses": licenses.query,

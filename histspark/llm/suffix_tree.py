@@ -13,9 +13,9 @@ import numpy as np
 DEPTH = 5
 #: A context or an entry is retained if it covers at least this share of all training bytes (at most 1/share of each
 #: depth, whatever the corpus) and, for contexts, if its divergence test passes.
-CONTEXT_SHARE, ENTRY_SHARE = 4e-6, 1e-6
+CONTEXT_SHARE, ENTRY_SHARE = 1e-6, 2.5e-7
 #: Nats that a context must gain over its parent, per distinct next byte.
-GAIN = 2.0
+GAIN = 1.0
 #: Counts added to each byte at the root.
 ROOT_PRIOR = 0.5
 
