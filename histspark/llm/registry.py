@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, licenses, lm_scoring, packing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, jaccard_join, licenses, lm_scoring, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op4_quality": quality.query,
     "op5_lm_scoring": lm_scoring.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op8_toxicity": toxicity.query,
     "op7_decontamination": decontamination.query,
     "op10_licenses": licenses.query,
