@@ -191,12 +191,17 @@ def fit(train: DataFrame) -> Model | None:
     return model
 
 
+def fitted(stats: DataFrame, labels: DataFrame, column: str, folds: int, out: int) -> Model | None:
+    """The model of labelled rows of ``stats`` whose crc32(doc_id) mod folds is not ``out``."""
+    train = stored(labelled(stats, labels, column).where(crc_mod("doc_id", folds) != out).select("doc_id", "stats", "y"), "quality-train")
+    return fit(train)
+
+
 def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 3, out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns from labels whose crc32(doc_id) mod folds is not ``out``."""
     tune(docs.sparkSession)
     stats = stored(with_statistics(docs), "statistics")
-    train = stored(labelled(stats, labels, column).where(crc_mod("doc_id", folds) != out).select("doc_id", "stats", "y"), "quality-train")
-    model = fit(train)
+    model = fitted(stats, labels, column, folds, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +211,24 @@ def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: i
     return stats.mapInArrow(run, "doc_id long, score double").select("doc_id", (crc_mod("doc_id", folds) == out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 3, out: int = 1) -> DataFrame:
+    """The rows of ``docs`` with score 0.5 or more, all columns kept; the decision is made on each row's own text."""
+    tune(docs.sparkSession)
+    model = fitted(stored(with_statistics(docs), "statistics"), labels, column, folds, out)
+    if model is None:
+        return docs
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     """op4: quality of all ``documents``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

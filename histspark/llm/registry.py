@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, licenses, lm_scoring, packing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, jaccard_join, licenses, lm_scoring, packing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_lm_scoring": lm_scoring.query,
     "op9_jaccard_join": jaccard_join.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op8_toxicity": toxicity.query,
     "op7_decontamination": decontamination.query,
     "op10_licenses": licenses.query,
