@@ -19,22 +19,21 @@ def resolve_version(probes: DataFrame, events: DataFrame) -> DataFrame:
     An as-of union: probes and events share one window, so no range join is formed.
     """
     latest = events.groupBy(*KEY).agg(F.max("version").alias("_latest"))
-    marked = probes.withColumn("_probe", F.monotonically_increasing_id())
-    e = events.select(*KEY, F.col("ts_received").alias("_ts"), F.col("version").alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_probe"))
-    p = marked.where("at is not null").select(*KEY, F.col("at").alias("_ts"), F.lit(None).cast("long").alias("_v"), F.lit(1).alias("_side"), "_probe")
-    w = Window.partitionBy(*KEY).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_time = e.unionByName(p).withColumn("_found", F.max("_v").over(w)).where("_side = 1").select("_probe", "_found")
-    out = marked.join(by_time, "_probe", "left").join(latest, KEY, "left")
+    e = events.select(*KEY, F.col("ts_received").alias("at"), F.col("version").alias("_v"), F.lit(0).alias("_side"))
+    p = probes.where("at is not null").select(*KEY, "at", F.lit(None).cast("long").alias("_v"), F.lit(1).alias("_side")).distinct()
+    w = Window.partitionBy(*KEY).orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_time = e.unionByName(p).withColumn("_found", F.max("_v").over(w)).where("_side = 1").select(*KEY, "at", "_found")
+    out = probes.join(by_time, [*KEY, "at"], "left").join(latest, KEY, "left")
     target = F.when(F.col("at").isNotNull(), F.col("_found")).when(F.col("version").isNotNull(), F.least("version", "_latest")).otherwise(F.col("_latest"))
-    return out.withColumn("target", target).drop("_probe", "_found", "_latest")
+    return out.withColumn("target", target).drop("_found", "_latest")
 
 
 def nearest_snapshot(targets: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Add the greatest snapshot at or below ``target``: snapshot_version, snapshot_state, snapshot_deleted."""
     s = snapshots.select(*KEY, F.struct("version", "state", "deleted").alias("_s"))
-    t = targets.withColumn("_row", F.monotonically_increasing_id())
-    best = t.select(*KEY, "_row", "target").join(s, KEY).where(F.col("_s.version") <= F.col("target")).groupBy("_row").agg(F.max_by("_s", "_s.version").alias("_b"))
-    return t.join(best, "_row", "left").select(*targets.columns, F.col("_b.version").alias("snapshot_version"), F.col("_b.state").alias("snapshot_state"), F.col("_b.deleted").alias("snapshot_deleted"))
+    asked = targets.select(*KEY, "target").distinct()
+    best = asked.join(s, KEY).where(F.col("_s.version") <= F.col("target")).groupBy(*KEY, "target").agg(F.max_by("_s", "_s.version").alias("_b"))
+    return targets.join(best, [*KEY, "target"], "left").select(*targets.columns, F.col("_b.version").alias("snapshot_version"), F.col("_b.state").alias("snapshot_state"), F.col("_b.deleted").alias("snapshot_deleted"))
 
 
 def build_snapshots(states: DataFrame, interval: int = INTERVAL) -> DataFrame:

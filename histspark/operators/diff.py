@@ -94,26 +94,29 @@ def json_diff(df: DataFrame, before: str, after: str, array_keys: dict[str, str]
 
     Both are JSON text; NULL counts as absent and malformed text as NULL. A new key is one add of its subtree, a dropped
     key one remove, a scalar or type change one change; equal documents have no changes. Arrays compare by position, or
-    by ``array_keys[path]`` where every element has a distinct scalar key. Rows keep their columns; the explosion is
-    narrow until one gather by row.
+    by ``array_keys[path]`` where every element has a distinct scalar key. All levels are array functions on the row, so
+    the operator is narrow; documents that nest deeper than ``max_depth`` raise.
     """
-    spread = df.withColumn("_row", F.monotonically_increasing_id())
-    start = spread.select("_row", F.lit("").alias("path"), F.array().cast("array<string>").alias("ord"), canonical_json(before).alias("a"), canonical_json(after).alias("b"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("op"))
-    nodes = start.where(~F.col("a").eqNullSafe(F.col("b"))).withColumn("done", F.col("a").isNull() | F.col("b").isNull()).withColumn("op", F.when(F.col("done"), "change"))
-    path, ord_, a, b = (F.col(c) for c in ("path", "ord", "a", "b"))
-    # keyed paths use selectors, so a configured array is recognised by its path with selectors as they are
-    for _ in range(max_depth):
+
+    def step(x: Column) -> Column:
+        path, ord_, a, b = x["path"], x["ord"], x["a"], x["b"]
         maps, arrays = _is(a, "map") & _is(b, "map"), _is(a, "array") & _is(b, "array")
-        step = F.when(F.col("done"), F.array(_node(path, ord_, a, b, F.lit(True), F.col("op")))).when(maps, _by_name(path, ord_, a, b))
+        out = F.when(x["done"], F.array(x)).when(maps, _by_name(path, ord_, a, b))
         for at, field in (array_keys or {}).items():
-            step = step.when(arrays & (path == at) & _keyable(_as_array(a), field) & _keyable(_as_array(b), field), _by_key(path, ord_, a, b, field))
-        step = step.when(arrays, _by_index(path, ord_, a, b)).otherwise(F.array(_node(path, ord_, a, b, F.lit(True), F.lit("change"))))
-        nodes = nodes.select("_row", F.explode(step).alias("n")).select("_row", "n.*").where(~a.eqNullSafe(b) | F.col("op").isin("add", "remove"))
-    deep = ~F.col("done")
-    nodes = nodes.withColumn("op", F.when(deep & (_is(a, "map") & _is(b, "map") | _is(a, "array") & _is(b, "array")), F.raise_error(F.lit(f"documents nest deeper than {max_depth}"))).otherwise(F.coalesce("op", F.lit("change"))))
-    change = F.struct("path", "op", F.col("a").alias("old"), F.col("b").alias("new"))
-    found = nodes.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", change.alias("c")))), lambda x: x["c"]).alias("changes"))
-    return spread.join(found, "_row", "left").withColumn("changes", F.coalesce("changes", F.array().cast(CHANGES))).drop("_row")
+            out = out.when(arrays & (path == at) & _keyable(_as_array(a), field) & _keyable(_as_array(b), field), _by_key(path, ord_, a, b, field))
+        return out.when(arrays, _by_index(path, ord_, a, b)).otherwise(F.array(_node(path, ord_, a, b, F.lit(True), F.lit("change"))))
+
+    differs = lambda x: ~x["a"].eqNullSafe(x["b"]) | F.coalesce(x["op"].isin("add", "remove"), F.lit(False))
+    a, b = canonical_json(before), canonical_json(after)
+    absent = a.isNull() | b.isNull()
+    root = _node(F.lit(""), F.array().cast("array<string>"), a, b, absent, F.when(absent, "change"))
+    out = df.withColumn("_n", F.filter(F.array(root), differs).cast(_NODE))
+    for _ in range(max_depth):
+        out = out.withColumn("_n", F.filter(F.flatten(F.transform("_n", step)), differs))
+    deep = lambda x: ~x["done"] & (_is(x["a"], "map") & _is(x["b"], "map") | _is(x["a"], "array") & _is(x["b"], "array"))
+    ordered = F.array_sort(F.transform("_n", lambda x: F.struct(x["ord"].alias("ord"), x["path"].alias("path"), F.coalesce(x["op"], F.lit("change")).alias("op"), x["a"].alias("old"), x["b"].alias("new"))))
+    changes = F.transform(ordered, lambda x: F.struct(x["path"].alias("path"), x["op"].alias("op"), x["old"].alias("old"), x["new"].alias("new")))
+    return out.withColumn("changes", F.when(F.exists("_n", deep), F.raise_error(F.lit(f"documents nest deeper than {max_depth}"))).otherwise(changes).cast(CHANGES)).drop("_n")
 
 
 def table_diff(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

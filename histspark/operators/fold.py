@@ -23,7 +23,7 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list, new_state: Callable
     """
     spark = with_package(df.sparkSession)
     out_type: StructType = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(out_type, timezone=spark.conf.get("spark.sql.session.timeZone"))
+    arrow = to_arrow_schema(out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, rows = None, None, []

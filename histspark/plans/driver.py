@@ -14,7 +14,9 @@ from histspark.schemas import CHANGES, FLOW, FLOW_REF
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; times without zone are read in the session's zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +34,10 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_changes(base: Column, state: Column, names: list[str]) -> Column:
-    """Changes of top-level scalar fields between two JSON objects, in name order."""
+    """Changes of top-level scalar fields between two JSON objects, in name order; values as JSON text."""
     parts = []
     for n in sorted(names):
-        a, b = F.get_json_object(base, f"$.{n}"), F.get_json_object(state, f"$.{n}")
+        a, b = (F.to_json(F.try_variant_get(F.try_parse_json(t), f"$.{n}", "variant")) for t in (base, state))
         op = F.when(a.isNull(), "add").when(b.isNull(), "remove").otherwise("change")
         parts.append(F.when(~a.eqNullSafe(b), F.struct(F.lit(n).alias("path"), op.alias("op"), a.alias("old"), b.alias("new"))))
     return F.array_compact(F.array(*parts)).cast(CHANGES)
@@ -58,7 +60,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("t").alias("tenant"), name(F.col("turn")).alias("activity_id"), F.col("role").alias("type"), F.col("conv_id").cast("string").alias("flow_id"),
         F.when(F.col("turn") > F.min("turn").over(_by_conv()), F.array(ref)).otherwise(F.array().cast(f"array<{FLOW_REF}>")).alias("caused_by"),
         F.array().cast(f"array<{FLOW_REF}>").alias("refs"), F.col("role").alias("author"), F.lit("chat").alias("source"), F.lit(None).cast("timestamp").alias("ts_source"),
-        F.timestamp_seconds(F.col("turn")).alias("ts_received"), F.lit(None).cast("timestamp").alias("ts_stored"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("string").alias("meta"),
+        (F.lit("1970-01-01").cast("timestamp") + F.make_interval(secs=F.col("turn").cast("decimal(18,6)"))).alias("ts_received"), F.lit(None).cast("timestamp").alias("ts_stored"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("string").alias("meta"),
     )
 
 

@@ -1,11 +1,738 @@
-"""Registered queries of the history engine."""
+"""Registered queries: each applies operators to the driver tables; the SQL says the same for another engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def entry(spark, sf_dir):
-    """Flagship query."""
-    raise NotImplementedError
+from histspark.functions import jsonx
+from histspark.operators import apply, asof, catalog, chain, delivery, diff, flows, history, ingest, lifecycle, rules
+from histspark.plans import driver
+from histspark.schemas import KEY
+from histspark.sources import tables
+from histspark.streaming import stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+AT = datetime(2024, 1, 15)
+FROM, TO = datetime(2024, 1, 10), datetime(2024, 1, 20)
+
+#: The command stream as versioned events, in SQL.
+EV = """
+WITH cmd AS (SELECT CAST(user_id AS VARCHAR) AS entity_id, CAST(user_id % 10 AS VARCHAR) AS author, ts, event_id AS seq, event_type, value,
+    json_extract_string(props, '$.k') AS k, event_type = 'error' AS del FROM events),
+b AS (SELECT *, lag(del) OVER w AS pdel, lag(k) OVER w AS pk, lag(event_type) OVER w AS ptype, lag(value) OVER w AS pvalue
+    FROM cmd WINDOW w AS (PARTITION BY entity_id ORDER BY ts, seq)),
+kept AS (SELECT * FROM b WHERE del OR pdel IS NULL OR pdel OR k IS DISTINCT FROM pk OR event_type <> ptype OR value <> pvalue),
+ev AS (SELECT *, row_number() OVER w AS version,
+    CASE WHEN del THEN 'delete' WHEN coalesce(lag(del) OVER w, TRUE) THEN 'create' ELSE 'update' END AS op
+    FROM kept WINDOW w AS (PARTITION BY entity_id ORDER BY ts, seq)),
+base AS (SELECT *, coalesce(pdel, TRUE) AS fresh FROM ev),
+fc AS (SELECT entity_id, version, seq, ts, author, path, old, new, old_num, new_num,
+    CASE WHEN old IS NULL AND old_num IS NULL THEN 'add' ELSE 'change' END AS change_op FROM (
+    SELECT entity_id, version, seq, ts, author, 'k' AS path, CASE WHEN NOT fresh THEN '"' || pk || '"' END AS old, '"' || k || '"' AS new, CAST(NULL AS DOUBLE) AS old_num, CAST(NULL AS DOUBLE) AS new_num FROM base WHERE NOT del
+    UNION ALL SELECT entity_id, version, seq, ts, author, 'type', CASE WHEN NOT fresh THEN '"' || ptype || '"' END, '"' || event_type || '"', NULL, NULL FROM base WHERE NOT del
+    UNION ALL SELECT entity_id, version, seq, ts, author, 'value', NULL, NULL, CASE WHEN NOT fresh THEN pvalue END, value FROM base WHERE NOT del)
+    WHERE old IS DISTINCT FROM new OR old_num IS DISTINCT FROM new_num)
+"""
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the state of every entity at an instant, from raw commands."""
+    return QUERIES["state_at_flat"](spark, sf_dir)
+
+
+def num(c):
+    return F.when(F.col("path") == "value", c.cast("double"))
+
+
+def txt(c):
+    return F.when(F.col("path") != "value", c)
+
+
+# ---- ingest ----------------------------------------------------------------------------------------------------------
+
+
+@register("ingest_states", EV + "SELECT entity_id, version, op, seq, ts AS ts_received FROM ev")
+def _(spark, d):
+    return driver.events(spark, d).select("entity_id", "version", "op", "seq", "ts_received")
+
+
+@register("ingest_fold", EV + "SELECT entity_id, version, op, seq, del AS deleted FROM ev")
+def _(spark, d):
+    return ingest.ingest(driver.commands(spark, d)).where("code is null").select("entity_id", "version", "op", "seq", "deleted")
+
+
+@register("ingest_diffs", EV + ", n AS (SELECT entity_id, count(*) AS versions, max(version) AS latest FROM ev GROUP BY ALL) SELECT entity_id, versions, latest, 0 AS rejected FROM n")
+def _(spark, d):
+    """States turned to diffs, ingested as diffs, give the same versions and no rejects."""
+    e = driver.events(spark, d)
+    cmds = e.withColumns({"kind": F.when(F.col("op") == "delete", "delete").otherwise("diff"), "op": F.lit(None).cast("string"), "expected_version": F.col("version") - 1})
+    out = ingest.ingest(cmds.drop("version"))
+    return out.groupBy("entity_id").agg(F.count("version").alias("versions"), F.max("version").alias("latest"), F.count("code").alias("rejected"))
+
+
+@register("version_conflicts", EV + "SELECT entity_id, count(*) FILTER (version = 2) AS conflicts FROM ev GROUP BY entity_id")
+def _(spark, d):
+    """Commands of version 2 expect version 7: the fold rejects them (state stays)."""
+    e = driver.events(spark, d)
+    cmds = e.withColumn("expected_version", F.when(F.col("version") == 2, F.lit(7)).cast("long")).drop("version").withColumn("op", F.lit(None).cast("string"))
+    out = ingest.ingest(cmds)
+    return out.groupBy("entity_id").agg(F.count_if(F.col("code") == "version_conflict").alias("conflicts"))
+
+
+@register("expected_version_check", EV + "SELECT entity_id, max(version) % 2 = 0 AS conflict FROM ev GROUP BY entity_id")
+def _(spark, d):
+    cur = ingest.build_current(driver.events(spark, d))
+    ask = cur.select(*KEY, (F.col("version") - 1 + F.col("version") % 2).alias("expected_version"))
+    return ingest.check_expected_version(ask, cur).select("entity_id", "conflict")
+
+
+@register("build_current", EV + "SELECT entity_id, max(version) AS version, arg_max(del, version) AS deleted, max(ts) AS ts FROM ev GROUP BY entity_id")
+def _(spark, d):
+    return ingest.build_current(driver.events(spark, d)).select("entity_id", "version", "deleted", "ts")
+
+
+@register("validate_batch", """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'invalid_collection' WHEN o_orderkey % 11 = 0 THEN 'invalid_entity_id' WHEN o_orderkey % 13 = 0 THEN 'invalid_type'
+    WHEN o_orderkey % 17 = 0 THEN 'invalid_payload' END AS code, count(*) AS n FROM orders GROUP BY ALL""")
+def _(spark, d):
+    accepted, rejects = ingest.validate_batch(_order_commands(spark, d))
+    both = accepted.select(F.lit(None).cast("string").alias("code")).union(rejects.select("code"))
+    return both.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@register("batch_receipt", """WITH c AS (SELECT o_custkey AS batch_id, o_orderkey AS index, CASE WHEN o_orderkey % 7 = 0 THEN 'invalid_collection' WHEN o_orderkey % 11 = 0 THEN 'invalid_entity_id'
+    WHEN o_orderkey % 13 = 0 THEN 'invalid_type' WHEN o_orderkey % 17 = 0 THEN 'invalid_payload' END AS code FROM orders)
+    SELECT batch_id, count(*) FILTER (code IS NULL) AS accepted, count(code) AS n_rejected, CASE WHEN count(code) = 0 THEN 'accepted' ELSE 'partial' END AS status FROM c GROUP BY batch_id""")
+def _(spark, d):
+    accepted, rejects = ingest.validate_batch(_order_commands(spark, d))
+    both = accepted.select("batch_id", "index", F.lit(None).cast("string").alias("code")).union(rejects.select("batch_id", "index", "code"))
+    return ingest.batch_receipt(both).select("batch_id", "accepted", F.size("rejected").cast("long").alias("n_rejected"), "status")
+
+
+def _order_commands(spark, d):
+    o = driver.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    state = F.to_json(F.struct("o_orderstatus", "o_totalprice"))
+    return o.select(
+        F.lit("t").alias("tenant"), F.when(k % 7 == 0, "Bad..Name").otherwise("crm.orders").alias("collection"), F.when(k % 11 == 0, "").otherwise(k.cast("string")).alias("entity_id"),
+        F.when(k % 13 == 0, "upsert").otherwise("state").alias("kind"), F.when(k % 17 == 0, F.concat(state, F.lit("x"))).otherwise(state).alias("state"), F.lit(None).cast("string").alias("op"),
+        F.lit(None).cast("array<struct<path:string,op:string,old:string,new:string>>").alias("changes"), F.col("o_custkey").alias("batch_id"), k.alias("index"), F.col("o_orderdate").alias("ts_received"), k.alias("seq"), k.cast("string").alias("event_id"),
+    )
+
+
+@register("known_collections", "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'collection_not_found' END AS code, count(*) AS n FROM orders GROUP BY ALL")
+def _(spark, d):
+    cfg = spark.range(1).select(F.lit("crm.orders").alias("name"), F.lit(None).cast("long").alias("max_event_size_bytes"))
+    ok, bad = ingest.known_collections(_order_commands(spark, d), cfg)
+    return ok.select(F.lit(None).cast("string").alias("code")).union(bad.select("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@register("size_guard", "SELECT doc_id, octet_length(encode(text)) > 4096 AS too_large FROM documents")
+def _(spark, d):
+    docs = driver.table(spark, d, "documents").select("doc_id", F.col("text").alias("state"), F.lit(None).cast("array<string>").alias("changes"))
+    return docs.select("doc_id", ingest.size_guard(docs, 4096).alias("too_large"))
+
+
+@register("dedup_event_ids", """WITH e AS (SELECT user_id % 40 AS id, user_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events)
+    SELECT n = 1 AND id >= 5 AS first_delivery, count(*) AS n_rows FROM e GROUP BY ALL""")
+def _(spark, d):
+    c = driver.commands(spark, d).withColumn("event_id", (F.col("entity_id").cast("long") % 40).cast("string"))
+    known = c.where("cast(event_id as int) < 5").select("tenant", "collection", "event_id").distinct()
+    first, again = ingest.dedup_event_ids(c, known)
+    return first.select(F.lit(True).alias("first_delivery")).union(again.select(F.lit(False))).groupBy("first_delivery").agg(F.count("*").alias("n_rows"))
+
+
+@register("server_meta", "SELECT user_id % 2 = 0 AS own, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    e = driver.table(spark, d, "events")
+    meta = ingest.server_meta(F.when(F.col("user_id") % 2 == 0, F.lit('{"ip":"own"}')).otherwise(F.lit('{"a":1}')), F.lit("10.0.0.1"))
+    return e.select((F.get_json_object(meta, "$.ip") == "own").alias("own")).groupBy("own").agg(F.count("*").alias("n"))
+
+
+@register("merged_current", EV + "SELECT entity_id, max(version) AS version FROM ev GROUP BY entity_id")
+def _(spark, d):
+    e = driver.events(spark, d)
+    return tables.merged_current(ingest.build_current(e.where(F.col("ts_received") < F.lit(AT))), ingest.build_current(e)).select("entity_id", "version")
+
+
+@register("new_snapshots", EV + "SELECT entity_id, version FROM ev WHERE version % 10 = 0 AND version > 20")
+def _(spark, d):
+    e = driver.events(spark, d).select(*KEY, "version", F.col("ts_received").alias("ts"), (F.col("op") == "delete").alias("deleted"), "state")
+    snaps = asof.build_snapshots(e, 10)
+    return tables.new_snapshots(snaps.where("version <= 20"), snaps.unionByName(snaps)).select("entity_id", "version")
+
+
+@register("activity_ids", "SELECT count(*) AS n, count(DISTINCT (conv_id, turn, role)) AS ids FROM conversations")
+def _(spark, d):
+    a = driver.activities(spark, d)
+    a = tables.with_activity_ids(a.withColumns({"data": F.col("activity_id"), "activity_id": F.lit("")}))
+    return a.agg(F.count("*").alias("n"), F.count_distinct("activity_id").alias("ids"))
+
+
+# ---- history ---------------------------------------------------------------------------------------------------------
+
+
+@register("history_filter", EV + "SELECT entity_id, version, op FROM ev WHERE author = '3' AND op = 'update' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' AND version <= 30")
+def _(spark, d):
+    return history.history(driver.events(spark, d), author="3", op="update", start=FROM, end=TO, max_version=30).select("entity_id", "version", "op")
+
+
+@register("history_path", EV + "SELECT DISTINCT entity_id, version FROM fc WHERE path = 'type'")
+def _(spark, d):
+    return history.history(driver.events(spark, d), path="type").select("entity_id", "version")
+
+
+@register("history_page", EV + "SELECT entity_id, version, ts AS ts_received FROM ev WHERE ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND version < 5) ORDER BY ts DESC, version DESC LIMIT 100")
+def _(spark, d):
+    cursor = jsonx.encode_cursor(v=5, ts=TO.isoformat())
+    return history.page(driver.events(spark, d), "ts_received", True, cursor, 100).select("entity_id", "version", "ts_received")
+
+
+@register("project_native", EV + "SELECT change_op AS op, path, count(*) AS n, count(*) FILTER (change_op <> 'add') AS with_old FROM fc GROUP BY ALL")
+def _(spark, d):
+    c = history.field_changes(history.project_native(driver.events(spark, d)))
+    return c.groupBy(F.col("change_op").alias("op"), "path").agg(F.count("*").alias("n"), F.count("old").alias("with_old"))
+
+
+@register("project_json_patch", EV + """, p AS (SELECT entity_id, version, string_agg('{"op":"' || CASE WHEN change_op = 'change' THEN 'replace' ELSE change_op END || '","path":"/' || path || '","value":' || new || '}', ',' ORDER BY path) AS body FROM fc WHERE path <> 'value' GROUP BY ALL)
+    SELECT entity_id, version, '[' || body || ']' AS patch, FALSE AS inexpressible FROM p""")
+def _(spark, d):
+    e = driver.events(spark, d).withColumn("changes", F.filter("changes", lambda c: c["path"] != "value")).where(F.size("changes") > 0)
+    return history.project_json_patch(e).select("entity_id", "version", "patch", "inexpressible")
+
+
+@register("field_changes", EV + "SELECT entity_id, version, path, change_op, old, new, old_num, new_num FROM fc")
+def _(spark, d):
+    c = history.field_changes(driver.events(spark, d))
+    return c.select("entity_id", "version", "path", "change_op", txt(F.col("old")).alias("old"), txt(F.col("new")).alias("new"), num(F.col("old")).alias("old_num"), num(F.col("new")).alias("new_num"))
+
+
+@register("last_event", EV + "SELECT entity_id, max(version) AS version, arg_max(op, version) AS op, arg_max(seq, version) AS seq FROM ev GROUP BY entity_id")
+def _(spark, d):
+    return history.last_event(driver.events(spark, d)).select("entity_id", "version", "op", "seq")
+
+
+@register("validity", EV + "SELECT entity_id, version, ts AS valid_from, lead(ts) OVER (PARTITION BY entity_id ORDER BY version) AS valid_to FROM ev")
+def _(spark, d):
+    return history.validity(driver.events(spark, d)).select("entity_id", "version", "valid_from", "valid_to")
+
+
+@register("lives", EV + "SELECT entity_id, version, coalesce(sum(CAST(del AS INT)) OVER (PARTITION BY entity_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM ev")
+def _(spark, d):
+    return history.lives(driver.events(spark, d)).select("entity_id", "version", "life")
+
+
+# ---- diff ------------------------------------------------------------------------------------------------------------
+
+
+@register("change_log", EV + "SELECT entity_id, version, path, change_op AS op, old, new, old_num, new_num FROM fc")
+def _(spark, d):
+    """Structural diff of every state against its predecessor."""
+    c = ingest.ingest_states(driver.commands(spark, d)).select("entity_id", "version", F.explode("changes").alias("c")).select("entity_id", "version", "c.*")
+    return c.select("entity_id", "version", "path", "op", txt(F.col("old")).alias("old"), txt(F.col("new")).alias("new"), num(F.col("old")).alias("old_num"), num(F.col("new")).alias("new_num"))
+
+
+_CUT1, _CUT2 = "1997-01-01", "1999-01-01"
+
+
+def _order_docs(spark, d):
+    items = driver.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
+    one = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    side = lambda cut: F.array_sort(F.collect_list(F.when(F.col("l_shipdate") <= F.lit(cut).cast("timestamp"), one)))
+    return items.groupBy("l_orderkey").agg(*[F.to_json(F.struct(side(c).alias("items"))).alias(n) for n, c in (("before", _CUT1), ("after", _CUT2))])
+
+
+@register("json_diff_keyed", f"""WITH i AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS s FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, 'items[n=' || l_linenumber || ']' AS path, 'add' AS op FROM i WHERE s > TIMESTAMP '{_CUT1}' AND s <= TIMESTAMP '{_CUT2}'""")
+def _(spark, d):
+    out = diff.json_diff(_order_docs(spark, d), "before", "after", {"items": "n"}, max_depth=4)
+    return out.select("l_orderkey", F.explode("changes").alias("c")).select("l_orderkey", "c.path", "c.op")
+
+
+@register("json_diff_index", f"""WITH i AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS s FROM lineitem GROUP BY ALL),
+    n AS (SELECT l_orderkey, count(*) FILTER (s <= TIMESTAMP '{_CUT1}') AS a, count(*) FILTER (s <= TIMESTAMP '{_CUT2}') AS b FROM i GROUP BY ALL)
+    SELECT l_orderkey, b - a AS added FROM n WHERE b > a""")
+def _(spark, d):
+    out = diff.json_diff(_order_docs(spark, d), "before", "after", max_depth=4)
+    return out.select("l_orderkey", F.size(F.filter("changes", lambda c: c["op"] == "add")).cast("long").alias("added")).where("added > 0")
+
+
+@register("table_diff", f"""WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS qty, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '{_CUT1}' GROUP BY ALL),
+    b AS (SELECT l_orderkey AS k, sum(l_quantity) AS qty, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '{_CUT2}' GROUP BY ALL),
+    j AS (SELECT coalesce(a.k, b.k) AS k, a.qty AS aq, b.qty AS bq, a.n_lines AS an, b.n_lines AS bn FROM a FULL JOIN b ON a.k = b.k)
+    SELECT k, 'qty' AS path, CASE WHEN aq IS NULL THEN 'add' ELSE 'change' END AS op, aq AS old, bq AS new FROM j WHERE aq IS DISTINCT FROM bq
+    UNION ALL SELECT k, 'n_lines', CASE WHEN an IS NULL THEN 'add' ELSE 'change' END, an, bn FROM j WHERE an IS DISTINCT FROM bn""")
+def _(spark, d):
+    lines = driver.table(spark, d, "lineitem")
+    side = lambda cut: lines.where(F.col("l_shipdate") <= F.lit(cut).cast("timestamp")).groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n_lines"))
+    out = diff.table_diff(side(_CUT1), side(_CUT2), ["k"], ["qty", "n_lines"])
+    return out.select("k", "path", "op", F.col("old").cast("double").alias("old"), F.col("new").cast("double").alias("new"))
+
+
+@register("json_apply", EV + "SELECT entity_id, version, TRUE AS restored FROM ev WHERE NOT del")
+def _(spark, d):
+    """Applying an event's changes to its base gives its state."""
+    e = driver.events(spark, d).where("op <> 'delete'")
+    return apply.json_apply(e, "base", "changes").select("entity_id", "version", (F.col("applied") == F.col("state")).alias("restored"))
+
+
+@register("canonical_json", "SELECT event_id, '{\"a\":' || user_id || ',\"b\":[1,2.5],\"k\":' || json_extract_string(props, '$.k') || '}' AS text FROM events")
+def _(spark, d):
+    e = driver.table(spark, d, "events")
+    raw = F.concat(F.lit('{ "k" : '), F.get_json_object("props", "$.k"), F.lit(', "b":[1.0, 2.50], "a" : '), F.col("user_id").cast("string"), F.lit("}"))
+    return e.select("event_id", jsonx.canonical_json(raw).alias("text"))
+
+
+@register("parse_path", "SELECT l_orderkey, l_linenumber, 5 AS segments, 'n' AS key_field, CAST(l_linenumber AS VARCHAR) AS key_val, l_linenumber AS idx FROM lineitem")
+def _(spark, d):
+    n = F.col("l_linenumber").cast("string")
+    p = jsonx.parse_path(F.concat(F.lit("order.items[n="), n, F.lit("].tags."), n))
+    return driver.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.size(p).alias("segments"), p[2]["key_field"].alias("key_field"), p[2]["key_val"].alias("key_val"), p[4]["idx"].alias("idx"))
+
+
+# ---- as-of -----------------------------------------------------------------------------------------------------------
+
+
+@register("resolve_version", EV + ", e AS (SELECT DISTINCT entity_id FROM ev), latest AS (SELECT entity_id, max(version) AS latest FROM ev GROUP BY ALL) SELECT e.entity_id, max(version) FILTER (ts <= TIMESTAMP '2024-01-15') AS by_time, least(20, any_value(latest)) AS by_version FROM e JOIN ev USING (entity_id) JOIN latest USING (entity_id) GROUP BY e.entity_id")
+def _(spark, d):
+    e = driver.events(spark, d)
+    keys = e.select(*KEY).distinct()
+    probes = keys.withColumns({"at": F.lit(AT), "version": F.lit(None).cast("long")}).unionByName(keys.withColumns({"at": F.lit(None).cast("timestamp"), "version": F.lit(20).cast("long")}))
+    out = asof.resolve_version(probes, e)
+    return out.groupBy("entity_id").agg(F.max(F.when(F.col("at").isNotNull(), F.col("target"))).alias("by_time"), F.max(F.when(F.col("at").isNull(), F.col("target"))).alias("by_version"))
+
+
+@register("build_snapshots", EV + "SELECT entity_id, version, del AS deleted FROM ev WHERE version % 10 = 0")
+def _(spark, d):
+    e = driver.events(spark, d).withColumn("deleted", F.col("op") == "delete")
+    return asof.build_snapshots(e, 10).select("entity_id", "version", "deleted")
+
+
+#: The last non-delete row at or before each version, which a delete keeps showing (a second delete shows nothing).
+_SHOWN = EV + """, s AS (SELECT *, CASE WHEN NOT del THEN version WHEN lag(del) OVER w = FALSE THEN version - 1 END AS src FROM ev WINDOW w AS (PARTITION BY entity_id ORDER BY version)),
+shown AS (SELECT s.entity_id, s.version, s.del AS deleted, s.ts, r.k, r.event_type AS type, r.value FROM s LEFT JOIN ev r ON r.entity_id = s.entity_id AND r.version = s.src)"""
+
+
+def _fields(df):
+    g = lambda n: F.get_json_object("state", f"$.{n}")
+    return df.select("entity_id", "version", "deleted", g("k").alias("k"), g("type").alias("type"), g("value").cast("double").alias("value"))
+
+
+@register("state_history", _SHOWN + "SELECT entity_id, version, deleted, k, type, value FROM shown")
+def _(spark, d):
+    return _fields(asof.state_history(driver.events(spark, d)))
+
+
+@register("state_history_segmented", _SHOWN + "SELECT entity_id, version, deleted, k, type, value FROM shown")
+def _(spark, d):
+    """The same from snapshots: every segment between two snapshots is replayed on its own."""
+    e = driver.events(spark, d)
+    whole = asof.state_history(e)
+    return _fields(asof.state_history(e, asof.build_snapshots(whole, 10).select(*KEY, "version", "ts", "deleted", "state"), 10))
+
+
+@register("state_at", _SHOWN + "SELECT entity_id, max(version) AS version, arg_max(deleted, version) AS deleted, arg_max(coalesce(k, '-'), version) AS k, max(version) // 10 * 10 AS snapshot_version FROM shown WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY entity_id")
+def _(spark, d):
+    e = driver.events(spark, d)
+    snaps = asof.build_snapshots(asof.state_history(e), 10).select(*KEY, "version", "ts", "deleted", "state")
+    probes = e.select(*KEY).distinct().withColumns({"at": F.lit(AT), "version": F.lit(None).cast("long")})
+    out = asof.state_at(probes, e, snaps)
+    return out.select("entity_id", "version", "deleted", F.coalesce(F.get_json_object("state", "$.k"), F.lit("-")).alias("k"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"))
+
+
+_FLAT = EV + """, d0 AS (SELECT entity_id, max(version) FILTER (del) AS death FROM ev WHERE ts <= TIMESTAMP '{at}' GROUP BY ALL),
+l AS (SELECT f.entity_id, path, max(version) AS version, arg_max(new, version) AS value, arg_max(new_num, version) AS value_num FROM fc f JOIN d0 ON d0.entity_id = f.entity_id
+    WHERE ts <= TIMESTAMP '{at}' AND version > coalesce(death, 0) GROUP BY ALL)"""
+
+
+@register("state_at_flat", _FLAT.replace("{at}", "2024-01-15") + "SELECT entity_id, path, version, value, value_num FROM l")
+def _(spark, d):
+    out = asof.state_at_flat(driver.events(spark, d), AT)
+    return out.select("entity_id", "path", "version", txt(F.col("value")).alias("value"), num(F.col("value")).alias("value_num"))
+
+
+@register("flat_legal", EV + "SELECT DISTINCT entity_id, TRUE AS legal FROM ev")
+def _(spark, d):
+    return asof.flat_legal(driver.events(spark, d)).select("entity_id", "legal")
+
+
+@register("state_between", _FLAT.replace("{at}", "2024-01-10").replace("d0 ", "d1 ").replace("d0.", "d1.").replace("l AS", "a AS") + ", " + _FLAT.replace("{at}", "2024-01-20")[len(EV) + 2:].replace("l AS", "z AS") + """
+    SELECT coalesce(a.entity_id, z.entity_id) AS entity_id, coalesce(a.path, z.path) AS path, CASE WHEN a.entity_id IS NULL THEN 'add' WHEN z.entity_id IS NULL THEN 'remove' ELSE 'change' END AS op
+    FROM a FULL JOIN z ON a.entity_id = z.entity_id AND a.path = z.path WHERE a.value IS DISTINCT FROM z.value OR a.value_num IS DISTINCT FROM z.value_num""")
+def _(spark, d):
+    return asof.state_between(driver.events(spark, d), FROM, TO).select("entity_id", "path", "op")
+
+
+# ---- chains ----------------------------------------------------------------------------------------------------------
+
+
+def _chained(spark, d):
+    e = driver.events(spark, d)
+    links = chain.build_chain(e)
+    return e.join(links.select(*KEY, "version", F.struct("hash", "prev_hash").alias("integrity")), [*KEY, "version"])
+
+
+@register("genesis", "SELECT 'sha256:' || sha256('histspark:genesis:v1:' || p_name) AS genesis, count(*) AS n FROM part GROUP BY ALL")
+def _(spark, d):
+    return driver.table(spark, d, "part").select(chain.genesis("p_name").alias("genesis")).groupBy("genesis").agg(F.count("*").alias("n"))
+
+
+@register("event_canonical", EV + """SELECT entity_id, version, '{"author":"' || author || '","entity_id":"' || entity_id || '","flow":{"id":"f-' || entity_id || '-' || strftime(ts, '%Y%m%d') || '"},"op":"delete","source":"error","ts_source":"'
+    || regexp_replace(regexp_replace(strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g'), '0+$', ''), '\\.$', '') || 'Z"}' AS canonical FROM ev WHERE del""")
+def _(spark, d):
+    e = driver.events(spark, d).where("op = 'delete'")
+    return e.select("entity_id", "version", chain.event_canonical(e).alias("canonical"))
+
+
+@register("verify_chain", EV + "SELECT entity_id, 3 AS version, 'bad_hash' AS problem, TRUE AS first FROM ev WHERE version = 3")
+def _(spark, d):
+    """Version 3 of every entity is altered behind its hash: exactly those links break."""
+    e = _chained(spark, d).withColumn("author", F.when(F.col("version") == 3, "someone").otherwise(F.col("author")))
+    return chain.verify_chain(e).select("entity_id", "version", "problem", "first")
+
+
+@register("chain_gaps", EV + "SELECT entity_id, count(*) - 1 AS events, count(*) - 1 AS versions, max(version) AS latest FROM ev GROUP BY entity_id HAVING count(*) > 2")
+def _(spark, d):
+    return chain.chain_gaps(driver.events(spark, d).where("version <> 2")).select("entity_id", "events", "versions", "latest")
+
+
+# ---- rules and deliveries --------------------------------------------------------------------------------------------
+
+RULES = [
+    {"id": "r1", "name": "updates", "collection": "app.users", "condition": {"all": [{"field": "op", "op": "eq", "value": "update"}, {"field": "author_id", "op": "in", "value": [1, 2, 3]}, {"not": {"field": "entity_id", "op": "lt", "value": 10}}]}, "actions": [{"type": "log", "level": "warning", "message": "m"}, {"type": "webhook", "url": "https://example.test/h", "secret_ref": "s1"}]},
+    {"id": "r2", "name": "bought", "collection": "app.users", "condition": {"match": {"path": "*", "op": "change", "new": "purchase"}}, "actions": [{"type": "webhook", "url": "https://example.test/p", "secret_ref": "s2", "max_attempts": 3}]},
+    {"id": "r3", "name": "off", "enabled": False, "condition": {"all": []}, "actions": [{"type": "log"}]},
+    {"id": "r4", "name": "broken", "condition": {"field": "nope", "op": "eq", "value": 1}, "actions": [{"type": "log"}]},
+    {"id": "r5", "name": "pattern", "condition": {"any": [{"field": "source", "op": "regex", "value": "^sign"}, {"field": "entity_id", "op": "gte", "value": 1e9}]}, "actions": [{"type": "log"}]},
+]
+_MATCH = EV + """, m AS (
+    SELECT entity_id, version, 'r1' AS rule_id, 0 AS action, 'log' AS type FROM ev WHERE op = 'update' AND author IN ('1', '2', '3') AND CAST(entity_id AS INT) >= 10
+    UNION ALL SELECT entity_id, version, 'r1', 1, 'webhook' FROM ev WHERE op = 'update' AND author IN ('1', '2', '3') AND CAST(entity_id AS INT) >= 10
+    UNION ALL SELECT entity_id, version, 'r2', 0, 'webhook' FROM fc WHERE path = 'type' AND change_op = 'change' AND new = '"purchase"'
+    UNION ALL SELECT entity_id, version, 'r5', 0, 'log' FROM ev WHERE event_type LIKE 'sign%')"""
+
+
+@register("match_rules", _MATCH + "SELECT * FROM m")
+def _(spark, d):
+    return rules.match_rules(driver.events(spark, d), RULES).select("entity_id", "version", "rule_id", "action", "type")
+
+
+@register("rule_match_counts", _MATCH + "SELECT 't' AS tenant, type, count(*) AS n FROM m GROUP BY ALL")
+def _(spark, d):
+    return catalog.rule_match_counts(rules.match_rules(driver.events(spark, d), RULES))
+
+
+@register("log_alerts", _MATCH + "SELECT rule_id, CASE WHEN rule_id = 'r1' THEN 'warn' ELSE 'info' END AS level, count(*) AS n FROM m WHERE type = 'log' GROUP BY ALL")
+def _(spark, d):
+    return rules.log_alerts(rules.match_rules(driver.events(spark, d), RULES)).groupBy("rule_id", "level").agg(F.count("*").alias("n"))
+
+
+@register("duplicate_rules", "SELECT p_brand AS collection, p_name AS name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    return rules.duplicate_rules(driver.table(spark, d, "part").select(F.col("p_brand").alias("collection"), F.col("p_name").alias("name")))
+
+
+def _outbox(spark, d):
+    return delivery.delivery_outbox(rules.match_rules(driver.events(spark, d), RULES))
+
+
+@register("delivery_outbox", _MATCH + "SELECT sha256(concat_ws('|', 't', 'app.users', entity_id, CAST(version AS VARCHAR), rule_id, CAST(action AS VARCHAR))) AS delivery_id, entity_id, version, rule_id, CASE WHEN rule_id = 'r2' THEN 3 ELSE 5 END AS max_attempts, 5000 AS timeout_ms FROM m WHERE type = 'webhook'")
+def _(spark, d):
+    return _outbox(spark, d).select("delivery_id", "entity_id", "version", "rule_id", "max_attempts", "timeout_ms")
+
+
+@register("signed_outbox")
+def _(spark, d):
+    """HMAC signatures have no SQL; tests compare them with Python's hmac."""
+    return delivery.signed(_outbox(spark, d), {"s1": "first", "s2": "second"}).select("delivery_id", "signature")
+
+
+def _attempts(spark, d):
+    e = driver.table(spark, d, "events")
+    mine = e.where((F.col("event_type") == "error") & (F.pmod("event_id", F.lit(7)) == 0) | (F.col("event_type") == "signup") & (F.col("user_id") % 3 == 0) & (F.pmod("event_id", F.lit(7)) == 0))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return mine.select(F.col("user_id").cast("string").alias("delivery_id"), n.alias("attempt"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.lit(False).alias("blocked"), F.col("event_type").alias("result"), (F.col("value") / 100).alias("seconds"))
+
+
+def _user_outbox(spark, d):
+    u = driver.table(spark, d, "events").select("user_id").distinct()
+    return u.select(F.col("user_id").cast("string").alias("delivery_id"), F.lit("t").alias("tenant"), F.lit("app.users").alias("collection"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("rule_id"), F.lit("u").alias("url"), F.when(F.col("user_id") % 9 == 0, "lost").otherwise("s1").alias("secret_ref"), F.lit(3).alias("max_attempts"), F.lit("{}").alias("body"))
+
+
+_RETRY = """WITH a AS (SELECT user_id, ts, event_type, value FROM events WHERE event_id % 7 = 0 AND (event_type = 'error' OR (event_type = 'signup' AND user_id % 3 = 0))),
+l AS (SELECT user_id, count(*) AS attempts, bool_or(event_type = 'signup') AS ok, max(ts) AS last_at FROM a GROUP BY ALL),
+p AS (SELECT u.user_id, coalesce(attempts, 0) AS attempts, CASE WHEN coalesce(ok, FALSE) THEN 'delivered' WHEN u.user_id % 9 = 0 THEN 'dead' WHEN coalesce(attempts, 0) >= 3 THEN 'dead' ELSE 'pending' END AS state,
+    u.user_id % 9 = 0 AS lost, last_at FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l ON l.user_id = u.user_id)"""
+
+
+@register("plan_retries", _RETRY + """SELECT CAST(user_id AS VARCHAR) AS delivery_id, attempts, state, CASE WHEN state = 'dead' THEN CASE WHEN lost THEN 'unknown_secret' ELSE 'attempts_exhausted' END END AS reason,
+    CASE WHEN state = 'pending' AND attempts > 0 THEN last_at + INTERVAL 1 MICROSECOND * CAST(500000 * pow(2, attempts - 1) AS BIGINT) END AS next_attempt_at FROM p""")
+def _(spark, d):
+    out = delivery.plan_retries(_user_outbox(spark, d), _attempts(spark, d), ["s1"])
+    return out.select("delivery_id", "attempts", "state", "reason", "next_attempt_at")
+
+
+def _dlq(spark, d):
+    dead = delivery.dead_letters(delivery.plan_retries(_user_outbox(spark, d), _attempts(spark, d), ["s1"]))
+    return dead.withColumn("failed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id").cast("long") % 50))
+
+
+@register("dlq_list", _RETRY + "SELECT CAST(user_id AS VARCHAR) AS id, 'r' || (user_id % 4) AS rule_id FROM p WHERE state = 'dead' AND user_id % 4 = 1 ORDER BY user_id % 50 DESC, CAST(user_id AS VARCHAR) DESC LIMIT 20")
+def _(spark, d):
+    return delivery.dlq_list(_dlq(spark, d), "r1", 20).select("id", "rule_id")
+
+
+@register("dlq_counts", _RETRY + "SELECT tenant, rule_id, count(*) AS n FROM (SELECT 't' AS tenant, 'r' || (user_id % 4) AS rule_id FROM p WHERE state = 'dead') GROUP BY ROLLUP (tenant, rule_id)")
+def _(spark, d):
+    return catalog.dlq_counts(_dlq(spark, d))
+
+
+@register("redeliver", _RETRY + "SELECT 'outbox' AS part, count(*) AS n FROM p WHERE state = 'dead' AND user_id % 4 = 1 AND user_id % 2 = 1 UNION ALL SELECT 'remaining', count(*) FROM p WHERE state = 'dead' AND NOT (user_id % 4 = 1) UNION ALL SELECT 'missing', count(*) FROM p WHERE user_id % 2 = 1 AND NOT (state = 'dead' AND user_id % 4 = 1)")
+def _(spark, d):
+    ids = driver.table(spark, d, "events").where("user_id % 2 = 1").select(F.col("user_id").cast("string").alias("id")).distinct()
+    parts = zip(("outbox", "remaining", "missing"), delivery.redeliver(_dlq(spark, d), ids, "r1"), strict=True)
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts]
+    return out[0].union(out[1]).union(out[2])
+
+
+@register("delivery_stats", _RETRY.split(",\nl AS")[0] + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM a) SELECT event_type AS result, count(*) AS n, count(*) FILTER (rn > 1) AS retries, count(*) FILTER (value / 100 <= 0.25) AS le_0_25, count(*) FILTER (value / 100 <= 1) AS le_1 FROM n GROUP BY ALL")
+def _(spark, d):
+    return catalog.delivery_stats(_attempts(spark, d)).select("result", "n", "retries", "le_0_25", "le_1")
+
+
+# ---- flows -----------------------------------------------------------------------------------------------------------
+
+
+def _nodes(spark, d):
+    return flows.flow_nodes(driver.activities(spark, d), driver.events(spark, d))
+
+
+_NODES = EV + """, fl AS (SELECT 'f-' || entity_id || '-' || strftime(ts, '%Y%m%d') AS flow_id, 'app.users/' || entity_id || '/' || version AS node_id, 'event' AS kind, ts, 0 AS causes FROM ev
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), conv_id || '-' || turn, 'activity', make_timestamp(turn * 1000000), CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END FROM conversations),
+    ids AS (SELECT DISTINCT conv_id || '-' || turn AS id FROM conversations)"""
+
+
+@register("assemble_flow", _NODES + "SELECT flow_id, node_id, kind, row_number() OVER (PARTITION BY flow_id ORDER BY ts, node_id) AS place FROM fl")
+def _(spark, d):
+    return flows.assemble_flow(_nodes(spark, d)).select("flow_id", "node_id", "kind", "place")
+
+
+@register("flow_page", _NODES + "SELECT flow_id, node_id FROM fl WHERE flow_id = '3' ORDER BY ts, node_id LIMIT 3")
+def _(spark, d):
+    return flows.flow_page(_nodes(spark, d), "3", None, 2).select("flow_id", "node_id")
+
+
+_EDGES = _NODES + """, c AS (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+    ed AS (SELECT CAST(conv_id AS VARCHAR) AS flow_id, conv_id || '-' || turn AS child, i.id AS cause, i.id IS NULL AS dangling FROM c LEFT JOIN ids i ON i.id = conv_id || '-' || (turn - 1) WHERE turn > first)"""
+
+
+@register("flow_edges", _EDGES + "SELECT flow_id, child, cause, dangling FROM ed")
+def _(spark, d):
+    return flows.flow_edges(_nodes(spark, d)).select("flow_id", "child", "cause", "dangling")
+
+
+@register("flow_summary", _EDGES + """, dn AS (SELECT flow_id, count(*) FILTER (dangling) AS dangling FROM ed GROUP BY ALL)
+    SELECT fl.flow_id, count(*) AS nodes, count(*) FILTER (kind = 'event') AS events, count(*) FILTER (kind = 'activity') AS activities, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (causes = 0) AS roots,
+    coalesce(any_value(dn.dangling), 0) AS dangling FROM fl LEFT JOIN dn ON dn.flow_id = fl.flow_id GROUP BY fl.flow_id""")
+def _(spark, d):
+    n = _nodes(spark, d)
+    return flows.flow_summary(n, flows.flow_edges(n)).drop("tenant")
+
+
+@register("flow_lineage", _EDGES.replace("WITH cmd", "WITH RECURSIVE cmd", 1) + """, s AS (SELECT DISTINCT child AS node, cause AS ancestor FROM ed WHERE cause IS NOT NULL),
+    r AS (SELECT node, ancestor, 1 AS distance FROM s UNION SELECT r.node, s.ancestor, r.distance + 1 FROM r JOIN s ON s.node = r.ancestor WHERE r.distance < 3)
+    SELECT node, ancestor, min(distance) AS distance FROM r GROUP BY ALL""")
+def _(spark, d):
+    return flows.flow_lineage(flows.flow_edges(_nodes(spark, d)), 3).drop("tenant")
+
+
+@register("flows_of_entity", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS entity_id, CAST(o_orderkey % 100 AS VARCHAR) AS flow_id FROM orders")
+def _(spark, d):
+    ref = F.struct(F.lit(None).cast("string").alias("activity_id"), F.lit("crm.customers").alias("collection"), F.col("o_custkey").cast("string").alias("entity_id"))
+    a = driver.table(spark, d, "orders").select(F.lit("t").alias("tenant"), (F.col("o_orderkey") % 100).cast("string").alias("flow_id"), F.array(ref).alias("refs"))
+    return flows.flows_of_entity(a).select("entity_id", "flow_id")
+
+
+@register("valid_flow_refs", "SELECT role, role <> 'user' AS ok, count(*) AS n FROM conversations GROUP BY ALL")
+def _(spark, d):
+    user = F.col("role") == "user"
+    ref = F.struct(F.when(user, "").otherwise("a").alias("activity_id"), F.when(user, "c").alias("collection"), F.lit(None).cast("string").alias("entity_id"))
+    c = driver.table(spark, d, "conversations").select("role", F.array(ref).alias("refs"))
+    return c.select("role", flows.valid_flow_refs("refs").alias("ok")).groupBy("role", "ok").agg(F.count("*").alias("n"))
+
+
+# ---- catalog, statistics, lifecycle ----------------------------------------------------------------------------------
+
+
+def _config(spark, d):
+    s = driver.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        F.concat(F.lit("c"), k.cast("string")).alias("name"), F.when(k % 2 == 0, "strict").when(k % 5 == 0, "odd").otherwise("").alias("reliability_mode"), F.when(k % 3 == 0, "update").alias("first_event_op"), F.lit(None).cast("string").alias("ordering_mode"),
+        F.when(k % 7 == 0, -1).otherwise(0).cast("long").alias("snapshot_interval"), F.lit("").alias("retention_type"), F.when(k % 4 == 0, 2048).cast("long").alias("max_event_size_bytes"),
+    )
+
+
+@register("effective_config", "SELECT 'c' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'strict' WHEN s_suppkey % 5 = 0 THEN 'odd' ELSE 'durable' END AS reliability_mode, CASE WHEN s_suppkey % 3 = 0 THEN 'update' ELSE 'create' END AS first_event_op, 'received' AS ordering_mode, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE 100 END AS snapshot_interval, CASE WHEN s_suppkey % 4 = 0 THEN 2048 ELSE 1048576 END AS max_event_size_bytes FROM supplier")
+def _(spark, d):
+    return catalog.effective_config(_config(spark, d)).select("name", "reliability_mode", "first_event_op", "ordering_mode", "snapshot_interval", "max_event_size_bytes")
+
+
+@register("defaulted_fields", "SELECT 'c' || s_suppkey AS name, 2 + CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 1 END + CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS n FROM supplier")
+def _(spark, d):
+    return catalog.effective_config(_config(spark, d)).select("name", F.size("defaulted").alias("n"))
+
+
+@register("validate_config", "SELECT CASE WHEN s_suppkey % 2 <> 0 AND s_suppkey % 5 = 0 THEN 'reliability_mode' WHEN s_suppkey % 7 = 0 THEN 'snapshot_interval' END AS invalid_field, count(*) AS n FROM supplier GROUP BY ALL")
+def _(spark, d):
+    return catalog.validate_config(_config(spark, d)).groupBy("invalid_field").agg(F.count("*").alias("n"))
+
+
+@register("config_audit", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'collection.deleted' WHEN s_suppkey % 5 = 0 THEN 'collection.created' ELSE 'collection.updated' END AS action, 'c' || s_suppkey AS target FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0")
+def _(spark, d):
+    k = F.substring("name", 2, F.lit(20)).cast("long")
+    cfg = _config(spark, d).select("name", "reliability_mode")
+    old = cfg.where((k % 3 == 0) | (k % 5 != 0))
+    new = cfg.where(k % 3 != 0).withColumn("reliability_mode", F.when((k % 7 == 0) & (k % 5 != 0), "fast").otherwise(F.col("reliability_mode")))
+    return catalog.config_audit(old, new)
+
+
+def _crm(spark, d):
+    o = driver.table(spark, d, "orders").select(F.lit("crm.orders").alias("collection"), F.col("o_orderkey").cast("string").alias("entity_id"), F.col("o_orderdate").alias("ts_stored"))
+    c = driver.table(spark, d, "customer").select(F.lit("crm.customers").alias("collection"), F.col("c_custkey").cast("string").alias("entity_id"), F.lit(None).cast("timestamp").alias("ts_stored"))
+    return o.unionByName(c)
+
+
+@register("collection_stats", "SELECT 'crm.orders' AS name, count(DISTINCT o_orderkey) AS entities, count(*) AS events, max(o_orderdate) AS last_event_at FROM orders UNION ALL SELECT 'crm.customers', count(DISTINCT c_custkey), count(*), NULL FROM customer UNION ALL SELECT 'crm.empty', 0, 0, NULL")
+def _(spark, d):
+    e = _crm(spark, d)
+    cfg = spark.range(2).select(F.when(F.col("id") == 0, "crm.empty").otherwise("_system").alias("name"))
+    return catalog.collection_stats(e, e.select("collection", "entity_id").distinct(), cfg)
+
+
+@register("catalog", "SELECT 'crm.orders' AS name, count(*) AS events, 'durable' AS reliability_mode, 7 AS snapshot_interval FROM orders UNION ALL SELECT 'crm.customers', count(*), 'durable', 100 FROM customer")
+def _(spark, d):
+    e = _crm(spark, d)
+    cfg = spark.range(1).select(F.lit("crm.orders").alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("reliability_mode", "first_event_op", "ordering_mode", "retention_type")], F.lit(7).cast("long").alias("snapshot_interval"), F.lit(None).cast("long").alias("max_event_size_bytes"))
+    stats = catalog.collection_stats(e, e.select("collection", "entity_id").distinct(), cfg)
+    return catalog.catalog(stats, cfg).select("name", "events", "reliability_mode", "snapshot_interval")
+
+
+@register("mask_collections", "SELECT p_brand, lower(p_brand) = 'brand#1' OR lower(p_brand) = 'brand#2' AS shown, count(*) AS n FROM part GROUP BY ALL")
+def _(spark, d):
+    p = driver.table(spark, d, "part")
+    name = F.concat(F.lit("x."), F.replace(F.lower("p_brand"), F.lit("#"), F.lit(".")))
+    return p.select("p_brand", jsonx.collection_mask(name, ["x.brand.1.*", "x.brand.2", "y.*"]).alias("shown")).groupBy("p_brand", "shown").agg(F.count("*").alias("n"))
+
+
+@register("valid_collection", "SELECT p_name, regexp_full_match(replace(p_name, ' ', '.'), '[a-z0-9]+(\\.[a-z0-9]+)*') AS ok, replace(replace(p_name, ' ', '.'), '.', '_') AS physical, count(*) AS n FROM part GROUP BY ALL")
+def _(spark, d):
+    name = F.replace("p_name", F.lit(" "), F.lit("."))
+    p = driver.table(spark, d, "part").select("p_name", jsonx.valid_collection(name).alias("ok"), jsonx.physical_name(name).alias("physical"))
+    return p.groupBy("p_name", "ok", "physical").agg(F.count("*").alias("n"))
+
+
+@register("accept_counts", "SELECT n_name AS tenant, CASE WHEN c_acctbal < 0 THEN 'strict' ELSE 'durable' END AS mode, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def _(spark, d):
+    c = driver.table(spark, d, "customer").join(driver.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return catalog.accept_counts(c.select(F.col("n_name").alias("tenant"), F.when(F.col("c_acctbal") < 0, "strict").otherwise("durable").alias("mode")))
+
+
+@register("usage_by_tenant", "SELECT CAST(user_id % 5 AS VARCHAR) AS tenant, event_type AS op, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    e = driver.table(spark, d, "events")
+    return catalog.usage_by_tenant(e.select((F.col("user_id") % 5).cast("string").alias("tenant"), F.col("event_type").alias("op"), F.get_json_object("props", "$.k").cast("long").alias("n")))
+
+
+@register("activity_by", EV + "SELECT author, op, count(*) AS n FROM ev GROUP BY CUBE (author, op)")
+def _(spark, d):
+    return catalog.activity_by(driver.events(spark, d), "author", "op")
+
+
+@register("latency_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY ALL")
+def _(spark, d):
+    return catalog.latency_percentiles(driver.table(spark, d, "events"), "value", "event_type")
+
+
+@register("lag_report", "SELECT event_type AS queue, arg_max(greatest(value - 50, 0), ts) AS lag_s FROM events WHERE user_id % 3 <> 0 GROUP BY ALL")
+def _(spark, d):
+    e = driver.table(spark, d, "events")
+    shift = F.timestamp_micros(F.unix_micros("ts") - F.round((F.col("value") - 50) * 1e6).cast("long"))
+    m = e.select(F.col("event_type").alias("queue"), F.col("ts").alias("stored_at"), F.when(F.col("user_id") % 3 != 0, shift).alias("enqueued_at"))
+    return catalog.lag_report(m).withColumn("lag_s", F.round("lag_s", 6))
+
+
+@register("backlog", "SELECT event_type AS queue, count(*) FILTER (event_type <> 'click' AND event_id % 4 <> 0) AS depth FROM events GROUP BY ALL")
+def _(spark, d):
+    e = driver.table(spark, d, "events").select(F.col("event_type").alias("queue"), F.col("event_id").alias("id"))
+    return catalog.backlog(e, e.where("queue = 'click' or id % 4 = 0"))
+
+
+@register("alert_rules", """WITH m AS (SELECT event_type AS name, ts, value FROM events), h AS (SELECT name, unnest(range(0, 3)) AS i, ts, value FROM m),
+    w AS (SELECT name, date_trunc('hour', ts) + INTERVAL 1 HOUR * (i + 1) AS "at", sum(value) AS total FROM h GROUP BY ALL),
+    f AS (SELECT *, sum(CASE WHEN total > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY "at" ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS firing FROM w)
+    SELECT name, "at", firing FROM f""")
+def _(spark, d):
+    m = driver.table(spark, d, "events").select(F.col("event_type").alias("name"), "ts", "value")
+    return catalog.alert_rules(m, 600, "3 hours", "1 hour", 2).select("name", "at", "firing")
+
+
+@register("apply_retention", EV + ", r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY version DESC) AS newest FROM ev) SELECT newest <= 5 AS kept, count(*) AS n, count(DISTINCT entity_id) AS entities FROM r GROUP BY ALL")
+def _(spark, d):
+    cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("versions").alias("retention_type"), F.lit(5).alias("retention_value"))
+    kept, dropped = lifecycle.apply_retention(driver.events(spark, d), cfg, TO)
+    both = kept.select(F.lit(True).alias("kept"), "entity_id").union(dropped.select(F.lit(False), "entity_id"))
+    return both.groupBy("kept").agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"))
+
+
+@register("retention_days", EV + "SELECT ts >= TIMESTAMP '2024-01-15' AS kept, count(*) AS n FROM ev GROUP BY ALL")
+def _(spark, d):
+    cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("days").alias("retention_type"), F.lit(5).alias("retention_value"))
+    kept, dropped = lifecycle.apply_retention(driver.events(spark, d), cfg, TO)
+    return kept.select(F.lit(True).alias("kept")).union(dropped.select(F.lit(False))).groupBy("kept").agg(F.count("*").alias("n"))
+
+
+@register("cut_versions", EV + "SELECT entity_id, max(version) - 5 AS version FROM ev GROUP BY entity_id HAVING max(version) > 5")
+def _(spark, d):
+    cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("versions").alias("retention_type"), F.lit(5).alias("retention_value"))
+    return lifecycle.cut_versions(lifecycle.apply_retention(driver.events(spark, d), cfg, TO)[1]).select("entity_id", "version")
+
+
+@register("purge_entities", EV + "SELECT 'left' AS part, count(*) AS n FROM ev WHERE author <> '4' UNION ALL SELECT 'tombstones', count(DISTINCT entity_id) FROM ev WHERE author = '4'")
+def _(spark, d):
+    e = driver.events(spark, d)
+    keys = e.where("author = '4'").select(*KEY)
+    left = lifecycle.purge_entities(e, keys).agg(F.count("*").alias("n")).select(F.lit("left").alias("part"), "n")
+    return left.union(lifecycle.tombstones(e, keys, TO).agg(F.count("*").alias("n")).select(F.lit("tombstones"), "n"))
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------------
+
+
+@register("ticket_status", """WITH t AS (SELECT user_id AS ticket_id, ts AS "at", CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'stored' WHEN 'error' THEN 'failed' ELSE 'bogus' END AS status FROM events),
+    v AS (SELECT * FROM t WHERE status <> 'bogus') SELECT ticket_id, coalesce(arg_min(status, "at") FILTER (status IN ('stored', 'failed')), CASE WHEN bool_or(status = 'processing') THEN 'processing' ELSE 'accepted' END) AS status FROM v GROUP BY ticket_id""")
+def _(spark, d):
+    s = F.create_map(*[F.lit(x) for x in ("click", "accepted", "view", "processing", "purchase", "stored", "error", "failed")])[F.col("event_type")]
+    log = driver.table(spark, d, "events").select(F.col("user_id").alias("ticket_id"), s.alias("status"), F.col("ts").alias("at"))
+    return stream.ticket_status(log).select("ticket_id", "status")
+
+
+@register("reorder", "SELECT count(*) AS n, 0 AS late FROM events")
+def _(spark, d):
+    rows, late = stream.reorder(driver.commands(spark, d))
+    return rows.agg(F.count("*").alias("n")).crossJoin(late.agg(F.count("*").alias("late")))
