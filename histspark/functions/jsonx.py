@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 def canonical_json(col: Column | str) -> Column:
     """Deterministic text: keys sorted at every level, no HTML escapes, null kept. Malformed text gives NULL.
 
-    Exponent forms are normalised by a plain decimal cast when the document is such a number; inside documents Spark's
-    own rendering of the double is kept.
+    Numbers written with an exponent or a zero fraction become the plain integer they equal (``1e2`` is ``100``), so that
+    equal numbers are equal text; beyond 15 digits Spark's own rendering is kept.
     """
     c = F.col(col) if isinstance(col, str) else col
     text = F.to_json(F.try_parse_json(c))
-    number = text.try_cast("double")
-    plain = F.regexp_replace(F.format_string("%.0f", number), "^-0$", "0")
-    whole = text.rlike(r"^-?\d+(\.\d+)?[eE][+-]?\d+$") & (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, plain).otherwise(text)
+    return F.when(text.rlike(r"\d\.0+([,\]}]|$)"), F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|(?<=\d)\.0+(?=[,\]}]|$)', "$1")).otherwise(text)
 
 
 def parse_path(col: Column | str) -> Column:

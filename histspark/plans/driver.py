@@ -21,7 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State and delete commands of the ``events`` table."""
-    e = table(spark, sf_dir, "events")
+    return as_commands(table(spark, sf_dir, "events"))
+
+
+def command_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commands as a file stream."""
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.read.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return as_commands(stream.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"}))
+
+
+def as_commands(e: DataFrame) -> DataFrame:
+    """Rows of ``events`` as commands."""
     state = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("type"), "value"))
     return e.select(
         F.lit("t").alias("tenant"), F.lit("app.users").alias("collection"), F.col("user_id").cast("string").alias("entity_id"),

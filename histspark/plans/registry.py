@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from histspark.functions import jsonx
 from histspark.operators import apply, asof, catalog, chain, delivery, diff, flows, history, ingest, lifecycle, rules
 from histspark.plans import driver
 from histspark.schemas import KEY
+from histspark.session import shared_dir
 from histspark.sources import tables
 from histspark.streaming import stream
 
@@ -736,3 +738,40 @@ def _(spark, d):
 def _(spark, d):
     rows, late = stream.reorder(driver.commands(spark, d))
     return rows.agg(F.count("*").alias("n")).crossJoin(late.agg(F.count("*").alias("late")))
+
+
+def _streamed(spark, d, planned, **sink) -> str:
+    """Run a stream over everything there is, into a folder of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream.run_stream(planned, path, path + "/checkpoint", **sink).awaitTermination()
+    return path
+
+
+@register("stream_ingest", EV + "SELECT entity_id, version, op, seq FROM ev")
+def _(spark, d):
+    """The stateful stream gives what the batch gives."""
+    path = _streamed(spark, d, stream.stream_ingest(driver.command_stream(spark, d)))
+    return spark.read.parquet(path + "/events").select("entity_id", "version", "op", "seq")
+
+
+@register("stream_snapshots", EV + "SELECT entity_id, version, del AS deleted FROM ev WHERE version % 10 = 0")
+def _(spark, d):
+    path = _streamed(spark, d, stream.stream_ingest(driver.command_stream(spark, d)), interval=10)
+    return spark.read.parquet(path + "/snapshots").select("entity_id", "version", "deleted")
+
+
+@register("stream_rules", _MATCH + "SELECT sha256(concat_ws('|', 't', 'app.users', entity_id, CAST(version AS VARCHAR), rule_id, CAST(action AS VARCHAR))) AS delivery_id FROM m WHERE type = 'webhook'")
+def _(spark, d):
+    path = _streamed(spark, d, stream.stream_ingest(driver.command_stream(spark, d)), rules=RULES)
+    return spark.read.parquet(path + "/outbox").select("delivery_id")
+
+
+@register("stream_dedup", "SELECT CAST(id AS VARCHAR) AS event_id, 1 AS n FROM (SELECT DISTINCT event_id // 2 AS id FROM events)")
+def _(spark, d):
+    """Ids that each occur twice leave one row."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = driver.command_stream(spark, d).withColumn("event_id", F.expr("cast(cast(event_id as long) div 2 as string)"))
+    out = stream.stream_dedup(rows, "60 days").select("event_id")
+    q = out.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(path + "/out").groupBy("event_id").agg(F.count("*").alias("n"))
