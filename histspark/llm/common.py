@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histspark.session import with_package
+from histspark.session import shared_dir, with_package
 
 #: Rows of one Arrow batch; texts can be long, so batches stay small.
 BATCH_ROWS = 500
@@ -23,15 +22,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return with_package(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
-
-
 #: Spark removes the shuffle files of an execution when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -88,8 +88,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float
     """The rows of ``docs`` without any overlap, all columns kept."""
     found = stored(overlaps(docs, benchmark, span, share).select("_k1", "_k2").distinct(), "contaminated")
     k1, k2 = row_key()
-    kept = docs.withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"], "left_anti")
-    return kept.select(*docs.columns)
+    kept = docs.select(F.struct("*").alias("row"), k1, k2).join(found, ["_k1", "_k2"], "left_anti")
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir):

@@ -211,12 +211,11 @@ def grace_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one per distinct text."""
-    marked = grace_dedup(docs, bucket_bytes).where("kept").select("doc_id", F.unhex("text_sha256").alias("_sha"))
-    left = docs.withColumn("_sha", F.unhex(F.sha2(text_of().cast("binary"), 256)))
-    same = left["doc_id"].eqNullSafe(marked["doc_id"]) & (left["_sha"] == marked["_sha"])
-    kept = left.join(marked, same, "left_semi")
+    marked = grace_dedup(docs, bucket_bytes).where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("_sha"))
+    kept = left.join(marked, left["_id"].eqNullSafe(marked["doc_id"]) & (left["_sha"] == marked["sha"]), "left_semi")
     # rows repeated whole (same id, same text) leave one
-    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return kept.dropDuplicates(["_id", "_sha"]).select("row.*")
 
 
 def query(spark, sf_dir):

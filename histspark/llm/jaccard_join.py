@@ -301,9 +301,9 @@ def representatives(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
         found.where("label is not null").groupBy("label").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("s")).select("s.doc_id", "s.key")
     )
     stay = stored(stay.distinct(), "representatives")
-    left = docs.withColumn("_key", F.xxhash64(text_of()))
-    kept = left.join(stay.hint("shuffle_hash"), (left["_key"] == stay["key"]) & left["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.drop("_key")
+    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_key"))
+    kept = left.join(stay.hint("shuffle_hash"), (left["_key"] == stay["key"]) & left["_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir):
