@@ -16,10 +16,19 @@ def canonical_json(col: Column | str) -> Column:
     equal numbers are equal text; beyond 15 digits Spark's own rendering is kept.
     """
     c = F.col(col) if isinstance(col, str) else col
-    text = F.to_json(F.try_parse_json(c))
+    # the parser stops behind one value; as the only element of an array, trailing text is malformed
+    items = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).cast("array<variant>")
+    text = F.when(F.size(items) == 1, F.to_json(F.get(items, F.lit(0))))
     return F.when(text.rlike(r"\d\.0+([,\]}]|$)"), F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|(?<=\d)\.0+(?=[,\]}]|$)', "$1")).otherwise(text)
 
 
+def valid_json(col: Column | str) -> Column:
+    """Whether a text is exactly one JSON value."""
+    c = F.col(col) if isinstance(col, str) else col
+    alone = F.size(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).cast("array<variant>")) == 1
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def parse_path(col: Column | str) -> Column:
     """Path text to segments: struct(kind, name, idx, key_field, key_val); kind is key, index or keyed.
 

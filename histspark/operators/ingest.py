@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonvalue as J
-from histspark.functions.jsonx import canonical_json, valid_collection
+from histspark.functions.jsonx import canonical_json, valid_collection, valid_json
 from histspark.operators.diff import json_diff
 from histspark.operators.fold import sorted_fold
 from histspark.schemas import CHANGES, KEY
@@ -31,7 +31,7 @@ def validate_batch(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Codes: invalid_collection, invalid_entity_id, invalid_type, invalid_payload, too_large.
     """
-    broken = F.col("state").isNotNull() & F.try_parse_json("state").isNull()
+    broken = F.col("state").isNotNull() & ~valid_json("state")
     bad_change = F.coalesce(F.exists("changes", lambda c: ~F.coalesce(c["op"].isin("add", "change", "remove"), F.lit(False)) | c["path"].isNull()), F.lit(False))
     code = (
         F.when(~F.coalesce(valid_collection("collection"), F.lit(False)), "invalid_collection")
