@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, mix64, stored, text_of, tune, utf8
+from .common import batch_rows, byte_chunks, mix64, stored, text_of, tune, utf8
 from .wordhash import shingle_sets, word_hashes
 
 #: Words of a shingle; similarity as a fraction.
@@ -235,13 +235,11 @@ def connected(links: DataFrame) -> DataFrame:
 def _stages(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, n, key, cls) of all rows, and (cls, label) of the classes that link."""
     spark = tune(docs.sparkSession)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = rows.mapInArrow(_signed(k, num, den), _ROWS).repartition(tasks, "sig").sortWithinPartitions("sig")
-    grouped = stored(signed.mapInArrow(_shared, _GROUPED), "signatures", ("kind",))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with batch_rows(spark, BATCH):
+        grouped = stored(signed.mapInArrow(_shared, _GROUPED), "signatures", ("kind",))
 
     rows = grouped.where("kind = 0").select("uid", "doc_id", "n", "s1", "s2", "key", "sketch")
     first = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by(F.struct("uid", "doc_id", "n", "key", "sketch"), "uid").alias("f"))

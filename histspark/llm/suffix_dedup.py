@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, mix64, stored, text_of, tune, utf8
+from .common import batch_rows, byte_chunks, mix64, stored, text_of, tune, utf8
 from .suffix_array import order
 
 #: Bytes of a repeated string, and of the strings that anchors are chosen from.
 WINDOW, GRAM = 50, 24
 #: Bytes hashed at once (positions need 20 bits), and bytes of segments in one suffix array.
 CHUNK, ARRAY = (1 << 20) - 64, 1 << 20
+#: Rows of an Arrow batch of anchors.
+BATCH = 2000
 #: Segments of one anchor that go through a suffix array at most.
 HOT = 20_000
 
@@ -278,7 +280,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     lead = stored(rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= WINDOW)).groupBy("c1", "c2").agg(F.min("doc_id").alias("lead")), "contents")
 
     found = base.where((F.octet_length("text") >= WINDOW) & F.col("doc_id").isNotNull()).select("c1", "text").mapInArrow(_anchor_rows, "h long, c1 long")
-    shared = stored(found.repartition(tasks, "h").sortWithinPartitions("h", "c1").mapInArrow(_shared_rows, "h long, c1 long"), "shared-anchors")
+    with batch_rows(spark, BATCH):
+        shared = stored(found.repartition(tasks, "h").sortWithinPartitions("h", "c1").mapInArrow(_shared_rows, "h long, c1 long"), "shared-anchors")
     wanted = shared.groupBy("c1").agg(F.collect_set("h").alias("shared")).join(lead, "c1")
     texts = base.join(wanted.select(F.col("c1").alias("w1"), F.col("c2").alias("w2"), "lead", "shared").hint("shuffle_hash"), (F.col("c1") == F.col("w1")) & (F.col("c2") == F.col("w2")) & (F.col("doc_id") == F.col("lead")))
     texts = stored(texts.select("doc_id", "c1", "c2", "text", "shared"), "affected").dropDuplicates(["c1", "c2"])
