@@ -29,6 +29,12 @@ def valid_json(col: Column | str) -> Column:
     return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull(), F.lit(False))
 
 
+def quoted(value: Column) -> Column:
+    """JSON text of a string."""
+    text = F.to_json(F.array(value))
+    return F.substring(text, 2, F.length(text) - 2)
+
+
 def parse_path(col: Column | str) -> Column:
     """Path text to segments: struct(kind, name, idx, key_field, key_val); kind is key, index or keyed.
 

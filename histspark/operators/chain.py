@@ -7,18 +7,13 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histspark.functions.jsonx import quoted
 from histspark.operators.fold import sorted_fold
 from histspark.schemas import KEY
 
 PREFIX = "histspark:genesis:v1:"
 
 
-def _quoted(value: Column) -> Column:
-    """JSON text of a string."""
-    text = F.to_json(F.array(value))
-    return F.substring(text, 2, F.length(text) - 2)
-
-
 def _object(*fields: tuple[str, Column]) -> Column:
     """Object text of the fields whose text is not NULL, keys in sorted order."""
     parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in sorted(fields, key=lambda f: f[0])]
@@ -30,19 +25,19 @@ def _list(items: Column, render) -> Column:
 
 
 def _text(value: Column) -> Column:
-    return F.when(F.coalesce(value, F.lit("")) != "", _quoted(value))
+    return F.when(F.coalesce(value, F.lit("")) != "", quoted(value))
 
 
 def event_canonical(events: DataFrame) -> Column:
     """The signed text of an event: op, entity, changes, author, source, source time to the millisecond and flow. Absent
     fields add nothing; version, meta and receive times are not signed."""
     null = F.lit("null")
-    change = lambda c: _object(("path", _quoted(c["path"])), ("op", _quoted(c["op"])), ("old", F.when(c["op"] != "add", F.coalesce(c["old"], null))), ("new", F.when(c["op"] != "remove", F.coalesce(c["new"], null))))
+    change = lambda c: _object(("path", quoted(c["path"])), ("op", quoted(c["op"])), ("old", F.when(c["op"] != "add", F.coalesce(c["old"], null))), ("new", F.when(c["op"] != "remove", F.coalesce(c["new"], null))))
     ref = lambda r: _object(("activity_id", _text(r["activity_id"])), ("collection", _text(r["collection"])), ("entity_id", _text(r["entity_id"])), ("version", F.when(r["version"] != 0, r["version"].cast("string"))), ("event_id", _text(r["event_id"])))
     stamp = F.regexp_replace(F.regexp_replace(F.date_format(F.date_trunc("millisecond", "ts_source"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), r"0+$", ""), r"\.$", "")
     flow = F.when(F.col("flow").isNotNull(), _object(("id", _text(F.col("flow.id"))), ("step", _text(F.col("flow.step"))), ("caused_by", F.when(F.size("flow.caused_by") > 0, _list(F.col("flow.caused_by"), ref)))))
     return _object(
-        ("op", _quoted(F.col("op"))), ("entity_id", _quoted(F.col("entity_id"))), ("changes", F.when(F.size("changes") > 0, _list(F.col("changes"), change))),
+        ("op", quoted(F.col("op"))), ("entity_id", quoted(F.col("entity_id"))), ("changes", F.when(F.size("changes") > 0, _list(F.col("changes"), change))),
         ("author", _text(F.col("author"))), ("source", _text(F.col("source"))), ("ts_source", F.when(F.col("ts_source").isNotNull(), F.concat(F.lit('"'), stamp, F.lit('Z"')))), ("flow", flow),
     )
 

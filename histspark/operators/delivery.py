@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histspark.functions.jsonx import decode_cursor, hmac_sha256
+from histspark.functions.jsonx import decode_cursor, hmac_sha256, quoted
 
 BASE_S, MAX_S, ATTEMPTS, TIMEOUT_MS = 0.5, 30.0, 5, 5000
 
 
 def delivery_body() -> Column:
     """The signed body: event and rule, fields in a fixed order, absent ones left out."""
-    q = lambda c: F.substring(F.to_json(F.array(c)), 2, F.length(F.to_json(F.array(c))) - 2)
-    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f',"{name}":'), q(c))).otherwise("")
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f',"{name}":'), quoted(c))).otherwise("")
     side = lambda name, c: F.when(c.isNotNull() & (c != "null"), F.concat(F.lit(f',"{name}":'), c)).otherwise("")
-    change = lambda c: F.concat(F.lit('{"path":'), q(c["path"]), F.lit(',"op":'), q(c["op"]), side("old", c["old"]), side("new", c["new"]), F.lit("}"))
+    change = lambda c: F.concat(F.lit('{"path":'), quoted(c["path"]), F.lit(',"op":'), quoted(c["op"]), side("old", c["old"]), side("new", c["new"]), F.lit("}"))
     stamp = F.concat(F.regexp_replace(F.regexp_replace(F.date_format("ts_received", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"0+$", ""), r"\.$", ""), F.lit("Z"))
     return F.concat(
-        F.lit('{"event":{"entity_id":'), q(F.col("entity_id")), F.lit(',"collection":'), q(F.col("collection")), F.lit(',"version":'), F.col("version").cast("string"), F.lit(',"op":'), q(F.col("op")),
+        F.lit('{"event":{"entity_id":'), quoted(F.col("entity_id")), F.lit(',"collection":'), quoted(F.col("collection")), F.lit(',"version":'), F.col("version").cast("string"), F.lit(',"op":'), quoted(F.col("op")),
         part("author_id", F.col("author")), part("source", F.col("source")), F.lit(',"ts_received":"'), stamp, F.lit('","changes":['), F.array_join(F.transform("changes", change), ","), F.lit("]"),
-        F.when(F.coalesce(F.col("meta"), F.lit("{}")) != "{}", F.concat(F.lit(',"meta":'), F.col("meta"))).otherwise(""), F.lit('},"rule":{"id":'), q(F.col("rule_id")), part("name", F.col("rule_name")), F.lit("}}"),
+        F.when(F.coalesce(F.col("meta"), F.lit("{}")) != "{}", F.concat(F.lit(',"meta":'), F.col("meta"))).otherwise(""), F.lit('},"rule":{"id":'), quoted(F.col("rule_id")), part("name", F.col("rule_name")), F.lit("}}"),
     )
 
 
@@ -81,8 +82,6 @@ def redeliver(dlq: DataFrame, ids: DataFrame | None = None, rule_id: str | None
 
 def dlq_list(dlq: DataFrame, rule_id: str | None = None, limit: int = 100, after: str | None = None) -> DataFrame:
     """Dead letters, newest first, strictly after a cursor (ts, id)."""
-    from datetime import datetime
-
     rows = dlq if rule_id is None else dlq.where(F.col("rule_id") == rule_id)
     if after:
         at = decode_cursor(after)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histspark.functions.jsonx import decode_cursor, encode_cursor, json_pointer
+from histspark.functions.jsonx import decode_cursor, encode_cursor, json_pointer, quoted
 from histspark.schemas import KEY
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
@@ -50,7 +50,7 @@ def project_json_patch(events: DataFrame, strict: bool = False) -> DataFrame:
 
     def entry(c: Column) -> Column:
         op = F.when(c["op"] == "change", "replace").otherwise(c["op"])
-        head = F.concat(F.lit('{"op":"'), op, F.lit('","path":'), F.to_json(F.to_variant_object(F.array(json_pointer(c["path"])))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(json_pointer(c["path"]))))) - 2))
+        head = F.concat(F.lit('{"op":"'), op, F.lit('","path":'), quoted(json_pointer(c["path"])))
         return F.concat(head, F.when(c["op"] == "remove", F.lit("}")).otherwise(F.concat(F.lit(',"value":'), F.coalesce(c["new"], F.lit("null")), F.lit("}"))))
 
     keyed = F.exists("changes", lambda c: c["path"].contains("["))
