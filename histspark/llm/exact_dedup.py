@@ -211,11 +211,14 @@ def grace_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one per distinct text."""
-    marked = grace_dedup(docs, bucket_bytes).where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    marked = stored(grace_dedup(docs, bucket_bytes).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "dedup-marks")
+    stay = marked.where("kept").select("doc_id", "sha")
     left = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("_sha"))
-    kept = left.join(marked, left["_id"].eqNullSafe(marked["doc_id"]) & (left["_sha"] == marked["sha"]), "left_semi")
-    # rows repeated whole (same id, same text) leave one
-    return kept.dropDuplicates(["_id", "_sha"]).select("row.*")
+    kept = left.join(stay.hint("shuffle_hash"), left["_id"].eqNullSafe(stay["doc_id"]) & (left["_sha"] == stay["sha"]), "left_semi")
+    # rows repeated whole (same id, same text) pass together and leave one; only then are texts grouped again
+    if not marked.groupBy("doc_id", "sha").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_sha"])
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir):
