@@ -152,45 +152,64 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = (int(h2[-1]), int(c2[-1]), last)
 
 
-_SEGMENTS = "kind int, seg binary, h long, c1 long, c2 long, doc_id long, start long, body binary"
+_SEGMENTS = "kind int, s1 long, s2 long, uid long, start long, h long, low long, high long, body binary"
+_NAMES = [c.split()[0] for c in _SEGMENTS.split(", ")]
+#: Segments that a task holds before they are sent on.
+HELD = 300_000
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: where a segment lies. Kind 1: a distinct segment of the task with the doc_id first seen."""
-    best: dict[bytes, int] = {}
+    """Kind 0: where a segment (named by 128 bits) lies. Kind 1: a distinct segment of the task with the least and the
+    largest doc_id it occurs in."""
+    held: dict[bytes, list] = {}
+
+    def halves(names: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        two = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+        return pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        items = list(held.items())
+        held.clear()
+        for at in range(0, len(items), 20_000):
+            part = items[at : at + 20_000]
+            none = pa.nulls(len(part), pa.int64())
+            h, low, high, body = zip(*[v for _, v in part], strict=True)
+            yield pa.record_batch([pa.array([1] * len(part), pa.int32()), *halves([k for k, _ in part]), none, none, pa.array(h), pa.array(low), pa.array(high), pa.array(body, pa.binary())], names=_NAMES)
+
     for batch in batches:
         flat, offsets = utf8(batch.column("text"))
         raw = flat.tobytes()
         text, first, count, h = anchors(flat, offsets)
-        ids, c1, c2, shared = (batch.column(c).to_pylist() for c in ("doc_id", "c1", "c2", "shared"))
+        ids, uids, shared = (batch.column(c).to_pylist() for c in ("doc_id", "uid", "shared"))
         cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        places: list[tuple] = []
-        fresh: list[tuple] = []
+        names, owners, starts = [], [], []
         for i, doc in enumerate(ids):
             a, b = cut[i], cut[i + 1]
             hit = np.flatnonzero(np.isin(h[a:b], np.array(shared[i], np.int64))) + a
             base = int(offsets[i])
+            owners += [uids[i]] * len(hit)
             for s, n, x in zip(first[hit].tolist(), count[hit].tolist(), h[hit].tolist(), strict=True):
                 body = raw[base + s : base + s + n + WINDOW - 1]
-                seg = hashlib.blake2b(body, digest_size=16).digest()
-                places.append((seg, c1[i], c2[i], doc, s))
-                if (was := best.get(seg)) is None or doc < was:
-                    if len(best) > 500_000:
-                        best.clear()
-                    best[seg] = doc
-                    fresh.append((seg, x, doc, body))
-        for at in range(0, len(places), 50_000):
-            seg, k1, k2, doc, s = zip(*places[at : at + 50_000], strict=True)
-            none = pa.nulls(len(seg), pa.int64())
-            yield pa.record_batch([pa.array([0] * len(seg), pa.int32()), pa.array(seg, pa.binary()), none, pa.array(k1), pa.array(k2), pa.array(doc), pa.array(s), pa.nulls(len(seg), pa.binary())], names=_NAMES)
-        for at in range(0, len(fresh), 20_000):
-            seg, x, doc, body = zip(*fresh[at : at + 20_000], strict=True)
-            none = pa.nulls(len(seg), pa.int64())
-            yield pa.record_batch([pa.array([1] * len(seg), pa.int32()), pa.array(seg, pa.binary()), pa.array(x), none, none, pa.array(doc), none, pa.array(body, pa.binary())], names=_NAMES)
-
-
-_NAMES = [c.split()[0] for c in _SEGMENTS.split(", ")]
-_RESULT = "seg binary, lo int, hi int, least long"
+                name = hashlib.blake2b(body, digest_size=16).digest()
+                names.append(name)
+                starts.append(s)
+                if (v := held.get(name)) is None:
+                    held[name] = [x, doc, doc, body]
+                elif doc < v[1]:
+                    v[1] = doc
+                elif doc > v[2]:
+                    v[2] = doc
+        for at in range(0, len(names), 50_000):
+            part = slice(at, at + 50_000)
+            size = len(names[part])
+            none = pa.nulls(size, pa.int64())
+            yield pa.record_batch([pa.array([0] * size, pa.int32()), *halves(names[part]), pa.array(owners[part]), pa.array(starts[part]), none, none, none, pa.nulls(size, pa.binary())], names=_NAMES)
+        if len(held) > HELD:
+            yield from flush()
+    yield from flush()
+
+
+_RESULT = "s1 long, s2 long, lo int, hi int, least long"
 
 
 def window_runs(bodies: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,30 +237,34 @@ def window_runs(bodies: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.nd
 
 
 def _sorted_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (h, seg); whole anchor groups are gathered to about ARRAY bytes for one suffix array."""
-    groups: dict[bytes, list] = {}
+    """Rows arrive sorted by (h, s1); whole anchor groups are gathered to about ARRAY bytes for one suffix array. Only
+    windows that lie in some document above their least one come out."""
+    groups: dict[tuple[int, int], list] = {}
     size, anchor = 0, None
 
     def out() -> Iterator[pa.RecordBatch]:
-        names = list(groups)
-        if names:
-            owner, lo, hi, least = window_runs([groups[s][0] for s in names], [groups[s][1] for s in names])
-            seg = pa.array(names, pa.binary()).take(pa.array(owner))
-            for a in range(0, len(owner), 50_000):
-                part = slice(a, a + 50_000)
-                yield pa.record_batch([seg[part], pa.array(lo[part].astype(np.int32)), pa.array(hi[part].astype(np.int32)), pa.array(least[part])], names=["seg", "lo", "hi", "least"])
+        if not groups:
+            return
+        names, items = np.array(list(groups), np.int64), list(groups.values())
+        owner, lo, hi, least = window_runs([v[0] for v in items], [v[1] for v in items])
+        keep = least < np.array([v[2] for v in items], np.int64)[owner]
+        owner, lo, hi, least = owner[keep], lo[keep].astype(np.int32), hi[keep].astype(np.int32), least[keep]
+        for a in range(0, len(owner), 50_000):
+            part = slice(a, a + 50_000)
+            name = names[owner[part]]
+            yield pa.record_batch([pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(lo[part]), pa.array(hi[part]), pa.array(least[part])], names=["s1", "s2", "lo", "hi", "least"])
 
     for batch in batches:
-        for h, seg, doc, body in zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "doc_id", "body")), strict=True):
+        for h, s1, s2, low, high, body in zip(*(batch.column(c).to_pylist() for c in ("h", "s1", "s2", "low", "high", "body")), strict=True):
             if h != anchor and size > ARRAY:
                 yield from out()
                 groups, size = {}, 0
             anchor = h
-            if (have := groups.get(seg)) is None:
-                groups[seg] = [body, doc]
+            if (have := groups.get((s1, s2))) is None:
+                groups[s1, s2] = [body, low, high]
                 size += len(body)
-            elif doc < have[1]:
-                have[1] = doc
+            else:
+                have[1], have[2] = min(have[1], low), max(have[2], high)
     yield from out()
 
 
@@ -249,10 +272,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge covered ranges (sorted) and hash what is left."""
     for batch in batches:
         removed, spans, kept = [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+        for doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
             n, k, at, left = 0, 0, 0, hashlib.sha256()
             lo = hi = None
             for r in ranges:
+                if r["least"] >= doc:
+                    continue
                 if hi is not None and r["s"] <= hi:
                     hi = max(hi, r["e"])
                     continue
@@ -284,20 +309,25 @@ def repeats(docs: DataFrame) -> DataFrame:
         shared = stored(found.repartition(tasks, "h").sortWithinPartitions("h", "c1").mapInArrow(_shared_rows, "h long, c1 long"), "shared-anchors")
     wanted = shared.groupBy("c1").agg(F.collect_set("h").alias("shared")).join(lead, "c1")
     texts = base.join(wanted.select(F.col("c1").alias("w1"), F.col("c2").alias("w2"), "lead", "shared").hint("shuffle_hash"), (F.col("c1") == F.col("w1")) & (F.col("c2") == F.col("w2")) & (F.col("doc_id") == F.col("lead")))
-    texts = stored(texts.select("doc_id", "c1", "c2", "text", "shared"), "affected").dropDuplicates(["c1", "c2"])
+    texts = texts.select("doc_id", "c1", "c2", "text", "shared")
+    if not rows.groupBy("doc_id", "c1", "c2").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["c1", "c2"])  # rows repeated whole are one content
+    texts = stored(texts.withColumn("uid", F.monotonically_increasing_id()), "affected")
     segments = stored(texts.mapInArrow(_segment_rows, _SEGMENTS), "segments", ("kind",))
-    bodies = segments.where("kind = 1").select("h", "seg", "doc_id", "body")
+    bodies = segments.where("kind = 1").select("h", "s1", "s2", "low", "high", "body")
     hot = bodies.groupBy("h").count().where(F.col("count") > HOT).select("h")
     runs = bodies
     if not hot.isEmpty():
         runs = bodies.join(hot, "h", "left_anti")
-    runs = runs.repartition(tasks, "h").sortWithinPartitions("h", "seg").mapInArrow(_sorted_segments, _RESULT)
+    runs = runs.repartition(tasks, "h").sortWithinPartitions("h", "s1").mapInArrow(_sorted_segments, _RESULT)
     if not hot.isEmpty():
         runs = runs.unionByName(_hot_runs(bodies.join(hot, "h", "left_semi")))
-    places = segments.where("kind = 0").select("seg", "c1", "c2", "doc_id", "start")
-    covered = places.join(runs, "seg").where(F.col("least") < F.col("doc_id"))
-    ranges = covered.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + WINDOW).alias("e")))).alias("ranges"))
-    cut = stored(ranges.join(texts.select("c1", "c2", "text"), ["c1", "c2"]).mapInArrow(_cut, "c1 long, c2 long, removed long, spans long, kept string"), "cut")
+    runs = stored(runs, "window-runs")
+    places = segments.where("kind = 0").select("s1", "s2", "uid", "start")
+    covered = places.join(runs, ["s1", "s2"]).select("uid", F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + WINDOW).alias("e"), "least").alias("r"))
+    ranges = stored(covered.groupBy("uid").agg(F.array_sort(F.collect_list("r")).alias("ranges")), "ranges")
+    marked = texts.select("uid", "doc_id", "c1", "c2", "text").join(ranges.hint("shuffle_hash"), "uid").drop("uid")
+    cut = stored(marked.mapInArrow(_cut, "c1 long, c2 long, removed long, spans long, kept string"), "cut")
 
     copy = F.col("doc_id") > F.col("lead")
     all_rows = rows.join(lead.join(cut, ["c1", "c2"], "left"), ["c1", "c2"], "left")
@@ -311,11 +341,11 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def _hot_runs(bodies: DataFrame) -> DataFrame:
     """The exact way for anchors of very many segments: windows as rows, least doc_id by aggregation."""
-    one = bodies.groupBy("seg").agg(F.min("doc_id").alias("doc_id"), F.first("body").alias("body"))
-    at = one.select("seg", "doc_id", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - WINDOW)).alias("lo"))
-    windows = at.select("seg", "doc_id", "lo", F.substring("body", F.col("lo") + 1, F.lit(WINDOW)).alias("w"))
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("least"))
-    return windows.join(least, "w").select("seg", F.col("lo").cast("int").alias("lo"), F.col("lo").cast("int").alias("hi"), "least")
+    one = bodies.groupBy("s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("body").alias("body"))
+    at = one.select("s1", "s2", "low", "high", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - WINDOW)).alias("lo"))
+    windows = at.select("s1", "s2", "low", "high", "lo", F.substring("body", F.col("lo") + 1, F.lit(WINDOW)).alias("w"))
+    least = windows.groupBy("w").agg(F.min("low").alias("least"))
+    return windows.join(least, "w").where("least < high").select("s1", "s2", F.col("lo").cast("int").alias("lo"), F.col("lo").cast("int").alias("hi"), "least")
 
 
 def query(spark, sf_dir):
