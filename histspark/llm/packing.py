@@ -1,9 +1,10 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
-1. Every text is tokenized once and stored as ids (narrow).
-2. Documents are routed to index shards of about ``shard_tokens`` tokens by a lexical signature (a min-hash of their
-   ids), so that similar documents meet. A signature's share of all tokens decides how many shards it spans and a hash
-   spreads its documents over them: a signature of a third of the corpus fills a third of the shards.
+1. Every text is tokenized once and stored as ids (narrow); the documents of each id are counted over the whole corpus.
+2. Documents are put in one order by ``SIGS`` weighted min-hashes of their ids: an id draws in proportion to a power of
+   its inverse document frequency, ids of one document or of more than ``FREQUENT`` of all draw nothing. Similar
+   documents share the first hash; those of a heavy hash are ordered by the next ones, so near copies stay adjacent.
+   The order is range-partitioned over the tasks and cut into index shards of about ``shard_tokens`` tokens.
 3. Each shard builds a BM25 inverted index. The next unused document is the seed; its unused neighbours, best first, are
    appended until the window is full. The document that overflows is cut and its rest opens the next window as seed.
    Only the last window of a task can have padding.
@@ -21,7 +22,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stored, text_of, tune
@@ -30,49 +31,84 @@ from .tokens import cache_for
 WINDOW = 4096
 END_ID = 2
 #: Tokens of one index shard.
-SHARD_TOKENS = 500_000
+SHARD_TOKENS = 2_000_000
+#: Min-hashes that order the documents, and the power of idf by which ids draw.
+SIGS, IDF_POWER = 4, 3
+#: Ids in more than this share of all documents do not draw.
+FREQUENT = 0.1
 K1, B = 1.2, 0.75
+#: Terms in more than 1/DENSE of a shard's documents are kept as rows, at most DENSE cells a posting.
+DENSE = 8
 #: Best neighbours fetched at once; when they are used up the next best follow.
 FETCH = 32
 
-_TOKENS = "uid long, doc_id long, n long, sig int, ids binary"
+_TOKENS = "uid long, doc_id long, ids binary"
+_SIGNED = _TOKENS + ", sigs array<int>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _PIECES.split(", ")])
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """uid, doc_id, n (with the end id), sig, ids of every row."""
+    """uid, doc_id, ids (with the end id) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_for(path)
         end = np.array([end_id], cache.dtype).tobytes()
-        ranks = (mix64(np.arange(1, 1 + len(cache.packed), dtype=np.uint64)) >> np.uint64(40)).astype(np.int32)
         base, row = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             ids = [cache.ids(t) + end for t in batch.column("text").to_pylist()]
-            sigs = [int(ranks[np.frombuffer(x, cache.dtype)].min() >> 8) for x in ids]
-            n = [len(x) // cache.dtype.itemsize for x in ids]
             uids = np.arange(base + row, base + row + len(ids))
             row += len(ids)
-            yield pa.record_batch([pa.array(uids, pa.int64()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sigs, pa.int32()), pa.array(ids, pa.binary())], names=["uid", "doc_id", "n", "sig", "ids"])
+            yield pa.record_batch([pa.array(uids, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["uid", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _TOKENS)
 
 
-def route(tokens: DataFrame, shard_tokens: int) -> DataFrame:
-    """Add ``shard``: the signatures' token masses laid end to end and cut every ``shard_tokens``.
+def frequencies(tokens: DataFrame, dtype: np.dtype, size: int) -> np.ndarray:
+    """Documents of each of the ``size`` ids of the vocabulary, in the whole corpus."""
 
-    There are at most 2^16 signatures, so their totals are a table of bounded size.
-    """
-    totals = tokens.groupBy("sig").agg(F.sum("n").alias("mass"))
-    before = F.sum("mass").over(Window.orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("mass")
-    totals = totals.select("sig", "mass", before.alias("before"))
-    share = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)
-    return tokens.join(F.broadcast(totals), "sig").withColumn("shard", F.floor((F.col("before") + share * F.col("mass")) / shard_tokens)).drop("mass", "before")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                df[np.unique(np.frombuffer(ids, dtype))] += 1
+        held = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(held, pa.int64()), pa.array(df[held], pa.int64())], names=["id", "df"])
+
+    found = tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toArrow()  # at most one row an id
+    df = np.zeros(size, np.int64)
+    df[found.column("id").to_numpy()] = found.column("df").to_numpy()
+    return df
+
+
+def draws(df: np.ndarray, docs: int) -> np.ndarray:
+    """Per min-hash and id the draw of the id; a document's signature is its id of least draw."""
+    idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+    weight = np.where((df > 1) & (df <= max(2.0, FREQUENT * docs)), idf**IDF_POWER, 1e-12)
+    at = np.arange(1, 1 + len(df), dtype=np.uint64)
+    chance = np.stack([((mix64(at * np.uint64(SIGS) + np.uint64(j)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53 for j in range(SIGS)])
+    return (-np.log(chance) / weight).astype(np.float32)
+
+
+def signatures(ids: np.ndarray, least: np.ndarray) -> list[int]:
+    """The min-hashes of a document, the first one first."""
+    return ids[least[:, ids].argmin(1)].tolist()
+
+
+def ordered(tokens: DataFrame, dtype: np.dtype, size: int, tasks: int) -> DataFrame:
+    """The documents in the order of their signatures, over ``tasks`` ranges; equal signatures are split by uid."""
+    least = draws(frequencies(tokens, dtype, size), tokens.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [signatures(np.frombuffer(x, dtype), least) for x in batch.column("ids").to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(sigs, pa.list_(pa.int32()))], names=["uid", "doc_id", "ids", "sigs"])
+
+    return tokens.mapInArrow(run, _SIGNED).repartitionByRange(tasks, "sigs", "uid").sortWithinPartitions("sigs", "uid")
 
 
 class Bm25Shard:
-    """Inverted index of one shard: postings of each term, with BM25 weights."""
+    """Inverted index of one shard: BM25 weights of each term's postings; terms of many documents as rows of all weights."""
 
     def __init__(self, ids: list[np.ndarray]):
         n = len(ids)
@@ -87,13 +123,21 @@ class Bm25Shard:
         length = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + length[self.doc])
         self.n = n
+        dense = df * DENSE > n
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        posts = np.repeat(dense, df)
+        self.rows = np.zeros((int(dense.sum()), n), np.float32)
+        self.rows[np.repeat(self.row, df)[posts], self.doc[posts]] = self.weight[posts]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """BM25 scores of all documents for the distinct terms of ``ids``."""
         at = np.searchsorted(self.terms, np.unique(ids))
+        row = self.row[at]
+        many = np.add.reduce(self.rows[row[row >= 0]], 0, dtype=np.float32)
+        at = at[row < 0]
         lo, sizes = self.first[at], self.first[at + 1] - self.first[at]
         posts = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.doc[posts], self.weight[posts], self.n)
+        return many + np.bincount(self.doc[posts], self.weight[posts], self.n)
 
 
 class Windows:
@@ -169,27 +213,27 @@ def _best(score: np.ndarray) -> list[int]:
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents in windows of ``window`` tokens."""
     spark = tune(docs.sparkSession)
-    dtype = cache_for(path).dtype
+    cache = cache_for(path)
+    dtype, size = cache.dtype, len(cache.packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(TaskContext.get().partitionId() << 32, window)
-        shard, held = None, []
+        held, mass = [], 0
         for batch in batches:
-            for s, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
-                if s != shard and held:
+            for doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids")), strict=True):
+                held.append((doc_id, np.frombuffer(ids, dtype)))
+                mass += len(held[-1][1])
+                if mass >= shard_tokens:
                     pack_shard(held, windows)
                     yield from windows.take()
-                    held = []
-                shard = s
-                held.append((doc_id, np.frombuffer(ids, dtype)))
+                    held, mass = [], 0
         if held:
             pack_shard(held, windows)
             yield from windows.take()
 
     tokens = stored(tokenize(docs, path, end_id), "tokens")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = route(tokens, shard_tokens).select("shard", "uid", "doc_id", "ids")
-    return routed.repartition(tasks, "shard").sortWithinPartitions("shard", "uid").mapInArrow(run, _PIECES)
+    return ordered(tokens, dtype, size, tasks).select("doc_id", "ids").mapInArrow(run, _PIECES)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -159,6 +159,33 @@ def test_packing_puts_neighbours_together():
     assert mixed <= 1
 
 
+def test_packing_order_keeps_near_copies_in_one_shard(spark):
+    """Frequent ids decide nothing: near copies stay adjacent in a heavy group of texts of the same common words."""
+    from histspark.llm.tokens import cache_for
+
+    rng = random.Random(4)
+    made = ["".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(2200)]
+    common, rare = made[:200], made[200:]
+    rows = []
+    for i in range(150):
+        w = rng.sample(common, 200) + [rng.choice(rare) for _ in range(15)]
+        v = list(w)
+        v[205] = rng.choice(rare)
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    rng.shuffle(rows)
+    path = packing.tokenizer_path()
+    cache = cache_for(path)
+    tokens = packing.tokenize(make(spark, rows), path)
+    place = {r["doc_id"]: n for n, r in enumerate(packing.ordered(tokens, cache.dtype, len(cache.packed), 1).collect())}
+    assert len(place) == 300
+    assert sum(abs(place[i] - place[1000 + i]) < 10 for i in range(150)) >= 100
+    pieces = packing.pack(make(spark, rows), path, window=2048, shard_tokens=12000).collect()
+    seq = defaultdict(set)
+    for p in pieces:
+        seq[p["doc_id"]].add(p["sequence_id"])
+    assert sum(bool(seq[i] & seq[1000 + i]) for i in range(150)) >= 90
+
+
 def test_chunks_encode_as_whole_texts():
     from histspark.llm.tokens import ChunkCache
 
