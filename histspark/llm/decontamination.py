@@ -1,17 +1,19 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seeds of words in a row, as long as the item's rule allows.
 
-A fixed mask looks at some positions of a run of words and ignores the others, so a seed survives substituted words at
-ignored positions. Seeds of benchmark items are joined with seeds at every word position of every document; around each
-hit the item is laid on the document along the hit's diagonal and compared word by word. An overlap counts when some
-stretch of ``min(item words, span)`` words agrees in at least ``share`` of its words.
+An overlap counts when some stretch of ``min(item words, span)`` words agrees in at least ``share`` of its words. So at
+most k of the stretch's w words differ, and the others make up k + 1 runs at most: the longest has at least
+(w - k) / (k + 1) words, rounded up. Runs of just that length (4 words from 16 on, 1 to 4 below) are the seeds of the
+item, so no allowed pattern of changed words is missed. Seeds of benchmark items are joined with seeds at every word
+position of every document; around each hit the item is laid on the document along the hit's diagonal and compared word
+by word.
 
 Native: words, seeds, join and verification are DataFrame functions. Positions are generated next to the document's
 array of word hashes, which is not copied per position; only hits carry a slice of it. The benchmark side is broadcast
 behind a check of its row count, else both sides shuffle on the seed.
 
 Defined results: null and empty texts have no words and hit nothing; rows repeated whole give one result; items of equal
-words share one comparison and are all reported; items shorter than the shortest mask are compared by their words in
-row; an empty table gives no rows; extra columns are ignored by ``overlaps`` and kept by ``clean``.
+words share one comparison and are all reported; items of one word up are compared by the same rule; an empty table gives
+no rows; extra columns are ignored by ``overlaps`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import row_key, stored, text_of, tune
 
-#: Word offsets each mask looks at.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 2, 3, 4, 5))
 #: Words of the stretch that must agree, and the share of them.
 SPAN, SHARE = 20, 0.8
 #: Seed rows of the benchmark that are broadcast at most (about 100 MB); more are joined by shuffle.
@@ -36,40 +36,42 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column, at: Column) -> Column:
-    """One seed per mask at a position; null where the mask leaves the text (the shortest texts use all their words)."""
-    out = []
-    for m, mask in enumerate(MASKS):
-        fits = at + mask[-1] < F.size(h)
-        out.append(F.when(fits, F.xxhash64(F.lit(m), *[F.get(h, at + o) for o in mask])))
-    return F.array(*out)
+def run_length(width: int, share: float) -> int:
+    """Words of the longest run that surely agrees where at least ``share`` of ``width`` words agree."""
+    agree = next(a for a in range(width + 1) if a / width >= share)
+    return max(1, -(-agree // (width - agree + 1)))
 
 
-def _short(h: Column) -> Column:
-    """The seed of an item too short for every mask."""
-    return F.xxhash64(F.lit(-1), h)
+def _seeds(h: Column, at: Column, runs: list[int]) -> Column:
+    """One seed per run length at a position; null where the run leaves the text."""
+    return F.array(*[F.when(at + r <= F.size(h), F.xxhash64(F.lit(r), *[F.get(h, at + o) for o in range(r)])) for r in runs])
 
 
-def seed_table(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, words, ipos, seed) of distinct items, and (cls, item_id)."""
+def seed_table(benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(cls, ih, run, ipos, seed) of distinct items, and (cls, item_id)."""
     items = benchmark.select("item_id", word_hashes(text_of()).alias("ih")).where(F.size("ih") > 0).withColumn("cls", F.xxhash64("ih"))
     distinct = items.groupBy("cls").agg(F.first("ih").alias("ih"))
-    at = distinct.select("cls", "ih", F.posexplode("ih").alias("ipos", "_w"))
-    seeds = at.select("cls", "ih", "ipos", F.explode(_seeds(F.col("ih"), F.col("ipos"))).alias("seed")).where("seed is not null")
-    return seeds, items.select("cls", "item_id")
+    lengths = [run_length(w, share) for w in range(1, span + 1)]
+    run = F.element_at(F.array(*[F.lit(r) for r in lengths]), F.least(F.size("ih"), F.lit(span)))
+    at = distinct.select("cls", "ih", run.alias("run"), F.posexplode("ih").alias("ipos", "_w"))
+    runs = sorted(set(lengths))
+    seed = F.element_at(_seeds(F.col("ih"), F.col("ipos"), runs), F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run")).cast("int"))
+    return at.withColumn("seed", seed).drop("_w").where("seed is not null"), items.select("cls", "item_id")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, first_word, n_words, agreeing share of every overlap, best diagonal of each pair, with row keys."""
     tune(docs.sparkSession)
-    seeds, items = seed_table(benchmark)
+    seeds, items = seed_table(benchmark, span, share)
     seeds = stored(seeds, "benchmark-seeds")
-    if seeds.count() <= BROADCAST_SEEDS:
+    sizes = {r["run"]: r["count"] for r in seeds.groupBy("run").count().collect()}  # at most one row a stretch length
+    seeds = seeds.drop("run")
+    if sum(sizes.values()) <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     k1, k2 = row_key()
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1, k2, word_hashes(text_of()).alias("h"))
     at = words.select("doc_id", "_k1", "_k2", "h", F.posexplode("h").alias("pos", "_w"))
-    grams = at.select("doc_id", "_k1", "_k2", "h", "pos", F.explode(_seeds(F.col("h"), F.col("pos"))).alias("seed"))
+    grams = at.select("doc_id", "_k1", "_k2", "h", "pos", F.explode(_seeds(F.col("h"), F.col("pos"), sorted(sizes) or [1])).alias("seed")).where("seed is not null")
     diagonal = F.col("pos") - F.col("ipos")
     hits = grams.join(seeds, "seed").select(
         "doc_id", "_k1", "_k2", "cls", "ih", diagonal.alias("diagonal"),

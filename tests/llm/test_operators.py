@@ -1,6 +1,7 @@
 """Each operator on small documents with every edge case, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -416,6 +417,33 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.overlaps(empty, bench).isEmpty() and decontamination.overlaps(d, bench.limit(0)).isEmpty()
 
 
+def test_decontamination_seeds_cover_every_allowed_pattern():
+    for w in range(1, 21):
+        run = decontamination.run_length(w, decontamination.SHARE)
+        for k in range(w):
+            if (w - k) / w >= decontamination.SHARE:
+                for changed in itertools.combinations(range(w), k):
+                    edges = [-1, *changed, w]
+                    assert max(b - a - 1 for a, b in zip(edges, edges[1:], strict=False)) >= run
+
+
+def test_decontamination_of_short_and_changed_items(spark):
+    """Items of 1 to 17 words, as they are and with every allowed pattern of one or two changed words, or of more."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 17)]
+    texts, want = [], set()
+    for n, text in items:
+        for k in range(3 + (n > 14)):
+            patterns = list(itertools.combinations(range(n), k))
+            for changed in rng.sample(patterns, min(70, len(patterns))):
+                w = [f"x{len(texts)}" if j in changed else v for j, v in enumerate(text.split())]
+                if (n - k) / n >= decontamination.SHARE:
+                    want.add((len(texts), n))
+                texts.append((len(texts), " ".join(["before", *w, "after"])))
+    got = decontamination.overlaps(make(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
 def test_licenses(spark, docs, empty):
     texts = [
         (1, "Licensed under the Apache License, Version 2.0."), (2, "apache  LICENSE and MIT-license, cc_by CC BY cc by"), (3, None), (4, ""), (5, "GNU general public licenses gnu General Public License"),
