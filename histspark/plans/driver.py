@@ -25,10 +25,14 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same commands as a file stream."""
+    """The same commands as a file stream. A stream reads folders: a table of part files is read whole, a single file by
+    its name in its folder."""
     path = f"{sf_dir}/events.parquet"
     rows = spark.read.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(rows.schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(where).isDirectory()
+    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return as_commands(stream.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"}))
 
 

@@ -47,3 +47,15 @@ def test_plans_have_no_nested_loops(spark):
     for name in ("state_at_flat", "resolve_version", "ingest_states", "match_rules", "verify_chain"):
         plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_snapshots", "stream_rules", "stream_dedup"])
+def test_streams_read_tables_of_part_files(spark, tmp_path, name):
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").limit(300)
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next((tmp_path / "one").glob("part-*.parquet"))
+    (tmp_path / "single").mkdir()
+    part.rename(tmp_path / "single" / "events.parquet")
+    spark.read.parquet(str(tmp_path / "single")).repartition(3).write.parquet(str(tmp_path / "parts" / "events.parquet"))
+    single, parts = (registry.QUERIES[name](spark, str(tmp_path / d)).toPandas() for d in ("single", "parts"))
+    assert len(parts) > 0 and _cells(parts) == _cells(single)
