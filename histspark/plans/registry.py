@@ -740,29 +740,29 @@ def _(spark, d):
     return rows.agg(F.count("*").alias("n")).crossJoin(late.agg(F.count("*").alias("late")))
 
 
-def _streamed(spark, d, planned, **sink) -> str:
+def _streamed(spark, d, commands, **sink) -> str:
     """Run a stream over everything there is, into a folder of its own in the shared folder."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream.run_stream(planned, path, path + "/checkpoint", **sink).awaitTermination()
+    stream.run_stream(commands, path, path + "/checkpoint", **sink).awaitTermination()
     return path
 
 
 @register("stream_ingest", EV + "SELECT entity_id, version, op, seq FROM ev")
 def _(spark, d):
     """The stateful stream gives what the batch gives."""
-    path = _streamed(spark, d, stream.stream_ingest(driver.command_stream(spark, d)))
+    path = _streamed(spark, d, driver.command_stream(spark, d))
     return spark.read.parquet(path + "/events").select("entity_id", "version", "op", "seq")
 
 
 @register("stream_snapshots", EV + "SELECT entity_id, version, del AS deleted FROM ev WHERE version % 10 = 0")
 def _(spark, d):
-    path = _streamed(spark, d, stream.stream_ingest(driver.command_stream(spark, d)), interval=10)
+    path = _streamed(spark, d, driver.command_stream(spark, d), interval=10)
     return spark.read.parquet(path + "/snapshots").select("entity_id", "version", "deleted")
 
 
 @register("stream_rules", _MATCH + "SELECT sha256(concat_ws('|', 't', 'app.users', entity_id, CAST(version AS VARCHAR), rule_id, CAST(action AS VARCHAR))) AS delivery_id FROM m WHERE type = 'webhook'")
 def _(spark, d):
-    path = _streamed(spark, d, stream.stream_ingest(driver.command_stream(spark, d)), rules=RULES)
+    path = _streamed(spark, d, driver.command_stream(spark, d), rules=RULES)
     return spark.read.parquet(path + "/outbox").select("delivery_id")
 
 

@@ -2,68 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
-from histspark.functions import jsonvalue as J
 from histspark.operators.asof import INTERVAL, build_snapshots
 from histspark.operators.delivery import delivery_outbox
-from histspark.operators.ingest import _PLANNED, Entity, plan_step
+from histspark.operators.ingest import ingest
 from histspark.operators.rules import match_rules
 from histspark.schemas import KEY
-from histspark.session import with_package
-from histspark.sources.tables import append_once
-
-_INPUT = "tenant string, collection string, entity_id string, kind string, op string, expected_version long, author string, source string, ts_source timestamp, ts_received timestamp, seq long, event_id string, request_id string, meta string, state string, changes string"
-_OUT = _PLANNED.replace("changes array<struct<path:string,op:string,old:string,new:string>>", "changes string")
-_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
-
-
-class EntityProcessor(StatefulProcessor):
-    """The batch fold with its state in the state store: version, live flag and value of each entity."""
-
-    def __init__(self, first_event_op: str = "create", check_versions: bool = True):
-        self.first, self.check = first_event_op, check_versions
-
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("entity", "version long, live boolean, value string")
-        self.step = plan_step(self.first, self.check, None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entity = Entity()
-        entity.fresh = False
-        if self.held.exists():
-            version, live, value = self.held.get()
-            entity.version, entity.live, entity.value = version, live, J.loads(value)
-        batch = pd.concat(list(rows)).sort_values(["ts_received", "seq"])  # one key's rows of one micro-batch
-        out: list[dict] = []
-        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-            row["changes"] = J.loads(row["changes"])
-            if row["expected_version"] is not None:
-                row["expected_version"] = int(row["expected_version"])
-            out += self.step(entity, row)
-        self.held.update((entity.version, entity.live, J.dumps(entity.value)))
-        for r in out:
-            r["changes"] = J.dumps(r["changes"]) if r["changes"] is not None else None
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"version": "Int64", "seq": "Int64", "deleted": "boolean"})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_ingest(commands: DataFrame, first_event_op: str = "create", check_versions: bool = True) -> DataFrame:
-    """Planned events and rejects of a command stream, ordered per entity inside each micro-batch; the same step as the
-    batch fold. ``changes`` travels as JSON text. Needs the RocksDB state store."""
-    spark = with_package(commands.sparkSession)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    names = [c.split()[0] for c in _INPUT.split(", ")]
-    rows = commands.withColumn("changes", F.to_json("changes")).select(*names)
-    out = rows.groupBy(*KEY).transformWithStateInPandas(EntityProcessor(first_event_op, check_versions), outputStructType=_OUT, outputMode="append", timeMode="none")
-    return out.withColumn("changes", F.from_json("changes", "array<struct<path:string,op:string,old:string,new:string>>"))
+from histspark.sources.tables import append_once, merged_current
+
+#: What the fold reads of a command.
+_INPUT = ["tenant", "collection", "entity_id", "kind", "op", "expected_version", "author", "source", "ts_source", "ts_received", "seq", "event_id", "request_id", "meta", "state", "changes"]
+_CURRENT = "tenant string, collection string, entity_id string, version long, ts timestamp, deleted boolean, state string"
+#: Every so many batches the whole current table is written; the others write the entities they changed.
+FULL = 20
+
+
+def current_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The latest row per entity behind the batches before ``batch_id``: the last whole table and the changes since."""
+    since = range(max(0, batch_id // FULL * FULL - 1), batch_id)
+    if not since:
+        return None
+    rows = spark.read.schema(_CURRENT).parquet(*[f"{path}/current/batch={i}" for i in since])
+    rest = [c for c in rows.columns if c not in KEY]
+    return rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(*KEY, "r.*")
+
+
+def stream_ingest(batch: DataFrame, path: str, batch_id: int, first_event_op: str = "create", check_versions: bool = True) -> DataFrame:
+    """Planned events and rejects of a micro-batch of commands, ordered per entity inside it: the batch fold, which
+    streams sorted rows in constant memory, from the current table that the batches before left under ``path``."""
+    return ingest(batch.select(*_INPUT), current_before(batch.sparkSession, path, batch_id), first_event_op, check_versions)
 
 
 def stream_dedup(commands: DataFrame, watermark: str = "24 hours", at: str = "ts_received") -> DataFrame:
@@ -90,16 +61,20 @@ def ticket_status(log: DataFrame, now=None, ttl_hours: int = 24) -> DataFrame:
     return out if now is None else out.where(F.col("updated_at") >= F.lit(now) - F.make_interval(hours=F.lit(ttl_hours)))
 
 
-def store_batch(path: str, rules: list[dict] | None = None, interval: int = INTERVAL, post: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: events, rejects, snapshots and the outbox of a batch, each in the batch's own folder, so that
-    a replayed batch replaces itself. Rules never fail the write: those that do not compile are skipped."""
+def store_batch(path: str, rules: list[dict] | None = None, interval: int = INTERVAL, post: Callable[[DataFrame], None] | None = None, **fold) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of commands: events, rejects, current rows, snapshots and the outbox of a batch, each in the
+    batch's own folder, so that a replayed batch replaces itself. Rules never fail the write: those that do not compile
+    are skipped."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+    def write(commands: DataFrame, batch_id: int) -> None:
+        batch = stream_ingest(commands, path, batch_id, **fold).persist()
         try:
             done = batch.where("code is null")
             append_once(done, f"{path}/events", batch_id)
             batch.where("code is not null").write.mode("overwrite").parquet(f"{path}/rejects/batch={batch_id}")
+            latest = done.groupBy(*KEY).agg(F.max_by(F.struct("version", F.col("ts_received").alias("ts"), "deleted", "state"), "version").alias("r")).select(*KEY, "r.*")
+            held = current_before(batch.sparkSession, path, batch_id) if batch_id % FULL == FULL - 1 else None
+            (merged_current(held, latest) if held is not None else latest).write.mode("overwrite").parquet(f"{path}/current/batch={batch_id}")
             snaps = build_snapshots(done.select(*KEY, "version", F.col("ts_received").alias("ts"), "deleted", "state"), interval)
             snaps.write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
             if rules:
@@ -112,9 +87,9 @@ def store_batch(path: str, rules: list[dict] | None = None, interval: int = INTE
     return write
 
 
-def run_stream(planned: DataFrame, path: str, checkpoint: str, once: bool = True, every: str | None = None, **sink):
+def run_stream(commands: DataFrame, path: str, checkpoint: str, once: bool = True, every: str | None = None, **sink):
     """Start the ingest query: everything that is there (``once``), or a trigger such as ``"50 milliseconds"``."""
-    writer = planned.writeStream.foreachBatch(store_batch(path, **sink)).option("checkpointLocation", checkpoint)
+    writer = commands.writeStream.foreachBatch(store_batch(path, **sink)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every or "1 second")).start()
 
 
