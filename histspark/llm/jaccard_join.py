@@ -1,16 +1,23 @@
 """Exact self-join of word shingle sets under Jaccard similarity by universe partitioning.
 
 Two sets link when ``den * |x & y| >= num * |x | y|``; then their symmetric difference is at most a bound H that follows
-from their sizes. Sizes are cut into bands so that linked sets lie in the same band or in neighbours. For a band the token universe is
-hashed into m > H segments. By the pigeonhole principle one of any H + 1 units of a set's segments agrees with its
-partner: a segment taken at cost one unit must be equal; a segment taken at two units may differ by one token, which the
-one-deletion neighbourhoods find. Each set takes its units where the expected matches are fewest: segments of many tokens
-first, then one-deletion on the designated segments, and empty segments only when nothing else is left.
+from their sizes. Sizes are cut into bands so that linked sets lie in the same band or in neighbours. For a band the token
+universe is hashed into m > H segments. A set spends H + 1 units on its segments: none, one (the partner's segment must be
+equal) or two (it may differ by one token, which the one-deletion neighbourhoods of the designated segments find). By the
+pigeonhole principle some segment of the partner agrees within its units.
+
+Units are allocated by cost. All segments and neighbourhoods are indexed first and the signatures that several classes
+share are counted; each set then spends its units where the fewest partners of other components are expected, so a
+frequent signature is asked for only where the set has no H + 1 cheaper units. Of two sets the one with the cheaper
+allocation asks. The units also bound every run of segments behind the one that agreed (cycle lemma: from some agreeing
+segment on, no run differs by as much as its units); parities of the next segments' tokens give a lower bound of that
+difference, so most pairs that agree in one segment by chance are never formed.
 
 Equal sets are collapsed to one class before anything is paired. Candidates go through an exact lower bound (parities of
-hashed tokens: each differing token changes at most one bit) and are then verified on the whole sets. Classes of one
-signature are first paired with one pivot only; pairs inside a component already found are never formed, and the
-remaining pairs, of different components, are formed under the lower bound. No link between components is lost.
+hashed tokens, as many bits as tokens: each differing token changes at most one bit) and are then verified on the whole
+sets of 64-bit shingle hashes, so results are exact up to hash collisions. Classes of one signature are first paired with
+one pivot only; pairs inside a component already found are never formed. No link between components is lost. ``links``
+gives all links between classes instead.
 
 Defined results: a text without words (or null) has no shingles and links with nothing; rows repeated whole are equal
 sets; a null doc_id takes part but never names a component unless all its members have none; an empty table gives no
@@ -24,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_rows, byte_chunks, mix64, stored, text_of, tune, utf8
@@ -34,15 +41,19 @@ from .wordhash import shingle_sets, word_hashes
 K, NUM, DEN = 4, 85, 100
 #: Segments whose one-deletion neighbourhoods are indexed.
 DESIGNATED = 2
-#: Bits of a parity sketch.
+#: Fewest bits of a parity sketch of a set.
 SKETCH = 512
+#: Segments behind an agreeing one whose parities (32 bits each, two to a word) bound the difference.
+CHAIN = 8
 #: Bytes of text that are hashed at once, and rows of an Arrow batch of signatures.
 CHUNK, BATCH = 1 << 20, 2000
-PROBE, DELETED = 1, 2
+DELETED = 1
 
 _ROWS = "sig long, ref long, extra binary"
-_EXTRA = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("key", "<i8"), ("sketch", "<i8", (SKETCH // 64,))])
-_GROUPED = "kind int, sig long, uid long, flags int, doc_id long, n long, s1 long, s2 long, key long, sketch array<long>"
+_EXTRA = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("key", "<i8")])
+_GROUPED = "kind int, sig long, uid long, flags int, doc_id long, n long, s1 long, s2 long, key long, sketch binary"
+_PARITY = [f"c{i}" for i in range(CHAIN // 2)]
+_OFFERS = "sig long, cls long, label long, n long, exact boolean, probe boolean, cost long, allow long, " + ", ".join(f"{c} long" for c in _PARITY)
 
 
 class Bands:
@@ -72,45 +83,69 @@ class Bands:
         return h + 2 + (h + 1) // 8
 
 
-def signatures(tokens: np.ndarray, values: np.ndarray, k: int, bands: Bands, index: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and flags of a set in the segmentation of band k; ``index``: also what others may look for."""
-    m, need = bands.segments(k), bands.bound(k) + 1
-    seg = (tokens % np.uint64(m)).astype(np.int64)
-    order = np.argsort(seg, kind="stable")
-    count = np.bincount(seg, minlength=m)
-    sums = np.zeros(m, np.uint64)
-    full = np.flatnonzero(count)
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    sums[full] = np.add.reduceat(values[order], first[full])
-    salt = mix64(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32))
-    flags = np.zeros(m, np.int64)
-    units = 0
-    by_size = full[np.argsort(-count[full], kind="stable")][:need]
-    flags[by_size] = PROBE
-    units = len(by_size)
-    deleting = False
-    chosen = full[full < DESIGNATED]
-    if units < need and len(chosen):
-        deleting, units = True, units + len(chosen)
-        flags[chosen] |= PROBE
-    if units < need:
-        flags[np.flatnonzero(count == 0)] = PROBE
-    sigs = mix64(sums + salt)
-    keep = np.arange(m) if index else np.flatnonzero(flags & PROBE)
-    out_s, out_f = [sigs[keep]], [flags[keep]]
-    if index or deleting:
-        for s in chosen.tolist():
-            if count[s] > 1:
-                own = values[order[first[s] : first[s] + count[s]]]
-                out_s.append(mix64(sums[s] - own + salt[s]))
-                out_f.append(np.full(count[s], DELETED | (PROBE if deleting else 0), np.int64))
-    return np.concatenate(out_s).astype(np.int64), np.concatenate(out_f)
-
-
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that hash to each bit."""
-    bits = (np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)
-    return np.packbits(bits).view("<i8")
+class Segments:
+    """A set cut into the segments of band k, with the signatures of all segments and one-deletion neighbourhoods."""
+
+    def __init__(self, tokens: np.ndarray, values: np.ndarray, k: int, bands: Bands):
+        self.m, self.need = bands.segments(k), bands.bound(k) + 1
+        seg = (tokens % np.uint64(self.m)).astype(np.int64)
+        self.order = np.argsort(seg, kind="stable")
+        self.count = np.bincount(seg, minlength=self.m)
+        self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
+        self.full = np.flatnonzero(self.count)
+        sums = np.zeros(self.m, np.uint64)
+        sums[self.full] = np.add.reduceat(values[self.order], self.first[self.full])
+        salt = mix64(np.arange(self.m, dtype=np.uint64) + np.uint64((k + 1) << 32))
+        parts, where = [mix64(sums + salt)], [np.arange(self.m)]
+        for s in range(min(DESIGNATED, self.m)):
+            own = values[self.order[self.first[s] : self.first[s] + self.count[s]]]
+            parts.append(mix64(sums[s] - own + salt[s]))
+            where.append(np.full(len(own), s))
+        self.sigs = np.concatenate(parts).astype(np.int64)
+        self.segment = np.concatenate(where)
+        self.deleted = np.arange(len(self.sigs)) >= self.m
+
+    def allocate(self, cost: np.ndarray) -> np.ndarray:
+        """Units (0, 1 or 2) of each segment, H + 1 in all, where ``cost`` (per signature) is least. A second unit asks the
+        neighbourhoods of a designated segment; it is never cheaper than the first, so it comes with it."""
+        some = min(DESIGNATED, self.m)
+        second = np.bincount(self.segment[self.m :], cost[self.m :], some)[:some] + cost[:some]
+        chosen = np.argsort(np.concatenate([cost[: self.m], second]), kind="stable")[: self.need]
+        units = np.zeros(self.m, np.int64)
+        np.add.at(units, np.where(chosen < self.m, chosen, chosen - self.m), 1)
+        return units
+
+    def chains(self, tokens: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the segments ``at``: parities of the CHAIN segments behind each, and the difference allowed up to each."""
+        parity = np.zeros(self.m, np.uint32)
+        bit = np.uint32(1) << (tokens >> np.uint64(40)).astype(np.uint32) % np.uint32(32)
+        parity[self.full] = np.bitwise_xor.reduceat(bit[self.order], self.first[self.full])
+        ring = (at[:, None] + np.arange(CHAIN + 1)) % self.m
+        behind = parity[ring[:, 1:]]
+        allowed = np.minimum(np.cumsum(units[ring], axis=1)[:, 1:] - 1, 255)
+        behind[:, self.m - 1 :], allowed[:, self.m - 1 :] = 0, 255  # the ring is shorter than the chain
+        words = np.ascontiguousarray(behind).view("<i8").reshape(len(at), CHAIN // 2)
+        return words, np.ascontiguousarray(allowed.astype(np.uint8)).view("<i8").reshape(len(at))
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens that hash to each bit; at least as many bits as tokens, a power of two."""
+    bits = max(SKETCH, 1 << int(len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer sketch is folded to the length of the shorter."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+def own_bands(n: int, num: int, den: int, bands: Bands) -> list[int]:
+    """The bands in which a set of n tokens is indexed: its own, and the one below where a linked set may lie in it."""
+    band = bands.band(n)
+    return [band] if band == 0 or -(-num * n // den) > bands.upper[band - 1] else [band, band - 1]
 
 
 def _sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -125,6 +160,7 @@ def _signed(k: int, num: int, den: int):
         bands, seen = Bands(num, den), set()
         for batch in batches:
             extra = np.zeros(batch.num_rows, _EXTRA)
+            sketches = [b""] * batch.num_rows
             sigs, refs = [], []
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
             for i, tokens in enumerate(_sets_of(batch.column("text"), k)):
@@ -137,21 +173,18 @@ def _signed(k: int, num: int, den: int):
                 e["n"], e["s1"], e["s2"], e["key"] = n, s1.view(np.int64), s2.view(np.int64), keys[i]
                 if not n:
                     continue
-                e["sketch"] = sketch(tokens)
+                sketches[i] = sketch(tokens)
                 if (pair := (int(s1), int(s2))) in seen:
                     continue  # an equal set of this task speaks for it
                 if len(seen) < 1_000_000:
                     seen.add(pair)
-                band = bands.band(n)
-                for other, index in ((band, True), (band - 1, False)):
-                    if other < 0 or (not index and -(-num * n // den) > bands.upper[other]):
-                        continue
-                    s, f = signatures(tokens, values, other, bands, index)
-                    sigs.append(s)
-                    refs.append((uid << 2) | f)
+                for band in own_bands(n, num, den, bands):
+                    cut = Segments(tokens, values, band, bands)
+                    sigs.append(cut.sigs)
+                    refs.append((uid << 1) | cut.deleted)
             uids = np.arange(base + row, base + row + batch.num_rows)
             row += batch.num_rows
-            yield pa.record_batch([pa.array(mix64(uids).view(np.int64)), pa.array(uids << 2), pa.array([x.tobytes() for x in extra], pa.binary())], names=["sig", "ref", "extra"])
+            yield pa.record_batch([pa.array(mix64(uids).view(np.int64)), pa.array(uids << 1), pa.array([x.tobytes() + y for x, y in zip(extra, sketches, strict=True)], pa.binary())], names=["sig", "ref", "extra"])
             if sigs:
                 s, r = np.concatenate(sigs), np.concatenate(refs)
                 for at in range(0, len(s), 100_000):
@@ -164,23 +197,25 @@ def _signed(k: int, num: int, den: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by sig: document rows pass decoded; signature rows stay where a neighbour has the same sig."""
     carry: tuple[int, int, bool] | None = None  # the last signature row, and whether it has gone out
+    names = ["kind", "sig", "uid", "flags", "doc_id", "n", "s1", "s2", "key", "sketch"]
 
     def out(sig: np.ndarray, ref: np.ndarray) -> pa.RecordBatch:
         n = len(sig)
         none = [pa.nulls(n, pa.int64())] * 5
-        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(ref >> 2), pa.array((ref & 3).astype(np.int32)), *none, pa.nulls(n, pa.list_(pa.int64()))], names=["kind", "sig", "uid", "flags", "doc_id", "n", "s1", "s2", "key", "sketch"])
+        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(ref >> 1), pa.array((ref & 1).astype(np.int32)), *none, pa.nulls(n, pa.binary())], names=names)
 
     for batch in batches:
         extra = batch.column("extra")
         is_doc = extra.is_valid().to_numpy(zero_copy_only=False)
         sig, ref = batch.column("sig").to_numpy(), batch.column("ref").to_numpy()
         if is_doc.any():
-            e = np.frombuffer(b"".join(extra.filter(pa.array(is_doc)).to_pylist()), _EXTRA)
+            raw = extra.filter(pa.array(is_doc)).to_pylist()
+            e = np.frombuffer(b"".join(x[: _EXTRA.itemsize] for x in raw), _EXTRA)
             n = len(e)
-            rows = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(ref[is_doc] >> 2), pa.nulls(n, pa.int32()), pa.array(e["doc_id"].copy(), mask=e["has_id"] == 0)]
+            rows = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(ref[is_doc] >> 1), pa.nulls(n, pa.int32()), pa.array(e["doc_id"].copy(), mask=e["has_id"] == 0)]
             rows += [pa.array(e[c].copy()) for c in ("n", "s1", "s2", "key")]
-            rows.append(pa.array(list(e["sketch"].copy()), pa.list_(pa.int64())))
-            yield pa.record_batch(rows, names=["kind", "sig", "uid", "flags", "doc_id", "n", "s1", "s2", "key", "sketch"])
+            rows.append(pa.array([x[_EXTRA.itemsize :] for x in raw], pa.binary()))
+            yield pa.record_batch(rows, names=names)
         sig, ref = sig[~is_doc], ref[~is_doc]
         if not len(sig):
             continue
@@ -200,11 +235,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = (int(sig[-1]), int(ref[-1]), last)
 
 
-def _apart(a: str, b: str, num: int, den: int) -> Column:
-    """Whether the sketches and sizes of two classes rule a link out."""
-    hamming = sum((F.bit_count(F.get(F.col(f"{a}.sketch"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.sketch"), F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * den < F.greatest(n, m) * num) | (hamming * (den + num) > (n + m) * (den - num))
+def _possible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave room for a link. ``facts`` is (cls, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            apart = np.fromiter(map(sketch_distance, batch.column("sa").to_pylist(), batch.column("sb").to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (den + num) <= n * (den - num)))
+
+    side = lambda name: facts.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -215,6 +257,63 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(shared * (den + num) >= (F.size("ta") + F.size("tb")) * num).select("a", "b")
 
 
+def _offers(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """What each class indexes and asks for. ``open_`` has (sig, cls, label, others): the signatures that classes of
+    several labels share, and how many classes of other labels hold each; a class's list is as long as its own set."""
+    lists = open_.groupBy("cls").agg(F.first("label").alias("label"), F.collect_list("sig").alias("sigs"), F.collect_list("others").alias("others"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            out = []
+            cls, label = batch.column("cls").to_numpy(), batch.column("label").to_numpy()
+            for i in range(batch.num_rows):
+                tokens, sigs, others = (batch.column(c)[i].values.to_numpy() for c in ("tokens", "sigs", "others"))
+                tokens = tokens.view(np.uint64)
+                values, by_sig, n = mix64(tokens), np.argsort(sigs), len(tokens)
+                sigs, others = sigs[by_sig], others[by_sig]
+                for band in own_bands(n, num, den, bands):
+                    cut = Segments(tokens, values, band, bands)
+                    place = np.minimum(np.searchsorted(sigs, cut.sigs), len(sigs) - 1)
+                    held = sigs[place] == cut.sigs
+                    cost = np.where(held, others[place], 0)
+                    units = cut.allocate(cost)
+                    probe = np.where(cut.deleted, 2, 1) <= units[cut.segment]
+                    at = np.flatnonzero(held)
+                    words, allowed = cut.chains(tokens, cut.segment[at], units)
+                    size = len(at)
+                    out.append(
+                        [cut.sigs[at], np.full(size, cls[i]), np.full(size, label[i]), np.full(size, n), ~cut.deleted[at], probe[at], np.full(size, int(cost[probe].sum())), allowed]
+                        + [words[:, j] for j in range(CHAIN // 2)]
+                    )
+            if out:
+                whole = pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[f.split()[0] for f in _OFFERS.split(", ")])
+                for at in range(0, whole.num_rows, 50_000):
+                    yield whole.slice(at, 50_000)
+
+    return lists.join(sets, "cls").select("cls", "label", "sigs", "others", "tokens").mapInArrow(run, _OFFERS)
+
+
+def _asked(offers: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes of different labels of which one asks for the other and no bound rules them out."""
+    x = offers.where("probe").select("sig", *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "exact", "cost", "allow", *_PARITY)])
+    y = offers.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("cls", "label", "n", "exact", "cost", *_PARITY)])
+    differ = [F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in _PARITY]
+    by_two = [sum((F.bit_count(d) for d in differ[: i + 1]), F.lit(0)) for i in range(len(differ))]
+    spent = F.when(F.col("x_exact") & F.col("y_exact"), 0).otherwise(1)
+    allowed = lambda step: F.shiftright("x_allow", 8 * (step - 1)).bitwiseAND(255)
+    chain = F.bit_count(differ[0].bitwiseAND(F.lit(0xFFFFFFFF))) + spent <= allowed(1)
+    for i, d in enumerate(by_two):
+        chain = chain & (d + spent <= allowed(2 * i + 2))
+    may = (
+        (F.col("x_label") != F.col("y_label")) & (F.col("x_exact") | F.col("y_exact"))
+        & ((F.col("x_cost") < F.col("y_cost")) | (F.col("x_cost") == F.col("y_cost")) & (F.col("x_cls") < F.col("y_cls")))
+        & (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num)
+    )
+    found = x.join(y, (x["sig"] == y["sig"]) & may & chain)
+    return found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(cls, label) of every class in ``links`` (a, b): label is the smallest class reachable.
 
@@ -232,8 +331,9 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _stages(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, doc_id, n, key, cls) of all rows, and (cls, label) of the classes that link."""
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """member (uid, doc_id, n, key, cls) of all rows; facts (cls, n, sketch); hits (sig, cls, exact, pivot) of the
+    signatures that classes share; sets (cls, tokens) of the classes in hits."""
     spark = tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -246,17 +346,11 @@ def _stages(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     classes = stored(first.select("s1", "s2", F.col("f.uid").alias("cls"), "f.doc_id", "f.n", "f.key", "f.sketch"), "classes")
     member = stored(rows.drop("sketch").join(classes.select("s1", "s2", "cls"), ["s1", "s2"], "left").select("uid", "doc_id", "n", "key", "cls"), "members")
 
-    hits = grouped.where("kind = 1").select("sig", "uid", "flags").join(member.select("uid", "cls"), "uid")
-    probe, exact = F.col("flags").bitwiseAND(PROBE) > 0, F.col("flags").bitwiseAND(DELETED) == 0
-    hits = hits.groupBy("sig", "cls").agg(F.max(probe).alias("probe"), F.max(exact).alias("exact"))
-    groups = hits.groupBy("sig").agg(F.count("*").alias("size"), F.max("exact").alias("any"), F.min(F.when(F.col("probe"), F.col("cls"))).alias("pivot")).where("size > 1 and any and pivot is not null").select("sig", "pivot")
+    hits = grouped.where("kind = 1").select("sig", "uid", (F.col("flags") != DELETED).alias("exact")).join(member.select("uid", "cls"), "uid")
+    hits = hits.groupBy("sig", "cls").agg(F.max("exact").alias("exact"))
+    groups = hits.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.when(F.col("exact"), F.col("cls"))).alias("pivot")).where("size > 1 and pivot is not null").select("sig", "pivot")
     hits = stored(hits.join(groups, "sig"), "shared-signatures")
 
-    facts = classes.select("cls", "n", "sketch")
-    about = lambda name: facts.select(F.col("cls").alias(name), F.struct("n", "sketch").alias(f"_{name}"))
-    star = hits.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    star = star.join(about("a"), "a").join(about("b"), "b").where(~_apart("_a", "_b", num, den)).select("a", "b")
-
     wanted = hits.select("cls").distinct().join(classes.select("cls", "doc_id", "key"), "cls")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
     found = texts.join(wanted.hint("shuffle_hash"), (texts["key"] == wanted["key"]) & texts["d"].eqNullSafe(wanted["doc_id"])).select("cls", "text")
@@ -266,24 +360,45 @@ def _stages(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
             sets = [s.view(np.int64) for s in _sets_of(batch.column("text"), k)]
             yield pa.record_batch([batch.column("cls"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "tokens"])
 
-    sets = stored(found.mapInArrow(tokens, "cls long, tokens array<long>"), "candidate-sets").dropDuplicates(["cls"])
+    sets = stored(found.mapInArrow(tokens, "cls long, tokens array<long>").dropDuplicates(["cls"]), "candidate-sets")
+    return member, classes.select("cls", "n", "sketch"), hits, sets
+
+
+def _open(hits: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(sig, cls, label, others) of the signatures whose classes have several labels; without labels each has its own."""
+    side = hits.select("sig", "cls")
+    if labels is None:
+        size = hits.groupBy("sig").agg((F.count("*") - 1).alias("others"))
+        return side.join(size, "sig").select("sig", "cls", F.col("cls").alias("label"), "others")
+    side = stored(side.join(labels, "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")), "labelled-signatures")
+    own = side.groupBy("sig", "label").agg(F.count("*").alias("own"))
+    whole = own.groupBy("sig").agg(F.sum("own").alias("size"), F.count("*").alias("labels")).where("labels > 1").select("sig", "size")
+    return side.join(own.join(whole, "sig"), ["sig", "label"]).select("sig", "cls", "label", (F.col("size") - F.col("own")).alias("others"))
+
+
+def _stages(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, n, key, cls) of all rows, and (cls, label) of the classes that link."""
+    member, facts, hits, sets = _classes(docs, k, num, den)
+    star = hits.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    star = stored(_possible(star, facts, num, den), "star")
     links = stored(_linked(star, sets, num, den), "links")
     labels = connected(links)
-
-    side = hits.select("sig", "cls", "probe", "exact").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_ = side.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    side = stored(side.join(open_, "sig").join(facts, "cls"), "open-signatures")
-    x = side.select("sig", F.struct("cls", "label", "probe", "exact", "n", "sketch").alias("x"))
-    y = side.select("sig", F.struct("cls", "label", "probe", "exact", "n", "sketch").alias("y"))
-    may = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.probe") | F.col("y.probe")) & (F.col("x.exact") | F.col("y.exact"))
-    rest = x.join(y, (x["sig"] == y["sig"]) & may & ~_apart("x", "y", num, den)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
+    offers = stored(_offers(_open(hits, labels), sets, num, den), "offers")
+    rest = _possible(_asked(offers, num, den).join(star, ["a", "b"], "left_anti"), facts, num, den)
     more = stored(_linked(rest, sets, num, den), "links")
     if more.isEmpty():
         return member, labels
     return member, connected(links.unionByName(more))
 
 
+def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b), a < b, between classes of equal sets, and (uid, doc_id, cls) of every row; a row without shingles
+    has no class."""
+    member, facts, hits, sets = _classes(docs, k, num, den)
+    offers = stored(_offers(_open(hits, None), sets, num, den), "offers")
+    return stored(_linked(_possible(_asked(offers, num, den), facts, num, den), sets, num, den), "links"), member.select("uid", "doc_id", "cls")
+
+
 def components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, key of every row."""
     member, labels = _stages(docs, k, num, den)

@@ -233,33 +233,59 @@ def check_components(docs, rows, k, num):
     assert all(i in stay for i in least.values())
 
 
-def test_signatures_cover_every_link():
-    """Random pairs at and around the bound share a signature whenever they link, also where segments are empty."""
+def test_asked_pairs_hold_every_link(spark):
+    """Whatever the costs: sets at and around the bound are asked for whenever they link, also where segments are empty."""
     rng = np.random.default_rng(5)
     bands = jaccard_join.Bands()
-    for _ in range(400):
+    sets = []
+    for _ in range(250):
         n = int(rng.integers(1, 120))
         pool = rng.integers(0, 2**63, 300).astype(np.uint64)
         if rng.random() < 0.3:
             pool = pool * np.uint64(24)  # few segments hold all tokens
         x = np.unique(pool[:n])
-        cut = int(rng.integers(0, 1 + len(x) // 6))
-        y = np.unique(np.concatenate([x[cut:], pool[n : n + int(rng.integers(0, 1 + n // 8))]]))
-        i = len(np.intersect1d(x, y))
-        if not len(y) or 100 * i < 85 * (len(x) + len(y) - i):
-            continue
-        rows = []
-        for t in (x, y):
-            values, own = jaccard_join.mix64(t), {}
-            for k, index in ((bands.band(len(t)), True), (bands.band(len(t)) - 1, False)):
-                if k >= 0:
-                    s, f = jaccard_join.signatures(t, values, k, bands, index)
-                    for a, b in zip(s.tolist(), f.tolist(), strict=True):
-                        own.setdefault(a, set()).add(b)
-            rows.append(own)
-        assert any((a & 1 or b & 1) and not (a & 2 and b & 2) for s in rows[0].keys() & rows[1].keys() for a in rows[0][s] for b in rows[1][s]), (len(x), len(y), i)
-        ham = sum(int(v).bit_count() for v in (jaccard_join.sketch(x) ^ jaccard_join.sketch(y)).view(np.uint64))
-        assert ham <= len(x) + len(y) - 2 * i
+        sets.append(x)
+        for _ in range(3):
+            cut = int(rng.integers(0, 1 + len(x) // 6))
+            y = np.unique(np.concatenate([x[cut:], pool[n : n + int(rng.integers(0, 1 + n // 8))]]))
+            if len(y):
+                sets.append(y)
+    held = []
+    for c, t in enumerate(sets):
+        values, sigs = jaccard_join.mix64(t), set()
+        for k in jaccard_join.own_bands(len(t), 85, 100, bands):
+            sigs |= set(jaccard_join.Segments(t, values, k, bands).sigs.tolist())
+        held += [(s, c, c, int(rng.integers(0, 50))) for s in sigs]
+    open_ = spark.createDataFrame(held, "sig long, cls long, label long, others long")
+    tokens = spark.createDataFrame([(c, t.view(np.int64).tolist()) for c, t in enumerate(sets)], "cls long, tokens array<long>")
+    asked = jaccard_join._asked(jaccard_join._offers(open_, tokens, 85, 100), 85, 100)
+    got = {(r["a"], r["b"]) for r in asked.collect()}
+    want = set()
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a], sets[b]
+        if abs(a - b) < 4 and 100 * (i := len(np.intersect1d(x, y))) >= 85 * (len(x) + len(y) - i):
+            want.add((a, b))
+            assert jaccard_join.sketch_distance(jaccard_join.sketch(x), jaccard_join.sketch(y)) <= len(x) + len(y) - 2 * i
+    assert len(want) > 150 and not want - got
+    assert len(got) < 2 * len(want)
+
+
+def test_jaccard_links(docs, empty):
+    """All links between classes of equal sets, and every row's class."""
+    found, member = jaccard_join.links(docs)
+    cls = {}
+    sets = defaultdict(set)
+    texts = {i: t for i, t in ROWS}
+    for r in member.collect():
+        if r["doc_id"] is not None and r["doc_id"] != 9999:
+            w = words(texts[r["doc_id"]])
+            sets[r["cls"]] = frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) if len(w) >= 4 else frozenset({tuple(w)} if w else ())
+            assert (r["cls"] is None) == (not w)
+            assert cls.setdefault(sets[r["cls"]], r["cls"]) == r["cls"]
+    got = {(r["a"], r["b"]) for r in found.collect() if r["a"] in sets and r["b"] in sets}
+    own = sorted(c for c in sets if c is not None)
+    assert got == {(a, b) for a, b in itertools.combinations(own, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert jaccard_join.links(empty)[0].isEmpty()
 
 
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
