@@ -1,8 +1,8 @@
 """Quality scores: random Fourier features of document statistics, ridge by partition-summed normal equations, isotonic
 calibration.
 
-1. Every whole text becomes a short vector of statistics (narrow, stored once).
-2. Labelled rows give mean and deviation, then the sums ``Z'Z`` and ``Z'y`` of the random Fourier features, one pair of
+1. Every whole text becomes a short vector of statistics (narrow).
+2. Labelled rows, at most about TRAIN_ROWS of them, give mean and deviation, then the sums ``Z'Z`` and ``Z'y`` of the random Fourier features, one pair of
    fixed size per partition; sums meet level by level, so the driver sees a few matrices whatever the corpus.
 3. Scores of labelled rows kept out of the ridge are counted in fixed bins; pooled adjacent violators over the bins give
    the calibration curve, which is applied by interpolation.
@@ -33,6 +33,8 @@ CALIBRATION = 4
 BINS = 2000
 #: Partition sums that are added in one task.
 FAN_IN = 16
+#: Labelled rows the model is fitted on, about; of more a hash of doc_id chooses. Their ids and labels are sent to all tasks.
+TRAIN_ROWS = 200_000
 
 STATISTICS = ("bytes", "words", "word_mean", "word_dev", "word_max", "distinct", "top_word", "repeat", "upper", "digit", "symbol", "exclaim", "bar", "high", "space", "lines", "line_dup", "line_mean", "entropy", "packed", "punct_words")
 _EXCLAIM, _BAR = ord("!"), ord("|")
@@ -75,10 +77,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
 
 
-def labelled(features: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """doc_id, y and the columns of ``features`` for labelled rows."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
-    return features.join(known, "doc_id")
+def known(labels: DataFrame, column: str, folds: int, out: int, most: int | None = None) -> DataFrame:
+    """doc_id and y of the labelled ids whose crc32(doc_id) mod folds is not ``out``, about ``most`` of them at most."""
+    most = TRAIN_ROWS if most is None else most
+    one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
+    one = stored(one.where(crc_mod("doc_id", folds) != out), "labels")
+    total = one.count()
+    return one if total <= most else one.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 30)) < int(most / total * (1 << 30)))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -191,17 +196,11 @@ def fit(train: DataFrame) -> Model | None:
     return model
 
 
-def fitted(stats: DataFrame, labels: DataFrame, column: str, folds: int, out: int) -> Model | None:
-    """The model of labelled rows of ``stats`` whose crc32(doc_id) mod folds is not ``out``."""
-    train = stored(labelled(stats, labels, column).where(crc_mod("doc_id", folds) != out).select("doc_id", "stats", "y"), "quality-train")
-    return fit(train)
-
-
 def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 3, out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns from labels whose crc32(doc_id) mod folds is not ``out``."""
     tune(docs.sparkSession)
     stats = stored(with_statistics(docs), "statistics")
-    model = fitted(stats, labels, column, folds, out)
+    model = fit(stored(stats.join(F.broadcast(known(labels, column, folds, out)), "doc_id").select("doc_id", "stats", "y"), "quality-train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +211,14 @@ def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: i
 
 
 def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 3, out: int = 1) -> DataFrame:
-    """The rows of ``docs`` with score 0.5 or more, all columns kept; the decision is made on each row's own text."""
+    """The rows of ``docs`` with score 0.5 or more, all columns kept; the decision is made on each row's own text.
+
+    Statistics are worked out for the rows the model is fitted on, and then once for every row while it is judged.
+    """
     tune(docs.sparkSession)
-    model = fitted(stored(with_statistics(docs), "statistics"), labels, column, folds, out)
+    ids = F.broadcast(known(labels, column, folds, out))
+    train = with_statistics(docs.select("doc_id", "text").join(ids.select("doc_id"), docs["doc_id"].cast("long") == ids["doc_id"], "left_semi"))
+    model = fit(stored(train.join(ids, "doc_id").select("doc_id", "stats", "y"), "quality-train"))
     if model is None:
         return docs
     names = docs.columns
