@@ -8,8 +8,8 @@ pigeonhole principle some segment of the partner agrees within its units.
 
 Units are allocated by cost. All segments and neighbourhoods are indexed first and the signatures that several classes
 share are counted; each set then spends its units where the fewest partners of other components are expected, so a
-frequent signature is asked for only where the set has no H + 1 cheaper units. Of two sets the one with the cheaper
-allocation asks. The units also bound every run of segments behind the one that agreed (cycle lemma: from some agreeing
+frequent signature is asked for only where the set has no H + 1 cheaper units. A set that finds H + 1 segments which no
+other class shares cannot link and goes at once. Of two sets the one with the cheaper allocation asks. The units also bound every run of segments behind the one that agreed (cycle lemma: from some agreeing
 segment on, no run differs by as much as its units); parities of the next segments' tokens give a lower bound of that
 difference, so most pairs that agree in one segment by chance are never formed.
 
@@ -45,13 +45,16 @@ DESIGNATED = 2
 SKETCH = 512
 #: Segments behind an agreeing one whose parities (32 bits each, two to a word) bound the difference.
 CHAIN = 8
+#: Times that sets without a chance to link are taken out; a second time took out 0.2% more of the signatures.
+ROUNDS = 1
 #: Bytes of text that are hashed at once, and rows of an Arrow batch of signatures.
 CHUNK, BATCH = 1 << 20, 2000
-DELETED = 1
+DELETED, LOWER = 1, 2
 
 _ROWS = "sig long, ref long, extra binary"
-_EXTRA = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("key", "<i8")])
-_GROUPED = "kind int, sig long, uid long, flags int, doc_id long, n long, s1 long, s2 long, key long, sketch binary"
+_EXTRA = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("key", "<i8"), ("slack", "<i8"), ("slack_low", "<i8")])
+_FACTS = ("n", "s1", "s2", "key", "slack", "slack_low")
+_GROUPED = "kind int, sig long, uid long, flags int, doc_id long, " + ", ".join(f"{c} long" for c in _FACTS) + ", sketch binary"
 _PARITY = [f"c{i}" for i in range(CHAIN // 2)]
 _OFFERS = "sig long, cls long, label long, n long, exact boolean, probe boolean, cost long, allow long, " + ", ".join(f"{c} long" for c in _PARITY)
 
@@ -79,8 +82,11 @@ class Bands:
         return (self.den - self.num) * (u + u * self.den // self.num) // (self.den + self.num)
 
     def segments(self, k: int) -> int:
-        h = self.bound(k)
-        return h + 2 + (h + 1) // 8
+        return self.bound(k) + 1 + self.slack(k)
+
+    def slack(self, k: int) -> int:
+        """Segments that a set need not ask for."""
+        return 1 + (self.bound(k) + 1) // 8
 
 
 class Segments:
@@ -174,17 +180,19 @@ def _signed(k: int, num: int, den: int):
                 if not n:
                     continue
                 sketches[i] = sketch(tokens)
+                near = own_bands(n, num, den, bands)
+                e["slack"], e["slack_low"] = (bands.slack(b) for b in (near * 2)[:2])
                 if (pair := (int(s1), int(s2))) in seen:
                     continue  # an equal set of this task speaks for it
                 if len(seen) < 1_000_000:
                     seen.add(pair)
-                for band in own_bands(n, num, den, bands):
+                for low, band in enumerate(near):
                     cut = Segments(tokens, values, band, bands)
                     sigs.append(cut.sigs)
-                    refs.append((uid << 1) | cut.deleted)
+                    refs.append((uid << 2) | cut.deleted | LOWER * low)
             uids = np.arange(base + row, base + row + batch.num_rows)
             row += batch.num_rows
-            yield pa.record_batch([pa.array(mix64(uids).view(np.int64)), pa.array(uids << 1), pa.array([x.tobytes() + y for x, y in zip(extra, sketches, strict=True)], pa.binary())], names=["sig", "ref", "extra"])
+            yield pa.record_batch([pa.array(mix64(uids).view(np.int64)), pa.array(uids << 2), pa.array([x.tobytes() + y for x, y in zip(extra, sketches, strict=True)], pa.binary())], names=["sig", "ref", "extra"])
             if sigs:
                 s, r = np.concatenate(sigs), np.concatenate(refs)
                 for at in range(0, len(s), 100_000):
@@ -197,12 +205,12 @@ def _signed(k: int, num: int, den: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by sig: document rows pass decoded; signature rows stay where a neighbour has the same sig."""
     carry: tuple[int, int, bool] | None = None  # the last signature row, and whether it has gone out
-    names = ["kind", "sig", "uid", "flags", "doc_id", "n", "s1", "s2", "key", "sketch"]
+    names = ["kind", "sig", "uid", "flags", "doc_id", *_FACTS, "sketch"]
 
     def out(sig: np.ndarray, ref: np.ndarray) -> pa.RecordBatch:
         n = len(sig)
-        none = [pa.nulls(n, pa.int64())] * 5
-        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(ref >> 1), pa.array((ref & 1).astype(np.int32)), *none, pa.nulls(n, pa.binary())], names=names)
+        none = [pa.nulls(n, pa.int64())] * (1 + len(_FACTS))
+        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(ref >> 2), pa.array((ref & 3).astype(np.int32)), *none, pa.nulls(n, pa.binary())], names=names)
 
     for batch in batches:
         extra = batch.column("extra")
@@ -212,8 +220,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = extra.filter(pa.array(is_doc)).to_pylist()
             e = np.frombuffer(b"".join(x[: _EXTRA.itemsize] for x in raw), _EXTRA)
             n = len(e)
-            rows = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(ref[is_doc] >> 1), pa.nulls(n, pa.int32()), pa.array(e["doc_id"].copy(), mask=e["has_id"] == 0)]
-            rows += [pa.array(e[c].copy()) for c in ("n", "s1", "s2", "key")]
+            rows = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(ref[is_doc] >> 2), pa.nulls(n, pa.int32()), pa.array(e["doc_id"].copy(), mask=e["has_id"] == 0)]
+            rows += [pa.array(e[c].copy()) for c in _FACTS]
             rows.append(pa.array([x[_EXTRA.itemsize :] for x in raw], pa.binary()))
             yield pa.record_batch(rows, names=names)
         sig, ref = sig[~is_doc], ref[~is_doc]
@@ -331,9 +339,15 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _between_classes(hits: DataFrame) -> DataFrame:
+    """The hits whose signature belongs to several classes, one of them exactly, with one of those as pivot."""
+    groups = hits.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.when(F.col("exact"), F.col("cls"))).alias("pivot"))
+    return hits.join(groups.where("size > 1 and pivot is not null").select("sig", "pivot"), "sig")
+
+
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """member (uid, doc_id, n, key, cls) of all rows; facts (cls, n, sketch); hits (sig, cls, exact, pivot) of the
-    signatures that classes share; sets (cls, tokens) of the classes in hits."""
+    signatures that classes share; sets (cls, tokens) of the classes in hits (twice where a row is repeated whole)."""
     spark = tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -341,15 +355,18 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     with batch_rows(spark, BATCH):
         grouped = stored(signed.mapInArrow(_shared, _GROUPED), "signatures", ("kind",))
 
-    rows = grouped.where("kind = 0").select("uid", "doc_id", "n", "s1", "s2", "key", "sketch")
-    first = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by(F.struct("uid", "doc_id", "n", "key", "sketch"), "uid").alias("f"))
-    classes = stored(first.select("s1", "s2", F.col("f.uid").alias("cls"), "f.doc_id", "f.n", "f.key", "f.sketch"), "classes")
-    member = stored(rows.drop("sketch").join(classes.select("s1", "s2", "cls"), ["s1", "s2"], "left").select("uid", "doc_id", "n", "key", "cls"), "members")
+    rows = grouped.where("kind = 0").select("uid", "doc_id", *_FACTS, "sketch")
+    first = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by(F.struct("uid", "doc_id", "n", "key", "slack", "slack_low", "sketch"), "uid").alias("f"))
+    classes = stored(first.select("s1", "s2", F.col("f.uid").alias("cls"), "f.doc_id", "f.n", "f.key", "f.slack", "f.slack_low", "f.sketch"), "classes")
+    member = stored(rows.select("uid", "doc_id", "n", "s1", "s2", "key").join(classes.select("s1", "s2", "cls"), ["s1", "s2"], "left").drop("s1", "s2"), "members")
 
-    hits = grouped.where("kind = 1").select("sig", "uid", (F.col("flags") != DELETED).alias("exact")).join(member.select("uid", "cls"), "uid")
-    hits = hits.groupBy("sig", "cls").agg(F.max("exact").alias("exact"))
-    groups = hits.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.when(F.col("exact"), F.col("cls"))).alias("pivot")).where("size > 1 and pivot is not null").select("sig", "pivot")
-    hits = stored(hits.join(groups, "sig"), "shared-signatures")
+    deleted, low = F.col("flags").bitwiseAND(DELETED) > 0, F.col("flags").bitwiseAND(LOWER) > 0
+    hits = grouped.where("kind = 1").select("sig", "uid", low.alias("low"), (~deleted).alias("exact")).join(member.select("uid", "cls"), "uid")
+    hits = stored(_between_classes(hits.groupBy("sig", "cls", "low").agg(F.max("exact").alias("exact"))), "shared-signatures")
+    for _ in range(ROUNDS):
+        full = hits.groupBy("cls", "low").agg(F.count_if("exact").alias("shared")).join(classes.select("cls", "slack", "slack_low"), "cls")
+        full = full.where(F.col("shared") > F.when(F.col("low"), F.col("slack_low")).otherwise(F.col("slack"))).select("cls", "low")
+        hits = stored(_between_classes(hits.drop("pivot").join(full, ["cls", "low"], "left_semi")), "shared-signatures")
 
     wanted = hits.select("cls").distinct().join(classes.select("cls", "doc_id", "key"), "cls")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
@@ -360,7 +377,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
             sets = [s.view(np.int64) for s in _sets_of(batch.column("text"), k)]
             yield pa.record_batch([batch.column("cls"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "tokens"])
 
-    sets = stored(found.mapInArrow(tokens, "cls long, tokens array<long>").dropDuplicates(["cls"]), "candidate-sets")
+    sets = stored(found.mapInArrow(tokens, "cls long, tokens array<long>"), "candidate-sets")
     return member, classes.select("cls", "n", "sketch"), hits, sets
 
 
@@ -396,7 +413,7 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     has no class."""
     member, facts, hits, sets = _classes(docs, k, num, den)
     offers = stored(_offers(_open(hits, None), sets, num, den), "offers")
-    return stored(_linked(_possible(_asked(offers, num, den), facts, num, den), sets, num, den), "links"), member.select("uid", "doc_id", "cls")
+    return stored(_linked(_possible(_asked(offers, num, den), facts, num, den), sets, num, den).distinct(), "links"), member.select("uid", "doc_id", "cls")
 
 
 def components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
