@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,27 +10,25 @@ from histspark.functions import jsonvalue as J
 from histspark.session import with_package
 
 
+def _applied(state: str | None, changes: list | None) -> dict:
+    try:
+        return {"applied": J.dumps(J.apply(J.loads(state) if state is not None else {}, changes)), "code": None}
+    except J.ApplyError as e:
+        return {"applied": None, "code": e.code}
+    except (ValueError, TypeError, RecursionError):
+        return {"applied": None, "code": "malformed"}
+
+
 def json_apply(df: DataFrame, state: str = "state", changes: str = "changes") -> DataFrame:
-    """Add ``applied`` (canonical text) and ``apply_error`` (path_not_found, type_mismatch, unknown_op); narrow, in Arrow
-    batches. NULL state counts as the empty object, NULL changes as none."""
+    """Add ``applied`` (canonical text) and ``apply_error`` (path_not_found, type_mismatch, unknown_op; malformed where the
+    state or a value is not JSON); narrow, in Arrow batches. NULL state counts as the empty object, NULL changes as none."""
     with_package(df.sparkSession)
-    names = df.columns
-    at_state, at_changes = names.index(state), names.index(changes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, errors = [], []
-            for s, cs in zip(batch.column(at_state).to_pylist(), batch.column(at_changes).to_pylist(), strict=True):
-                try:
-                    out.append(J.dumps(J.apply(J.loads(s) if s is not None else {}, cs)))
-                    errors.append(None)
-                except J.ApplyError as e:
-                    out.append(None)
-                    errors.append(e.code)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*names, "applied", "apply_error"])
-
-    fields = df.withColumns({"applied": F.lit(None).cast("string"), "apply_error": F.lit(None).cast("string")}).schema
-    return df.mapInArrow(run, fields)
+
+    @F.arrow_udf("applied string, code string")
+    def run(states: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array([_applied(s, c) for s, c in zip(states.to_pylist(), lists.to_pylist(), strict=True)], pa.struct([("applied", pa.string()), ("code", pa.string())]))
+
+    return df.withColumn("_applied", run(state, changes)).withColumns({"applied": F.col("_applied.applied"), "apply_error": F.col("_applied.code")}).drop("_applied")
 
 
 def apply_flat(state: Column, changes: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Point-in-time reads: as-of versions, snapshots, and states at a version or an instant, for all entities at once."""
+"""Point-in-time reads: as-of versions, snapshots, and states at versions or instants, for all entities at once."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonvalue as J
+from histspark.operators.diff import json_diff
 from histspark.operators.fold import sorted_fold
 from histspark.schemas import KEY
 
@@ -29,10 +30,12 @@ def resolve_version(probes: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def nearest_snapshot(targets: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Add the greatest snapshot at or below ``target``: snapshot_version, snapshot_state, snapshot_deleted."""
-    s = snapshots.select(*KEY, F.struct("version", "state", "deleted").alias("_s"))
-    asked = targets.select(*KEY, "target").distinct()
-    best = asked.join(s, KEY).where(F.col("_s.version") <= F.col("target")).groupBy(*KEY, "target").agg(F.max_by("_s", "_s.version").alias("_b"))
+    """Add the greatest snapshot at or below ``target``: snapshot_version, snapshot_state, snapshot_deleted. Snapshots and
+    targets share one window; no target meets more than one snapshot."""
+    s = snapshots.select(*KEY, F.col("version").alias("target"), F.struct("version", "state", "deleted").alias("_s"), F.lit(0).alias("_side"))
+    asked = targets.select(*KEY, "target").distinct().select(*KEY, "target", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_side"))
+    w = Window.partitionBy(*KEY).orderBy("target", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = s.unionByName(asked).withColumn("_b", F.last("_s", ignorenulls=True).over(w)).where("_side = 1").select(*KEY, "target", "_b")
     return targets.join(best, [*KEY, "target"], "left").select(*targets.columns, F.col("_b.version").alias("snapshot_version"), F.col("_b.state").alias("snapshot_state"), F.col("_b.deleted").alias("snapshot_deleted"))
 
 
@@ -42,14 +45,14 @@ def build_snapshots(states: DataFrame, interval: int = INTERVAL) -> DataFrame:
     return states.where(keep)
 
 
-_STATE = "tenant string, collection string, entity_id string, version long, ts timestamp, op string, deleted boolean, state string, segment long"
+_STATE = "tenant string, collection string, entity_id string, version long, ts timestamp, op string, deleted boolean, state string, segment long, applied long"
 
 
 class _Life:
     """State of a replay: what the next change works on, and what is shown."""
 
     def __init__(self):
-        self.work, self.shown, self.deleted = {}, None, False
+        self.work, self.shown, self.deleted, self.applied = {}, None, False, 0
 
 
 def _replay(life: _Life, row: dict) -> list[dict]:
@@ -59,12 +62,15 @@ def _replay(life: _Life, row: dict) -> list[dict]:
         life.deleted = row["base_deleted"]
         life.work = {} if life.deleted else life.shown
         return []
+    life.applied += 1
     if row["op"] == "delete":
         life.shown, life.work, life.deleted = life.work, {}, True
     else:
         life.work = J.apply(life.work, row["changes"])
         life.shown, life.deleted = life.work, False
-    return [{**{k: row[k] for k in (*KEY, "version", "op")}, "ts": row["ts_received"], "deleted": life.deleted, "state": J.dumps(life.shown), "segment": row["segment"]}]
+    if not row.get("wanted", True):
+        return []
+    return [{**{k: row[k] for k in (*KEY, "version", "op")}, "ts": row["ts_received"], "deleted": life.deleted, "state": J.dumps(life.shown), "segment": row["segment"], "applied": life.applied}]
 
 
 def state_history(events: DataFrame, snapshots: DataFrame | None = None, interval: int = INTERVAL) -> DataFrame:
@@ -79,31 +85,53 @@ def state_history(events: DataFrame, snapshots: DataFrame | None = None, interva
             F.floor(F.col("version") / F.lit(interval)).cast("long").alias("segment"), F.col("version").alias("base_version"), F.col("state").alias("base_state"), F.col("deleted").alias("base_deleted"),
         )
         rows = rows.unionByName(opening)
-    return sorted_fold(rows, [*KEY, "segment"], ["version"], _Life, _replay, _STATE)
+    return sorted_fold(rows, [*KEY, "segment"], ["version"], _Life, _replay, _STATE).drop("applied")
 
 
 def state_at(probes: DataFrame, events: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
-    """State of each probe (key, ``at`` or ``version``): version, ts, deleted, state, snapshot_version (NULL: from the
-    start) and events_applied. Only the events behind the nearest snapshot are replayed. One probe per entity."""
-    targets = resolve_version(probes, events).where("target is not null").select(*KEY, "target")
+    """State of each probe (key, ``at`` or ``version``), any number per entity: version, ts, deleted, state,
+    snapshot_version (NULL: from the start) and events_applied. Probes that find nothing give no row.
+
+    Events are dealt to the snapshot their targets start from by one window, so each is replayed at most once, only from a
+    target's snapshot up to the last target of that snapshot, and every (entity, snapshot) on its own. A shown state is
+    made at the targets only.
+    """
+    asked = [c for c in ("at", "version") if c in probes.columns]
+    probes = probes.select(*KEY, *(F.col(c) if c in asked else F.lit(None).cast(t).alias(c) for c, t in (("at", "timestamp"), ("version", "long"))))
+    found = resolve_version(probes, events).where("target is not null").withColumnsRenamed({"at": "asked_at", "version": "asked_version"})
+    targets = found.select(*KEY, "target").distinct()
     if snapshots is not None:
         targets = nearest_snapshot(targets, snapshots)
     else:
         targets = targets.selectExpr("*", "cast(null as long) snapshot_version", "cast(null as string) snapshot_state", "cast(null as boolean) snapshot_deleted")
-    tail = events.join(targets, KEY).where((F.col("version") > F.coalesce("snapshot_version", F.lit(0))) & (F.col("version") <= F.col("target")))
-    cols = [*KEY, "version", "ts_received", "op", "changes", F.lit(0).cast("long").alias("segment")]
-    rows = tail.select(*cols, F.lit(None).cast("long").alias("base_version"), F.lit(None).cast("string").alias("base_state"), F.lit(None).cast("boolean").alias("base_deleted"))
-    start = targets.where("snapshot_version is not null").select(
-        *KEY, F.col("snapshot_version").alias("version"), F.lit(None).cast("timestamp").alias("ts_received"), F.lit("snapshot").alias("op"), F.lit(None).cast(rows.schema["changes"].dataType).alias("changes"),
-        F.lit(0).cast("long").alias("segment"), F.col("snapshot_version").alias("base_version"), F.col("snapshot_state").alias("base_state"), F.col("snapshot_deleted").alias("base_deleted"),
+    targets = targets.withColumn("_base", F.coalesce("snapshot_version", F.lit(0)).cast("long"))
+    change_type = events.schema["changes"].dataType
+    one = lambda names: {n: F.lit(None).cast(t).alias(n) for n, t in names}
+    blank = one([("ts_received", "timestamp"), ("op", "string"), ("changes", change_type), ("_open", "struct<base:bigint,upto:bigint,state:string,deleted:boolean>"), ("_target", "long")])
+    part = lambda df, version, side, **own: df.select(*KEY, version.alias("version"), F.lit(side).alias("_side"), *[own.get(n, blank[n]).alias(n) for n in blank])
+    spans = targets.groupBy(*KEY, "_base").agg(F.max("target").alias("upto"), F.first("snapshot_state").alias("state"), F.first("snapshot_deleted").alias("deleted"))
+    rows = (
+        part(events.select(*KEY, "version", "ts_received", "op", "changes"), F.col("version"), 0, **{c: F.col(c) for c in ("ts_received", "op", "changes")})
+        .unionByName(part(targets, F.col("target"), 1, _target=F.col("target")))
+        .unionByName(part(spans, F.col("_base"), 2, _open=F.struct(F.col("_base").alias("base"), "upto", "state", "deleted")))
+    )
+    # an event at a snapshot's version belongs to the span before it; targets mark the event of their version
+    w = Window.partitionBy(*KEY).orderBy("version", "_side")
+    open_ = F.last("_open", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"_at": open_, "wanted": F.coalesce(F.lead("_target").over(w) == F.col("version"), F.lit(False))})
+    rows = rows.where((F.col("_side") == 2) & F.col("_open.state").isNotNull() | (F.col("_side") == 0) & (F.col("version") <= F.col("_at.upto")))
+    opens = F.col("_side") == 2
+    rows = rows.select(
+        *KEY, "version", "ts_received", "op", "changes", F.col("_at.base").alias("segment"), "wanted", F.when(opens, F.col("version")).alias("base_version"),
+        F.when(opens, F.col("_open.state")).alias("base_state"), F.when(opens, F.col("_open.deleted")).alias("base_deleted"),
     )
-    steps = sorted_fold(rows.unionByName(start), KEY, ["version"], _Life, _replay, _STATE)
-    last = steps.groupBy(*KEY).agg(F.max_by(F.struct("version", "ts", "deleted", "state"), "version").alias("s"), F.count("*").alias("events_applied"))
-    exact = targets.join(last, KEY, "left")
-    at_snapshot = F.col("s").isNull()
+    steps = sorted_fold(rows, [*KEY, "segment"], ["version", F.col("base_version").isNull()], _Life, _replay, _STATE)
+    last = steps.select(*KEY, F.col("version").alias("target"), F.struct("ts", "deleted", "state", "applied").alias("s"))
+    exact = found.join(targets, [*KEY, "target"]).join(last, [*KEY, "target"], "left")
+    at_snapshot = F.col("s").isNull() | (F.col("target") == F.col("_base"))
     return exact.select(
-        *KEY, F.coalesce("s.version", "target").alias("version"), F.col("s.ts").alias("ts"), F.when(at_snapshot, F.col("snapshot_deleted")).otherwise(F.col("s.deleted")).alias("deleted"),
-        F.when(at_snapshot, F.col("snapshot_state")).otherwise(F.col("s.state")).alias("state"), "snapshot_version", F.coalesce("events_applied", F.lit(0)).alias("events_applied"),
+        *KEY, *[F.col(f"asked_{c}").alias(f"asked_{c}") for c in asked], F.col("target").alias("version"), F.col("s.ts").alias("ts"), F.when(at_snapshot, F.col("snapshot_deleted")).otherwise(F.col("s.deleted")).alias("deleted"),
+        F.when(at_snapshot, F.col("snapshot_state")).otherwise(F.col("s.state")).alias("state"), "snapshot_version", F.when(at_snapshot, F.lit(0).cast("long")).otherwise(F.col("s.applied")).alias("events_applied"),
     )
 
 
@@ -128,9 +156,25 @@ def state_at_flat(events: DataFrame, at=None) -> DataFrame:
     return last.where(F.col("l.op") != "remove").select(*KEY, "path", F.col("l.new").alias("value"), F.col("l.version").alias("version"))
 
 
-def state_between(events: DataFrame, start, end) -> DataFrame:
-    """Net change per path of each entity between two instants: key, path, op, old, new (flat entities)."""
-    a = state_at_flat(events, start).select(*KEY, "path", F.col("value").alias("old"))
-    b = state_at_flat(events, end).select(*KEY, "path", F.col("value").alias("new"))
-    both = a.join(b, [*KEY, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.withColumn("op", F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("change"))
+def leaves_at(events: DataFrame, at=None, snapshots: DataFrame | None = None) -> DataFrame:
+    """(key, path, value, version) of every live leaf at an instant: relationally for the entities where that is legal,
+    by replay for the others (top-level fields of their states; version is the state's)."""
+    legal = flat_legal(events)
+    flat = state_at_flat(events.join(legal.where("legal").select(*KEY), KEY, "left_semi"), at)
+    rest = events.join(legal.where("not legal").select(*KEY), KEY, "left_semi")
+    probes = rest.select(*KEY).distinct().withColumns({"at": F.lit(at).cast("timestamp"), "version": F.lit(None).cast("long")})
+    seen = state_at(probes, rest, snapshots).where("not deleted")
+    fields = F.map_entries(F.try_parse_json("state").cast("map<string,variant>"))
+    return flat.unionByName(seen.select(*KEY, "version", F.explode(fields).alias("f")).select(*KEY, F.col("f.key").alias("path"), F.to_json("f.value").alias("value"), "version"))
+
+
+def state_between(events: DataFrame, start, end, snapshots: DataFrame | None = None, array_keys: dict | None = None) -> DataFrame:
+    """Net change of each entity between two instants: key, from_version, to_version, changes. An entity that does not
+    exist, or is deleted, at an instant has the empty object there; documents may nest. Entities without any event up to
+    ``end`` give no row."""
+    keys = events.select(*KEY).distinct()
+    probes = keys.withColumns({"at": F.explode(F.array(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))), "version": F.lit(None).cast("long")})
+    shown = state_at(probes, events, snapshots).withColumn("_s", F.when(F.col("deleted"), F.lit("{}")).otherwise(F.col("state")))
+    ends = shown.groupBy(*KEY).agg(*[F.max(F.when(F.col("asked_at") == F.lit(t).cast("timestamp"), F.col(c))).alias(n) for t, n, c in ((start, "from_version", "version"), (end, "to_version", "version"), (start, "_a", "_s"), (end, "_b", "_s"))])
+    ends = ends.where("to_version is not null").withColumns({"_a": F.coalesce("_a", F.lit("{}"))})
+    return json_diff(ends, "_a", "_b", array_keys).drop("_a", "_b")

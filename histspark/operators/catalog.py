@@ -34,12 +34,16 @@ def validate_config(config: DataFrame) -> DataFrame:
     return config.withColumn("invalid_field", field)
 
 
-def config_audit(old: DataFrame, new: DataFrame, kind: str = "collection", key: str = "name") -> DataFrame:
-    """Audit rows of a config change: action (kind.created, .updated, .deleted), target."""
-    a = old.select(key, F.to_json(F.struct(*[c for c in old.columns if c != key])).alias("_a"))
-    b = new.select(key, F.to_json(F.struct(*[c for c in new.columns if c != key])).alias("_b"))
-    verb = F.when(F.col("_a").isNull(), "created").when(F.col("_b").isNull(), "deleted").when(F.col("_a") != F.col("_b"), "updated")
-    return a.join(b, key, "full_outer").select(F.concat(F.lit(kind + "."), verb).alias("action"), F.col(key).alias("target")).where("action is not null")
+def config_audit(old: DataFrame, new: DataFrame, kind: str = "collection", key: str = "name", actor: str | None = None, at=None) -> DataFrame:
+    """Audit rows of a change of configs or rules (``kind`` "rule", ``key`` "id"): action (kind.created, .updated,
+    .deleted), target, actor, ts, old and new (JSON text of the row; NULL where there is none). A row that stays equal
+    makes no audit row."""
+    text = lambda df: F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"})
+    a, b = old.select(key, text(old).alias("old")), new.select(key, text(new).alias("new"))
+    verb = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "updated")
+    stamp = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
+    out = a.join(b, key, "full_outer").select(F.concat(F.lit(kind + "."), verb).alias("action"), F.col(key).alias("target"), F.lit(actor).cast("string").alias("actor"), stamp.alias("ts"), "old", "new")
+    return out.where("action is not null")
 
 
 def collection_names(events: DataFrame, config: DataFrame) -> DataFrame:
@@ -86,8 +90,8 @@ def delivery_stats(attempts: DataFrame, buckets: tuple[float, ...] = BUCKETS) ->
     return attempts.groupBy("result").agg(F.count("*").alias("n"), F.count_if(F.col("attempt") > 0).alias("retries"), *bins)
 
 
-def latency_percentiles(rows: DataFrame, column: str, *keys: str, exact: bool = True) -> DataFrame:
-    """p50 and p99 of a column; the approximate form is for unbounded groups."""
+def latency_percentiles(rows: DataFrame, column: str, *keys: str, exact: bool = False) -> DataFrame:
+    """p50 and p99 of a column, by a mergeable sketch; the exact form keeps a group's distinct values in one task."""
     f = F.percentile if exact else F.percentile_approx
     return rows.groupBy(*keys).agg(f(column, F.lit(0.5)).alias("p50"), f(column, F.lit(0.99)).alias("p99"))
 
@@ -113,9 +117,28 @@ def activity_by(events: DataFrame, *columns: str) -> DataFrame:
     return events.cube(*columns).agg(F.count("*").alias("n"))
 
 
+def _held(sums: DataFrame, over: Column, slide: str, held: int) -> DataFrame:
+    """Adds ``firing``: ``over`` held at this evaluation and at the ``held - 1`` before it, by time; an evaluation without
+    data does not hold."""
+    step = f"INTERVAL {slide}"
+    back = (F.unix_timestamp(F.lit("2000-01-01").cast("timestamp") + F.expr(step)) - F.unix_timestamp(F.lit("2000-01-01").cast("timestamp"))) * (held - 1)
+    held_at = sums.withColumn("_over", F.coalesce(over, F.lit(False)))
+    w = Window.partitionBy("name").orderBy(F.unix_timestamp("at"))
+    # the held - 1 evaluations before are the rows before only where none is missing between
+    first = F.lag("at", held - 1).over(w) if held > 1 else F.col("at")
+    run = F.min(F.col("_over").cast("int")).over(w.rowsBetween(-(held - 1), Window.currentRow))
+    return held_at.withColumn("firing", F.coalesce((run == 1) & (F.unix_timestamp("at") - F.unix_timestamp(first) == back), F.lit(False))).drop("_over")
+
+
 def alert_rules(metrics: DataFrame, threshold: float, window: str = "5 minutes", slide: str = "1 minute", held: int = 3) -> DataFrame:
-    """(name, at, total, firing): the sum over a trailing window exceeds the threshold, for ``held`` slides on end."""
+    """(name, at, total, firing): the sum over a trailing window exceeds the threshold, at ``held`` evaluations on end."""
     sums = metrics.groupBy("name", F.window("ts", window, slide)).agg(F.sum("value").alias("total")).select("name", F.col("window.end").alias("at"), "total")
-    w = Window.partitionBy("name").orderBy("at").rowsBetween(-(held - 1), Window.currentRow)
-    over = (F.col("total") > threshold).cast("int")
-    return sums.withColumn("firing", (F.sum(over).over(w) == held))
+    return _held(sums, F.col("total") > threshold, slide, held)
+
+
+def ratio_alerts(metrics: DataFrame, bad: str, good: str, window: str = "10 minutes", slide: str = "1 minute", held: int = 10) -> DataFrame:
+    """(name, at, bad, good, firing): results ``bad`` outnumber results ``good`` in a trailing window (failed against
+    delivered), at ``held`` evaluations on end. ``metrics`` has name, result, ts, value."""
+    total = lambda r: F.coalesce(F.sum(F.when(F.col("result") == r, F.col("value"))), F.lit(0))
+    sums = metrics.groupBy("name", F.window("ts", window, slide)).agg(total(bad).alias("bad"), total(good).alias("good")).select("name", F.col("window.end").alias("at"), "bad", "good")
+    return _held(sums, F.col("bad") > F.col("good"), slide, held)

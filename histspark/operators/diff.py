@@ -1,122 +1,61 @@
-"""Structural diff of JSON documents and typed tables; native, level by level."""
+"""Structural diff of JSON documents and typed tables."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histspark.functions.jsonx import canonical_json
+from histspark.functions import jsonvalue as J
 from histspark.schemas import CHANGES
+from histspark.session import with_package
 
-#: Levels of nesting that are followed; deeper documents raise.
-MAX_DEPTH = 8
+_ARROW = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "op", "old", "new")]))
 
-_MAP, _ARRAY = "map<string,variant>", "array<variant>"
-_NODE = "array<struct<path:string,ord:array<string>,a:string,b:string,done:boolean,op:string>>"
 
+def _document(text: str | None) -> tuple[bool, object]:
+    """(present, value); malformed text, and text nested deeper than the parser goes, is absent."""
+    try:
+        return text is not None, J.loads(text)
+    except (ValueError, RecursionError):
+        return False, None
 
-def _is(col: Column, kind: str) -> Column:
-    return F.coalesce(col.startswith("{" if kind == "map" else "["), F.lit(False))
 
+def _changes(before: str | None, after: str | None, keys: dict | None) -> list[dict]:
+    if before == after:
+        return []
+    (has_a, a), (has_b, b) = _document(before), _document(after)
+    if has_a and has_b:
+        try:
+            return J.changes_between(a, b, keys)
+        except RecursionError:  # nested deeper than the interpreter goes: one change of the whole
+            return [{"path": "", "op": "change", "old": before, "new": after}]
+    return [{"path": "", "op": "change", "old": J.dumps(a) if has_a else None, "new": J.dumps(b) if has_b else None}] if has_a or has_b else []
 
-def _as_map(text: Column) -> Column:
-    return F.transform_values(F.try_parse_json(text).cast(_MAP), lambda _, v: F.to_json(v))
 
-
-def _as_array(text: Column) -> Column:
-    return F.transform(F.try_parse_json(text).cast(_ARRAY), lambda v: F.to_json(v))
-
-
-def _node(path, ord_, a, b, done, op=None) -> Column:
-    return F.struct(path.alias("path"), ord_.alias("ord"), a.alias("a"), b.alias("b"), done.alias("done"), (op if op is not None else F.lit(None).cast("string")).alias("op"))
-
-
-def _child(path: Column, name: Column) -> Column:
-    return F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
-
-
-def _side(a: Column, b: Column) -> Column:
-    return F.when(a.isNull(), "add").when(b.isNull(), "remove")
-
-
-def _key_of(text: Column, field: str) -> Column:
-    """Key text of an array element: strings and booleans as they are, numbers plainly; NULL when it is no scalar."""
-    v = F.try_variant_get(F.try_parse_json(text), f"$['{field}']", "variant")
-    kind = F.schema_of_variant(v)
-    return F.when(kind.rlike("^(OBJECT|ARRAY|VOID)"), None).otherwise(F.try_variant_get(v, "$", "string"))
-
-
-def _keyable(items: Column, field: str) -> Column:
-    keys = F.transform(items, lambda t: _key_of(t, field))
-    return F.forall(items, lambda t: _is(t, "map")) & F.forall(keys, lambda k: k.isNotNull()) & (F.size(F.array_distinct(keys)) == F.size(keys))
-
-
-def _by_index(path, ord_, a, b) -> Column:
-    x, y = _as_array(a), _as_array(b)
-    n = F.greatest(F.size(x), F.size(y))
-
-    def at(i: Column) -> Column:
-        u, v = F.get(x, i), F.get(y, i)
-        # tail removes come last and descend; all else ascends
-        place = F.when(v.isNull(), F.concat(F.lit("2"), F.lpad((F.lit(999999999) - i).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("1"), F.lpad(i.cast("string"), 9, "0")))
-        return _node(_child(path, i.cast("string")), F.array_append(ord_, place), u, v, u.isNull() | v.isNull(), _side(u, v))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast(_NODE))
-
-
-def _by_key(path, ord_, a, b, field: str) -> Column:
-    x, y = _as_array(a), _as_array(b)
-    keys = lambda items: F.transform(items, lambda t: _key_of(t, field))
-    order = F.array_union(keys(x), keys(y))
-
-    def at(k: Column, i: Column) -> Column:
-        u = F.get(F.filter(x, lambda t: _key_of(t, field) == k), F.lit(0))
-        v = F.get(F.filter(y, lambda t: _key_of(t, field) == k), F.lit(0))
-        name = F.concat(path, F.lit(f"[{field}="), k, F.lit("]"))
-        return _node(name, F.array_append(ord_, F.concat(F.lit("1"), F.lpad(i.cast("string"), 9, "0"))), u, v, u.isNull() | v.isNull(), _side(u, v))
-
-    return F.transform(order, at)
-
-
-def _by_name(path, ord_, a, b) -> Column:
-    x, y = _as_map(a), _as_map(b)
-    names = F.array_sort(F.array_union(F.map_keys(x), F.map_keys(y)))
-
-    def at(k: Column) -> Column:
-        u, v = F.try_element_at(x, k), F.try_element_at(y, k)
-        return _node(_child(path, k), F.array_append(ord_, k), u, v, u.isNull() | v.isNull(), _side(u, v))
-
-    return F.transform(names, at)
-
-
-def json_diff(df: DataFrame, before: str, after: str, array_keys: dict[str, str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def json_diff(df: DataFrame, before: str, after: str, array_keys: dict[str, str] | Column | None = None) -> DataFrame:
     """Add ``changes``: what turns ``before`` into ``after``, in depth-first order.
 
     Both are JSON text; NULL counts as absent and malformed text as NULL. A new key is one add of its subtree, a dropped
     key one remove, a scalar or type change one change; equal documents have no changes. Arrays compare by position, or
-    by ``array_keys[path]`` where every element has a distinct scalar key. All levels are array functions on the row, so
-    the operator is narrow; documents that nest deeper than ``max_depth`` raise.
+    by ``array_keys[path]`` where every element has a distinct scalar key; ``array_keys`` may be a map column. The
+    operator is narrow: each document is parsed once, in Arrow batches of the two columns only, and a plan that does not
+    use ``changes`` does not compute them.
     """
+    with_package(df.sparkSession)
+    if isinstance(array_keys, Column):
+
+        @F.arrow_udf(CHANGES)
+        def by_row(a: pa.Array, b: pa.Array, keys: pa.Array) -> pa.Array:
+            return pa.array([_changes(x, y, dict(k) if k else None) for x, y, k in zip(a.to_pylist(), b.to_pylist(), keys.to_pylist(), strict=True)], _ARROW)
+
+        return df.withColumn("changes", by_row(before, after, array_keys))
+
+    @F.arrow_udf(CHANGES)
+    def diff(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_changes(x, y, array_keys) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], _ARROW)
 
-    def step(x: Column) -> Column:
-        path, ord_, a, b = x["path"], x["ord"], x["a"], x["b"]
-        maps, arrays = _is(a, "map") & _is(b, "map"), _is(a, "array") & _is(b, "array")
-        out = F.when(x["done"], F.array(x)).when(maps, _by_name(path, ord_, a, b))
-        for at, field in (array_keys or {}).items():
-            out = out.when(arrays & (path == at) & _keyable(_as_array(a), field) & _keyable(_as_array(b), field), _by_key(path, ord_, a, b, field))
-        return out.when(arrays, _by_index(path, ord_, a, b)).otherwise(F.array(_node(path, ord_, a, b, F.lit(True), F.lit("change"))))
-
-    differs = lambda x: ~x["a"].eqNullSafe(x["b"]) | F.coalesce(x["op"].isin("add", "remove"), F.lit(False))
-    a, b = canonical_json(before), canonical_json(after)
-    absent = a.isNull() | b.isNull()
-    root = _node(F.lit(""), F.array().cast("array<string>"), a, b, absent, F.when(absent, "change"))
-    out = df.withColumn("_n", F.filter(F.array(root), differs).cast(_NODE))
-    for _ in range(max_depth):
-        out = out.withColumn("_n", F.filter(F.flatten(F.transform("_n", step)), differs))
-    deep = lambda x: ~x["done"] & (_is(x["a"], "map") & _is(x["b"], "map") | _is(x["a"], "array") & _is(x["b"], "array"))
-    ordered = F.array_sort(F.transform("_n", lambda x: F.struct(x["ord"].alias("ord"), x["path"].alias("path"), F.coalesce(x["op"], F.lit("change")).alias("op"), x["a"].alias("old"), x["b"].alias("new"))))
-    changes = F.transform(ordered, lambda x: F.struct(x["path"].alias("path"), x["op"].alias("op"), x["old"].alias("old"), x["new"].alias("new")))
-    return out.withColumn("changes", F.when(F.exists("_n", deep), F.raise_error(F.lit(f"documents nest deeper than {max_depth}"))).otherwise(changes).cast(CHANGES)).drop("_n")
+    return df.withColumn("changes", diff(before, after))
 
 
 def table_diff(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

@@ -36,35 +36,53 @@ def flow_nodes(activities: DataFrame, events: DataFrame) -> DataFrame:
     return a.unionByName(e, allowMissingColumns=True).select(*_NODE)
 
 
+def node_order(nodes: DataFrame) -> Column:
+    """The text that orders nodes of equal time: activities first, by id; then events by collection, entity and version
+    (as text)."""
+    event = F.concat_ws("|", F.lit("e"), F.col("collection"), F.col("entity_id"), F.col("version").cast("string"))
+    return F.when(F.col("kind") == "activity", F.concat(F.lit("a|"), F.col("activity_id"))).otherwise(event)
+
+
 def assemble_flow(nodes: DataFrame, flow_id: str | None = None) -> DataFrame:
-    """Nodes with their place in the flow, by receive time and then node id as text; of one flow or of all."""
+    """Nodes with their place in the flow, by receive time and then ``node_order``; of one flow or of all."""
     rows = nodes if flow_id is None else nodes.where(F.col("flow_id") == flow_id)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("tenant", "flow_id").orderBy("ts", "node_id")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("tenant", "flow_id").orderBy("ts", node_order(nodes))))
 
 
 def flow_page(nodes: DataFrame, flow_id: str, after: str | None = None, limit: int = 100) -> DataFrame:
-    """A page of one flow strictly after a cursor (ts, id); one row more than ``limit`` tells that more follow."""
+    """A page of one flow strictly after a cursor (ts, id), where id is a node's ``node_order``; one row more than
+    ``limit`` tells that more follow."""
     rows = nodes.where(F.col("flow_id") == flow_id)
+    order = node_order(nodes)
     if after:
         at = decode_cursor(after)
         ts = F.lit(datetime.fromisoformat(at["ts"]))
-        rows = rows.where((F.col("ts") > ts) | ((F.col("ts") == ts) & (F.col("node_id") > at["id"])))
-    return rows.orderBy("ts", "node_id").limit(limit + 1)
+        rows = rows.where((F.col("ts") > ts) | ((F.col("ts") == ts) & (order > at["id"])))
+    return rows.orderBy("ts", order).limit(limit + 1)
+
+
+def _joined(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    return refs.join(targets, ["tenant", *keys], "left").select("tenant", "flow_id", "child", "place", "cause")
 
 
 def flow_edges(nodes: DataFrame) -> DataFrame:
-    """child -> cause edges: tenant, flow_id, child, cause (node id or NULL), dangling. Three equi-joins, one for each
-    shape of reference; the target may lie in any flow of the tenant."""
-    refs = nodes.select("tenant", "flow_id", F.col("node_id").alias("child"), F.posexplode("caused_by").alias("place", "r"))
-    by_activity = nodes.where("kind = 'activity'").select("tenant", F.col("activity_id").alias("k1"), F.col("node_id").alias("n1")).distinct()
-    events = nodes.where("kind = 'event'")
-    by_version = events.select("tenant", F.col("collection").alias("c2"), F.col("entity_id").alias("e2"), F.col("version").alias("v2"), F.col("node_id").alias("n2"))
-    by_event = events.where("event_id is not null").select("tenant", F.col("collection").alias("c3"), F.col("entity_id").alias("e3"), F.col("event_id").alias("v3"), F.col("node_id").alias("n3"))
-    rows = refs.select("*", F.col("r.activity_id").alias("k1"), F.col("r.collection").alias("c2"), F.col("r.entity_id").alias("e2"), F.col("r.version").alias("v2"), F.col("r.event_id").alias("v3"))
-    rows = rows.join(by_activity, ["tenant", "k1"], "left").join(by_version, ["tenant", "c2", "e2", "v2"], "left")
-    rows = rows.withColumnsRenamed({"c2": "c3", "e2": "e3"}).join(by_event, ["tenant", "c3", "e3", "v3"], "left")
-    cause = F.coalesce("n1", "n2", "n3")
-    return rows.select("tenant", "flow_id", "child", "place", cause.alias("cause"), cause.isNull().alias("dangling"))
+    """child -> cause edges: tenant, flow_id, child, place, cause (node id or NULL), dangling. A reference has one of three
+    shapes (activity, entity and version, entity and event id); each shape is joined on its own keys only, so no join
+    meets rows without a key. The target may lie in any flow of the tenant."""
+    refs = nodes.select("tenant", "flow_id", F.col("node_id").alias("child"), F.posexplode("caused_by").alias("place", "r")).select("tenant", "flow_id", "child", "place", "r.*")
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    shape = F.when(filled("activity_id"), "activity").when(filled("entity_id") & F.col("version").isNotNull(), "version").when(filled("entity_id") & filled("event_id"), "event").otherwise("none")
+    refs = refs.withColumn("_shape", shape)
+    events = nodes.where("kind = 'event'").withColumnRenamed("node_id", "cause")
+    by_activity = nodes.where("kind = 'activity'").select("tenant", "activity_id", F.col("node_id").alias("cause")).distinct()
+    parts = [
+        _joined(refs.where("_shape = 'activity'"), by_activity, ["activity_id"]),
+        _joined(refs.where("_shape = 'version'"), events.select("tenant", "collection", "entity_id", "version", "cause"), ["collection", "entity_id", "version"]),
+        _joined(refs.where("_shape = 'event'"), events.where("event_id is not null").select("tenant", "collection", "entity_id", "event_id", "cause"), ["collection", "entity_id", "event_id"]),
+        refs.where("_shape = 'none'").select("tenant", "flow_id", "child", "place", F.lit(None).cast("string").alias("cause")),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.withColumn("dangling", F.col("cause").isNull())
 
 
 def flow_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -85,42 +85,57 @@ def resolve_op(explicit: Column, live: Column, first_event_op: Column | str = "c
     return F.coalesce(explicit, F.when(live, "update"), first)
 
 
+def with_settings(commands: DataFrame, config: DataFrame) -> DataFrame:
+    """Commands with the effective settings of their collection (one row per collection in ``config``): first_event_op,
+    array_keys (map), snapshot_interval. Unconfigured collections get the defaults."""
+    cfg = config.select(F.col("name").alias("collection"), *[F.col(c).alias(f"_{c}") for c in ("first_event_op", "array_keys", "snapshot_interval")])
+    out = commands.join(cfg, "collection", "left")
+    return out.withColumns({"first_event_op": F.coalesce("_first_event_op", F.lit("create")), "array_keys": F.col("_array_keys"), "snapshot_interval": F.coalesce("_snapshot_interval", F.lit(100))}).drop(*[c for c in out.columns if c.startswith("_") and c[1:] in ("first_event_op", "array_keys", "snapshot_interval")])
+
+
 def drop_noops(commands: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """State commands that change nothing go; adds ``base`` (the state an event starts from).
+    """State commands that change nothing go; adds ``base`` (the state an event starts from) and ``code``.
 
     A state equals its base when it equals the previous command's state, or ``{}`` behind a delete or at the start (or
-    the stored current state).
+    the stored current state). A state command without well-formed text keeps its row with ``code`` invalid_payload and
+    is no predecessor of any other.
     """
-    w = Window.partitionBy(*KEY).orderBy("ts_received", "seq")
-    rows = commands.withColumn("state", F.when(F.col("kind") == "state", canonical_json("state")))
+    text = F.when(F.col("kind") == "state", canonical_json("state"))
+    rows = commands.withColumn("_text", text)
+    rows = rows.withColumns({"code": F.when((F.col("kind") == "state") & F.col("_text").isNull(), "invalid_payload"), "state": F.coalesce("_text", F.when(F.col("kind") == "state", F.col("state")))}).drop("_text")
+    w = Window.partitionBy(*KEY, F.col("code").isNull()).orderBy("ts_received", "seq")
     if current is not None:
         held = current.select(*KEY, F.when(~F.col("deleted"), F.col("state")).alias("_held"))
         rows = rows.join(held, KEY, "left")
     else:
         rows = rows.withColumn("_held", F.lit(None).cast("string"))
     prior = F.when(F.lag("kind").over(w).isNull(), F.coalesce("_held", F.lit("{}"))).when(F.lag("kind").over(w) == "delete", F.lit("{}")).otherwise(F.lag("state").over(w))
-    return rows.withColumn("base", prior).where((F.col("kind") != "state") | (F.col("state") != F.col("base"))).drop("_held")
+    return rows.withColumn("base", prior).where((F.col("kind") != "state") | F.col("code").isNotNull() | ~F.col("state").eqNullSafe(F.col("base"))).drop("_held")
 
 
-def ingest_states(commands: DataFrame, current: DataFrame | None = None, first_event_op: str = "create", with_changes: bool = True, array_keys: dict | None = None) -> DataFrame:
-    """Events of state and delete commands, without a fold: each depends on the previous command only.
+def ingest_states(commands: DataFrame, current: DataFrame | None = None, first_event_op: str = "create", array_keys: dict | None = None) -> DataFrame:
+    """Events of state and delete commands, without a fold: each depends on the previous command only. Rejects carry
+    ``code`` and no version, as in ``ingest``.
 
-    Liveness is judged after no-ops are gone. One shuffle on the entity serves both windows.
+    Liveness is judged after no-ops are gone. One shuffle on the entity serves both windows. Commands may carry their
+    collection's first_event_op and array_keys (``with_settings``), which then win over the arguments.
     """
     kept = drop_noops(commands, current)
-    w = Window.partitionBy(*KEY).orderBy("ts_received", "seq")
+    w = Window.partitionBy(*KEY, F.col("code").isNull()).orderBy("ts_received", "seq")
     kept = kept.withColumn("_prev", F.lag("kind").over(w))
     live = F.col("_prev").isNotNull() & (F.col("_prev") != "delete")
     if current is not None:
-        alive = current.select(*KEY, (~F.col("deleted")).alias("_alive"))
-        kept = kept.join(alive, KEY, "left")
+        held = current.select(*KEY, (~F.col("deleted")).alias("_alive"), F.col("version").alias("_tail"))
+        kept = kept.join(held, KEY, "left")
         live = live | (F.col("_prev").isNull() & F.coalesce("_alive", F.lit(False)))
-    kept = kept.withColumn("op", F.when(F.col("kind") == "delete", "delete").otherwise(resolve_op(F.col("op"), live, first_event_op)))
-    out = assign_versions(kept, current).drop("_prev", "_alive")
-    if not with_changes:
-        return out
-    out = json_diff(out.withColumn("_to", F.when(F.col("kind") == "delete", F.col("base")).otherwise(F.col("state"))).drop("changes"), "base", "_to", array_keys)
-    return out.drop("_to")
+    first = F.coalesce("first_event_op", F.lit(first_event_op)) if "first_event_op" in commands.columns else F.lit(first_event_op)
+    op = F.when(F.col("kind") == "delete", "delete").otherwise(resolve_op(F.col("op"), live, first))
+    number = F.row_number().over(w).cast("long") + (F.coalesce("_tail", F.lit(0)) if current is not None else F.lit(0))
+    good = F.col("code").isNull()
+    out = kept.withColumns({"op": F.when(good, op).otherwise(F.col("op")), "version": F.when(good, number), "_from": F.when(good, F.col("base"))}).drop("_prev", "_alive", "_tail")
+    out = out.withColumn("_to", F.when(good, F.when(F.col("kind") == "delete", F.col("base")).otherwise(F.col("state")))).drop("changes")
+    keys = F.coalesce("array_keys", F.lit(None).cast("map<string,string>")) if "array_keys" in commands.columns else array_keys
+    return json_diff(out, "_from", "_to", keys).drop("_from", "_to")
 
 
 _PLANNED = (
@@ -151,6 +166,7 @@ def plan_step(first_event_op: str, check_versions: bool, array_keys: dict | None
         entity.load(row)
         out = {c: row.get(c) for c in ("tenant", "collection", "entity_id", "author", "source", "ts_source", "ts_received", "event_id", "request_id", "meta", "seq")}
         reject = lambda code: [{**out, "code": code, "version": None, "op": row.get("op"), "changes": None, "state": None, "deleted": None}]
+        keys = dict(row["array_keys"]) if row.get("array_keys") else array_keys
         if check_versions and row.get("expected_version") is not None and row["expected_version"] != entity.version:
             return reject("version_conflict")
         base = entity.value if entity.live else {}
@@ -159,19 +175,21 @@ def plan_step(first_event_op: str, check_versions: bool, array_keys: dict | None
         else:
             try:
                 if row["kind"] == "state":
+                    if row["state"] is None:
+                        raise ValueError("no state")
                     after = J.loads(row["state"])
-                    changes = J.changes_between(base, after, array_keys)
+                    changes = J.changes_between(base, after, keys)
                 elif row["kind"] == "diff" and not row["changes"] and row.get("op") == "create" and row.get("state") is not None:
                     after = J.loads(row["state"])
-                    changes = J.changes_between({}, after, array_keys)
+                    changes = J.changes_between({}, after, keys)
                 else:
                     changes = row["changes"] or []
                     after = J.apply(base, changes)
-            except (J.ApplyError, ValueError):
+            except (J.ApplyError, ValueError, RecursionError):
                 return reject("invalid_diff" if row["kind"] == "diff" else "invalid_payload")
             if not changes:
                 return []
-            op = row.get("op") or ("update" if entity.live else first_event_op)
+            op = row.get("op") or ("update" if entity.live else row.get("first_event_op") or first_event_op)
             live = True
         entity.version += 1
         entity.live, entity.value = live, after
@@ -182,7 +200,8 @@ def plan_step(first_event_op: str, check_versions: bool, array_keys: dict | None
 
 def ingest(commands: DataFrame, current: DataFrame | None = None, first_event_op: str = "create", check_versions: bool = True, array_keys: dict | None = None) -> DataFrame:
     """Planned events and rejects (``code`` set) of mixed commands: an ordered fold per entity. A rejected command leaves
-    the state alone; deleting an unknown entity still makes an event; the value behind a delete is kept."""
+    the state alone; deleting an unknown entity still makes an event; the value behind a delete is kept. Commands may
+    carry their collection's first_event_op and array_keys (``with_settings``), which win over the arguments."""
     rows = commands
     if current is not None:
         held = current.select(*KEY, F.col("version").alias("stored_version"), F.col("deleted").alias("stored_deleted"), F.col("state").alias("stored_state"))

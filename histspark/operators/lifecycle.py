@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from histspark.operators.asof import state_at
 from histspark.schemas import KEY
 
 
 def apply_retention(events: DataFrame, config: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """(kept events, dropped events) under each collection's policy: forever; days: received within N days; versions: the
-    N newest of each entity. Config rows: name, retention_type, retention_value. A snapshot at the cut (the highest
-    dropped version, see ``cut_versions``) has to be written before the rewrite."""
+    N newest of each entity. Config rows: name, retention_type, retention_value. The snapshots of ``cut_snapshots`` have to
+    be written before the rewrite; reads above the cut start from them."""
     cfg = config.select(F.col("name").alias("collection"), "retention_type", "retention_value")
     w = Window.partitionBy(*KEY).orderBy(F.col("version").desc())
     rows = events.join(cfg, "collection", "left").withColumn("_newest", F.row_number().over(w))
@@ -26,6 +27,12 @@ def cut_versions(dropped: DataFrame) -> DataFrame:
     return dropped.groupBy(*KEY).agg(F.max("version").alias("version"))
 
 
+def cut_snapshots(events: DataFrame, dropped: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """Snapshot rows (key, version, ts, deleted, state) at each entity's cut, made from the events before the rewrite."""
+    probes = cut_versions(dropped).withColumn("at", F.lit(None).cast("timestamp"))
+    return state_at(probes, events, snapshots).select(*KEY, "version", "ts", "deleted", "state")
+
+
 def purge_entities(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of all other entities; works on any table with the entity key."""
     return rows.join(keys.select(*KEY).distinct(), KEY, "left_anti")

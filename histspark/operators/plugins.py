@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Columns a step may not touch.
-SIGNED = ("tenant", "collection", "entity_id", "version", "op", "changes", "author", "source", "ts_source")
+SIGNED = ("tenant", "collection", "entity_id", "version", "op", "changes", "author", "source", "ts_source", "flow")
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -21,8 +21,9 @@ class Registry:
     post: list[tuple[str, Step]] = field(default_factory=list)
     actions: dict[str, Step] = field(default_factory=dict)
 
-    def pre_store(self, name: str, step: Step, fail_mode: str = "closed") -> None:
-        """Register a step; ``fail_mode`` open keeps rows whose step reports ``plugin_error``, closed rejects them."""
+    def pre_store(self, name: str, step: Step, fail_mode: str = "open") -> None:
+        """Register a step; ``fail_mode`` open keeps rows whose step reports ``plugin_error``, as they were before it; closed
+        rejects them."""
         if fail_mode not in ("open", "closed"):
             raise ValueError("fail mode is open or closed")
         self.pre.append((name, step, fail_mode))
@@ -36,29 +37,31 @@ class Registry:
         self.actions[kind] = step
 
     def run_pre_store(self, events: DataFrame, enabled: dict[str, list[str]]) -> DataFrame:
-        """Run each step on the collections that enable it; adds ``reject_code`` and ``plugin_errors`` (name:error).
+        """Run each step for the collections that enable it; adds ``reject_code`` and ``plugin_errors`` (name:error).
 
-        A step may change other columns, set ``reject`` or ``plugin_error``; signed columns are restored from a hash
-        check: a step that changed one is an error of that row.
+        A step works row by row; it sees all rows, and what it does to rows of other collections, or to rows rejected
+        before, does not count, so that the plan stays one chain without a branch per step. A step may change other columns, set ``reject`` or ``plugin_error``; a step that changes a signed column is an error
+        of that row. A row with an error keeps nothing of the step: all its columns are what they were.
         """
         out = events.withColumns({"reject_code": F.lit(None).cast("string"), "plugin_errors": F.array().cast("array<string>")})
         for name, step, mode in self.pre:
             on = [c for c, names in enabled.items() if name in names]
             if not on:
                 continue
-            mine = F.col("collection").isin(on) & F.col("reject_code").isNull()
-            todo = out.where(mine).withColumn("_sign", F.xxhash64(*[F.to_json(F.struct(c)) for c in SIGNED if c in out.columns]))
-            done = step(todo)
+            mine = F.coalesce(F.col("_was.collection").isin(on), F.lit(False)) & F.col("_was.reject_code").isNull()
+            done = step(out.withColumn("_was", F.struct(*out.columns)))
             for c in ("reject", "plugin_error"):
                 if c not in done.columns:
                     done = done.withColumn(c, F.lit(None).cast("string"))
-            touched = F.col("_sign") != F.xxhash64(*[F.to_json(F.struct(c)) for c in SIGNED if c in out.columns])
-            error = F.when(touched, "signed_column_changed").otherwise(F.col("plugin_error"))
-            done = done.withColumns({
-                "plugin_errors": F.when(error.isNotNull(), F.array_append("plugin_errors", F.concat(F.lit(name + ":"), error))).otherwise(F.col("plugin_errors")),
-                "reject_code": F.coalesce("reject_code", "reject", F.when(error.isNotNull() & F.lit(mode == "closed"), F.lit("plugin_error"))),
-            })
-            out = done.select(*out.columns).unionByName(out.where(~mine))
+            touched = F.lit(False)
+            for c in (c for c in SIGNED if c in out.columns):
+                touched = touched | ~F.col(c).eqNullSafe(F.col(f"_was.{c}"))
+            done = done.withColumn("_error", F.when(touched, "signed_column_changed").otherwise(F.col("plugin_error")))
+            wrong = mine & F.col("_error").isNotNull()
+            kept = {c: F.when(mine & ~wrong, F.col(c)).otherwise(F.col(f"_was.{c}")) for c in out.columns}
+            kept["plugin_errors"] = F.when(wrong, F.array_append("_was.plugin_errors", F.concat(F.lit(name + ":"), F.col("_error")))).otherwise(F.col("_was.plugin_errors"))
+            kept["reject_code"] = F.when(wrong, F.lit("plugin_error" if mode == "closed" else None).cast("string")).when(mine, F.col("reject")).otherwise(F.col("_was.reject_code"))
+            out = done.select(*[v.alias(c) for c, v in kept.items()])
         return out
 
     def run_post_store(self, events: DataFrame) -> None:

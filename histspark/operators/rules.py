@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histspark.functions.jsonx import glob_regex
-from histspark.functions.jsonvalue import dumps
+from histspark.functions.jsonvalue import dumps, key_text
 
 FIELDS = {"op": "op", "entity_id": "entity_id", "author_id": "author", "source": "source"}
 SCALAR_OPS = ("eq", "ne", "in", "gt", "gte", "lt", "lte", "regex", "exists")
@@ -25,12 +25,9 @@ class RuleError(ValueError):
     """A located error, e.g. ``condition.all[1].op: unknown op``."""
 
 
-def _number_text(value: Any) -> str:
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return str(value)
+def _literal_text(value: Any) -> str:
+    """Text of a rule's literal; anything but a scalar is the empty text and matches no field."""
+    return key_text(value) or ""
 
 
 def compile_condition(node: Any, at: str = "condition") -> Column:
@@ -67,12 +64,12 @@ def _scalar(node: dict, at: str) -> Column:
     if op == "exists":
         return c != ""
     if op in ("eq", "ne"):
-        text = _number_text(value)
+        text = _literal_text(value)
         return ((c == text) & (c != "")) if op == "eq" else c != text
     if op == "in":
         if not isinstance(value, list):
             raise RuleError(f"{at}.value: a list is needed")
-        return c.isin([_number_text(v) for v in value]) & (c != "") if value else F.lit(False)
+        return c.isin([_literal_text(v) for v in value]) & (c != "") if value else F.lit(False)
     if op == "regex":
         try:
             re.compile(value)
@@ -146,7 +143,8 @@ _ACTION = "struct<rule_id:string,rule_name:string,action:int,type:string,url:str
 
 
 def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row per (event, rule, action) that fires. Disabled rules and rules that do not compile are skipped. One scan:
+    """One row per (event, rule, action) that fires. Disabled rules and rules that do not compile, or
+    lack an id or an action's type, are skipped. One scan:
     the rules, in chunks, become array columns that are exploded."""
     chunks: list[Column] = []
     firing: list[Column] = []
@@ -155,13 +153,15 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
             continue
         try:
             test = compile_condition(rule["condition"])
-        except (RuleError, KeyError):
+            kinds = [a["type"] for a in rule.get("actions") or []]
+            rule_id = rule["id"]
+        except (RuleError, KeyError, TypeError):
             continue
         if rule.get("collection"):
             test = test & (F.col("collection") == rule["collection"])
         for i, a in enumerate(rule.get("actions") or []):
             row = F.struct(
-                F.lit(rule["id"]).alias("rule_id"), F.lit(rule.get("name")).cast("string").alias("rule_name"), F.lit(i).alias("action"), F.lit(a["type"]).alias("type"),
+                F.lit(rule_id).alias("rule_id"), F.lit(rule.get("name")).cast("string").alias("rule_name"), F.lit(i).alias("action"), F.lit(kinds[i]).alias("type"),
                 *[F.lit(a.get(k)).cast("string").alias(k) for k in ("url", "secret_ref")], F.lit(_level(a.get("level"))).alias("level"), F.lit(a.get("message")).cast("string").alias("message"),
                 F.lit(a.get("max_attempts")).cast("int").alias("max_attempts"), F.lit(a.get("timeout_ms")).cast("int").alias("timeout_ms"),
             )

@@ -6,7 +6,7 @@ delete. ``orders``, ``customer``, ``supplier`` and ``part`` are collections; ``c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histspark.operators.ingest import ingest_states
@@ -49,22 +49,9 @@ def as_commands(e: DataFrame) -> DataFrame:
     )
 
 
-def flat_changes(base: Column, state: Column, names: list[str]) -> Column:
-    """Changes of top-level scalar fields between two JSON objects, in name order; values as JSON text."""
-    parts = []
-    for n in sorted(names):
-        a, b = (F.to_json(F.try_variant_get(F.try_parse_json(t), f"$.{n}", "variant")) for t in (base, state))
-        op = F.when(a.isNull(), "add").when(b.isNull(), "remove").otherwise("change")
-        parts.append(F.when(~a.eqNullSafe(b), F.struct(F.lit(n).alias("path"), op.alias("op"), a.alias("old"), b.alias("new"))))
-    return F.array_compact(F.array(*parts)).cast(CHANGES)
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versioned events of the command stream, with changes per field (values as plain text) and states."""
-    e = ingest_states(commands(spark, sf_dir), with_changes=False)
-    empty = F.array().cast(CHANGES)
-    changes = F.when(F.col("kind") == "delete", empty).otherwise(flat_changes(F.col("base"), F.col("state"), ["k", "type", "value"]))
-    return e.withColumns({"changes": changes, "ts_stored": F.col("ts_received")})
+    """Versioned events of the command stream, with their structural changes and states."""
+    return ingest_states(commands(spark, sf_dir)).where("code is null").drop("code").withColumn("ts_stored", F.col("ts_received"))
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonx
-from histspark.operators import apply, asof, catalog, chain, delivery, diff, flows, history, ingest, lifecycle, rules
+from histspark.operators import apply, asof, catalog, chain, delivery, diff, flows, history, ingest, lifecycle, plugins, rules
 from histspark.plans import driver
-from histspark.schemas import KEY
+from histspark.schemas import EVENTS, INTEGRITY, KEY, SNAPSHOTS
 from histspark.session import shared_dir
 from histspark.sources import tables
 from histspark.streaming import stream
@@ -43,6 +44,11 @@ fc AS (SELECT entity_id, version, seq, ts, author, path, old, new, old_num, new_
 """
 
 
+#: A change's old or new value as JSON text, from fc.
+_OLD = "coalesce(old, regexp_replace(CAST(old_num AS VARCHAR), '\\.0$', ''))"
+_NEW = "coalesce(new, regexp_replace(CAST(new_num AS VARCHAR), '\\.0$', ''))"
+
+
 def register(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -79,6 +85,51 @@ def _(spark, d):
     return ingest.ingest(driver.commands(spark, d)).where("code is null").select("entity_id", "version", "op", "seq", "deleted")
 
 
+_BAD = EV.replace("FROM events)", "FROM events WHERE event_type = 'error' OR event_id % 5 <> 0)")
+
+
+@register("ingest_malformed", _BAD + """SELECT form, entity_id, version, op, seq, CAST(NULL AS VARCHAR) AS code FROM ev, (VALUES ('fold'), ('window')) f(form)
+    UNION ALL SELECT form, CAST(user_id AS VARCHAR), 0, '-', event_id, 'invalid_payload' FROM events, (VALUES ('fold'), ('window')) f(form) WHERE event_type <> 'error' AND event_id % 5 = 0""")
+def _(spark, d):
+    """State text that is cut off is rejected, and nothing else is lost, by the window form and by the fold."""
+    bad = (F.col("kind") == "state") & (F.col("seq") % 5 == 0)
+    cmds = driver.commands(spark, d).withColumn("state", F.when(bad, F.expr("left(state, length(state) - 1)")).otherwise(F.col("state")))
+    names = ["entity_id", F.coalesce("version", F.lit(0)).alias("version"), F.coalesce("op", F.lit("-")).alias("op"), "seq", "code"]
+    return ingest.ingest(cmds).select(F.lit("fold").alias("form"), *names).union(ingest.ingest_states(cmds).select(F.lit("window").alias("form"), *names))
+
+
+@register("ingest_settings", EV.replace("'app.users'", "") + """, c AS (SELECT *, CAST(entity_id AS INT) % 2 = 0 AS even FROM ev)
+    SELECT form, entity_id, version, CASE WHEN op = 'create' AND even THEN 'update' ELSE op END AS op FROM c, (VALUES ('fold'), ('window')) f(form)""")
+def _(spark, d):
+    """Two collections; the one of even users starts its entities with updates."""
+    cmds = driver.commands(spark, d).withColumn("collection", F.when(F.col("entity_id").cast("int") % 2 == 0, "app.even").otherwise("app.odd"))
+    cfg = spark.createDataFrame([("app.even", "update", {"items": "n"}, 10)], "name string, first_event_op string, array_keys map<string,string>, snapshot_interval int")
+    cmds = ingest.with_settings(cmds, cfg)
+    names = ["entity_id", "version", "op"]
+    return ingest.ingest(cmds).select(F.lit("fold").alias("form"), *names).union(ingest.ingest_states(cmds).select(F.lit("window").alias("form"), *names))
+
+
+@register("ingest_continued", EV + "SELECT form, entity_id, version, op, seq FROM ev, (VALUES ('fold'), ('window')) f(form) WHERE ts >= TIMESTAMP '2024-01-15'")
+def _(spark, d):
+    """Commands behind an instant on top of the current rows stored until then: versions and operations go on."""
+    held = ingest.ingest(driver.commands(spark, d).where(F.col("ts_received") < F.lit(AT))).where("code is null")
+    held = ingest.build_current(held)
+    later = driver.commands(spark, d).where(F.col("ts_received") >= F.lit(AT))
+    names = ["entity_id", "version", "op", "seq"]
+    return ingest.ingest(later, held).select(F.lit("fold").alias("form"), *names).union(ingest.ingest_states(later, held).select(F.lit("window").alias("form"), *names))
+
+
+@register("create_with_state", "SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, 1 AS version, 'create' AS op, 2 AS n_changes, '{\"priority\":\"' || o_orderpriority || '\",\"status\":\"' || o_orderstatus || '\"}' AS state FROM orders")
+def _(spark, d):
+    """A diff command without changes and with a state creates the entity from it."""
+    o = driver.table(spark, d, "orders")
+    blank = driver.commands(spark, d).limit(0)
+    cmds = o.select(F.lit("t").alias("tenant"), F.lit("crm.orders").alias("collection"), F.col("o_orderkey").cast("string").alias("entity_id"), F.lit("diff").alias("kind"), F.lit("create").alias("op"),
+                    F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("state"), F.col("o_orderdate").alias("ts_received"), F.col("o_orderkey").alias("seq"))
+    out = ingest.ingest(blank.unionByName(cmds, allowMissingColumns=True))
+    return out.select("entity_id", "version", "op", F.size("changes").alias("n_changes"), "state")
+
+
 @register("ingest_diffs", EV + ", n AS (SELECT entity_id, count(*) AS versions, max(version) AS latest FROM ev GROUP BY ALL) SELECT entity_id, versions, latest, 0 AS rejected FROM n")
 def _(spark, d):
     """States turned to diffs, ingested as diffs, give the same versions and no rejects."""
@@ -205,17 +256,16 @@ def _(spark, d):
     return history.page(driver.events(spark, d), "ts_received", True, cursor, 100).select("entity_id", "version", "ts_received")
 
 
-@register("project_native", EV + "SELECT change_op AS op, path, count(*) AS n, count(*) FILTER (change_op <> 'add') AS with_old FROM fc GROUP BY ALL")
+@register("project_native", EV + f"SELECT entity_id, version, path, change_op AS op, {_OLD} AS old, {_NEW} AS new FROM fc")
 def _(spark, d):
-    c = history.field_changes(history.project_native(driver.events(spark, d)))
-    return c.groupBy(F.col("change_op").alias("op"), "path").agg(F.count("*").alias("n"), F.count("old").alias("with_old"))
+    c = history.project_native(driver.events(spark, d)).select("entity_id", "version", F.explode("changes").alias("c"))
+    return c.select("entity_id", "version", "c.path", "c.op", "c.old", "c.new")
 
 
-@register("project_json_patch", EV + """, p AS (SELECT entity_id, version, string_agg('{"op":"' || CASE WHEN change_op = 'change' THEN 'replace' ELSE change_op END || '","path":"/' || path || '","value":' || new || '}', ',' ORDER BY path) AS body FROM fc WHERE path <> 'value' GROUP BY ALL)
-    SELECT entity_id, version, '[' || body || ']' AS patch, FALSE AS inexpressible FROM p""")
+@register("project_json_patch", EV + f""", p AS (SELECT entity_id, version, string_agg('{{"op":"' || CASE WHEN change_op = 'change' THEN 'replace' ELSE change_op END || '","path":"/' || path || '","value":' || {_NEW} || '}}', ',' ORDER BY path) AS body FROM fc GROUP BY ALL)
+    SELECT entity_id, version, '[' || coalesce(body, '') || ']' AS patch, FALSE AS inexpressible FROM ev LEFT JOIN p USING (entity_id, version)""")
 def _(spark, d):
-    e = driver.events(spark, d).withColumn("changes", F.filter("changes", lambda c: c["path"] != "value")).where(F.size("changes") > 0)
-    return history.project_json_patch(e).select("entity_id", "version", "patch", "inexpressible")
+    return history.project_json_patch(driver.events(spark, d)).select("entity_id", "version", "patch", "inexpressible")
 
 
 @register("field_changes", EV + "SELECT entity_id, version, path, change_op, old, new, old_num, new_num FROM fc")
@@ -245,33 +295,45 @@ def _(spark, d):
 @register("change_log", EV + "SELECT entity_id, version, path, change_op AS op, old, new, old_num, new_num FROM fc")
 def _(spark, d):
     """Structural diff of every state against its predecessor."""
-    c = ingest.ingest_states(driver.commands(spark, d)).select("entity_id", "version", F.explode("changes").alias("c")).select("entity_id", "version", "c.*")
+    c = driver.events(spark, d).select("entity_id", "version", F.explode("changes").alias("c")).select("entity_id", "version", "c.*")
     return c.select("entity_id", "version", "path", "op", txt(F.col("old")).alias("old"), txt(F.col("new")).alias("new"), num(F.col("old")).alias("old_num"), num(F.col("new")).alias("new_num"))
 
 
-_CUT1, _CUT2 = "1997-01-01", "1999-01-01"
+_CUT0, _CUT1, _CUT2 = "1993-01-01", "1997-01-01", "1999-01-01"
+_ITEMS = f"""WITH i AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_shipdate) AS s, CAST(max(l_quantity) AS INT) AS q FROM lineitem GROUP BY ALL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS pos FROM i WHERE s <= TIMESTAMP '{_CUT1}'),
+    b AS (SELECT o, n, q + n % 2 AS q, row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS pos FROM i WHERE s > TIMESTAMP '{_CUT0}' AND s <= TIMESTAMP '{_CUT2}')"""
 
 
 def _order_docs(spark, d):
-    items = driver.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
-    one = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
-    side = lambda cut: F.array_sort(F.collect_list(F.when(F.col("l_shipdate") <= F.lit(cut).cast("timestamp"), one)))
-    return items.groupBy("l_orderkey").agg(*[F.to_json(F.struct(side(c).alias("items"))).alias(n) for n, c in (("before", _CUT1), ("after", _CUT2))])
+    """Orders as documents: lines shipped until a cut, and lines between two others with every odd line changed."""
+    items = driver.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("s"), F.max("l_quantity").cast("int").alias("q"))
+    n, time = F.col("l_linenumber"), lambda t: F.lit(t).cast("timestamp")
+    sides = {"before": ((F.col("s") <= time(_CUT1)), F.col("q")), "after": ((F.col("s") > time(_CUT0)) & (F.col("s") <= time(_CUT2)), F.col("q") + n % 2)}
+    lists = {name: F.array_sort(F.collect_list(F.when(here, F.struct(n.alias("n"), q.alias("q"))))) for name, (here, q) in sides.items()}
+    return items.groupBy("l_orderkey").agg(*[F.to_json(F.struct(v.alias("items"))).alias(k) for k, v in lists.items()])
+
+
+def _item(side: str) -> str:
+    return f"""'{{"n":' || {side}.n || ',"q":' || {side}.q || '}}'"""
 
 
-@register("json_diff_keyed", f"""WITH i AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS s FROM lineitem GROUP BY ALL)
-    SELECT l_orderkey, 'items[n=' || l_linenumber || ']' AS path, 'add' AS op FROM i WHERE s > TIMESTAMP '{_CUT1}' AND s <= TIMESTAMP '{_CUT2}'""")
+@register("json_diff_keyed", _ITEMS + f""", j AS (SELECT coalesce(a.o, b.o) AS o, coalesce(a.n, b.n) AS n, a, b FROM a FULL JOIN b ON a.o = b.o AND a.n = b.n)
+    SELECT o AS l_orderkey, 'items[n=' || n || ']' || CASE WHEN a.n IS NULL OR b.n IS NULL THEN '' ELSE '.q' END AS path, CASE WHEN a.n IS NULL THEN 'add' WHEN b.n IS NULL THEN 'remove' ELSE 'change' END AS op,
+    CASE WHEN b.n IS NULL THEN {_item('a')} WHEN a.n IS NOT NULL THEN CAST(a.q AS VARCHAR) END AS old, CASE WHEN a.n IS NULL THEN {_item('b')} WHEN b.n IS NOT NULL THEN CAST(b.q AS VARCHAR) END AS new
+    FROM j WHERE a.n IS NULL OR b.n IS NULL OR a.q <> b.q""")
 def _(spark, d):
-    out = diff.json_diff(_order_docs(spark, d), "before", "after", {"items": "n"}, max_depth=4)
-    return out.select("l_orderkey", F.explode("changes").alias("c")).select("l_orderkey", "c.path", "c.op")
+    out = diff.json_diff(_order_docs(spark, d), "before", "after", {"items": "n"})
+    return out.select("l_orderkey", F.explode("changes").alias("c")).select("l_orderkey", "c.*")
 
 
-@register("json_diff_index", f"""WITH i AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS s FROM lineitem GROUP BY ALL),
-    n AS (SELECT l_orderkey, count(*) FILTER (s <= TIMESTAMP '{_CUT1}') AS a, count(*) FILTER (s <= TIMESTAMP '{_CUT2}') AS b FROM i GROUP BY ALL)
-    SELECT l_orderkey, b - a AS added FROM n WHERE b > a""")
+@register("json_diff_index", _ITEMS + f""", j AS (SELECT coalesce(a.o, b.o) AS o, coalesce(a.pos, b.pos) AS pos, a, b FROM a FULL JOIN b ON a.o = b.o AND a.pos = b.pos)
+    SELECT o AS l_orderkey, 'items.' || pos AS path, CASE WHEN a.n IS NULL THEN 'add' ELSE 'remove' END AS op, CASE WHEN b.n IS NULL THEN {_item('a')} END AS old, CASE WHEN a.n IS NULL THEN {_item('b')} END AS new FROM j WHERE a.n IS NULL OR b.n IS NULL
+    UNION ALL SELECT o, 'items.' || pos || '.n', 'change', CAST(a.n AS VARCHAR), CAST(b.n AS VARCHAR) FROM j WHERE a.n <> b.n
+    UNION ALL SELECT o, 'items.' || pos || '.q', 'change', CAST(a.q AS VARCHAR), CAST(b.q AS VARCHAR) FROM j WHERE a.q <> b.q""")
 def _(spark, d):
-    out = diff.json_diff(_order_docs(spark, d), "before", "after", max_depth=4)
-    return out.select("l_orderkey", F.size(F.filter("changes", lambda c: c["op"] == "add")).cast("long").alias("added")).where("added > 0")
+    out = diff.json_diff(_order_docs(spark, d), "before", "after")
+    return out.select("l_orderkey", F.explode("changes").alias("c")).select("l_orderkey", "c.*")
 
 
 @register("table_diff", f"""WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS qty, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '{_CUT1}' GROUP BY ALL),
@@ -357,6 +419,21 @@ def _(spark, d):
     return out.select("entity_id", "version", "deleted", F.coalesce(F.get_json_object("state", "$.k"), F.lit("-")).alias("k"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"))
 
 
+@register("state_at_many", _SHOWN + """, last AS (SELECT entity_id, max(version) AS latest, max(version) FILTER (ts <= TIMESTAMP '2024-01-15') AS by_time FROM ev GROUP BY ALL),
+    q AS (SELECT entity_id, 'v2' AS asked, least(2, latest) AS version FROM last UNION ALL SELECT entity_id, 'v25', least(25, latest) FROM last UNION ALL SELECT entity_id, 'at', by_time FROM last WHERE by_time IS NOT NULL)
+    SELECT entity_id, asked, version, deleted, k, type, value, version // 10 * 10 AS snapshot_version, version % 10 AS events_applied FROM q JOIN shown USING (entity_id, version)""")
+def _(spark, d):
+    """Three probes of every entity, two by version and one by time."""
+    e = driver.events(spark, d)
+    snaps = asof.build_snapshots(asof.state_history(e), 10).select(*KEY, "version", "ts", "deleted", "state")
+    asks = F.array(*[F.struct(F.lit(v).cast("long").alias("version"), F.lit(t).cast("timestamp").alias("at")) for v, t in ((2, None), (25, None), (None, AT))])
+    probes = e.select(*KEY).distinct().select(*KEY, F.inline(asks))
+    out = asof.state_at(probes, e, snaps)
+    asked = F.coalesce(F.concat(F.lit("v"), F.col("asked_version").cast("string")), F.lit("at")).alias("asked")
+    g = lambda n: F.get_json_object("state", f"$.{n}")
+    return out.select("entity_id", asked, "version", "deleted", g("k").alias("k"), g("type").alias("type"), g("value").cast("double").alias("value"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"), "events_applied")
+
+
 _FLAT = EV + """, d0 AS (SELECT entity_id, max(version) FILTER (del) AS death FROM ev WHERE ts <= TIMESTAMP '{at}' GROUP BY ALL),
 l AS (SELECT f.entity_id, path, max(version) AS version, arg_max(new, version) AS value, arg_max(new_num, version) AS value_num FROM fc f JOIN d0 ON d0.entity_id = f.entity_id
     WHERE ts <= TIMESTAMP '{at}' AND version > coalesce(death, 0) GROUP BY ALL)"""
@@ -373,11 +450,36 @@ def _(spark, d):
     return asof.flat_legal(driver.events(spark, d)).select("entity_id", "legal")
 
 
-@register("state_between", _FLAT.replace("{at}", "2024-01-10").replace("d0 ", "d1 ").replace("d0.", "d1.").replace("l AS", "a AS") + ", " + _FLAT.replace("{at}", "2024-01-20")[len(EV) + 2:].replace("l AS", "z AS") + """
-    SELECT coalesce(a.entity_id, z.entity_id) AS entity_id, coalesce(a.path, z.path) AS path, CASE WHEN a.entity_id IS NULL THEN 'add' WHEN z.entity_id IS NULL THEN 'remove' ELSE 'change' END AS op
-    FROM a FULL JOIN z ON a.entity_id = z.entity_id AND a.path = z.path WHERE a.value IS DISTINCT FROM z.value OR a.value_num IS DISTINCT FROM z.value_num""")
+_BETWEEN = _FLAT.replace("{at}", "2024-01-10").replace("d0 ", "d1 ").replace("d0.", "d1.").replace("l AS", "a AS") + ", " + _FLAT.replace("{at}", "2024-01-20")[len(EV) + 2:].replace("l AS", "z AS") + """,
+    r AS (SELECT coalesce(a.entity_id, z.entity_id) AS entity_id, coalesce(a.path, z.path) AS path, CASE WHEN a.entity_id IS NULL THEN 'add' WHEN z.entity_id IS NULL THEN 'remove' ELSE 'change' END AS op
+    FROM a FULL JOIN z ON a.entity_id = z.entity_id AND a.path = z.path WHERE a.value IS DISTINCT FROM z.value OR a.value_num IS DISTINCT FROM z.value_num) """
+
+
+@register("state_between", _BETWEEN + "SELECT entity_id, path, op FROM r")
+def _(spark, d):
+    out = asof.state_between(driver.events(spark, d), FROM, TO)
+    return out.select("entity_id", F.explode("changes").alias("c")).select("entity_id", "c.path", "c.op")
+
+
+def _nested_events(spark, d):
+    """The command stream with two fields inside an object."""
+    g = lambda n: F.get_json_object("state", f"$.{n}").alias(n)
+    nested = F.to_json(F.struct(F.struct(g("k"), g("type")).alias("d"), g("value").cast("double").alias("value")))
+    cmds = driver.commands(spark, d).withColumn("state", F.when(F.col("kind") == "state", nested))
+    return ingest.ingest_states(cmds).where("code is null")
+
+
+@register("state_between_nested", _BETWEEN + "SELECT DISTINCT entity_id, CASE WHEN path = 'value' THEN path WHEN op = 'change' THEN 'd.' || path ELSE 'd' END AS path, op FROM r")
 def _(spark, d):
-    return asof.state_between(driver.events(spark, d), FROM, TO).select("entity_id", "path", "op")
+    out = asof.state_between(_nested_events(spark, d), FROM, TO)
+    return out.select("entity_id", F.explode("changes").alias("c")).select("entity_id", "c.path", "c.op")
+
+
+@register("leaves_at", _SHOWN + """, p AS (SELECT entity_id, max(version) AS version FROM ev WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY ALL)
+    SELECT entity_id, version, unnest(['d', 'value']) AS path FROM shown JOIN p USING (entity_id, version) WHERE NOT deleted""")
+def _(spark, d):
+    """Nested documents fail the test for the relational form and are replayed."""
+    return asof.leaves_at(_nested_events(spark, d), AT).select("entity_id", "version", "path")
 
 
 # ---- chains ----------------------------------------------------------------------------------------------------------
@@ -394,13 +496,27 @@ def _(spark, d):
     return driver.table(spark, d, "part").select(chain.genesis("p_name").alias("genesis")).groupBy("genesis").agg(F.count("*").alias("n"))
 
 
-@register("event_canonical", EV + """SELECT entity_id, version, '{"author":"' || author || '","entity_id":"' || entity_id || '","flow":{"id":"f-' || entity_id || '-' || strftime(ts, '%Y%m%d') || '"},"op":"delete","source":"error","ts_source":"'
-    || regexp_replace(regexp_replace(strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g'), '0+$', ''), '\\.$', '') || 'Z"}' AS canonical FROM ev WHERE del""")
+_CANON = EV + f""", ch AS (SELECT entity_id, version, string_agg('{{' || CASE WHEN change_op <> 'remove' THEN '"new":' || {_NEW} || ',' ELSE '' END || CASE WHEN change_op <> 'add' THEN '"old":' || {_OLD} || ',' ELSE '' END || '"op":"' || change_op || '","path":"' || path || '"}}', ',' ORDER BY path) AS changes FROM fc GROUP BY ALL),
+    cn AS (SELECT ev.entity_id, ev.version, '{{"author":"' || author || '",' || coalesce('"changes":[' || changes || '],', '') || '"entity_id":"' || ev.entity_id || '","flow":{{"id":"f-' || ev.entity_id || '-' || strftime(ts, '%Y%m%d') || '"}},"op":"' || op || '","source":"' || event_type || '","ts_source":"'
+    || regexp_replace(regexp_replace(strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g'), '0+$', ''), '\\.$', '') || 'Z"}}' AS canonical FROM ev LEFT JOIN ch ON ch.entity_id = ev.entity_id AND ch.version = ev.version)
+"""
+
+
+@register("event_canonical", _CANON + "SELECT entity_id, version, canonical FROM cn")
 def _(spark, d):
-    e = driver.events(spark, d).where("op = 'delete'")
+    e = driver.events(spark, d)
     return e.select("entity_id", "version", chain.event_canonical(e).alias("canonical"))
 
 
+@register("chain_starts", _CANON + """, one AS (SELECT entity_id, 'sha256:' || sha256('sha256:' || sha256('histspark:genesis:v1:app.users') || canonical) AS hash FROM cn WHERE version = 1)
+    SELECT cn.entity_id, one.hash AS first_hash, 'sha256:' || sha256(one.hash || canonical) AS second_hash FROM cn JOIN one ON one.entity_id = cn.entity_id WHERE version = 2""")
+def _(spark, d):
+    """The first two links of every chain."""
+    links = chain.build_chain(driver.events(spark, d)).where("version <= 2")
+    pick = lambda v: F.max(F.when(F.col("version") == v, F.col("hash")))
+    return links.groupBy("entity_id").agg(pick(1).alias("first_hash"), pick(2).alias("second_hash")).where("second_hash is not null")
+
+
 @register("verify_chain", EV + "SELECT entity_id, 3 AS version, 'bad_hash' AS problem, TRUE AS first FROM ev WHERE version = 3")
 def _(spark, d):
     """Version 3 of every entity is altered behind its hash: exactly those links break."""
@@ -464,26 +580,31 @@ def _(spark, d):
     return delivery.signed(_outbox(spark, d), {"s1": "first", "s2": "second"}).select("delivery_id", "signature")
 
 
+#: Attempts of a delivery in these queries, near the mean number of error and signup events of a user.
+_ATTEMPTS = 27
+
+
 def _attempts(spark, d):
     e = driver.table(spark, d, "events")
-    mine = e.where((F.col("event_type") == "error") & (F.pmod("event_id", F.lit(7)) == 0) | (F.col("event_type") == "signup") & (F.col("user_id") % 3 == 0) & (F.pmod("event_id", F.lit(7)) == 0))
+    mine = e.where(F.col("event_type").isin("error", "signup"))
+    done = (F.col("event_type") == "signup") & (F.col("user_id") % 3 == 0) & (F.col("event_id") % 7 == 0)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return mine.select(F.col("user_id").cast("string").alias("delivery_id"), n.alias("attempt"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.lit(False).alias("blocked"), F.col("event_type").alias("result"), (F.col("value") / 100).alias("seconds"))
+    return mine.select(F.col("user_id").cast("string").alias("delivery_id"), n.alias("attempt"), F.col("ts").alias("at"), F.when(done, 200).otherwise(500).alias("status"), F.lit(False).alias("blocked"), F.col("event_type").alias("result"), (F.col("value") / 100).alias("seconds"))
 
 
 def _user_outbox(spark, d):
     u = driver.table(spark, d, "events").select("user_id").distinct()
-    return u.select(F.col("user_id").cast("string").alias("delivery_id"), F.lit("t").alias("tenant"), F.lit("app.users").alias("collection"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("rule_id"), F.lit("u").alias("url"), F.when(F.col("user_id") % 9 == 0, "lost").otherwise("s1").alias("secret_ref"), F.lit(3).alias("max_attempts"), F.lit("{}").alias("body"))
+    return u.select(F.col("user_id").cast("string").alias("delivery_id"), F.lit("t").alias("tenant"), F.lit("app.users").alias("collection"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("rule_id"), F.lit("u").alias("url"), F.when(F.col("user_id") % 9 == 0, "lost").otherwise("s1").alias("secret_ref"), F.lit(_ATTEMPTS).alias("max_attempts"), F.lit("{}").alias("body"))
 
 
-_RETRY = """WITH a AS (SELECT user_id, ts, event_type, value FROM events WHERE event_id % 7 = 0 AND (event_type = 'error' OR (event_type = 'signup' AND user_id % 3 = 0))),
-l AS (SELECT user_id, count(*) AS attempts, bool_or(event_type = 'signup') AS ok, max(ts) AS last_at FROM a GROUP BY ALL),
-p AS (SELECT u.user_id, coalesce(attempts, 0) AS attempts, CASE WHEN coalesce(ok, FALSE) THEN 'delivered' WHEN u.user_id % 9 = 0 THEN 'dead' WHEN coalesce(attempts, 0) >= 3 THEN 'dead' ELSE 'pending' END AS state,
+_RETRY = f"""WITH a AS (SELECT user_id, ts, event_type, value, event_type = 'signup' AND user_id % 3 = 0 AND event_id % 7 = 0 AS done FROM events WHERE event_type IN ('error', 'signup')),
+l AS (SELECT user_id, count(*) AS attempts, bool_or(done) AS ok, max(ts) AS last_at FROM a GROUP BY ALL),
+p AS (SELECT u.user_id, coalesce(attempts, 0) AS attempts, CASE WHEN coalesce(ok, FALSE) THEN 'delivered' WHEN u.user_id % 9 = 0 THEN 'dead' WHEN coalesce(attempts, 0) >= {_ATTEMPTS} THEN 'dead' ELSE 'pending' END AS state,
     u.user_id % 9 = 0 AS lost, last_at FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l ON l.user_id = u.user_id)"""
 
 
-@register("plan_retries", _RETRY + """SELECT CAST(user_id AS VARCHAR) AS delivery_id, attempts, state, CASE WHEN state = 'dead' THEN CASE WHEN lost THEN 'unknown_secret' ELSE 'attempts_exhausted' END END AS reason,
-    CASE WHEN state = 'pending' AND attempts > 0 THEN last_at + INTERVAL 1 MICROSECOND * CAST(500000 * pow(2, attempts - 1) AS BIGINT) END AS next_attempt_at FROM p""")
+@register("plan_retries", _RETRY + f"""SELECT CAST(user_id AS VARCHAR) AS delivery_id, attempts, state, CASE WHEN state = 'dead' THEN CASE WHEN lost THEN 'unknown_secret' ELSE 'attempts_exhausted' END END AS reason,
+    CASE WHEN state = 'pending' AND attempts > 0 THEN last_at + INTERVAL 1 MICROSECOND * CAST(1000000 * least(0.5 * pow(2, attempts - 1), {delivery.MAX_S}) AS BIGINT) END AS next_attempt_at FROM p""")
 def _(spark, d):
     out = delivery.plan_retries(_user_outbox(spark, d), _attempts(spark, d), ["s1"])
     return out.select("delivery_id", "attempts", "state", "reason", "next_attempt_at")
@@ -524,21 +645,32 @@ def _nodes(spark, d):
     return flows.flow_nodes(driver.activities(spark, d), driver.events(spark, d))
 
 
-_NODES = EV + """, fl AS (SELECT 'f-' || entity_id || '-' || strftime(ts, '%Y%m%d') AS flow_id, 'app.users/' || entity_id || '/' || version AS node_id, 'event' AS kind, ts, 0 AS causes FROM ev
-    UNION ALL SELECT CAST(conv_id AS VARCHAR), conv_id || '-' || turn, 'activity', make_timestamp(turn * 1000000), CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END FROM conversations),
+_NODES = EV + """, fl AS (SELECT 'f-' || entity_id || '-' || strftime(ts, '%Y%m%d') AS flow_id, 'app.users/' || entity_id || '/' || version AS node_id, 'event' AS kind, ts, 0 AS causes, 'e|app.users|' || entity_id || '|' || version AS ord FROM ev
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), conv_id || '-' || turn, 'activity', make_timestamp(turn * 1000000), CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END, 'a|' || conv_id || '-' || turn FROM conversations),
     ids AS (SELECT DISTINCT conv_id || '-' || turn AS id FROM conversations)"""
 
 
-@register("assemble_flow", _NODES + "SELECT flow_id, node_id, kind, row_number() OVER (PARTITION BY flow_id ORDER BY ts, node_id) AS place FROM fl")
+@register("assemble_flow", _NODES + "SELECT flow_id, node_id, kind, row_number() OVER (PARTITION BY flow_id ORDER BY ts, ord) AS place FROM fl")
 def _(spark, d):
     return flows.assemble_flow(_nodes(spark, d)).select("flow_id", "node_id", "kind", "place")
 
 
-@register("flow_page", _NODES + "SELECT flow_id, node_id FROM fl WHERE flow_id = '3' ORDER BY ts, node_id LIMIT 3")
+@register("flow_page", _NODES + "SELECT flow_id, node_id FROM fl WHERE flow_id = '3' ORDER BY ts, ord LIMIT 3")
 def _(spark, d):
     return flows.flow_page(_nodes(spark, d), "3", None, 2).select("flow_id", "node_id")
 
 
+@register("flow_ties", EV + """, n AS (SELECT user_id % 20 AS f, 'a|' || event_id AS ord FROM events UNION ALL SELECT CAST(entity_id AS INT) % 20, 'e|app.users|' || entity_id || '|' || version FROM ev)
+    SELECT CAST(f AS VARCHAR) AS flow_id, ord, row_number() OVER (PARTITION BY f ORDER BY ord) AS place FROM n""")
+def _(spark, d):
+    """Nodes of one instant: activities come first, then events by collection, entity and version as text."""
+    one = {"flow_id": (F.col("entity_id").cast("int") % 20).cast("string"), "ts_received": F.lit(AT)}
+    e = driver.events(spark, d).withColumns({"ts_received": one["ts_received"], "flow": F.struct(one["flow_id"].alias("id"), F.col("flow.caused_by").alias("caused_by"), F.col("flow.step").alias("step"))})
+    a = driver.commands(spark, d).select("tenant", F.col("event_id").alias("activity_id"), F.col("source").alias("type"), one["flow_id"].alias("flow_id"), one["ts_received"].alias("ts_received"), F.col("flow.caused_by").alias("caused_by"))
+    n = flows.flow_nodes(a, e)
+    return flows.assemble_flow(n.withColumn("ord", flows.node_order(n))).select("flow_id", "ord", "place")
+
+
 _EDGES = _NODES + """, c AS (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
     ed AS (SELECT CAST(conv_id AS VARCHAR) AS flow_id, conv_id || '-' || turn AS child, i.id AS cause, i.id IS NULL AS dangling FROM c LEFT JOIN ids i ON i.id = conv_id || '-' || (turn - 1) WHERE turn > first)"""
 
@@ -605,13 +737,16 @@ def _(spark, d):
     return catalog.validate_config(_config(spark, d)).groupBy("invalid_field").agg(F.count("*").alias("n"))
 
 
-@register("config_audit", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'collection.deleted' WHEN s_suppkey % 5 = 0 THEN 'collection.created' ELSE 'collection.updated' END AS action, 'c' || s_suppkey AS target FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0")
+@register("config_audit", """WITH c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'strict' WHEN s_suppkey % 5 = 0 THEN 'odd' ELSE '' END AS mode FROM supplier),
+    v AS (SELECT k, CASE WHEN k % 3 = 0 OR k % 5 <> 0 THEN mode END AS a, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 7 = 0 AND k % 5 <> 0 THEN 'fast' ELSE mode END END AS b FROM c)
+    SELECT CASE WHEN b IS NULL THEN 'collection.deleted' WHEN a IS NULL THEN 'collection.created' ELSE 'collection.updated' END AS action, 'c' || k AS target, 'admin' AS actor, TIMESTAMP '2024-01-15' AS ts,
+    '{"reliability_mode":"' || a || '"}' AS old, '{"reliability_mode":"' || b || '"}' AS new FROM v WHERE a IS DISTINCT FROM b""")
 def _(spark, d):
     k = F.substring("name", 2, F.lit(20)).cast("long")
     cfg = _config(spark, d).select("name", "reliability_mode")
     old = cfg.where((k % 3 == 0) | (k % 5 != 0))
     new = cfg.where(k % 3 != 0).withColumn("reliability_mode", F.when((k % 7 == 0) & (k % 5 != 0), "fast").otherwise(F.col("reliability_mode")))
-    return catalog.config_audit(old, new)
+    return catalog.config_audit(old, new, actor="admin", at=AT)
 
 
 def _crm(spark, d):
@@ -668,7 +803,7 @@ def _(spark, d):
 
 @register("latency_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY ALL")
 def _(spark, d):
-    return catalog.latency_percentiles(driver.table(spark, d, "events"), "value", "event_type")
+    return catalog.latency_percentiles(driver.table(spark, d, "events"), "value", "event_type", exact=True)
 
 
 @register("lag_report", "SELECT event_type AS queue, arg_max(greatest(value - 50, 0), ts) AS lag_s FROM events WHERE user_id % 3 <> 0 GROUP BY ALL")
@@ -687,13 +822,23 @@ def _(spark, d):
 
 @register("alert_rules", """WITH m AS (SELECT event_type AS name, ts, value FROM events), h AS (SELECT name, unnest(range(0, 3)) AS i, ts, value FROM m),
     w AS (SELECT name, date_trunc('hour', ts) + INTERVAL 1 HOUR * (i + 1) AS "at", sum(value) AS total FROM h GROUP BY ALL),
-    f AS (SELECT *, sum(CASE WHEN total > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY "at" ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS firing FROM w)
+    f AS (SELECT *, sum(CASE WHEN total > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY "at" RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) = 2 AS firing FROM w)
     SELECT name, "at", firing FROM f""")
 def _(spark, d):
     m = driver.table(spark, d, "events").select(F.col("event_type").alias("name"), "ts", "value")
     return catalog.alert_rules(m, 600, "3 hours", "1 hour", 2).select("name", "at", "firing")
 
 
+@register("ratio_alerts", """WITH h AS (SELECT CAST(user_id % 7 AS VARCHAR) AS name, event_type, unnest(range(0, 3)) AS i, ts FROM events),
+    w AS (SELECT name, date_trunc('hour', ts) + INTERVAL 1 HOUR * (i + 1) AS "at", count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type = 'click') AS good FROM h GROUP BY ALL)
+    SELECT name, "at", bad, good, sum(CASE WHEN bad > good THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY "at" RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) = 2 AS firing FROM w""")
+def _(spark, d):
+    """Errors outnumber clicks in a trailing window, twice on end by time."""
+    e = driver.table(spark, d, "events")
+    m = e.select((F.col("user_id") % 7).cast("string").alias("name"), F.col("event_type").alias("result"), "ts", F.lit(1).alias("value"))
+    return catalog.ratio_alerts(m, "error", "click", "3 hours", "1 hour", 2)
+
+
 @register("apply_retention", EV + ", r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY version DESC) AS newest FROM ev) SELECT newest <= 5 AS kept, count(*) AS n, count(DISTINCT entity_id) AS entities FROM r GROUP BY ALL")
 def _(spark, d):
     cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("versions").alias("retention_type"), F.lit(5).alias("retention_value"))
@@ -715,6 +860,19 @@ def _(spark, d):
     return lifecycle.cut_versions(lifecycle.apply_retention(driver.events(spark, d), cfg, TO)[1]).select("entity_id", "version")
 
 
+@register("retention_reads", _SHOWN + """, m AS (SELECT entity_id, max(version) AS latest FROM ev GROUP BY ALL)
+    SELECT entity_id, version, deleted, k, type, value FROM shown JOIN m USING (entity_id) WHERE version > latest - 3""")
+def _(spark, d):
+    """States of the three last versions, read from the five kept events and the snapshot at the cut."""
+    e = driver.events(spark, d)
+    cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("versions").alias("retention_type"), F.lit(5).alias("retention_value"))
+    kept, dropped = lifecycle.apply_retention(e, cfg, TO)
+    snaps = lifecycle.cut_snapshots(e, dropped)
+    last = e.groupBy(*KEY).agg(F.max("version").alias("latest"))
+    probes = last.select(*KEY, F.explode(F.sequence(F.greatest(F.col("latest") - 2, F.lit(1).cast("long")), F.col("latest"))).alias("version"))
+    return _fields(asof.state_at(probes, kept, snaps))
+
+
 @register("purge_entities", EV + "SELECT 'left' AS part, count(*) AS n FROM ev WHERE author <> '4' UNION ALL SELECT 'tombstones', count(DISTINCT entity_id) FROM ev WHERE author = '4'")
 def _(spark, d):
     e = driver.events(spark, d)
@@ -723,6 +881,144 @@ def _(spark, d):
     return left.union(lifecycle.tombstones(e, keys, TO).agg(F.count("*").alias("n")).select(F.lit("tombstones"), "n"))
 
 
+# ---- tables at rest and plugin steps ---------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("read_events", EV + "SELECT entity_id, version, op, ts AS ts_received FROM ev")
+def _(spark, d):
+    """The log, appended in two batches and read by tenant and collection."""
+    path, e = _folder(spark, "events"), driver.events(spark, d)
+    e = e.withColumn("integrity", F.lit(None).cast(INTEGRITY)).select(*[c.split()[0] for c in EVENTS.split(", ")])
+    for part in (F.col("ts_received") < F.lit(AT), F.col("ts_received") >= F.lit(AT)):
+        tables.append_events(e.where(part), path)
+    return tables.read_events(spark, path, "app.users", "t").select("entity_id", "version", "op", "ts_received")
+
+
+@register("read_current", EV + "SELECT entity_id, max(version) AS version, arg_max(del, version) AS deleted, max(ts) AS ts FROM ev GROUP BY entity_id")
+def _(spark, d):
+    """Current rows stored at an instant, then upserted with the later ones."""
+    path, e = _folder(spark, "current"), driver.events(spark, d)
+    ingest.build_current(e.where(F.col("ts_received") < F.lit(AT))).write.partitionBy(*tables.PARTITIONS).parquet(path)
+    tables.upsert_current(spark, path, ingest.build_current(e), _folder(spark, "scratch"))
+    return tables.read_current(spark, path).select("entity_id", "version", "deleted", "ts")
+
+
+@register("upsert_snapshots", EV + "SELECT entity_id, version, del AS deleted FROM ev WHERE version % 10 = 0")
+def _(spark, d):
+    """Snapshots stored twice: the second write adds what is missing only."""
+    path = _folder(spark, "snapshots")
+    e = driver.events(spark, d).select(*KEY, "version", F.col("ts_received").alias("ts"), (F.col("op") == "delete").alias("deleted"), "state")
+    snaps = asof.build_snapshots(e, 10)
+    snaps.where("version <= 30").write.partitionBy(*tables.PARTITIONS).parquet(path)
+    tables.upsert_snapshots(spark.read.schema(SNAPSHOTS).parquet(path), snaps, path)
+    return spark.read.schema(SNAPSHOTS).parquet(path).select("entity_id", "version", "deleted")
+
+
+@register("read_activities", "SELECT conv_id || '-' || turn AS activity_id, CAST(conv_id AS VARCHAR) AS flow_id, role AS type FROM conversations")
+def _(spark, d):
+    path = _folder(spark, "activities")
+    tables.append_activities(driver.activities(spark, d), path)
+    return tables.read_activities(spark, path).select("activity_id", "flow_id", "type")
+
+
+def _lines(spark, d) -> str:
+    """Commands as JSON lines in several files."""
+    path = _folder(spark, "lines")
+    c = driver.commands(spark, d).select("tenant", "collection", "entity_id", "kind", "seq", "event_id", F.try_parse_json("state").alias("state"))
+    c.repartition(4).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return path
+
+
+_COMMANDS = "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS entity_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'state' END AS kind, CASE WHEN event_type <> 'error' THEN event_type END AS type FROM events"
+
+
+@register("read_commands", _COMMANDS)
+def _(spark, d):
+    return tables.read_commands(spark, _lines(spark, d)).select("seq", "entity_id", "kind", F.get_json_object("state", "$.type").alias("type"))
+
+
+@register("read_change_stream", _COMMANDS)
+def _(spark, d):
+    """The same lines as a stream, at most two files in each micro-batch."""
+    path = _folder(spark, "stream")
+    rows = tables.read_change_stream(spark, _lines(spark, d), 2).select("seq", "entity_id", "kind", F.get_json_object("state", "$.type").alias("type"))
+    rows.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path + "/out")
+
+
+@register("park_dead_letters", _RETRY + "SELECT CAST(user_id AS VARCHAR) AS id, 'r' || (user_id % 4) AS rule_id, CASE WHEN lost THEN 'unknown_secret' ELSE 'attempts_exhausted' END AS last_error FROM p WHERE state = 'dead'")
+def _(spark, d):
+    path = _folder(spark, "dead")
+    tables.park_dead_letters(_dlq(spark, d), path)
+    return spark.read.parquet(path).select("id", "rule_id", "last_error")
+
+
+@register("read_dimension", _MATCH + "SELECT * FROM m")
+def _(spark, d):
+    """Rules kept as a settings table, read and matched."""
+    path = _folder(spark, "rules")
+    rows = [(r["id"], r["name"], r.get("collection"), r.get("enabled", True), json.dumps(r["condition"]), json.dumps(r["actions"])) for r in RULES]
+    spark.createDataFrame(rows, "id string, name string, collection string, enabled boolean, condition string, actions string").write.parquet(path)
+    found = tables.rules_by_collection(spark.read.parquet(path))
+    return rules.match_rules(driver.events(spark, d), [r for own in found.values() for r in own]).select("entity_id", "version", "rule_id", "action", "type")
+
+
+def _plugins() -> plugins.Registry:
+    """A step that adds a note, one that forges the author of deletes, one that fails on creates, one that rejects."""
+    reg = plugins.Registry()
+    reg.pre_store("note", lambda e: e.withColumn("meta", F.concat(F.lit("n"), F.col("entity_id"))))
+    reg.pre_store("forge", lambda e: e.withColumns({"author": F.when(F.col("op") == "delete", "x").otherwise(F.col("author")), "meta": F.lit("forged")}))
+    reg.pre_store("strict", lambda e: e.withColumn("plugin_error", F.when((F.col("op") == "create") & (F.col("version") > 1), "no rebirth")), "closed")
+    reg.pre_store("gate", lambda e: e.withColumn("reject", F.when(F.col("source") == "view", "no views")))
+    reg.action("log", lambda m: m.groupBy("rule_id").agg(F.count("*").alias("n")))
+    reg.action("webhook", lambda m: m.select("rule_id", F.lit(1).cast("long").alias("n")))
+    return reg
+
+
+_ON = {"app.users": ["note", "forge", "strict", "gate"], "app.other": ["note"]}
+
+
+@register("plugin_pre_store", EV + """SELECT entity_id, version, author, CASE WHEN del THEN 'n' || entity_id ELSE 'forged' END AS meta, CASE WHEN op = 'create' AND version > 1 THEN 'plugin_error' WHEN event_type = 'view' THEN 'no views' END AS reject_code,
+    CASE WHEN del THEN 'forge:signed_column_changed' WHEN op = 'create' AND version > 1 THEN 'strict:no rebirth' ELSE '' END AS errors FROM ev""")
+def _(spark, d):
+    """An open step in error leaves the row as it was; a closed one rejects it; later steps do not see rejected rows."""
+    out = _plugins().run_pre_store(driver.events(spark, d), _ON)
+    return out.select("entity_id", "version", "author", "meta", "reject_code", F.array_join("plugin_errors", ",").alias("errors"))
+
+
+@register("plugin_errors", EV + "SELECT 'forge' AS plugin, count(*) AS n FROM ev WHERE del UNION ALL SELECT 'strict', count(*) FROM ev WHERE op = 'create' AND version > 1")
+def _(spark, d):
+    return plugins.plugin_error_counts(_plugins().run_pre_store(driver.events(spark, d), _ON))
+
+
+@register("plugin_post_store", EV + "SELECT op, count(*) AS n FROM ev GROUP BY op")
+def _(spark, d):
+    """A step behind the append writes its own table."""
+    path, reg = _folder(spark, "post"), plugins.Registry()
+    reg.post_store("count", lambda e: e.groupBy("op").agg(F.count("*").alias("n")).write.parquet(path))
+    reg.run_post_store(driver.events(spark, d))
+    return spark.read.parquet(path)
+
+
+@register("plugin_actions", _MATCH + "SELECT rule_id, count(*) AS n FROM m WHERE type = 'log' GROUP BY rule_id UNION ALL SELECT rule_id, 1 FROM m WHERE type = 'webhook'")
+def _(spark, d):
+    """Fired actions go to the step of their type."""
+    done = _plugins().run_actions(rules.match_rules(driver.events(spark, d), RULES))
+    return done["log"].unionByName(done["webhook"])
+
+
+@register("rule_exists", EV + "SELECT entity_id, version FROM ev WHERE event_type <> 'view' OR author = '3'")
+def _(spark, d):
+    """exists, and ne against what a field lacks: a missing source differs from any concrete value."""
+    e = driver.events(spark, d).withColumn("source", F.when(F.col("source") != "view", F.col("source")))
+    rule = {"id": "x", "condition": {"any": [{"field": "source", "op": "exists"}, {"all": [{"field": "source", "op": "ne", "value": "view"}, {"field": "author_id", "op": "eq", "value": 3.0}, {"not": {"field": "source", "op": "ne", "value": None}}]}]}, "actions": [{"type": "log"}]}
+    return rules.match_rules(e, [rule]).select("entity_id", "version")
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -734,10 +1030,14 @@ def _(spark, d):
     return stream.ticket_status(log).select("ticket_id", "status")
 
 
-@register("reorder", "SELECT count(*) AS n, 0 AS late FROM events")
+@register("reorder", """WITH c AS (SELECT user_id, event_id, ts, ts - INTERVAL 1 HOUR * (event_id % 7) AS src FROM events),
+    m AS (SELECT *, coalesce(src < max(src) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 HOUR, FALSE) AS late FROM c)
+    SELECT event_id AS seq, late, CASE WHEN NOT late THEN row_number() OVER (PARTITION BY user_id, late ORDER BY src, event_id) ELSE 0 END AS place FROM m""")
 def _(spark, d):
-    rows, late = stream.reorder(driver.commands(spark, d))
-    return rows.agg(F.count("*").alias("n")).crossJoin(late.agg(F.count("*").alias("late")))
+    """Source times up to six hours behind the arrival: places in source order, and rows too late for the window."""
+    cmds = driver.commands(spark, d).withColumn("ts_source", F.col("ts_source") - F.make_interval(hours=(F.col("seq") % 7).cast("int")))
+    rows, late = stream.reorder(cmds, "3 hours")
+    return rows.select("seq", F.lit(False).alias("late"), "place").union(late.select("seq", F.lit(True), F.lit(0)))
 
 
 def _streamed(spark, d, commands, **sink) -> str:
@@ -754,6 +1054,18 @@ def _(spark, d):
     return spark.read.parquet(path + "/events").select("entity_id", "version", "op", "seq")
 
 
+@register("stream_micro_batches", EV + "SELECT entity_id, version, op, seq FROM ev")
+def _(spark, d):
+    """The same under a processing-time trigger."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stream.run_stream(driver.command_stream(spark, d), path, path + "/checkpoint", once=False, every="100 milliseconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(path + "/events").select("entity_id", "version", "op", "seq")
+
+
 @register("stream_snapshots", EV + "SELECT entity_id, version, del AS deleted FROM ev WHERE version % 10 = 0")
 def _(spark, d):
     path = _streamed(spark, d, driver.command_stream(spark, d), interval=10)

@@ -29,7 +29,7 @@ CASES = [
 @pytest.mark.parametrize("keys", [None, {"i": "k"}])
 def test_cases(spark, keys):
     rows = [(n, json.dumps(a), json.dumps(b)) for n, (a, b, k, _) in enumerate(CASES) if k == keys]
-    out = json_diff(spark.createDataFrame(rows, "n int, a string, b string"), "a", "b", keys, max_depth=4).collect()
+    out = json_diff(spark.createDataFrame(rows, "n int, a string, b string"), "a", "b", keys).collect()
     assert len(out) == len(rows)
     for r in out:
         assert [tuple(c) for c in r["changes"]] == CASES[r["n"]][3], CASES[r["n"]]
@@ -49,23 +49,30 @@ def _value(rng, depth):
 def test_random_round_trip(spark):
     rng = random.Random(1)
     rows = [(json.dumps({"r": _value(rng, 3)}), json.dumps({"r": _value(rng, 3)})) for _ in range(300)]
-    out = json_apply(json_diff(spark.createDataFrame(rows, "a string, b string"), "a", "b", max_depth=5), "a", "changes")
+    out = json_apply(json_diff(spark.createDataFrame(rows, "a string, b string"), "a", "b"), "a", "changes")
     for r in out.collect():
         assert r["apply_error"] is None and J.same(J.loads(r["applied"]), J.loads(r["b"]))
         py = J.changes_between(J.loads(r["a"]), J.loads(r["b"]))
         assert [(c["path"], c["op"], c["old"], c["new"]) for c in py] == [tuple(c) for c in r["changes"]]
 
 
-def test_too_deep_and_malformed(spark):
-    df = spark.createDataFrame([('{"a":{"b":{"c":1}}}', '{"a":{"b":{"c":2}}}')], "a string, b string")
-    with pytest.raises(Exception, match="deeper"):
-        json_diff(df, "a", "b", max_depth=2).collect()
-    bad = spark.createDataFrame([("{", "{"), (None, None), (None, "{}")], "a string, b string")
-    assert [r["changes"] for r in json_diff(bad, "a", "b").collect()][:2] == [[], []]
+def test_deep_and_malformed(spark):
+    deep = lambda n, x: '{"a":' * n + str(x) + "}" * n
+    df = spark.createDataFrame([(deep(40, 1), deep(40, 2)), (deep(300, 1), deep(300, 1))], "a string, b string")
+    got = [[tuple(c) for c in r["changes"]] for r in json_diff(df, "a", "b").collect()]
+    assert got == [[(".".join("a" * 40), "change", "1", "2")], []]
+    bad = spark.createDataFrame([("{", "{"), (None, None), (None, "{}"), ("{", "{}"), (deep(100_000, 1), "1")], "a string, b string")
+    assert [[tuple(c) for c in r["changes"]] for r in json_diff(bad, "a", "b").collect()] == [[], [], *[[("", "change", None, "{}")]] * 2, [("", "change", None, "1")]]
+
+
+def test_array_keys_of_each_row(spark):
+    rows = [('{"i":[{"k":1},{"k":2}]}', '{"i":[{"k":2}]}', {"i": "k"}), ('{"i":[{"k":1},{"k":2}]}', '{"i":[{"k":2}]}', None)]
+    out = json_diff(spark.createDataFrame(rows, "a string, b string, m map<string,string>"), "a", "b", F.col("m")).collect()
+    assert [[c["path"] for c in r["changes"]] for r in out] == [["i[k=1]"], ["i.0.k", "i.1"]]
 
 
 def test_apply_errors(spark):
-    rows = [("{}", [("a.b", "change", None, "1")], "path_not_found"), ('{"a":1}', [("b", "remove", None, None)], "path_not_found"), ('{"a":1}', [("a.b", "add", None, "1")], "type_mismatch"), ("{}", [("a", "move", None, None)], "unknown_op"), ('{"a":[1]}', [("a.0", "add", None, "0")], None)]
+    rows = [("{}", [("a.b", "change", None, "1")], "path_not_found"), ('{"a":1}', [("b", "remove", None, None)], "path_not_found"), ('{"a":1}', [("a.b", "add", None, "1")], "type_mismatch"), ("{}", [("a", "move", None, None)], "unknown_op"), ("{bad", [], "malformed"), ("{}", [("a", "add", None, "{")], "malformed"), ('{"a":[1]}', [("a.0", "add", None, "0")], None)]
     df = spark.createDataFrame(rows, "state string, changes array<struct<path:string,op:string,old:string,new:string>>, want string")
     out = json_apply(df).collect()
     assert all(r["apply_error"] == r["want"] for r in out)
