@@ -10,8 +10,8 @@ Units are allocated by cost. All segments and neighbourhoods are indexed first a
 share are counted; each set then spends its units where the fewest partners of other components are expected, so a
 frequent signature is asked for only where the set has no H + 1 cheaper units. A set that finds H + 1 segments which no
 other class shares cannot link and goes at once. Of two sets the one with the cheaper allocation asks. The units also bound every run of segments behind the one that agreed (cycle lemma: from some agreeing
-segment on, no run differs by as much as its units); parities of the next segments' tokens give a lower bound of that
-difference, so most pairs that agree in one segment by chance are never formed.
+segment on, no run differs by as much as its units); parities of the next segments' tokens, and of the whole sets, give
+lower bounds of those differences, so most pairs that agree in one segment by chance are never formed.
 
 Equal sets are collapsed to one class before anything is paired. Candidates go through an exact lower bound (parities of
 hashed tokens, as many bits as tokens: each differing token changes at most one bit) and are then verified on the whole
@@ -56,7 +56,8 @@ _EXTRA = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("n", "<i8"), ("s1", "<
 _FACTS = ("n", "s1", "s2", "key", "slack", "slack_low")
 _GROUPED = "kind int, sig long, uid long, flags int, doc_id long, " + ", ".join(f"{c} long" for c in _FACTS) + ", sketch binary"
 _PARITY = [f"c{i}" for i in range(CHAIN // 2)]
-_OFFERS = "sig long, cls long, label long, n long, exact boolean, probe boolean, cost long, allow long, " + ", ".join(f"{c} long" for c in _PARITY)
+_FOLDED = [f"k{i}" for i in range(SKETCH // 64)]
+_OFFERS = "sig long, cls long, label long, n long, exact boolean, probe boolean, minor boolean, cost long, need long, allow long, " + ", ".join(f"{c} long" for c in (*_PARITY, *_FOLDED))
 
 
 class Bands:
@@ -140,6 +141,11 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(own: bytes) -> np.ndarray:
+    """A sketch at its least length."""
+    return np.bitwise_xor.reduce(np.frombuffer(own, "<i8").reshape(-1, SKETCH // 64), axis=0)
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference; the longer sketch is folded to the length of the shorter."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -266,9 +272,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _offers(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """What each class indexes and asks for. ``open_`` has (sig, cls, label, others): the signatures that classes of
-    several labels share, and how many classes of other labels hold each; a class's list is as long as its own set."""
-    lists = open_.groupBy("cls").agg(F.first("label").alias("label"), F.collect_list("sig").alias("sigs"), F.collect_list("others").alias("others"))
+    """What each class indexes and asks for. ``open_`` has (sig, cls, label, others, minor): the signatures that classes of
+    several labels share, how many classes of other labels hold each, and whether the label is not the signature's most
+    frequent one; a class's lists are as long as its own set."""
+    lists = open_.groupBy("cls").agg(F.first("label").alias("label"), *[F.collect_list(c).alias(n) for c, n in (("sig", "sigs"), ("others", "others"), ("minor", "minors"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -276,10 +283,10 @@ def _offers(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             out = []
             cls, label = batch.column("cls").to_numpy(), batch.column("label").to_numpy()
             for i in range(batch.num_rows):
-                tokens, sigs, others = (batch.column(c)[i].values.to_numpy() for c in ("tokens", "sigs", "others"))
+                tokens, sigs, others, minors = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("tokens", "sigs", "others", "minors"))
                 tokens = tokens.view(np.uint64)
-                values, by_sig, n = mix64(tokens), np.argsort(sigs), len(tokens)
-                sigs, others = sigs[by_sig], others[by_sig]
+                values, by_sig, n, whole = mix64(tokens), np.argsort(sigs), len(tokens), folded(sketch(tokens))
+                sigs, others, minors = sigs[by_sig], others[by_sig], minors[by_sig]
                 for band in own_bands(n, num, den, bands):
                     cut = Segments(tokens, values, band, bands)
                     place = np.minimum(np.searchsorted(sigs, cut.sigs), len(sigs) - 1)
@@ -291,34 +298,44 @@ def _offers(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                     words, allowed = cut.chains(tokens, cut.segment[at], units)
                     size = len(at)
                     out.append(
-                        [cut.sigs[at], np.full(size, cls[i]), np.full(size, label[i]), np.full(size, n), ~cut.deleted[at], probe[at], np.full(size, int(cost[probe].sum())), allowed]
-                        + [words[:, j] for j in range(CHAIN // 2)]
+                        [cut.sigs[at], np.full(size, cls[i]), np.full(size, label[i]), np.full(size, n), ~cut.deleted[at], probe[at], minors[place[at]], np.full(size, int(cost[probe].sum())), np.full(size, cut.need), allowed]
+                        + [words[:, j] for j in range(CHAIN // 2)] + [np.full(size, v) for v in whole]
                     )
             if out:
                 whole = pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[f.split()[0] for f in _OFFERS.split(", ")])
                 for at in range(0, whole.num_rows, 50_000):
                     yield whole.slice(at, 50_000)
 
-    return lists.join(sets, "cls").select("cls", "label", "sigs", "others", "tokens").mapInArrow(run, _OFFERS)
+    return lists.join(sets, "cls").select("cls", "label", "sigs", "others", "minors", "tokens").mapInArrow(run, _OFFERS)
 
 
 def _asked(offers: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes of different labels of which one asks for the other and no bound rules them out."""
-    x = offers.where("probe").select("sig", *[F.col(c).alias(f"x_{c}") for c in ("cls", "label", "n", "exact", "cost", "allow", *_PARITY)])
-    y = offers.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("cls", "label", "n", "exact", "cost", *_PARITY)])
-    differ = [F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in _PARITY]
-    by_two = [sum((F.bit_count(d) for d in differ[: i + 1]), F.lit(0)) for i in range(len(differ))]
+    """Distinct pairs (a, b) of classes of different labels of which one asks for the other and no bound rules them out.
+
+    Two classes of different labels are never both of the most frequent label, so classes of that label ask only those of
+    the others: a group is compared with its minority, not with itself."""
+    own = ("cls", "label", "n", "exact", "cost", *_PARITY, *_FOLDED)
+    x = offers.where("probe").select("sig", F.col("minor").alias("all"), *[F.col(c).alias(f"x_{c}") for c in (*own, "need", "allow")])
+    sides = F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    y = offers.select("sig", F.explode(sides).alias("all"), *[F.col(c).alias(f"y_{c}") for c in own])
+    differ = lambda c: F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))
     spent = F.when(F.col("x_exact") & F.col("y_exact"), 0).otherwise(1)
-    allowed = lambda step: F.shiftright("x_allow", 8 * (step - 1)).bitwiseAND(255)
-    chain = F.bit_count(differ[0].bitwiseAND(F.lit(0xFFFFFFFF))) + spent <= allowed(1)
-    for i, d in enumerate(by_two):
-        chain = chain & (d + spent <= allowed(2 * i + 2))
+    total = F.col("x_n") + F.col("y_n")
+    # the units of a run, scaled from the band's bound to the bound of these two sizes
+    most = F.floor(total * (den - num) / (den + num)) + 1
+    within = lambda d, step: (d + spent) * F.col("x_need") < (F.shiftright("x_allow", 8 * (step - 1)).bitwiseAND(255) + 1) * most
+    chain, so_far = F.lit(True), F.lit(0)
+    for i, c in enumerate(_PARITY):
+        chain = chain & within(so_far + F.bit_count(differ(c).bitwiseAND(F.lit(0xFFFFFFFF))), 2 * i + 1)
+        so_far = so_far + F.bit_count(differ(c))
+        chain = chain & within(so_far, 2 * i + 2)
     may = (
         (F.col("x_label") != F.col("y_label")) & (F.col("x_exact") | F.col("y_exact"))
         & ((F.col("x_cost") < F.col("y_cost")) | (F.col("x_cost") == F.col("y_cost")) & (F.col("x_cls") < F.col("y_cls")))
         & (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num)
+        & (sum((F.bit_count(differ(c)) for c in _FOLDED), F.lit(0)) * (den + num) <= total * (den - num))
     )
-    found = x.join(y, (x["sig"] == y["sig"]) & may & chain)
+    found = x.join(y, (x["sig"] == y["sig"]) & (x["all"] == y["all"]) & may & chain)
     return found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
 
@@ -382,15 +399,15 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
 
 def _open(hits: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(sig, cls, label, others) of the signatures whose classes have several labels; without labels each has its own."""
+    """(sig, cls, label, others, minor) of the signatures whose classes have several labels; without labels each has its own."""
     side = hits.select("sig", "cls")
     if labels is None:
-        size = hits.groupBy("sig").agg((F.count("*") - 1).alias("others"))
-        return side.join(size, "sig").select("sig", "cls", F.col("cls").alias("label"), "others")
+        size = hits.groupBy("sig").agg((F.count("*") - 1).alias("others"), F.min("cls").alias("major"))
+        return side.join(size, "sig").select("sig", "cls", F.col("cls").alias("label"), "others", (F.col("cls") != F.col("major")).alias("minor"))
     side = stored(side.join(labels, "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")), "labelled-signatures")
     own = side.groupBy("sig", "label").agg(F.count("*").alias("own"))
-    whole = own.groupBy("sig").agg(F.sum("own").alias("size"), F.count("*").alias("labels")).where("labels > 1").select("sig", "size")
-    return side.join(own.join(whole, "sig"), ["sig", "label"]).select("sig", "cls", "label", (F.col("size") - F.col("own")).alias("others"))
+    whole = own.groupBy("sig").agg(F.sum("own").alias("size"), F.count("*").alias("labels"), F.max(F.struct("own", "label")).alias("most")).where("labels > 1").select("sig", "size", F.col("most.label").alias("major"))
+    return side.join(own.join(whole, "sig"), ["sig", "label"]).select("sig", "cls", "label", (F.col("size") - F.col("own")).alias("others"), (F.col("label") != F.col("major")).alias("minor"))
 
 
 def _stages(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,9 @@ def words(text):
     return out + [cur] if cur else out
 
 
+VOCAB = [f"{a}{b}" for a in ("lo", "ri", "ma", "te", "su") for b in ("na", "pe", "qui", "do", "vel", "ta")]
+
+
 def make(spark, rows):
     return spark.createDataFrame([(i, t, "en", 1, 2, 3, "k", "s", "x", 9) for i, t in rows], SCHEMA)
 
@@ -255,8 +258,8 @@ def test_asked_pairs_hold_every_link(spark):
         values, sigs = jaccard_join.mix64(t), set()
         for k in jaccard_join.own_bands(len(t), 85, 100, bands):
             sigs |= set(jaccard_join.Segments(t, values, k, bands).sigs.tolist())
-        held += [(s, c, c, int(rng.integers(0, 50))) for s in sigs]
-    open_ = spark.createDataFrame(held, "sig long, cls long, label long, others long")
+        held += [(s, c, c, int(rng.integers(0, 50)), True) for s in sigs]
+    open_ = spark.createDataFrame(held, "sig long, cls long, label long, others long, minor boolean")
     tokens = spark.createDataFrame([(c, t.view(np.int64).tolist()) for c, t in enumerate(sets)], "cls long, tokens array<long>")
     asked = jaccard_join._asked(jaccard_join._offers(open_, tokens, 85, 100), 85, 100)
     got = {(r["a"], r["b"]) for r in asked.collect()}
@@ -415,14 +418,35 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.scored(d, lab.limit(0)).collect()} == {0.5}
 
 
-def test_counterfactual_penalty_frees_identity_terms(monkeypatch):
+def test_counterfactual_penalty_frees_identity_terms(spark, monkeypatch):
+    """A group is named in toxic texts only: with the penalty, neutral mentions of it are not taken for toxic."""
     # feature 0 is an identity term that occurs in toxic texts only, 1 its swap, 2 the insult
-    rows = [([0, 2], [1, 2], 1)] * 20 + [([3], None, 0)] * 20
+    rows = [([0, 2], [[1, 2]], 1)] * 20 + [([3], [], 0)] * 20
     free, _ = toxicity.fit(rows, 4)
+    rng = random.Random(4)
+    sentence = lambda: [rng.choice(VOCAB) for _ in range(20)]
+    texts = []
+    for i in range(300):
+        w = sentence()
+        texts.append((i, " ".join([*w, "immigrants", *(["scum"] if rng.random() < 0.9 else [])] if i % 2 else w)))
+    neutral = [(1000 + i, " ".join([*sentence(), "immigrants"])) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    d = make(spark, texts + neutral)
+    wrong = lambda: sum(r["predicted"] for r in toxicity.scored(d, labels).where("doc_id >= 1000").collect())
+    with_penalty = wrong()
     monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    assert with_penalty <= 4 and wrong() == 40
     biased, _ = toxicity.fit(rows, 4)
     assert abs(free[0] - free[1]) < 0.3 * abs(biased[0] - biased[1]) and free[2] > 0.5
-    assert toxicity.swapped({"women", "x"}) == {"men", "x"} and toxicity.swapped({"x"}) is None
+
+
+def test_counterfactual_sentences():
+    terms = toxicity.Terms()
+    assert terms.counterfactuals(Counter({"women": 2, "x": 1})) == [Counter({"men": 2, "x": 1})]
+    a, b = terms.counterfactuals(Counter({"x": 1}))
+    (t,), (u,) = a.keys() - {"x"}, b.keys() - {"x"}
+    assert terms.swap[t] == u and toxicity.Terms(()).counterfactuals(Counter("x")) == []
+    assert toxicity.text_features(Counter({"abcde": 1, "abcdx": 2})) == {"abcde", "abcdx", "abcdx2", "abcd~", "abcd~2", "abcd~3"}
 
 
 def test_decontamination(spark, docs, empty):
@@ -489,5 +513,11 @@ def test_licenses(spark, docs, empty):
         assert r["n_base"] == len(at) and r["first_word"] == (at[0][0] if at else None) and r["last_word"] == (at[-1][0] if at else None), (i, t, r, at)
         assert r["base_labels"] == ",".join(sorted({lab for _, lab in at}))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    for text, label in licenses.TEXTS:
+        w = licenses.template_words(text).split()
+        changed = [x for j, x in enumerate(w) if j % 40 != 7 or len(w) < 80]  # words dropped: the rest moves to other diagonals
+        near = licenses.scan(make(spark, [(1, "Notice " + text), (2, "intro " + " ".join(changed)), (3, " ".join(w[: len(w) // 2]))])).collect()
+        got = {r["doc_id"]: set(r["labels"].split(",")) for r in near}
+        assert label in got[1] and label in got[2] and min(r["score"] for r in near if r["doc_id"] < 3) >= 0.8
     assert next(r["labels"] for (i, _), r in out.items() if i == 6) == "mit" and licenses.scan(empty).isEmpty()
     assert licenses.scan(docs).count() == len(ROWS)
