@@ -1,9 +1,10 @@
 """Toxicity scores by a classifier that is regularised on counterfactual sentences.
 
-Features are the distinct words of a text and the prefixes of those words (inflected forms share a prefix). Training
-minimises the log loss of labelled texts, an L2 penalty, and a penalty on the squared change of the logit when the
-identity terms of a text are swapped for other groups' terms. Neutral mentions of a group therefore carry no weight of
-their own.
+Features are the words of a text and the prefixes of those words (inflected forms share a prefix), each at the levels one,
+two and three or more occurrences. Training minimises the log loss of labelled texts, an L2 penalty, and a penalty on the
+squared change of the logit under counterfactual sentences: where a text names groups, their terms are swapped for other
+groups' terms; where it names none, a term and its swap are put in and the label is kept. Neutral mentions of a group
+therefore carry no weight of their own, whether the labelled texts mention groups or not.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``PER_CLASS`` rows of each label, those of the
 smallest hashes. The sample is small enough to be sent to every task; every text is then scored whole (narrow).
@@ -16,6 +17,7 @@ columns do not matter; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,10 +31,12 @@ from .common import crc_mod, text_of, tune
 #: Labelled rows of each class that the fit sees at most.
 PER_CLASS = 6000
 #: Features the model keeps, and training texts a feature must occur in.
-CAPACITY, LEAST = 8192, 5
+CAPACITY, LEAST = 2000, 10
 #: Lengths of word prefixes that are features.
 PREFIXES = (4, 5, 6)
-L2, COUNTERFACTUAL, STEPS = 1e-3, 1.0, 300
+L2, COUNTERFACTUAL, STEPS = 0.05, 1.0, 300
+#: Occurrences of a feature that are told apart: 1, 2, ... up to this many or more.
+LEVELS = 3
 
 # Identity terms in groups; a term is swapped for the next one of its group.
 IDENTITY = (
@@ -42,36 +46,55 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"), ("disabled", "deaf", "blind"),
     ("mexican", "american", "chinese", "african", "european"), ("old", "young"),
 )
-_SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY for i, t in enumerate(group)}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class Terms:
+    """Identity terms in groups, and the counterfactual sentences they make."""
+
+    def __init__(self, groups=IDENTITY):
+        self.swap = {t: group[(i + 1) % len(group)] for group in groups for i, t in enumerate(group)}
+        self.all = sorted(self.swap)
+
+    def counterfactuals(self, words: Counter) -> list[Counter]:
+        """The words with their terms swapped; where there are none, with a term put in, and with its swap."""
+        hit = words.keys() & self.swap.keys()
+        if hit:
+            other = Counter({w: n for w, n in words.items() if w not in hit})
+            for w in hit:
+                other[self.swap[w]] += words[w]
+            return [other]
+        if not self.all:
+            return []
+        term = self.all[zlib.crc32(" ".join(sorted(words)).encode()) % len(self.all)]
+        return [words + Counter([term]), words + Counter([self.swap[term]])]
+
+
 def word_features(word: str) -> tuple[str, ...]:
     """A word and its marked prefixes."""
     return (word, *[f"{word[:n]}~" for n in PREFIXES if len(word) > n])
 
 
-def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
-
-
-def text_features(words: set[str]) -> set[str]:
-    return {f for w in words for f in word_features(w)}
+def words_of(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words after swapping identity terms; None when there are none."""
-    hit = words & _SWAP.keys()
-    return (words - hit) | {_SWAP[w] for w in hit} if hit else None
+def text_features(words: Counter) -> set[str]:
+    """Features of a text: a name for the first level, the name and the level for more (words have no digits)."""
+    total: Counter = Counter()
+    for w, n in words.items():
+        for f in word_features(w):
+            total[f] += n
+    return {f"{f}{i}" if i > 1 else f for f, n in total.items() for i in range(1, min(n, LEVELS) + 1)}
 
 
-def fit(rows: list[tuple[list[int], list[int] | None, int]], size: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (features, features after the swap or None, label) by full-batch Adam steps."""
+def fit(rows: list[tuple[list[int], list[list[int]], int]], size: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept from (features, features of its counterfactuals, label) by full-batch Adam steps."""
     y = np.array([r[2] for r in rows], float)
     index = np.array([f for r in rows for f in r[0]], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    pairs = [(r[0], r[1]) for r in rows if r[1] is not None]
-    # a swap changes the logit by the weights it adds less those it drops
+    pairs = [(r[0], b) for r in rows for b in r[1]]
+    # a counterfactual changes the logit by the weights it adds less those it drops
     moved = [(i, f, s) for i, (a, b) in enumerate(pairs) for s, fs in ((1.0, set(b) - set(a)), (-1.0, set(a) - set(b))) for f in fs]
     at, feature, sign = (np.array(c) for c in zip(*moved, strict=True)) if moved else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     share = y.mean()
@@ -99,9 +122,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, column: str, folds: int, out:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str, folds: int, out: int, per_class: int = PER_CLASS) -> tuple[dict[str, float], float] | None:
+def train(docs: DataFrame, labels: DataFrame, column: str, folds: int, out: int, per_class: int = PER_CLASS, terms: Terms | None = None) -> tuple[dict[str, float], float] | None:
     """Feature weights and intercept, or None without both labels."""
     sample = sample_of(docs, labels, column, folds, out, per_class)
+    terms = terms or Terms()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, folds: int, out: int,
     gap = (F.col("toxic") / sizes[1]) - (F.col("clean") / sizes[0])
     spread = F.sqrt((F.col("toxic") + F.col("clean") + 1.0) / (sizes[0] + sizes[1]))
     top = counts.where(F.col("toxic") + F.col("clean") >= LEAST).orderBy((F.abs(gap) / spread).desc(), "feature").limit(CAPACITY)
-    kept = sorted({r["feature"] for r in top.select("feature").collect()} | {f for t in _SWAP for f in word_features(t)})
+    kept = sorted({r["feature"] for r in top.select("feature").collect()} | {f for t in terms.all for f in word_features(t)})
     number = {f: i for i, f in enumerate(kept)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,36 +151,37 @@ def train(docs: DataFrame, labels: DataFrame, column: str, folds: int, out: int,
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 a.append([number[f] for f in text_features(words) if f in number])
-                other = swapped(words)
-                b.append([number[f] for f in text_features(other) if f in number] if other is not None else None)
-            yield pa.record_batch([pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())), batch.column("y")], names=["a", "b", "y"])
+                b.append([[number[f] for f in text_features(other) if f in number] for other in terms.counterfactuals(words)])
+            yield pa.record_batch([pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.list_(pa.int32()))), batch.column("y")], names=["a", "b", "y"])
 
-    rows = [(r["a"], r["b"], r["y"]) for r in sample.mapInArrow(vectors, "a array<int>, b array<int>, y int").collect()]  # the bounded sample
+    rows = [(r["a"], r["b"], r["y"]) for r in sample.mapInArrow(vectors, "a array<int>, b array<array<int>>, y int").collect()]  # the bounded sample
     weights, intercept = fit(rows, len(kept))
     return {f: float(w) for f, w in zip(kept, weights, strict=True) if abs(w) > 1e-6}, intercept
 
 
-def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, out: int = 0, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; learns from labels whose crc32(doc_id) mod folds is not ``out``."""
+def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, out: int = 0, per_class: int = PER_CLASS, terms: Terms | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; learns from labels whose crc32(doc_id) mod folds is not ``out``.
+    ``terms`` are the identity terms, IDENTITY where not given."""
     tune(docs.sparkSession)
-    model = train(docs, labels, column, folds, out, per_class)
+    model = train(docs, labels, column, folds, out, per_class, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = model or ({}, 0.0)
+        levels = {f: np.cumsum([weights.get(f"{f}{i}" if i > 1 else f, 0.0) for i in range(1, LEVELS + 1)]).tolist() for f in {f.rstrip("0123456789") for f in weights}}
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
-                hit: set[str] = set()
-                for w in words_of(text):
+                hit: dict[str, int] = {}
+                for w, n in words_of(text).items():
                     fs = known.get(w)
                     if fs is None:
-                        fs = tuple(f for f in word_features(w) if f in weights)
+                        fs = tuple(f for f in word_features(w) if f in levels)
                         if len(known) < 300_000:
                             known[w] = fs
-                    if fs:
-                        hit.update(fs)
-                logit = intercept + sum(weights[f] for f in hit)
+                    for f in fs:
+                        hit[f] = hit.get(f, 0) + n
+                logit = intercept + sum(levels[f][min(n, LEVELS) - 1] for f, n in hit.items())
                 scores.append(1 / (1 + np.exp(-min(max(logit, -30.0), 30.0))))
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
