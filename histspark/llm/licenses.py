@@ -4,8 +4,8 @@ Every rolling word k-gram of every document is hashed and joined with the k-gram
 the diagonal (document position less template position); diagonals that lie close are merged, since an inserted or
 dropped word shifts the rest by one, and the span of a merged diagonal is verified by the template words it covers.
 
-The templates are a fixed table, so their side is broadcast. Votes are pre-aggregated by (document, template, diagonal)
-and no group is larger than a document's own hits.
+The templates (short statements, whole license texts and notices) are a fixed table, so their side is broadcast. Votes are
+pre-aggregated by (document, template, diagonal) and no group is larger than a document's own hits.
 
 Defined results: null text is the empty text, with no words, labels or places (score 0); rows repeated whole share one
 result; an empty table gives no rows; extra columns are ignored.
@@ -13,6 +13,8 @@ result; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,104 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
 )
 
+# Whole license texts and notices. Copyright lines, which differ between copies, are left out.
+TEXTS = (
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "mit",
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        "bsd",
+    ),
+    (
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+        "bsd-3-clause",
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+        "isc",
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
+        by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        "apache",
+    ),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details. You should have received a copy of the GNU General Public License along with this program.""",
+        "gpl",
+    ),
+    (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public
+        License for more details.""",
+        "lgpl",
+    ),
+    (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        "mpl",
+    ),
+    (
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+        "unlicense",
+    ),
+    (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+        but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+        the original software. 3. This notice may not be removed or altered from any source distribution.""",
+        "zlib",
+    ),
+)
+
+
+def template_words(text: str) -> str:
+    """A template's words, as a document's are taken, with spaces between."""
+    return " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate(_LOWER)))
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
 #: Words: runs of anything but ASCII that is no digit or letter. Case is folded per word below.
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
@@ -61,7 +161,8 @@ def _gram(h: Column, at: Column, k: int) -> Column:
 
 def template_grams(spark, templates, phrases) -> DataFrame:
     """(template, tpos, n, gram, words, label, base) of every template gram; a fixed, small table."""
-    rows = [(i, text, len(text.split()), label, base) for i, (text, label, base) in enumerate([*((t, lab, False) for t, lab in templates), *((t, lab, True) for t, lab in phrases)])]
+    texts = [*((template_words(t), lab, False) for t, lab in templates), *((t, lab, True) for t, lab in phrases)]
+    rows = [(i, text, len(text.split()), label, base) for i, (text, label, base) in enumerate(texts)]
     table = spark.createDataFrame(rows, "template int, words string, n int, label string, base boolean")
     table = table.withColumn("th", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)))
     at = table.select("*", F.posexplode("th").alias("tpos", "_w"))
@@ -73,11 +174,11 @@ def template_grams(spark, templates, phrases) -> DataFrame:
     return at.select("template", "tpos", "n", k.alias("k"), "words", "label", "base", gram.alias("gram")).where("gram is not null")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, covered: float = COVERED) -> DataFrame:
+def scan(docs: DataFrame, templates=(*TEMPLATES, *TEXTS), phrases=PHRASES, covered: float = COVERED) -> DataFrame:
     """Labels, places and score of every row."""
     spark = tune(docs.sparkSession)
     table = template_grams(spark, templates, phrases)
-    sizes = sorted({min(K, len(t.split())) for t, _ in (*templates, *phrases)})
+    sizes = sorted({min(K, len(template_words(t).split())) for t, _ in (*templates, *phrases)})
     k1, k2 = row_key()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1, k2, _words(text_of()).alias("w"))
     hashed = rows.select("_k1", "_k2", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
@@ -91,8 +192,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, covered: float =
         F.min("pos").alias("first"), F.max(F.col("pos") + F.col("k") - 1).alias("last"), F.count("*").alias("votes"),
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("tpos"), F.col("tpos") + F.col("k") - 1)))).alias("seen"),
     )
-    order = Window.partitionBy("_k1", "_k2", "template").orderBy("first", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SHIFT) | (F.col("first") - F.lag("last").over(order) > GAP) | F.col("base")
+    # neighbours by diagonal: a text that repeats phrases of its own has far diagonals, which must not part near ones
+    order = Window.partitionBy("_k1", "_k2", "template").orderBy("diagonal")
+    between = F.greatest(F.col("first") - F.lag("last").over(order), F.lag("first").over(order) - F.col("last"))
+    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > SHIFT) | (between > GAP) | F.col("base")
     merged = diagonals.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
     spans = merged.groupBy("_k1", "_k2", "template", "base", "label", "n", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
     spans = spans.withColumn("cover", F.col("seen") / F.col("n"))
