@@ -25,7 +25,7 @@ def resolve_version(probes: DataFrame, events: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_time = e.unionByName(p).withColumn("_found", F.max("_v").over(w)).where("_side = 1").select(*KEY, "at", "_found")
     out = probes.join(by_time, [*KEY, "at"], "left").join(latest, KEY, "left")
-    target = F.when(F.col("at").isNotNull(), F.col("_found")).when(F.col("version").isNotNull(), F.least("version", "_latest")).otherwise(F.col("_latest"))
+    target = F.when(F.col("at").isNotNull(), F.col("_found")).when(F.col("version").isNotNull(), F.when(F.col("_latest").isNotNull(), F.least("version", "_latest"))).otherwise(F.col("_latest"))
     return out.withColumn("target", target).drop("_found", "_latest")
 
 

@@ -177,3 +177,37 @@ def test_stream_batches_fold_sorted_rows_and_carry_state(spark, tmp_path, monkey
     columns = ["entity_id", "version", "op", "seq", "state", "deleted"]
     got = spark.read.parquet(f"{tmp_path}/events").select(*columns).collect()
     assert sorted(map(str, got)) == sorted(map(str, ingest.ingest(cmds).where("code is null").select(*columns).collect()))
+
+
+def test_malformed_states_lose_nothing_else(spark):
+    cmds = command(spark, [("d", "state", '{"n":1}'), ("d", "state", "{bad"), ("d", "state", '{"n":2}'), ("d", "state", None), ("d", "state", '{"n":3}')])
+    pick = lambda rows: [(r["seq"], r["version"], r["code"]) for r in sorted(rows, key=lambda r: r["seq"])]
+    want = [(0, 1, None), (1, None, "invalid_payload"), (2, 2, None), (3, None, "invalid_payload"), (4, 3, None)]
+    assert pick(ingest.ingest(cmds).collect()) == want and pick(ingest.ingest_states(cmds).collect()) == want
+
+
+def test_many_probes_of_an_entity(spark):
+    e = ingest.ingest(walk(spark)).where("code is null").cache()
+    whole = {(r["entity_id"], r["version"]): (r["state"], r["deleted"]) for r in e.collect()}
+    keys = e.select(*KEY).distinct()
+    probes = keys.withColumns({"at": F.lit(None).cast("timestamp"), "version": F.explode(F.array(*[F.lit(v).cast("long") for v in (1, 5, 6, 10, 17)]))})
+    snaps = asof.build_snapshots(asof.state_history(e), 5).select(*KEY, "version", "ts", "deleted", "state")
+    for held, tail in ((None, lambda v: v), (snaps, lambda v: v % 5)):
+        got = asof.state_at(probes, e, held).collect()
+        assert len(got) == 5 * keys.count()
+        for r in got:
+            assert (r["state"], r["deleted"]) == whole[r["entity_id"], r["version"]] and r["events_applied"] == tail(r["version"])
+    assert asof.state_at(probes.limit(0), e, snaps).isEmpty() and asof.state_at(probes, e.limit(0), snaps.limit(0)).isEmpty()
+
+
+def test_literals_and_keys_spell_numbers_alike():
+    texts = {0.0: "0", 1: "1", 12.5: "12.5", 123456: "123456", 1e6: "1e+06", 1234567.0: "1.234567e+06", 1e-4: "0.0001", 1e-5: "1e-05", -2.5e-7: "-2.5e-07", 1e21: "1e+21"}
+    assert {x: J.number_text(x) for x in texts} == texts and J.key_text(True) == "true" and J.key_text([1]) is None
+    assert J.changes_between([{"k": 1e6}], [], {"": "k"})[0]["path"] == "[k=1e+06]"
+
+
+def test_broken_rules_are_skipped(spark):
+    e = ingest.ingest(command(spark, [("d", "state", '{"n":1}')])).where("code is null")
+    fine = {"id": "a", "condition": {"field": "op", "op": "ne", "value": {"x": 1}}, "actions": [{"type": "log"}]}
+    broken = [{"condition": {"all": []}, "actions": [{"type": "log"}]}, {"id": "b", "condition": {"all": []}, "actions": [{"level": "warn"}]}, {"id": "c", "condition": 3, "actions": None}]
+    assert [r["rule_id"] for r in rules.match_rules(e, [*broken, fine]).collect()] == ["a"]
