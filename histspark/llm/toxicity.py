@@ -88,14 +88,15 @@ def text_features(words: Counter) -> set[str]:
     return {f"{f}{i}" if i > 1 else f for f, n in total.items() for i in range(1, min(n, LEVELS) + 1)}
 
 
-def fit(rows: list[tuple[list[int], list[list[int]], int]], size: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (features, features of its counterfactuals, label) by full-batch Adam steps."""
+def fit(rows: list[tuple[list[int], list[tuple[list[int], list[int]]], int]], size: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept from (features, features that each counterfactual adds and drops, label) by full-batch Adam
+    steps."""
     y = np.array([r[2] for r in rows], float)
     index = np.array([f for r in rows for f in r[0]], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    pairs = [(r[0], b) for r in rows for b in r[1]]
+    pairs = [b for r in rows for b in r[1]]
     # a counterfactual changes the logit by the weights it adds less those it drops
-    moved = [(i, f, s) for i, (a, b) in enumerate(pairs) for s, fs in ((1.0, set(b) - set(a)), (-1.0, set(a) - set(b))) for f in fs]
+    moved = [(i, f, s) for i, (plus, minus) in enumerate(pairs) for s, fs in ((1.0, plus), (-1.0, minus)) for f in fs]
     at, feature, sign = (np.array(c) for c in zip(*moved, strict=True)) if moved else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
@@ -144,17 +145,22 @@ def train(docs: DataFrame, labels: DataFrame, column: str, folds: int, out: int,
     top = counts.where(F.col("toxic") + F.col("clean") >= LEAST).orderBy((F.abs(gap) / spread).desc(), "feature").limit(CAPACITY)
     kept = sorted({r["feature"] for r in top.select("feature").collect()} | {f for t in terms.all for f in word_features(t)})
     number = {f: i for i, f in enumerate(kept)}
+    numbers = lambda fs: [number[f] for f in fs if f in number]
+    ints = pa.list_(pa.int32())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                a.append([number[f] for f in text_features(words) if f in number])
-                b.append([[number[f] for f in text_features(other) if f in number] for other in terms.counterfactuals(words)])
-            yield pa.record_batch([pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.list_(pa.int32()))), batch.column("y")], names=["a", "b", "y"])
-
-    rows = [(r["a"], r["b"], r["y"]) for r in sample.mapInArrow(vectors, "a array<int>, b array<array<int>>, y int").collect()]  # the bounded sample
+                own = text_features(words)
+                a.append(numbers(own))
+                others = [text_features(other) for other in terms.counterfactuals(words)]
+                b.append([{"plus": numbers(o - own), "minus": numbers(own - o)} for o in others])
+            yield pa.record_batch([pa.array(a, ints), pa.array(b, pa.list_(pa.struct([("plus", ints), ("minus", ints)]))), batch.column("y")], names=["a", "b", "y"])
+
+    collected = sample.mapInArrow(vectors, "a array<int>, b array<struct<plus:array<int>,minus:array<int>>>, y int").collect()  # the bounded sample
+    rows = [(r["a"], [(o["plus"], o["minus"]) for o in r["b"]], r["y"]) for r in collected]
     weights, intercept = fit(rows, len(kept))
     return {f: float(w) for f, w in zip(kept, weights, strict=True) if abs(w) > 1e-6}, intercept
 

@@ -421,7 +421,7 @@ def test_toxicity(spark, empty):
 def test_counterfactual_penalty_frees_identity_terms(spark, monkeypatch):
     """A group is named in toxic texts only: with the penalty, neutral mentions of it are not taken for toxic."""
     # feature 0 is an identity term that occurs in toxic texts only, 1 its swap, 2 the insult
-    rows = [([0, 2], [[1, 2]], 1)] * 20 + [([3], [], 0)] * 20
+    rows = [([0, 2], [([1], [0])], 1)] * 20 + [([3], [], 0)] * 20
     free, _ = toxicity.fit(rows, 4)
     rng = random.Random(4)
     sentence = lambda: [rng.choice(VOCAB) for _ in range(20)]
