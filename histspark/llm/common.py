@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 
 from histspark.session import shared_dir, with_package
 
-#: Rows of one Arrow batch; texts can be long, so batches stay small.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch; texts can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Set the session options the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return with_package(spark)
 
 
@@ -27,6 +29,26 @@ def tune(spark: SparkSession) -> SparkSession:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths ``stored`` writes inside, in order; ``drop`` removes those that nothing reads any more."""
+    token = _tables.set([])
+    try:
+        yield _tables.get()
+    finally:
+        _tables.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -34,6 +56,8 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (mine := _tables.get()) is not None:
+        mine.append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
