@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from histspark.llm import decontamination, exact_dedup, jaccard_join, packing, quality
-from histspark.llm.common import stored
+from histspark.llm.common import drop, stored, tables_of
 
 #: Shingle words and similarity (as a fraction) of the near-duplicate stage.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again. When it is there, the
+    stage before it and the tables the stage worked with are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{i}")
+    with tables_of(spark) as tables:
+        for i, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i + 1 < len(STAGES):
+                docs = stored(docs, f"stage-{i}")
+                drop(spark, tables[:-1])
+                del tables[:-1]
     return docs
