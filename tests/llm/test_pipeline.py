@@ -1,8 +1,10 @@
 """The pipeline against its operators' brute-force versions on small documents."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
+from histspark.session import shared_dir
 
 from .test_operators import make, words
 
@@ -36,5 +38,9 @@ def test_stages(spark, tmp_path):
     assert 300 in kept[2] and 300 not in kept[3] and kept[2] - kept[3] == {300}
     pieces = docs.collect()
     assert {p["doc_id"] for p in pieces} == kept[3]
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert [n for n in left if n.startswith("stage")] == ["stage-3"] and "signatures" not in left  # earlier tables are gone
     assert words("A b") == ["a", "b"]
