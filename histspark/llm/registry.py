@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, licenses, lm_scoring, packing, quality, sharding, suffix_dedup, toxicity
+from . import conversation_repair, decontamination, exact_dedup, hard_negatives, jaccard_join, licenses, lm_scoring, packing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op7_decontamination": decontamination.query,
     "op10_licenses": licenses.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op12_substring_dedup": substring_dedup.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op12_substring_dedup": substring_dedup.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

@@ -11,7 +11,8 @@ import numpy as np
 from .common import mix64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_EXACT = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_BYTES = _EXACT.copy()
 _BYTES[65:91] = _BYTES[97:123]
 #: ASCII white space separates words.
 SPACE = np.zeros(256, bool)
@@ -30,8 +31,8 @@ def _power(name: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and per text the offset of its first word."""
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and per text the offset of its first word; without ``fold`` A-Z differ from a-z."""
     n = len(flat)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -44,7 +45,7 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     end[:-1] &= gap[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[flat] * _power("up", n), out=sums[1:])
+    np.cumsum((_BYTES if fold else _EXACT)[flat] * _power("up", n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power("down", n)[starts]
     return mix64(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), np.searchsorted(starts, offsets)
 
