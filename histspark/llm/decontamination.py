@@ -1,15 +1,17 @@
-"""Benchmark decontamination by seeds of words in a row, as long as the item's rule allows.
+"""Benchmark decontamination by spaced seeds that no allowed substitution escapes.
 
-An overlap counts when some stretch of ``min(item words, span)`` words agrees in at least ``share`` of its words. So at
-most k of the stretch's w words differ, and the others make up k + 1 runs at most: the longest has at least
-(w - k) / (k + 1) words, rounded up. Runs of just that length (4 words from 16 on, 1 to 4 below) are the seeds of the
-item, so no allowed pattern of changed words is missed. Seeds of benchmark items are joined with seeds at every word
-position of every document; around each hit the item is laid on the document along the hit's diagonal and compared word
-by word.
+An overlap counts when some stretch of ``min(item words, span)`` words agrees in at least ``share`` of its words, so at most
+k of its words differ. Words are dealt to k + 2 classes by their place modulo k + 2: the k words spoil at most k classes, so
+two are clean. A fixed mask keeps the places of two classes and ignores all others; since the classes of a stretch may lie
+anywhere, k + 1 masks (one for each distance of two classes) do for all pairs. At 20 words that is five masks of six words,
+spread over up to 18; where no word may differ the mask is the whole stretch. Seeds of benchmark items are joined with seeds
+at every word position of every document; around each hit the item is laid on the document along the hit's diagonal and
+compared word by word.
 
-Native: words, seeds, join and verification are DataFrame functions. Positions are generated next to the document's
-array of word hashes, which is not copied per position; only hits carry a slice of it. The benchmark side is broadcast
-behind a check of its row count, else both sides shuffle on the seed.
+Native: words, seeds, join and verification are DataFrame functions. A seed row is lean (class, place, seed). Where all
+seeds and items together are under a bound in bytes they are sent to the documents, whose word hashes stay where they are;
+only hits carry a slice of them. Beyond the bound both sides shuffle on the seed, with no words beside it, and the distinct
+diagonals return to the documents that have any.
 
 Defined results: null and empty texts have no words and hit nothing; rows repeated whole give one result; items of equal
 words share one comparison and are all reported; items of one word up are compared by the same rule; an empty table gives
@@ -25,8 +27,10 @@ from .common import row_key, stored, text_of, tune
 
 #: Words of the stretch that must agree, and the share of them.
 SPAN, SHARE = 20, 0.8
-#: Seed rows of the benchmark that are broadcast at most (about 100 MB); more are joined by shuffle.
-BROADCAST_SEEDS = 2_000_000
+#: Bytes of benchmark seeds and word hashes that are sent to every task at most; more are joined by shuffle.
+SENT_BYTES = 64 << 20
+#: What a seed row takes, and a word hash.
+_SEED_BYTES, _WORD_BYTES = 48, 8
 
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -36,54 +40,75 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def run_length(width: int, share: float) -> int:
-    """Words of the longest run that surely agrees where at least ``share`` of ``width`` words agree."""
+def masks(width: int, share: float) -> list[tuple[int, ...]]:
+    """Masks (kept places, from 0) one of which, laid somewhere on a stretch of ``width`` words, meets no differing word
+    wherever at least ``share`` of them agree."""
     agree = next(a for a in range(width + 1) if a / width >= share)
-    return max(1, -(-agree // (width - agree + 1)))
+    classes = width - agree + 2
+    if agree == width:
+        return [tuple(range(width))]
+    if agree < 2:
+        return [(0,)]
+    rounds = width // classes
+    if not rounds:  # any two agreeing places
+        return [(0, d) for d in range(1, width)]
+    return [tuple(sorted(r * classes + e for r in range(rounds) for e in (0, d))) for d in range(1, classes)]
 
 
-def _seeds(h: Column, at: Column, runs: list[int]) -> Column:
-    """One seed per run length at a position; null where the run leaves the text."""
-    return F.array(*[F.when(at + r <= F.size(h), F.xxhash64(F.lit(r), *[F.get(h, at + o) for o in range(r)])) for r in runs])
+def _seed(h: Column, at: Column, mask: tuple[int, ...]) -> Column:
+    """The seed of a mask at a position; null where the mask leaves the text."""
+    return F.when(at + mask[-1] < F.size(h), F.xxhash64(F.lit(",".join(map(str, mask))), *[F.get(h, at + o) for o in mask]))
 
 
-def seed_table(benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(cls, ih, run, ipos, seed) of distinct items, and (cls, item_id)."""
-    items = benchmark.select("item_id", word_hashes(text_of()).alias("ih")).where(F.size("ih") > 0).withColumn("cls", F.xxhash64("ih"))
-    distinct = items.groupBy("cls").agg(F.first("ih").alias("ih"))
-    lengths = [run_length(w, share) for w in range(1, span + 1)]
-    run = F.element_at(F.array(*[F.lit(r) for r in lengths]), F.least(F.size("ih"), F.lit(span)))
-    at = distinct.select("cls", "ih", run.alias("run"), F.posexplode("ih").alias("ipos", "_w"))
-    runs = sorted(set(lengths))
-    seed = F.element_at(_seeds(F.col("ih"), F.col("ipos"), runs), F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run")).cast("int"))
-    return at.withColumn("seed", seed).drop("_w").where("seed is not null"), items.select("cls", "item_id")
+def seed_table(benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cls, n, width, ipos, seed) of distinct items, (cls, ih) their word hashes, and (cls, item_id)."""
+    named = benchmark.select("item_id", word_hashes(text_of()).alias("ih")).where(F.size("ih") > 0).withColumn("cls", F.xxhash64("ih"))
+    items = named.groupBy("cls").agg(F.first("ih").alias("ih"))
+    width = F.least(F.size("ih"), F.lit(span))
+    at = items.select("cls", F.size("ih").alias("n"), width.alias("width"), "ih", F.posexplode("ih").alias("ipos", "_w"))
+    own = [F.when(F.col("width") == w, F.array(*[_seed(F.col("ih"), F.col("ipos"), m) for m in masks(w, share)])) for w in range(1, span + 1)]
+    seeds = at.select("cls", "n", "width", "ipos", F.explode(F.coalesce(*own)).alias("seed")).where("seed is not null").distinct()
+    return seeds, items, named.select("cls", "item_id")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
+def _agreeing(ih: Column, part: Column, span: int) -> Column:
+    """Largest share of agreeing words in a stretch of the item, ``part`` being the document's words along the diagonal."""
+    same = F.transform(F.sequence(F.lit(0), F.size(ih) - 1), lambda i: F.get(part, i).eqNullSafe(F.get(ih, i)).cast("int"))
+    width = F.least(F.size(ih), F.lit(span))
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(ih) - width), lambda j: F.aggregate(F.slice(same, j + 1, width), F.lit(0), lambda a, x: a + x))) / width
+
+
+def _along(h: Column, diagonal: Column, n: Column) -> Column:
+    """The document's words beside an item's, NULL outside the document."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(diagonal + i >= 0, F.get(h, diagonal + i)))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float = SHARE, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """doc_id, item_id, first_word, n_words, agreeing share of every overlap, best diagonal of each pair, with row keys."""
     tune(docs.sparkSession)
-    seeds, items = seed_table(benchmark, span, share)
-    seeds = stored(seeds, "benchmark-seeds")
-    sizes = {r["run"]: r["count"] for r in seeds.groupBy("run").count().collect()}  # at most one row a stretch length
-    seeds = seeds.drop("run")
-    if sum(sizes.values()) <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    seeds, items, named = seed_table(benchmark, span, share)
+    seeds, items = stored(seeds, "benchmark-seeds"), stored(items, "benchmark-items")
+    # at most one row for each stretch length
+    counts = {r["width"]: r["count"] for r in seeds.groupBy("width").count().collect()}
+    words_there = items.agg(F.sum(F.size("ih"))).first()[0] or 0
+    sent = sum(counts.values()) * _SEED_BYTES + words_there * _WORD_BYTES <= sent_bytes
+    shapes = sorted({m for w in counts for m in masks(w, share)}) or [(0,)]
     k1, k2 = row_key()
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1, k2, word_hashes(text_of()).alias("h"))
-    at = words.select("doc_id", "_k1", "_k2", "h", F.posexplode("h").alias("pos", "_w"))
-    grams = at.select("doc_id", "_k1", "_k2", "h", "pos", F.explode(_seeds(F.col("h"), F.col("pos"), sorted(sizes) or [1])).alias("seed")).where("seed is not null")
-    diagonal = F.col("pos") - F.col("ipos")
-    hits = grams.join(seeds, "seed").select(
-        "doc_id", "_k1", "_k2", "cls", "ih", diagonal.alias("diagonal"),
-        F.transform(F.sequence(F.lit(0), F.size("ih") - 1), lambda i: F.get(F.col("h"), F.col("pos") - F.col("ipos") + i).eqNullSafe(F.get(F.col("ih"), i)).cast("int")).alias("same"),
-    )
-    once = hits.groupBy("_k1", "_k2", "cls", "diagonal").agg(F.first("doc_id").alias("doc_id"), F.first("same").alias("same"))
-    n = F.size("same")
-    width = F.least(n, F.lit(span))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), n - width), lambda j: F.aggregate(F.slice(F.col("same"), j + 1, width), F.lit(0), lambda a, x: a + x)))
-    verified = once.withColumn("agree", best / width).where(F.col("agree") >= share)
-    top = verified.groupBy("_k1", "_k2", "cls").agg(F.max_by(F.struct("doc_id", "diagonal", n.alias("n"), "agree"), F.struct("agree", -F.col("diagonal"))).alias("b"))
-    return top.join(items, "cls").select("b.doc_id", "item_id", F.greatest(F.col("b.diagonal"), F.lit(0)).cast("long").alias("first_word"), F.col("b.n").cast("long").alias("n_words"), F.col("b.agree").alias("agree"), "_k1", "_k2")
+    grams = words.select("doc_id", "_k1", "_k2", "h", F.posexplode("h").alias("pos", "_w"))
+    grams = grams.select("doc_id", "_k1", "_k2", "h", "pos", F.explode(F.array(*[_seed(F.col("h"), F.col("pos"), m) for m in shapes])).alias("seed")).where("seed is not null")
+    diagonal = (F.col("pos") - F.col("ipos")).alias("diagonal")
+    pair = ["_k1", "_k2", "cls", "diagonal"]
+    if sent:
+        hits = grams.join(F.broadcast(seeds.drop("width")), "seed").select("doc_id", "_k1", "_k2", "cls", diagonal, _along(F.col("h"), F.col("pos") - F.col("ipos"), F.col("n")).alias("part"))
+        laid = hits.groupBy(*pair).agg(F.first("doc_id").alias("doc_id"), F.first("part").alias("part"))
+    else:
+        hits = grams.select("_k1", "_k2", "pos", "seed").join(seeds.drop("width"), "seed").select("_k1", "_k2", "cls", "n", diagonal).distinct()
+        once = words.dropDuplicates(["_k1", "_k2"])
+        laid = hits.join(once, ["_k1", "_k2"]).select("doc_id", *pair, _along(F.col("h"), F.col("diagonal"), F.col("n")).alias("part"))
+    verified = laid.join(F.broadcast(items) if sent else items, "cls").select("doc_id", *pair, F.size("ih").alias("n"), _agreeing(F.col("ih"), F.col("part"), span).alias("agree")).where(F.col("agree") >= share)
+    top = verified.groupBy("_k1", "_k2", "cls").agg(F.max_by(F.struct("doc_id", "diagonal", "n", "agree"), F.struct("agree", -F.col("diagonal"))).alias("b"))
+    return top.join(named, "cls").select("b.doc_id", "item_id", F.greatest(F.col("b.diagonal"), F.lit(0)).cast("long").alias("first_word"), F.col("b.n").cast("long").alias("n_words"), F.col("b.agree").alias("agree"), "_k1", "_k2")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:

@@ -459,7 +459,9 @@ def test_decontamination(spark, docs, empty):
         sub[p] = "other"
     texts = [(1, "x " * 30 + " ".join(w[:40]) + " y"), (2, " ".join(sub)), (3, " ".join(w[2000:2100])), (4, "so ALPHA beta gamma delta epsilon ZETA eta so"), (5, " ".join(w[:12]) + " " + " ".join(w[3000:3100])), (6, None), (7, ""), (8, "start " + " ".join(w[105:128])), (1, "clean twin of one"), (9, " ".join(w[:40])), (9, " ".join(w[:40])), (None, " ".join(w[100:130]))]
     d = make(spark, texts)
-    found = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(d, bench).collect()}
+    sent = decontamination.overlaps(d, bench).collect()
+    assert sorted(sent, key=str) == sorted(decontamination.overlaps(d, bench, sent_bytes=0).collect(), key=str)
+    found = {(r["doc_id"], r["item_id"]) for r in sent}
     assert found == {(1, 1), (1, 3), (2, 1), (2, 3), (4, 2), (8, 7), (9, 1), (9, 3), (None, 7)}
     kept = decontamination.clean(d, bench)
     assert kept.columns == d.columns
@@ -468,16 +470,20 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_decontamination_seeds_cover_every_allowed_pattern():
-    for w in range(1, 21):
-        run = decontamination.run_length(w, decontamination.SHARE)
-        for k in range(w):
-            if (w - k) / w >= decontamination.SHARE:
-                for changed in itertools.combinations(range(w), k):
-                    edges = [-1, *changed, w]
-                    assert max(b - a - 1 for a, b in zip(edges, edges[1:], strict=False)) >= run
-
-
-def test_decontamination_of_short_and_changed_items(spark):
+    """Some mask, laid somewhere on the stretch, keeps only places that agree; masks of longer stretches ignore places."""
+    for share in (decontamination.SHARE, 0.6, 0.3, 1.0):
+        for w in range(1, 21 if share == decontamination.SHARE else 11):
+            laid = [frozenset(o + s for o in m) for m in decontamination.masks(w, share) for s in range(w - m[-1])]
+            for k in range(w):
+                if (w - k) / w >= share:
+                    for changed in map(frozenset, itertools.combinations(range(w), k)):
+                        assert any(changed.isdisjoint(m) for m in laid), (share, w, changed)
+    for w in range(10, 21):
+        assert all(m[-1] >= len(m) and len(m) >= 4 for m in decontamination.masks(w, decontamination.SHARE))
+
+
+@pytest.mark.parametrize("sent_bytes", [decontamination.SENT_BYTES, 0])
+def test_decontamination_of_short_and_changed_items(spark, sent_bytes):
     """Items of 1 to 17 words, as they are and with every allowed pattern of one or two changed words, or of more."""
     rng = random.Random(8)
     items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 17)]
@@ -490,7 +496,7 @@ def test_decontamination_of_short_and_changed_items(spark):
                 if (n - k) / n >= decontamination.SHARE:
                     want.add((len(texts), n))
                 texts.append((len(texts), " ".join(["before", *w, "after"])))
-    got = decontamination.overlaps(make(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = decontamination.overlaps(make(spark, texts), spark.createDataFrame(items, "item_id long, text string"), sent_bytes=sent_bytes).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
