@@ -1,8 +1,10 @@
 """Hierarchical weighted hash tree: documents descend region, rack and shard by weighted hash draws.
 
-At each level every child draws ``ln(u) / weight`` with u a uniform hash of (doc_id, child name); the largest draw wins.
-Draws of siblings are independent, so a changed weight moves rows only into or out of the changed subtree, in
-proportion to its weight. A new shard enters as a region of its own and so takes rows only into itself.
+Every shard draws ``ln(u) / weight`` with u a uniform hash of (doc_id, its place in the tree). A rack's draw is the greatest
+of its shards', a region's the greatest of its racks'; at each level the greatest draw wins. The greatest of such draws is
+again one of the summed weight, so a subtree wins rows in proportion to its weight, and what changes in one subtree changes no
+other's draw: rows move only into or out of the shard whose weight changed. A shard's place follows from its number alone, so
+the tree of n + 1 shards is the tree of n with one shard more, for every n, and that shard takes rows only into itself.
 
 Native: hashing, descent and slots are DataFrame expressions. Slots are dealt in two levels (bucket counts, then
 positions inside a bucket), so that no task sees a whole shard.
@@ -53,30 +55,34 @@ def _inner(name: str, children: list[Node]) -> Node:
     return Node(name, sum(c.weight for c in children), tuple(children))
 
 
-def grown_tree(tree: Node, shard: int, weight: float = 1.0) -> Node:
-    """The tree with one more shard, in a region of its own."""
-    name = f"g{shard}"
-    rack = _inner(f"{name}/k0", [Node(f"{name}/k0/s{shard}", weight, shard=shard)])
-    return _inner(tree.name, [*tree.children, _inner(name, [rack])])
+def grown_tree(tree: Node, shard: int, weight: float = 1.0, per_rack: int = 4, racks: int = 2) -> Node:
+    """The tree with one more shard, at the place that its number names."""
+    at = [f"r{shard // (per_rack * racks)}", f"k{shard // per_rack % racks}", f"s{shard}"]
+
+    def put(node: Node, depth: int) -> Node:
+        name = "/".join(at[: depth + 1])
+        inside = [c for c in node.children if c.name == name]
+        if depth == 2:
+            child = Node(name, weight, shard=shard)
+        else:
+            child = put(inside[0] if inside else _inner(name, []), depth + 1)
+        rest = [child if c.name == name else c for c in node.children]
+        return _inner(node.name, rest if inside else [*rest, child])
+
+    return put(tree, 0)
+
+
+def _best(tree: Node, key: Column) -> Column:
+    """The greatest draw under a node and its shard (as a negative number: of equal draws the smaller number wins)."""
+    if tree.shard is None:
+        return F.array_max(F.array(*[_best(c, key) for c in tree.children]))
+    u = (F.xxhash64(key, F.lit(tree.name)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
+    return F.struct((F.ln(u) / float(tree.weight)).alias("draw"), F.lit(-tree.shard).alias("shard"))
 
 
 def descend(tree: Node, key: Column) -> Column:
-    """Shard number of a key: a nested choice, one branch of which is evaluated per row."""
-    if tree.shard is not None:
-        return F.lit(tree.shard)
-    if len(tree.children) == 1:
-        return descend(tree.children[0], key)
-    draws = []
-    for i, child in enumerate(tree.children):
-        u = (F.xxhash64(key, F.lit(child.name)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-        draws.append(F.struct((F.ln(u) / float(child.weight)).alias("draw"), F.lit(-i).alias("at")))
-    best = F.array_max(F.array(*draws))["at"]
-    if all(c.shard is not None for c in tree.children):
-        return F.element_at(F.array(*[F.lit(c.shard) for c in tree.children]), 1 - best)
-    out = F.when(best == 0, descend(tree.children[0], key))
-    for i, child in enumerate(tree.children[1:], 1):
-        out = out.when(best == -i, descend(child, key))
-    return out
+    """Shard number of a key: the best of the regions' best of their racks' best shard."""
+    return -_best(tree, key)["shard"]
 
 
 def shard_rows(docs: DataFrame, tree: Node, grown: Node | None = None) -> DataFrame:

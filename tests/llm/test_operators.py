@@ -122,8 +122,30 @@ def test_sharding_is_even_weighted_and_confined(spark):
     moved = [i for i in before if before[i] != after[i]]
     assert all(after[i] == 40 for i in moved) and 0.8 < len(moved) / (60_000 / 41) < 1.2
     heavier = place(sharding.planned_tree(40, weights={3: 2.0}))
-    # a changed weight moves rows only into its own region (shards 0 to 7) from elsewhere, or inside it
-    assert all(heavier[i] < 8 for i in before if before[i] != heavier[i])
+    assert all(heavier[i] == 3 for i in before if before[i] != heavier[i])
+    for n in (1, 3, 4, 7, 8, 39, 41, 63):  # one more shard takes rows only into itself, whatever the count
+        assert sharding.grown_tree(sharding.planned_tree(n), n) == sharding.planned_tree(n + 1)
+        less, more = place(sharding.planned_tree(n)), place(sharding.planned_tree(n + 1))
+        assert all(more[i] == n for i in less if less[i] != more[i])
+        assert 0.8 < sum(less[i] != more[i] for i in less) / (60_000 / (n + 1)) < 1.2
+
+
+def test_sharding_against_an_independent_descent(spark):
+    """Draws from the hash library, compared level by level."""
+    import xxhash
+
+    def draw(key, name, weight):
+        seed = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+        return math.log(((xxhash.xxh64_intdigest(name.encode(), seed) & ((1 << 52) - 1)) + 0.5) / (1 << 52)) / weight
+
+    weights = {5: 3.0, 12: 0.5}
+    ids = [*range(-50, 400), 1 << 40]
+    got = {r["doc_id"]: r["s"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", sharding.descend(sharding.planned_tree(21, weights=weights), F.col("doc_id")).alias("s")).collect()}
+    for i in ids:
+        at = {s: draw(i, f"r{s // 8}/k{s // 4 % 2}/s{s}", weights.get(s, 1.0)) for s in range(21)}
+        region = max({s // 8 for s in at}, key=lambda r: max(d for s, d in at.items() if s // 8 == r))
+        rack = max({s // 4 for s in at if s // 8 == region}, key=lambda k: max(d for s, d in at.items() if s // 4 == k))
+        assert got[i] == max((s for s in at if s // 4 == rack), key=at.get)
 
 
 def test_packing(docs, empty):
