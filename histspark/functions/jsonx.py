@@ -9,17 +9,39 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"|-?\d[\d.eE+-]*|[^"\d-]+|-'
+#: Numbers whose text may not be the canonical one: exponents, closing zeros, more than 15 digits, very small, minus zero.
+_UNSURE = r"\d[eE]|\.\d*0(?!\d)|0\.000000|\d{8}\.\d|\.\d{9}|\d{22}|-0(?![.\d])"
+
+
+def _number_text(t: Column) -> Column:
+    """Canonical text of a number's text: plain digits without closing zeros from 1e-6 up to 1e21, else an exponent."""
+    value = t.try_cast("double")
+    size = F.abs(value)
+    # the fewest of 15, 16 or 17 digits that read as the same number
+    shorter = [F.when(f.try_cast("double") == value, f) for f in (F.format_string(f"%.{n}e", value) for n in (14, 15, 16))]
+    text = F.coalesce(*shorter, value.cast("string"))
+    plain = lambda scale: F.regexp_replace(text.try_cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
+    short = F.regexp_replace(F.regexp_replace(F.lower(text), r"(\.\d*?)0*e", "$1e"), r"\.e", "e")
+    short = F.regexp_replace(short, r"e([+-]?)0*", "e$1")
+    short = F.regexp_replace(short, r"e(\d)", "e+$1")
+    whole = F.when(t.rlike("[eE]"), text).otherwise(t).try_cast("decimal(38,0)").cast("string")
+    return F.when(~t.rlike(r"[.eE]|\d{22}|^-0$"), t).when((F.rint(value) == value) & (size < 1e21), whole).when((size >= 1e21) | (size < 1e-6), short).when(size < 1, plain(28)).otherwise(plain(17))
+
+
 def canonical_json(col: Column | str) -> Column:
-    """Deterministic text: keys sorted at every level, no HTML escapes, null kept. Malformed text gives NULL.
+    """Deterministic text: keys sorted at every level, no HTML escapes, null kept. Malformed text gives NULL, and so do
+    text that nests more than 999 levels and numbers beyond a double.
 
-    Numbers written with an exponent or a zero fraction become the plain integer they equal (``1e2`` is ``100``), so that
-    equal numbers are equal text; beyond 15 digits Spark's own rendering is kept.
+    Equal numbers are equal text, the same that the folds write: a whole number below 1e21 is its digits however it is
+    written, other numbers are plain from 1e-6 on. Integers of up to 21 digits are exact; all else is read as a double.
     """
     c = F.col(col) if isinstance(col, str) else col
     # the parser stops behind one value; as the only element of an array, trailing text is malformed
     items = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).cast("array<variant>")
     text = F.when(F.size(items) == 1, F.to_json(F.get(items, F.lit(0))))
-    return F.when(text.rlike(r"\d\.0+([,\]}]|$)"), F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|(?<=\d)\.0+(?=[,\]}]|$)', "$1")).otherwise(text)
+    spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: F.when(t.rlike(r"^-?\d"), _number_text(t)).otherwise(t)), "")
+    return F.when(text.rlike("Infinity") & text.rlike(r'(?:^|[\[:,])-?"?Infinity"?(?:[,\]}]|$)') & ~c.contains("Infinity"), None).when(text.rlike(_UNSURE), spelled).otherwise(text)
 
 
 def valid_json(col: Column | str) -> Column:

@@ -15,7 +15,7 @@ def _applied(state: str | None, changes: list | None) -> dict:
         return {"applied": J.dumps(J.apply(J.loads(state) if state is not None else {}, changes)), "code": None}
     except J.ApplyError as e:
         return {"applied": None, "code": e.code}
-    except (ValueError, TypeError, RecursionError):
+    except (ValueError, TypeError):
         return {"applied": None, "code": "malformed"}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,30 +15,60 @@ from histspark.schemas import KEY
 INTERVAL = 100
 
 
-def resolve_version(probes: DataFrame, events: DataFrame) -> DataFrame:
+#: Bytes of entity keys that go to every task at most; more are joined by shuffle on the key.
+SENT_BYTES = 32 << 20
+#: What a row of keys and version bounds takes beside its texts.
+_ROW_BYTES = 64
+#: Versions of one block: events and spans of versions meet on (entity, block).
+BLOCK = 128
+_FAR = datetime(9999, 12, 31)
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether distinct entity keys are so few that a row for each may go to every task (measured, one small job)."""
+    size = keys.agg(F.sum(sum((F.coalesce(F.octet_length(k), F.lit(0)) for k in KEY), F.lit(_ROW_BYTES)))).first()[0]
+    return (size or 0) <= SENT_BYTES
+
+
+def of_asked(rows: DataFrame, keys: DataFrame, sent: bool) -> DataFrame:
+    """The rows of the entities in ``keys`` (distinct). Few keys are sent to the rows, so that nothing else is shuffled;
+    else both sides shuffle on the key, as what follows needs anyway."""
+    return rows.join(F.broadcast(keys) if sent else keys, KEY, "left_semi")
+
+
+def resolve_version(probes: DataFrame, events: DataFrame, sent: bool | None = None) -> DataFrame:
     """Add ``target`` to probes (key, optional ``at`` or ``version``): by time the highest version received up to then, by
     version the smaller of it and the latest, with neither the latest; NULL where nothing is found.
 
-    An as-of union: probes and events share one window, so no range join is formed.
+    An as-of union: the asked entities' events, as (key, time, version) only, share one window with the probes, which
+    pass through it whole; no range join is formed and no other entity's event is shuffled. ``sent`` says whether the
+    asked keys are few, if that is known.
     """
-    latest = events.groupBy(*KEY).agg(F.max("version").alias("_latest"))
-    e = events.select(*KEY, F.col("ts_received").alias("at"), F.col("version").alias("_v"), F.lit(0).alias("_side"))
-    p = probes.where("at is not null").select(*KEY, "at", F.lit(None).cast("long").alias("_v"), F.lit(1).alias("_side")).distinct()
-    w = Window.partitionBy(*KEY).orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_time = e.unionByName(p).withColumn("_found", F.max("_v").over(w)).where("_side = 1").select(*KEY, "at", "_found")
-    out = probes.join(by_time, [*KEY, "at"], "left").join(latest, KEY, "left")
-    target = F.when(F.col("at").isNotNull(), F.col("_found")).when(F.col("version").isNotNull(), F.when(F.col("_latest").isNotNull(), F.least("version", "_latest"))).otherwise(F.col("_latest"))
-    return out.withColumn("target", target).drop("_found", "_latest")
-
-
-def nearest_snapshot(targets: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Add the greatest snapshot at or below ``target``: snapshot_version, snapshot_state, snapshot_deleted. Snapshots and
-    targets share one window; no target meets more than one snapshot."""
-    s = snapshots.select(*KEY, F.col("version").alias("target"), F.struct("version", "state", "deleted").alias("_s"), F.lit(0).alias("_side"))
-    asked = targets.select(*KEY, "target").distinct().select(*KEY, "target", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_side"))
+    keys = probes.select(*KEY).distinct()
+    sent = few(keys) if sent is None else sent
+    at, version = (F.col(c) if c in probes.columns else F.lit(None).cast(t) for c, t in (("at", "timestamp"), ("version", "long")))
+    p = probes.select(*KEY, F.coalesce(at, F.lit(_FAR)).alias("_at"), F.lit(None).cast("long").alias("_v"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_probe"))
+    e = of_asked(events.select(*KEY, F.col("ts_received").alias("_at"), F.col("version").alias("_v")), keys, sent)
+    e = e.withColumns({"_side": F.lit(0), "_probe": F.lit(None).cast(p.schema["_probe"].dataType)})
+    w = Window.partitionBy(*KEY).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = e.unionByName(p).withColumn("_found", F.max("_v").over(w)).where("_side = 1").select("_probe.*", "_found")
+    by_version = F.when(F.col("_found").isNotNull(), F.least(version, F.col("_found")))
+    return out.withColumn("target", F.when(at.isNull() & version.isNotNull(), by_version).otherwise(F.col("_found"))).drop("_found")
+
+
+def nearest_snapshot(targets: DataFrame, snapshots: DataFrame, sent: bool | None = None) -> DataFrame:
+    """Add the greatest snapshot at or below ``target``: snapshot_version, snapshot_ts, snapshot_state, snapshot_deleted.
+    Versions of the asked entities' snapshots and targets share one window; only the chosen snapshots' states are read."""
+    keys = targets.select(*KEY).distinct()
+    sent = few(keys) if sent is None else sent
+    mine = of_asked(snapshots.select(*KEY, "version", "ts", "state", "deleted"), keys, sent)
+    s = mine.select(*KEY, F.col("version").alias("target"), F.col("version").alias("_v"), F.lit(0).alias("_side"))
+    asked = targets.select(*KEY, "target").distinct().select(*KEY, "target", F.lit(None).cast("long").alias("_v"), F.lit(1).alias("_side"))
     w = Window.partitionBy(*KEY).orderBy("target", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = s.unionByName(asked).withColumn("_b", F.last("_s", ignorenulls=True).over(w)).where("_side = 1").select(*KEY, "target", "_b")
-    return targets.join(best, [*KEY, "target"], "left").select(*targets.columns, F.col("_b.version").alias("snapshot_version"), F.col("_b.state").alias("snapshot_state"), F.col("_b.deleted").alias("snapshot_deleted"))
+    best = s.unionByName(asked).withColumn("snapshot_version", F.max("_v").over(w)).where("_side = 1").select(*KEY, "target", "snapshot_version")
+    chosen = mine.select(*KEY, F.col("version").alias("snapshot_version"), F.col("ts").alias("snapshot_ts"), F.col("state").alias("snapshot_state"), F.col("deleted").alias("snapshot_deleted"))
+    out = targets.join(best.join(chosen, [*KEY, "snapshot_version"], "left"), [*KEY, "target"], "left")
+    return out.select(*targets.columns, "snapshot_version", "snapshot_ts", "snapshot_state", "snapshot_deleted")
 
 
 def build_snapshots(states: DataFrame, interval: int = INTERVAL) -> DataFrame:
@@ -52,87 +84,109 @@ class _Life:
     """State of a replay: what the next change works on, and what is shown."""
 
     def __init__(self):
-        self.work, self.shown, self.deleted, self.applied = {}, None, False, 0
+        self.work, self.shown, self.deleted, self.applied, self.ts = {}, None, False, 0, None
 
 
-def _replay(life: _Life, row: dict) -> list[dict]:
-    if row.get("base_state") is not None and row["version"] == row["base_version"]:
-        # a snapshot row opens its segment
-        life.shown = J.loads(row["base_state"])
-        life.deleted = row["base_deleted"]
-        life.work = {} if life.deleted else life.shown
-        return []
-    life.applied += 1
+def _opened(life: _Life, row: dict) -> None:
+    """Start from a snapshot."""
+    life.shown, life.deleted, life.ts = J.loads(row["base_state"]), row["base_deleted"], row["ts_received"]
+    life.work = {} if life.deleted else life.shown
+
+
+def _applied(life: _Life, row: dict) -> None:
+    """One event; the life's document is its own, so it is changed in place."""
+    life.applied, life.ts = life.applied + 1, row["ts_received"]
     if row["op"] == "delete":
         life.shown, life.work, life.deleted = life.work, {}, True
     else:
-        life.work = J.apply(life.work, row["changes"])
+        life.work = J.apply(life.work, row["changes"], fresh=False)
         life.shown, life.deleted = life.work, False
-    if not row.get("wanted", True):
+
+
+def _seen(life: _Life, row: dict, op: str | None) -> dict:
+    return {**{k: row[k] for k in (*KEY, "version", "segment")}, "op": op, "ts": life.ts, "deleted": life.deleted, "state": J.dumps(life.shown), "applied": life.applied}
+
+
+def _replay(life: _Life, row: dict) -> list[dict]:
+    """The state after every event; a snapshot row opens its segment."""
+    if row["side"] == 0:
+        _opened(life, row)
         return []
-    return [{**{k: row[k] for k in (*KEY, "version", "op")}, "ts": row["ts_received"], "deleted": life.deleted, "state": J.dumps(life.shown), "segment": row["segment"], "applied": life.applied}]
+    _applied(life, row)
+    return [_seen(life, row, row["op"])]
+
+
+def _answer(life: _Life, row: dict) -> list[dict]:
+    """The state at the targets: snapshot rows (side 0), events (1), targets (2)."""
+    if row["side"] == 2:
+        return [_seen(life, row, None)]
+    (_opened if row["side"] == 0 else _applied)(life, row)
+    return []
 
 
 def state_history(events: DataFrame, snapshots: DataFrame | None = None, interval: int = INTERVAL) -> DataFrame:
     """The state after every version. With snapshots each (entity, segment between snapshots) is folded on its own, so a
     hot entity is replayed in parallel. The value behind a delete is the last one; a recreated entity starts from {}."""
     segment = F.floor((F.col("version") - 1) / F.lit(interval)).cast("long") if snapshots is not None else F.lit(0).cast("long")
-    none = [F.lit(None).cast("long").alias("base_version"), F.lit(None).cast("string").alias("base_state"), F.lit(None).cast("boolean").alias("base_deleted")]
-    rows = events.select(*KEY, "version", "ts_received", "op", "changes", segment.alias("segment"), *none)
+    rows = events.select(*KEY, "version", F.lit(1).alias("side"), segment.alias("segment"), "ts_received", "op", "changes", *_none("base_state", "base_deleted"))
     if snapshots is not None:
-        opening = snapshots.select(
-            *KEY, "version", F.col("ts").alias("ts_received"), F.lit("snapshot").alias("op"), F.lit(None).cast(rows.schema["changes"].dataType).alias("changes"),
-            F.floor(F.col("version") / F.lit(interval)).cast("long").alias("segment"), F.col("version").alias("base_version"), F.col("state").alias("base_state"), F.col("deleted").alias("base_deleted"),
-        )
-        rows = rows.unionByName(opening)
-    return sorted_fold(rows, [*KEY, "segment"], ["version"], _Life, _replay, _STATE).drop("applied")
+        rows = rows.unionByName(_openings(snapshots, F.floor(F.col("version") / F.lit(interval)).cast("long"), rows))
+    return sorted_fold(rows, [*KEY, "segment"], ["version", "side"], _Life, _replay, _STATE).drop("applied")
+
+
+def _none(*names: str) -> list:
+    types = {"ts_received": "timestamp", "base_state": "string", "base_deleted": "boolean"}
+    return [F.lit(None).cast(types[n]).alias(n) for n in names]
+
+
+def _openings(snapshots: DataFrame, segment, like: DataFrame) -> DataFrame:
+    """Snapshot rows as the rows that open a segment of a replay."""
+    return snapshots.select(
+        *KEY, "version", F.lit(0).alias("side"), segment.alias("segment"), F.col("ts").alias("ts_received"), F.lit(None).cast("string").alias("op"),
+        F.lit(None).cast(like.schema["changes"].dataType).alias("changes"), F.col("state").alias("base_state"), F.col("deleted").alias("base_deleted"),
+    )
+
+
+def tails(events: DataFrame, spans: DataFrame, sent: bool) -> DataFrame:
+    """The events inside spans (key, base, upto) of versions, ends excluded and included; ``segment`` is the span's base.
+    Spans of an entity do not overlap.
+
+    Where the entities are few, one row of bounds for each goes to the log, so that events outside are dropped where they
+    are read. What is left meets its span on (key, block of versions), which splits a long history.
+    """
+    inner = spans.where("upto > base")
+    bounds = inner.groupBy(*KEY).agg(F.min("base").alias("_lo"), F.max("upto").alias("_hi"))
+    near = events.select(*KEY, "version", "ts_received", "op", "changes").join(F.broadcast(bounds) if sent else bounds, KEY)
+    near = near.where("version > _lo and version <= _hi").drop("_lo", "_hi").withColumn("_block", F.floor(F.col("version") / BLOCK))
+    blocks = inner.select(*KEY, "base", "upto", F.explode(F.sequence(F.floor(F.col("base") / BLOCK), F.floor(F.col("upto") / BLOCK))).alias("_block"))
+    return near.join(blocks, [*KEY, "_block"]).where("version > base and version <= upto").select(*KEY, "version", "ts_received", "op", "changes", F.col("base").alias("segment"))
 
 
 def state_at(probes: DataFrame, events: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """State of each probe (key, ``at`` or ``version``), any number per entity: version, ts, deleted, state,
     snapshot_version (NULL: from the start) and events_applied. Probes that find nothing give no row.
 
-    Events are dealt to the snapshot their targets start from by one window, so each is replayed at most once, only from a
-    target's snapshot up to the last target of that snapshot, and every (entity, snapshot) on its own. A shown state is
-    made at the targets only.
+    Only the asked entities are read, and of them only the events between a target's snapshot and the last target of that
+    snapshot; each is replayed once, every (entity, snapshot) on its own. A shown state is made at the targets only. At a
+    snapshot's own version the time is the snapshot's.
     """
     asked = [c for c in ("at", "version") if c in probes.columns]
-    probes = probes.select(*KEY, *(F.col(c) if c in asked else F.lit(None).cast(t).alias(c) for c, t in (("at", "timestamp"), ("version", "long"))))
-    found = resolve_version(probes, events).where("target is not null").withColumnsRenamed({"at": "asked_at", "version": "asked_version"})
+    probes = probes.select(*KEY, *asked)
+    sent = few(probes.select(*KEY).distinct())
+    found = resolve_version(probes, events, sent).where("target is not null").withColumnsRenamed({"at": "asked_at", "version": "asked_version"})
     targets = found.select(*KEY, "target").distinct()
     if snapshots is not None:
-        targets = nearest_snapshot(targets, snapshots)
+        targets = nearest_snapshot(targets, snapshots, sent)
     else:
-        targets = targets.selectExpr("*", "cast(null as long) snapshot_version", "cast(null as string) snapshot_state", "cast(null as boolean) snapshot_deleted")
-    targets = targets.withColumn("_base", F.coalesce("snapshot_version", F.lit(0)).cast("long"))
-    change_type = events.schema["changes"].dataType
-    one = lambda names: {n: F.lit(None).cast(t).alias(n) for n, t in names}
-    blank = one([("ts_received", "timestamp"), ("op", "string"), ("changes", change_type), ("_open", "struct<base:bigint,upto:bigint,state:string,deleted:boolean>"), ("_target", "long")])
-    part = lambda df, version, side, **own: df.select(*KEY, version.alias("version"), F.lit(side).alias("_side"), *[own.get(n, blank[n]).alias(n) for n in blank])
-    spans = targets.groupBy(*KEY, "_base").agg(F.max("target").alias("upto"), F.first("snapshot_state").alias("state"), F.first("snapshot_deleted").alias("deleted"))
-    rows = (
-        part(events.select(*KEY, "version", "ts_received", "op", "changes"), F.col("version"), 0, **{c: F.col(c) for c in ("ts_received", "op", "changes")})
-        .unionByName(part(targets, F.col("target"), 1, _target=F.col("target")))
-        .unionByName(part(spans, F.col("_base"), 2, _open=F.struct(F.col("_base").alias("base"), "upto", "state", "deleted")))
-    )
-    # an event at a snapshot's version belongs to the span before it; targets mark the event of their version
-    w = Window.partitionBy(*KEY).orderBy("version", "_side")
-    open_ = F.last("_open", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({"_at": open_, "wanted": F.coalesce(F.lead("_target").over(w) == F.col("version"), F.lit(False))})
-    rows = rows.where((F.col("_side") == 2) & F.col("_open.state").isNotNull() | (F.col("_side") == 0) & (F.col("version") <= F.col("_at.upto")))
-    opens = F.col("_side") == 2
-    rows = rows.select(
-        *KEY, "version", "ts_received", "op", "changes", F.col("_at.base").alias("segment"), "wanted", F.when(opens, F.col("version")).alias("base_version"),
-        F.when(opens, F.col("_open.state")).alias("base_state"), F.when(opens, F.col("_open.deleted")).alias("base_deleted"),
-    )
-    steps = sorted_fold(rows, [*KEY, "segment"], ["version", F.col("base_version").isNull()], _Life, _replay, _STATE)
-    last = steps.select(*KEY, F.col("version").alias("target"), F.struct("ts", "deleted", "state", "applied").alias("s"))
-    exact = found.join(targets, [*KEY, "target"]).join(last, [*KEY, "target"], "left")
-    at_snapshot = F.col("s").isNull() | (F.col("target") == F.col("_base"))
-    return exact.select(
-        *KEY, *[F.col(f"asked_{c}").alias(f"asked_{c}") for c in asked], F.col("target").alias("version"), F.col("s.ts").alias("ts"), F.when(at_snapshot, F.col("snapshot_deleted")).otherwise(F.col("s.deleted")).alias("deleted"),
-        F.when(at_snapshot, F.col("snapshot_state")).otherwise(F.col("s.state")).alias("state"), "snapshot_version", F.when(at_snapshot, F.lit(0).cast("long")).otherwise(F.col("s.applied")).alias("events_applied"),
-    )
+        targets = targets.selectExpr("*", "cast(null as long) snapshot_version", "cast(null as timestamp) snapshot_ts", "cast(null as string) snapshot_state", "cast(null as boolean) snapshot_deleted")
+    targets = targets.withColumn("base", F.coalesce("snapshot_version", F.lit(0)).cast("long"))
+    spans = targets.groupBy(*KEY, "base").agg(F.max("target").alias("upto"), *[F.first(f"snapshot_{c}").alias(c) for c in ("ts", "state", "deleted")])
+    rows = tails(events, spans, sent).withColumns({"side": F.lit(1), **dict(zip(("base_state", "base_deleted"), _none("base_state", "base_deleted"), strict=True))})
+    opens = _openings(spans.where("base > 0").withColumn("version", F.col("base")), F.col("base"), rows)
+    asks = targets.select(*KEY, F.col("target").alias("version"), F.lit(2).alias("side"), F.col("base").alias("segment"), *_none("ts_received"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(rows.schema["changes"].dataType).alias("changes"), *_none("base_state", "base_deleted"))
+    answers = sorted_fold(rows.unionByName(opens).unionByName(asks), [*KEY, "segment"], ["version", "side"], _Life, _answer, _STATE)
+    out = found.join(answers.withColumnRenamed("version", "target"), [*KEY, "target"])
+    return out.select(*KEY, *[f"asked_{c}" for c in asked], F.col("target").alias("version"), "ts", "deleted", "state", F.when(F.col("segment") > 0, F.col("segment")).alias("snapshot_version"), F.col("applied").alias("events_applied"))
 
 
 def flat_legal(events: DataFrame) -> DataFrame:

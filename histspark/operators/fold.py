@@ -15,11 +15,11 @@ from histspark.session import with_package
 ROWS = 4096
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list, new_state: Callable[[], object], step: Callable, schema: str) -> DataFrame:
+def sorted_fold(df: DataFrame, keys: list[str], order: list, new_state: Callable[[], object], step: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
     """Fold each key's rows in order.
 
-    ``step(state, row) -> list of output rows (dicts)`` may change ``state``, which ``new_state()`` makes per key. One
-    shuffle on the key; a partition is read once in key order, so no key's rows are ever gathered.
+    ``step(state, row) -> list of output rows (dicts)`` may change ``state``, which ``new_state()`` makes per key;
+    ``finish(state)`` gives the rows behind a key's last one. One shuffle on the key; a partition is read once in key order, so no key's rows are ever gathered.
     """
     spark = with_package(df.sparkSession)
     out_type: StructType = _parse_datatype_string(schema)
@@ -31,11 +31,13 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list, new_state: Callable
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in keys)
                 if own != key or state is None:
+                    rows += finish(state) if finish and state is not None else []
                     key, state = own, new_state()
                 rows += step(state, row)
                 if len(rows) >= ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                     rows = []
+        rows += finish(state) if finish and state is not None else []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonx
-from histspark.operators import apply, asof, catalog, chain, delivery, diff, flows, history, ingest, lifecycle, plugins, rules
+from histspark.operators import apply, asof, catalog, chain, compose, delivery, diff, flows, history, ingest, lifecycle, plugins, rules
 from histspark.plans import driver
 from histspark.schemas import EVENTS, INTEGRITY, KEY, SNAPSHOTS
 from histspark.session import shared_dir
@@ -109,6 +110,22 @@ def _(spark, d):
     return ingest.ingest(cmds).select(F.lit("fold").alias("form"), *names).union(ingest.ingest_states(cmds).select(F.lit("window").alias("form"), *names))
 
 
+_FORMS = EV.replace("json_extract_string(props, '$.k') AS k", "CAST(json_extract_string(props, '$.k') AS INT) // 20 * 20 + 1 AS k, '' AS event_type, 0 AS value").replace("event_id AS seq, event_type, value,", "event_id AS seq,")
+
+
+@register("ingest_number_forms", _FORMS + "SELECT form, entity_id, version, op, seq, CAST(k AS BIGINT) AS n FROM ev, (VALUES ('fold'), ('window')) f(form) WHERE NOT del")
+def _(spark, d):
+    """The same number in turn written plain, with a zero fraction and with two exponents: no version without a change, in
+    the window form and in the fold, and the states are the same text."""
+    k = F.floor(F.get_json_object("state", "$.k").cast("int") / 20) * 20 + 1
+    text = k.cast("string")
+    forms = F.array(text, F.concat(text, F.lit(".00")), F.concat(text, F.lit("0e-1")), F.concat(F.lit("0."), text, F.lit("E"), F.length(text).cast("string")))
+    cmds = driver.commands(spark, d).withColumn("state", F.when(F.col("kind") == "state", F.concat(F.lit('{"n": '), F.get(forms, F.col("seq") % 4), F.lit("}"))))
+    names = ["entity_id", "version", "op", "seq", F.regexp_extract("state", r'^\{"n":(\d+)\}$', 1).cast("long").alias("n")]
+    out = ingest.ingest(cmds).select(F.lit("fold").alias("form"), *names).union(ingest.ingest_states(cmds).select(F.lit("window").alias("form"), *names))
+    return out.where("op <> 'delete'")
+
+
 @register("ingest_continued", EV + "SELECT form, entity_id, version, op, seq FROM ev, (VALUES ('fold'), ('window')) f(form) WHERE ts >= TIMESTAMP '2024-01-15'")
 def _(spark, d):
     """Commands behind an instant on top of the current rows stored until then: versions and operations go on."""
@@ -410,18 +427,23 @@ def _(spark, d):
     return _fields(asof.state_history(e, asof.build_snapshots(whole, 10).select(*KEY, "version", "ts", "deleted", "state"), 10))
 
 
-@register("state_at", _SHOWN + "SELECT entity_id, max(version) AS version, arg_max(deleted, version) AS deleted, arg_max(coalesce(k, '-'), version) AS k, max(version) // 10 * 10 AS snapshot_version FROM shown WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY entity_id")
+def _snapshots(e, interval: int):
+    """Snapshots as the write path stores them: each event's own state, behind a delete the one before."""
+    dead = F.col("op") == "delete"
+    return asof.build_snapshots(e.select(*KEY, "version", F.col("ts_received").alias("ts"), dead.alias("deleted"), F.when(dead, F.col("base")).otherwise(F.col("state")).alias("state")), interval)
+
+
+@register("state_at", _SHOWN + "SELECT entity_id, max(version) AS version, max_by(ts, version) AS ts, arg_max(deleted, version) AS deleted, arg_max(coalesce(k, '-'), version) AS k, max(version) // 10 * 10 AS snapshot_version FROM shown WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY entity_id")
 def _(spark, d):
     e = driver.events(spark, d)
-    snaps = asof.build_snapshots(asof.state_history(e), 10).select(*KEY, "version", "ts", "deleted", "state")
-    probes = e.select(*KEY).distinct().withColumns({"at": F.lit(AT), "version": F.lit(None).cast("long")})
-    out = asof.state_at(probes, e, snaps)
-    return out.select("entity_id", "version", "deleted", F.coalesce(F.get_json_object("state", "$.k"), F.lit("-")).alias("k"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"))
+    probes = driver.commands(spark, d).select(*KEY).distinct().withColumn("at", F.lit(AT))
+    out = asof.state_at(probes, e, _snapshots(e, 10))
+    return out.select("entity_id", "version", "ts", "deleted", F.coalesce(F.get_json_object("state", "$.k"), F.lit("-")).alias("k"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"))
 
 
 @register("state_at_many", _SHOWN + """, last AS (SELECT entity_id, max(version) AS latest, max(version) FILTER (ts <= TIMESTAMP '2024-01-15') AS by_time FROM ev GROUP BY ALL),
     q AS (SELECT entity_id, 'v2' AS asked, least(2, latest) AS version FROM last UNION ALL SELECT entity_id, 'v25', least(25, latest) FROM last UNION ALL SELECT entity_id, 'at', by_time FROM last WHERE by_time IS NOT NULL)
-    SELECT entity_id, asked, version, deleted, k, type, value, version // 10 * 10 AS snapshot_version, version % 10 AS events_applied FROM q JOIN shown USING (entity_id, version)""")
+    SELECT entity_id, asked, version, ts, deleted, k, type, value, version // 10 * 10 AS snapshot_version, version % 10 AS events_applied FROM q JOIN shown USING (entity_id, version)""")
 def _(spark, d):
     """Three probes of every entity, two by version and one by time."""
     e = driver.events(spark, d)
@@ -431,7 +453,32 @@ def _(spark, d):
     out = asof.state_at(probes, e, snaps)
     asked = F.coalesce(F.concat(F.lit("v"), F.col("asked_version").cast("string")), F.lit("at")).alias("asked")
     g = lambda n: F.get_json_object("state", f"$.{n}")
-    return out.select("entity_id", asked, "version", "deleted", g("k").alias("k"), g("type").alias("type"), g("value").cast("double").alias("value"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"), "events_applied")
+    return out.select("entity_id", asked, "version", "ts", "deleted", g("k").alias("k"), g("type").alias("type"), g("value").cast("double").alias("value"), F.coalesce("snapshot_version", F.lit(0)).alias("snapshot_version"), "events_applied")
+
+
+@register("state_at_few", _SHOWN + """SELECT entity_id, version, ts, deleted, k, type, value FROM shown
+    WHERE CAST(entity_id AS INT) % 100 = 3 AND version IN (SELECT unnest([5, 17, 30])) """)
+def _(spark, d):
+    """Three versions of one entity in a hundred: other entities' events leave before anything is shuffled."""
+    e = driver.events(spark, d)
+    keys = driver.commands(spark, d).select(*KEY).distinct().where(F.col("entity_id").cast("int") % 100 == 3)
+    probes = keys.withColumn("version", F.explode(F.array(*[F.lit(v).cast("long") for v in (5, 17, 30)])))
+    out = asof.state_at(probes, e, _snapshots(e, 10))
+    g = lambda n: F.get_json_object("state", f"$.{n}").alias(n)
+    return out.where("asked_version = version").select("entity_id", "version", "ts", "deleted", g("k"), g("type"), g("value").cast("double").alias("value"))
+
+
+#: The command stream with one user in whose history a third of all commands lie.
+_HOT = _SHOWN.replace("CAST(user_id AS VARCHAR) AS entity_id", "CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS entity_id")
+
+
+@register("hot_history", _HOT + "SELECT entity_id, version, deleted, k, type, value FROM shown")
+def _(spark, d):
+    """The state after every version where one entity holds a third of all events: runs of 50 versions merge and are
+    replayed side by side."""
+    cmds = driver.commands(spark, d).withColumn("entity_id", F.when(F.col("seq") % 3 == 0, "hot").otherwise(F.col("entity_id")))
+    e = tables.stored(ingest.ingest_states(cmds).where("code is null").select(*KEY, "version", "ts_received", "op", "changes"), "hot-events")
+    return _fields(compose.parallel_history(e, 50))
 
 
 _FLAT = EV + """, d0 AS (SELECT entity_id, max(version) FILTER (del) AS death FROM ev WHERE ts <= TIMESTAMP '{at}' GROUP BY ALL),
@@ -854,6 +901,16 @@ def _(spark, d):
     return kept.select(F.lit(True).alias("kept")).union(dropped.select(F.lit(False))).groupBy("kept").agg(F.count("*").alias("n"))
 
 
+@register("retention_unset", EV + "SELECT entity_id, version, kind, kind = 'forever' OR kind = 'days' AS kept FROM ev, (VALUES ('days'), ('forever'), ('zero')) k(kind) WHERE kind <> 'zero' UNION ALL SELECT entity_id, version, 'zero', TRUE FROM ev")
+def _(spark, d):
+    """A policy without a value, or with none above 0, keeps every event."""
+    e, out = driver.events(spark, d), []
+    for kind, (type_, value) in {"days": ("days", None), "forever": ("forever", None), "zero": ("versions", 0)}.items():
+        cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit(type_).alias("retention_type"), F.lit(value).cast("int").alias("retention_value"))
+        out += [part.select("entity_id", "version", F.lit(kind).alias("kind"), F.lit(kept).alias("kept")) for part, kept in zip(lifecycle.apply_retention(e, cfg, TO), (True, False), strict=True)]
+    return functools.reduce(DataFrame.union, out)
+
+
 @register("cut_versions", EV + "SELECT entity_id, max(version) - 5 AS version FROM ev GROUP BY entity_id HAVING max(version) > 5")
 def _(spark, d):
     cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("versions").alias("retention_type"), F.lit(5).alias("retention_value"))

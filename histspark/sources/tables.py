@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histspark.schemas import ACTIVITIES, COMMANDS, CURRENT, EVENTS, KEY
+from histspark.session import shared_dir
 
 PARTITIONS = ["tenant", "collection"]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A step's table in the shared folder, read back: cuts lineage, so that lost executors cost a step only."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_events(spark: SparkSession, path: str, collection: str | None = None, tenant: str | None = None) -> DataFrame:
     """The event log; collection and tenant prune partitions."""
     out = spark.read.schema(EVENTS).parquet(path)
