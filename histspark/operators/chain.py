@@ -33,12 +33,24 @@ def event_canonical(events: DataFrame) -> Column:
     fields add nothing; version, meta and receive times are not signed."""
     null = F.lit("null")
     change = lambda c: _object(("path", quoted(c["path"])), ("op", quoted(c["op"])), ("old", F.when(c["op"] != "add", F.coalesce(c["old"], null))), ("new", F.when(c["op"] != "remove", F.coalesce(c["new"], null))))
+    author, middle, closing = canonical_parts(events)
+    changes = F.when(F.size("changes") > 0, F.concat(F.lit('"changes":'), _list(F.col("changes"), change)))
+    return F.concat(F.lit("{"), F.concat_ws(",", author, changes, middle, F.concat(F.lit('"op":'), quoted(F.col("op"))), closing), F.lit("}"))
+
+
+def canonical_parts(rows: DataFrame) -> tuple[Column, Column, Column]:
+    """What stands before the changes, between them and the op, and behind the op in the signed text, in key order: all
+    that a command fixes before its event is planned (NULL where nothing stands)."""
     ref = lambda r: _object(("activity_id", _text(r["activity_id"])), ("collection", _text(r["collection"])), ("entity_id", _text(r["entity_id"])), ("version", F.when(r["version"] != 0, r["version"].cast("string"))), ("event_id", _text(r["event_id"])))
     stamp = F.regexp_replace(F.regexp_replace(F.date_format(F.date_trunc("millisecond", "ts_source"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), r"0+$", ""), r"\.$", "")
-    flow = F.when(F.col("flow").isNotNull(), _object(("id", _text(F.col("flow.id"))), ("step", _text(F.col("flow.step"))), ("caused_by", F.when(F.size("flow.caused_by") > 0, _list(F.col("flow.caused_by"), ref)))))
-    return _object(
-        ("op", quoted(F.col("op"))), ("entity_id", quoted(F.col("entity_id"))), ("changes", F.when(F.size("changes") > 0, _list(F.col("changes"), change))),
-        ("author", _text(F.col("author"))), ("source", _text(F.col("source"))), ("ts_source", F.when(F.col("ts_source").isNotNull(), F.concat(F.lit('"'), stamp, F.lit('Z"')))), ("flow", flow),
+    flow = F.when(F.col("flow").isNotNull(), _object(("id", _text(F.col("flow.id"))), ("step", _text(F.col("flow.step"))), ("caused_by", F.when(F.size("flow.caused_by") > 0, _list(F.col("flow.caused_by"), ref))))) if "flow" in rows.columns else F.lit(None).cast("string")
+    field = lambda name, text: F.concat(F.lit(f'"{name}":'), text)
+    time = F.when(F.col("ts_source").isNotNull(), F.concat(F.lit('"'), stamp, F.lit('Z"')))
+    filled = lambda text: F.when(text != "", text)
+    return (
+        field("author", _text(F.col("author"))),
+        F.concat_ws(",", field("entity_id", quoted(F.col("entity_id"))), field("flow", flow)),
+        filled(F.concat_ws(",", field("source", _text(F.col("source"))), field("ts_source", time))),
     )
 
 

@@ -138,7 +138,7 @@ def ingest_states(commands: DataFrame, current: DataFrame | None = None, first_e
     return json_diff(out, "_from", "_to", keys).drop("_from", "_to")
 
 
-_PLANNED = (
+PLANNED = (
     "tenant string, collection string, entity_id string, version long, op string, author string, source string, "
     "ts_source timestamp, ts_received timestamp, event_id string, request_id string, changes " + CHANGES + ", meta string, "
     "state string, deleted boolean, seq long, code string"
@@ -206,7 +206,7 @@ def ingest(commands: DataFrame, current: DataFrame | None = None, first_event_op
     if current is not None:
         held = current.select(*KEY, F.col("version").alias("stored_version"), F.col("deleted").alias("stored_deleted"), F.col("state").alias("stored_state"))
         rows = commands.join(held, KEY, "left")
-    return sorted_fold(rows, KEY, ["ts_received", "seq"], Entity, plan_step(first_event_op, check_versions, array_keys), _PLANNED)
+    return sorted_fold(rows, KEY, ["ts_received", "seq"], Entity, plan_step(first_event_op, check_versions, array_keys), PLANNED)
 
 
 def check_expected_version(commands: DataFrame, current: DataFrame) -> DataFrame:

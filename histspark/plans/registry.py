@@ -17,7 +17,7 @@ from histspark.plans import driver
 from histspark.schemas import EVENTS, INTEGRITY, KEY, SNAPSHOTS
 from histspark.session import shared_dir
 from histspark.sources import tables
-from histspark.streaming import stream
+from histspark.streaming import stateful, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1144,3 +1144,98 @@ def _(spark, d):
     q = out.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path + "/out").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+def _by_time(spark, d, parts: int = 4, ahead: bool = False, **columns) -> DataFrame:
+    """The command stream in several micro-batches: its rows in ``parts`` files, one written after the other by time; with
+    ``ahead`` a last file moves the watermark 400 days on."""
+    path, rows = _folder(spark, "by-time"), driver.table(spark, d, "events")
+    at = rows.agg(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)])).first()[0]
+    for lo, hi in zip([None, *at], [*at, None], strict=True):
+        part = rows.where((F.unix_micros("ts") > F.lit(lo)) if lo is not None else F.lit(True)).where((F.unix_micros("ts") <= F.lit(hi)) if hi is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(path)
+    if ahead:
+        last = rows.groupBy().agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+        last.select(*[F.col("ts") if c == "ts" else F.lit(-1 if c in ("event_id", "user_id") else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+    return driver.as_commands(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)).withColumns(columns)
+
+
+def _appended(spark, rows: DataFrame) -> DataFrame:
+    """What a stream gives over everything there is, micro-batch after micro-batch."""
+    path = _folder(spark, "stream")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    with stateful.rocksdb(spark):
+        rows.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path + "/out")
+
+
+@register("stream_keyed_ingest", EV + "SELECT entity_id, version, op, seq FROM ev")
+def _(spark, d):
+    """Versions from the state store, over several micro-batches, without a table of current rows."""
+    return _appended(spark, stateful.keyed_ingest(_by_time(spark, d))).where("code is null").select("entity_id", "version", "op", "seq")
+
+
+@register("stream_keyed_chain", ORACLES["chain_starts"])
+def _(spark, d):
+    """The chain that the keyed stream extends from batch to batch is the batch form's."""
+    links = _appended(spark, stateful.keyed_ingest(_by_time(spark, d, 8))).where("version <= 2")
+    pick = lambda v: F.max(F.when(F.col("version") == v, F.col("hash")))
+    return links.groupBy("entity_id").agg(pick(1).alias("first_hash"), pick(2).alias("second_hash")).where("second_hash is not null")
+
+
+@register("stream_keyed_verify", EV + "SELECT entity_id, count(*) AS links, 0 AS broken FROM ev GROUP BY ALL")
+def _(spark, d):
+    """Every link of the streamed chains verifies against its event."""
+    e = _appended(spark, stateful.keyed_ingest(_by_time(spark, d))).where("code is null")
+    flow = driver.commands(spark, d).select("seq", "flow")
+    e = e.join(flow, "seq").withColumn("integrity", F.struct("hash", "prev_hash"))
+    broken = chain.verify_chain(e).groupBy(*KEY).agg(F.count("*").alias("broken"))
+    return e.groupBy(*KEY).agg(F.count("*").alias("links")).join(broken, KEY, "left").select("entity_id", "links", F.coalesce("broken", F.lit(0)).alias("broken"))
+
+
+@register("stream_tickets", ORACLES["ticket_status"])
+def _(spark, d):
+    """Ticket state with a time to live, over several micro-batches."""
+    kinds = F.create_map(*[F.lit(x) for x in ("click", "accepted", "view", "processing", "purchase", "stored", "error", "failed")])
+    log = _by_time(spark, d).select(F.col("entity_id").cast("long").alias("ticket_id"), kinds[F.col("source")].alias("status"), F.col("ts_received").alias("at"))
+    out = _appended(spark, stateful.stream_tickets(log, "60 days"))
+    return out.groupBy("ticket_id").agg(F.max_by("status", "entries").alias("status"))
+
+
+@register("stream_reorder", ORACLES["reorder"])
+def _(spark, d):
+    """Rows released in source order as newer ones come, the last of each entity by timers."""
+    cmds = _by_time(spark, d, ahead=True, ts_source=F.col("ts_source") - F.make_interval(hours=(F.col("seq") % 7).cast("int")))
+    out = _appended(spark, stateful.stream_reorder(cmds, "3 hours", "300 days"))
+    return out.where("seq >= 0").select("seq", "late", F.coalesce("place", F.lit(0)).alias("place"))
+
+
+@register("stream_stored_ids", "SELECT part, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT 'events' AS part, min(event_id) AS id FROM events WHERE event_id % 5 <> 0 GROUP BY event_id % 400 UNION ALL SELECT 'events', event_id FROM events WHERE event_id % 5 = 0) GROUP BY part")
+def _(spark, d):
+    """Ids that come again long after, and rows without an id: the index of stored ids leaves one row of each id, and all
+    rows without."""
+    none = F.when(F.col("seq") % 5 != 0, (F.col("seq") % 400).cast("string"))
+    cmds = _by_time(spark, d, event_id=none, kind=F.lit("state"), state=F.format_string('{"n":%d}', "seq"), entity_id=F.col("seq").cast("string"))
+    path = _streamed(spark, d, cmds, ids=True)
+    e = spark.read.parquet(path + "/events")
+    return e.groupBy(F.lit("events").alias("part")).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.concat(F.lit("i"), "event_id"), F.concat(F.lit("s"), "entity_id"))).alias("ids"))
+
+
+@register("stream_settings", EV + """, c AS (SELECT *, CAST(entity_id AS INT) % 2 = 0 AS even FROM ev)
+    SELECT 'event' AS part, entity_id, version, CASE WHEN op = 'create' AND even THEN 'update' ELSE op END AS what FROM c WHERE CAST(entity_id AS INT) % 5 <> 0
+    UNION ALL SELECT 'snapshot', entity_id, version, '' FROM c WHERE CAST(entity_id AS INT) % 5 <> 0 AND version % CASE WHEN even THEN 4 ELSE 100 END = 0
+    UNION ALL SELECT 'reject', CAST(user_id AS VARCHAR), event_id, 'collection_not_found' FROM events WHERE user_id % 5 = 0""")
+def _(spark, d):
+    """Settings of each collection in the stream: first operation and snapshot interval, and commands of a collection that
+    is not configured."""
+    number = F.col("entity_id").cast("int")
+    name = F.when(number % 5 == 0, "app.none").when(number % 2 == 0, "app.even").otherwise("app.odd")
+    cfg = spark.createDataFrame([("app.even", "update", None, 4, None), ("app.odd", None, None, None, None)], "name string, first_event_op string, array_keys map<string,string>, snapshot_interval int, max_event_size_bytes long")
+    path = _streamed(spark, d, _by_time(spark, d, collection=name), config=cfg)
+    events, snaps, rejects = (spark.read.parquet(f"{path}/{t}") for t in ("events", "snapshots", "rejects"))
+    out = events.select(F.lit("event").alias("part"), "entity_id", "version", F.col("op").alias("what"))
+    out = out.union(snaps.select(F.lit("snapshot"), "entity_id", "version", F.lit("")))
+    return out.union(rejects.select(F.lit("reject"), "entity_id", F.col("seq"), "code"))
