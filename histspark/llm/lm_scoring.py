@@ -5,13 +5,16 @@ behind each and a newline at its end. Whole-corpus counts of (context, next byte
 rolled up to shorter contexts. A context is retained when it is frequent enough and its next-byte distribution diverges
 from its parent's; suffixes of retained contexts are retained. Distributions are smoothed by mixing each with its
 parent's (Witten and Bell). A byte is scored by the longest retained suffix of what precedes it. A token's probability
-is the product over its bytes, smoothed at word level: an even mixture with the token's own share (the base estimate).
+is the product over its bytes, smoothed at word level: where a token begins, the state "word" knows whole tokens by their
+share of all training tokens, and is mixed with what the byte states spell. Both give all tokens together one (a token
+never seen has no share and is only spelled), so the score is the log10 probability of the text, and the probabilities of
+all texts sum to one. The base estimate takes no part in it.
 
 Retained contexts and entries cover at least a fixed share of the training bytes, so at most 1/share of them exist at
 each depth however large the corpus; that bound makes the model fit for sending to every task. Corpus counts themselves
 are complete and stay distributed.
 
-Both need the exact count of every word. Words above a fixed share of all tokens (boundedly many) are scored in the
+Base and score need the exact count of every word. Words above a fixed share of all tokens (boundedly many) are scored in the
 tasks; the others, none of which is frequent, are joined with the count table.
 
 Defined results: null text is the empty text (one token, the end); rows repeated whole are scored each; without training
@@ -34,7 +37,7 @@ from .suffix_tree import CONTEXT_SHARE, DEPTH, ENTRY_SHARE, GAIN, ROOT_PRIOR, Su
 
 #: Words of at least this share of all training tokens are counted in the tasks; there are at most 1/share.
 COMMON_SHARE = 1e-6
-#: Weight of the tree in a token's probability; the token's own share has the rest.
+#: Weight of the bytes' states in a token's probability; the token's share of the training tokens has the rest.
 TREE_WEIGHT = 0.5
 #: Bytes of text that are turned to keys at once, and keys merged at once.
 CHUNK, MERGE = 2 << 20, 3_000_000
@@ -173,9 +176,9 @@ def fit(grams: DataFrame, depth: int = DEPTH) -> SuffixTree:
     return SuffixTree(contexts, entries)
 
 
-def mixture(own: np.ndarray, tree: np.ndarray) -> np.ndarray:
-    """log10 of the mixture of a token's own share and its spelling by the tree."""
-    return np.log10((1 - TREE_WEIGHT) * 10.0**own + TREE_WEIGHT * 10.0 ** np.maximum(tree, -250.0))
+def mixture(share: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """log10 probability of a token from its share of the training tokens and its spelling by the tree (log10)."""
+    return np.log10((1 - TREE_WEIGHT) * share + TREE_WEIGHT * 10.0 ** np.maximum(tree, -250.0))
 
 
 def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
@@ -192,6 +195,7 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
     whole = total + 0.5 * (kinds + 1)
     base_of = lambda c: np.log10((c + 0.5) / whole)
     known_base = {w: float(base_of(c)) for w, c in common.items()}
+    shares = {w: c / max(total, 1) for w, c in common.items()}
     end_known = int(common[END.encode()] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +213,8 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
                 last = (keys & 255 == 32) | (keys & 255 == 10)  # a token ends in its space, the text in its newline
                 spell = np.add.reduceat(tree.log10(keys), np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]))
                 is_rare = own > 0
-                mixed = np.where(is_rare, 0.0, mixture(own, spell))
+                share = np.array([shares.get(w, 0.0) for w in flat])
+                mixed = np.where(is_rare, 0.0, mixture(share, spell))
                 known[a:b] = np.add.reduceat(~is_rare, first_token, dtype=np.int64)
                 if not end_known:
                     known[a:b] -= 1
@@ -230,7 +235,7 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
     rest = partial.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tree").join(words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     own = F.log10((c + 0.5) / F.lit(float(whole)))
-    both_ways = F.log10(F.lit(1 - TREE_WEIGHT) * F.pow(F.lit(10.0), own) + F.lit(TREE_WEIGHT) * F.pow(F.lit(10.0), F.greatest(F.col("tree"), F.lit(-250.0))))
+    both_ways = F.log10(F.lit(1 - TREE_WEIGHT) * c / F.lit(float(max(total, 1))) + F.lit(TREE_WEIGHT) * F.pow(F.lit(10.0), F.greatest(F.col("tree"), F.lit(-250.0))))
     added = rest.groupBy("uid").agg(F.sum((c > 0).cast("long")).alias("k"), F.sum(own).alias("b"), F.sum(both_ways).alias("s"))
     return partial.drop("rare").join(added, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),

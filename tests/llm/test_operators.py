@@ -383,6 +383,36 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.scored(empty).isEmpty()
 
 
+def test_lm_score_is_the_models_probability(docs, monkeypatch):
+    """Byte by byte from the longest context down, and word shares beside, in plain Python."""
+    trees = []
+    monkeypatch.setattr(lm_scoring, "fit", lambda grams, real=lm_scoring.fit: trees.append(real(grams)) or trees[-1])
+    out = lm_scoring.scored(docs).collect()
+    contexts = [dict(zip(c.tolist(), left.tolist(), strict=True)) for c, left in trees[0].contexts]
+    entries = [dict(zip(k.tolist(), share.tolist(), strict=True)) for k, share in trees[0].entries]
+
+    def p(past, byte, d):
+        ctx = int.from_bytes(past[len(past) - d :], "big")
+        if ctx not in contexts[d]:
+            return p(past, byte, d - 1)
+        return entries[d].get(ctx << 8 | byte, 0.0) + (contexts[d][ctx] * p(past, byte, d - 1) if d else 0.0)
+
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+    c = Counter(w for i, t in ROWS if not held(i) for w in [*words(t), None])
+    assert abs(sum(n / sum(c.values()) for n in c.values()) - 1) < 1e-9
+    want, depth = Counter(), len(contexts) - 1
+    for i, t in ROWS:
+        past, score = b"\n" * depth, 0.0
+        for w in [*words(t), None]:
+            spelt = 0.0
+            for b in b"\n" if w is None else w.encode() + b" ":
+                spelt += math.log10(p(past, b, depth))
+                past = past[1:] + bytes([b])
+            score += math.log10(0.5 * c[w] / sum(c.values()) + 0.5 * 10.0 ** max(spelt, -250.0))
+        want[i, round(score, 3)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 3)) for r in out) == want
+
+
 def test_suffix_tree_sums_to_one(docs):
     table = lm_scoring.counts(docs.select("text")).where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
     tree = lm_scoring.fit(table)
