@@ -109,6 +109,15 @@ def collection_mask(col: Column | str, patterns: list[str]) -> Column:
     return out
 
 
+def mask_names(col: Column | str) -> Column:
+    """Every pattern that shows a collection name: itself, ``*``, and for each of its dotted prefixes (the name included)
+    that prefix with ``.*``."""
+    c = F.col(col) if isinstance(col, str) else col
+    parts = F.split(c, r"\.")
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "."), F.lit(".*")))
+    return F.when(c.isNotNull(), F.concat(F.array(c, F.lit("*")), below))
+
+
 def valid_collection(col: Column | str) -> Column:
     """Whether a collection name is well formed."""
     c = F.col(col) if isinstance(col, str) else col

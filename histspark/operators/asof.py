@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from histspark.functions import jsonvalue as J
 from histspark.operators.diff import json_diff
 from histspark.operators.fold import sorted_fold
 from histspark.schemas import KEY
+from histspark.session import with_package
+from histspark.sources.tables import stored
 
 INTERVAL = 100
 
@@ -173,10 +176,11 @@ def state_at(probes: DataFrame, events: DataFrame, snapshots: DataFrame | None =
     asked = [c for c in ("at", "version") if c in probes.columns]
     probes = probes.select(*KEY, *asked)
     sent = few(probes.select(*KEY).distinct())
-    found = resolve_version(probes, events, sent).where("target is not null").withColumnsRenamed({"at": "asked_at", "version": "asked_version"})
+    # what is asked is written once: all below reads it several times, and the log only for the tails
+    found = stored(resolve_version(probes, events, sent).where("target is not null").withColumnsRenamed({"at": "asked_at", "version": "asked_version"}), "probes")
     targets = found.select(*KEY, "target").distinct()
     if snapshots is not None:
-        targets = nearest_snapshot(targets, snapshots, sent)
+        targets = stored(nearest_snapshot(targets, snapshots, sent), "targets")
     else:
         targets = targets.selectExpr("*", "cast(null as long) snapshot_version", "cast(null as timestamp) snapshot_ts", "cast(null as string) snapshot_state", "cast(null as boolean) snapshot_deleted")
     targets = targets.withColumn("base", F.coalesce("snapshot_version", F.lit(0)).cast("long"))
@@ -211,15 +215,27 @@ def state_at_flat(events: DataFrame, at=None) -> DataFrame:
 
 
 def leaves_at(events: DataFrame, at=None, snapshots: DataFrame | None = None) -> DataFrame:
-    """(key, path, value, version) of every live leaf at an instant: relationally for the entities where that is legal,
-    by replay for the others (top-level fields of their states; version is the state's)."""
+    """(key, path, value, version) of every live leaf at an instant: relationally for the entities where that is legal, by
+    replay for the others. Leaves are scalars and empty objects and arrays, by their full paths, either way; ``version`` is
+    the leaf's last change, and for a replayed entity the state's version."""
     legal = flat_legal(events)
     flat = state_at_flat(events.join(legal.where("legal").select(*KEY), KEY, "left_semi"), at)
     rest = events.join(legal.where("not legal").select(*KEY), KEY, "left_semi")
-    probes = rest.select(*KEY).distinct().withColumns({"at": F.lit(at).cast("timestamp"), "version": F.lit(None).cast("long")})
+    probes = rest.select(*KEY).distinct().withColumn("at", F.lit(at).cast("timestamp"))
     seen = state_at(probes, rest, snapshots).where("not deleted")
-    fields = F.map_entries(F.try_parse_json("state").cast("map<string,variant>"))
-    return flat.unionByName(seen.select(*KEY, "version", F.explode(fields).alias("f")).select(*KEY, F.col("f.key").alias("path"), F.to_json("f.value").alias("value"), "version"))
+    return flat.unionByName(leaves(seen.select(*KEY, "version", "state"), "state").select(*KEY, "path", "value", "version"))
+
+
+def leaves(df: DataFrame, column: str) -> DataFrame:
+    """One row for each leaf of a document column: all other columns, ``path`` and ``value`` (JSON text)."""
+    with_package(df.sparkSession)
+
+    @F.arrow_udf("array<struct<path:string,value:string>>")
+    def flat(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [{"path": p, "value": v} for p, v in J.leaves(J.loads(t))] for t in texts.to_pylist()], pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
+
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(flat(column)).alias("_leaf")).select(*rest, "_leaf.path", "_leaf.value")
 
 
 def state_between(events: DataFrame, start, end, snapshots: DataFrame | None = None, array_keys: dict | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histspark.functions.jsonx import mask_names
+
 # Config enums and defaults.
 MODES = ("strict", "durable", "fast")
 FIRST_OPS = ("create", "update")
@@ -142,3 +144,12 @@ def ratio_alerts(metrics: DataFrame, bad: str, good: str, window: str = "10 minu
     total = lambda r: F.coalesce(F.sum(F.when(F.col("result") == r, F.col("value"))), F.lit(0))
     sums = metrics.groupBy("name", F.window("ts", window, slide)).agg(total(bad).alias("bad"), total(good).alias("good")).select("name", F.col("window.end").alias("at"), "bad", "good")
     return _held(sums, F.col("bad") > F.col("good"), slide, held)
+
+
+def shown_to(rows: DataFrame, masks: DataFrame, reader: str = "reader") -> DataFrame:
+    """``rows`` (with ``collection``) that each reader may see, by a table of masks (reader, pattern): one row for each
+    reader and row, with the reader's column. Names are turned to the patterns that show them and joined on equality, once
+    for each distinct name, so any number of patterns costs one equi-join."""
+    names = rows.select("collection").distinct().select("collection", F.explode(mask_names("collection")).alias("pattern"))
+    seen = names.join(masks.select(reader, "pattern").distinct(), "pattern").select("collection", reader).distinct()
+    return rows.join(seen, "collection")

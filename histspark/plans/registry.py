@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from histspark.functions import jsonx
 from histspark.operators import apply, asof, catalog, chain, compose, delivery, diff, flows, history, ingest, lifecycle, plugins, rules
@@ -523,10 +524,11 @@ def _(spark, d):
 
 
 @register("leaves_at", _SHOWN + """, p AS (SELECT entity_id, max(version) AS version FROM ev WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY ALL)
-    SELECT entity_id, version, unnest(['d', 'value']) AS path FROM shown JOIN p USING (entity_id, version) WHERE NOT deleted""")
+    SELECT entity_id, version, unnest(['d.k', 'd.type', 'value']) AS path, unnest(['"' || k || '"', '"' || type || '"', NULL]) AS value, unnest([NULL, NULL, value]) AS value_num FROM shown JOIN p USING (entity_id, version) WHERE NOT deleted""")
 def _(spark, d):
-    """Nested documents fail the test for the relational form and are replayed."""
-    return asof.leaves_at(_nested_events(spark, d), AT).select("entity_id", "version", "path")
+    """Nested documents fail the test for the relational form and are replayed; their leaves come by full paths."""
+    out = asof.leaves_at(_nested_events(spark, d), AT)
+    return out.select("entity_id", "version", "path", txt(F.col("value")).alias("value"), num(F.col("value")).alias("value_num"))
 
 
 # ---- chains ----------------------------------------------------------------------------------------------------------
@@ -824,6 +826,17 @@ def _(spark, d):
     return p.select("p_brand", jsonx.collection_mask(name, ["x.brand.1.*", "x.brand.2", "y.*"]).alias("shown")).groupBy("p_brand", "shown").agg(F.count("*").alias("n"))
 
 
+@register("mask_table", """WITH n AS (SELECT s_suppkey AS k, 'crm.' || CASE s_suppkey % 4 WHEN 0 THEN 'deals' WHEN 1 THEN 'deals.eu' WHEN 2 THEN 'leads' ELSE 'a' || s_suppkey END AS c FROM supplier)
+    SELECT k, 'all' AS reader FROM n UNION ALL SELECT k, 'deals' FROM n WHERE c = 'crm.deals' OR c LIKE 'crm.deals.%' UNION ALL SELECT k, 'two' FROM n WHERE c IN ('crm.leads', 'crm.a7')""")
+def _(spark, d):
+    """Readers' masks as a table: all, one collection and below (named twice), and two single ones."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 4 == 0, "deals").when(k % 4 == 1, "deals.eu").when(k % 4 == 2, "leads").otherwise(F.concat(F.lit("a"), k.cast("string")))
+    rows = driver.table(spark, d, "supplier").select(k.alias("k"), F.concat(F.lit("crm."), name).alias("collection"))
+    masks = [("all", "*"), ("deals", "crm.deals.*"), ("deals", "crm.deals"), ("two", "crm.leads"), ("two", "crm.a7"), ("none", "crm"), ("none", "sales.*")]
+    return catalog.shown_to(rows, spark.createDataFrame(masks, "reader string, pattern string")).select("k", "reader")
+
+
 @register("valid_collection", "SELECT p_name, regexp_full_match(replace(p_name, ' ', '.'), '[a-z0-9]+(\\.[a-z0-9]+)*') AS ok, replace(replace(p_name, ' ', '.'), '.', '_') AS physical, count(*) AS n FROM part GROUP BY ALL")
 def _(spark, d):
     name = F.replace("p_name", F.lit(" "), F.lit("."))
@@ -945,6 +958,46 @@ def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _two_logs(spark, d) -> str:
+    """A stored log of two collections, the commands of even and of odd users."""
+    path = _folder(spark, "log")
+    cmds = driver.commands(spark, d).withColumn("collection", F.when(F.col("entity_id").cast("int") % 2 == 0, "app.even").otherwise("app.odd"))
+    e = ingest.ingest_states(cmds).where("code is null").withColumns({"ts_stored": F.col("ts_received"), "integrity": F.lit(None).cast(INTEGRITY)})
+    tables.append_events(e.select(*_columns(EVENTS)), path)
+    return path
+
+
+def _columns(ddl: str) -> list[str]:
+    return StructType.fromDDL(ddl).names
+
+
+@register("retention_stored", _SHOWN + """, m AS (SELECT entity_id, max(version) AS latest FROM ev GROUP BY ALL)
+    SELECT entity_id, version, deleted, k, type, value, CASE WHEN CAST(entity_id AS INT) % 2 = 0 THEN least(latest, 5) ELSE latest END AS events FROM shown JOIN m USING (entity_id) WHERE version > latest - 3""")
+def _(spark, d):
+    """A stored log whose even collection keeps five versions: cut twice, as a repeat would, then states of the last three
+    versions read from what is stored, and how many events are left."""
+    path, snaps = _two_logs(spark, d), _folder(spark, "snaps")
+    cfg = spark.createDataFrame([("app.even", "versions", 5), ("app.odd", "forever", None)], "name string, retention_type string, retention_value int")
+    for run in ("one", "again"):
+        lifecycle.retain_stored(spark, path, snaps, cfg, TO, run)
+    log = tables.read_events(spark, path)
+    last = log.groupBy(*KEY).agg(F.max("version").alias("latest"), F.count("*").alias("events"))
+    probes = last.select(*KEY, F.explode(F.sequence(F.greatest(F.col("latest") - 2, F.lit(1).cast("long")), F.col("latest"))).alias("version"))
+    out = asof.state_at(probes, log, spark.read.schema(SNAPSHOTS).parquet(snaps)).join(last.select(*KEY, "events"), KEY)
+    g = lambda n: F.get_json_object("state", f"$.{n}").alias(n)
+    return out.select("entity_id", "version", "deleted", g("k"), g("type"), g("value").cast("double").alias("value"), "events")
+
+
+@register("purge_stored", EV + "SELECT 'event' AS part, entity_id, version FROM ev WHERE CAST(entity_id AS INT) % 10 <> 4 UNION ALL SELECT 'tombstone', 'app.even/' || entity_id, count(*) FROM ev WHERE CAST(entity_id AS INT) % 10 = 4 GROUP BY entity_id")
+def _(spark, d):
+    """Entities removed from a stored log, and the tombstones of each."""
+    path, audit = _two_logs(spark, d), _folder(spark, "audit")
+    keys = tables.read_events(spark, path).where(F.col("entity_id").cast("int") % 10 == 4).select(*KEY).distinct()
+    lifecycle.purge_stored(spark, path, tables.stored(keys, "purged"), audit, TO, "one")
+    left = tables.read_events(spark, path).select(F.lit("event").alias("part"), "entity_id", "version")
+    return left.union(spark.read.parquet(audit).select(F.lit("tombstone"), "target", "events"))
+
+
 @register("read_events", EV + "SELECT entity_id, version, op, ts AS ts_received FROM ev")
 def _(spark, d):
     """The log, appended in two batches and read by tenant and collection."""

@@ -20,6 +20,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
 def read_events(spark: SparkSession, path: str, collection: str | None = None, tenant: str | None = None) -> DataFrame:
     """The event log; collection and tenant prune partitions."""
     out = spark.read.schema(EVENTS).parquet(path)
