@@ -271,7 +271,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     facts = found.where("kind = 0")
     places = found.where("kind = 1").select("c1", "c2", "doc", "pos", "d1", "d2")
-    least = places.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("d1", "d2", "least")
+    # stored, so that both sides of the join are plain shuffles and a window of very many documents can be split
+    least = stored(places.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("d1", "d2", "least"), "least")
     covered = places.join(least, ["d1", "d2"]).where("least < doc").groupBy("c1", "c2").agg(F.collect_list("pos").alias("covered"))
     marked = facts.where("body is not null").select("c1", "c2", "body").join(covered.hint("shuffle_hash"), ["c1", "c2"])
     cut = stored(marked.mapInArrow(_cut, "c1 long, c2 long, removed long, kept binary"), "cut")
