@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of the longest context.
-DEPTH = 5
+DEPTH = 6
 #: A context or an entry is retained if it covers at least this share of all training bytes (at most 1/share of each
 #: depth, whatever the corpus) and, for contexts, if its divergence test passes.
 CONTEXT_SHARE, ENTRY_SHARE = 1e-6, 2.5e-7
