@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histspark.functions.jsonx import mask_names
+from histspark.session import shared_dir
 
 # Config enums and defaults.
 MODES = ("strict", "durable", "fast")
@@ -92,12 +95,36 @@ def delivery_stats(attempts: DataFrame, buckets: tuple[float, ...] = BUCKETS) ->
     return attempts.groupBy("result").agg(F.count("*").alias("n"), F.count_if(F.col("attempt") > 0).alias("retries"), *bins)
 
 
+#: Size parameter of stored quantile sketches.
+SKETCH_K = 400
+
+
 def latency_percentiles(rows: DataFrame, column: str, *keys: str, exact: bool = False) -> DataFrame:
     """p50 and p99 of a column, by a mergeable sketch; the exact form keeps a group's distinct values in one task."""
     f = F.percentile if exact else F.percentile_approx
     return rows.groupBy(*keys).agg(f(column, F.lit(0.5)).alias("p50"), f(column, F.lit(0.99)).alias("p99"))
 
 
+def latency_sketches(rows: DataFrame, column: str, at: str, *keys: str, window: str = "1 hour", k: int = SKETCH_K) -> DataFrame:
+    """Sketches to store: (keys, start, n, low, high, sketch) per window of ``at``, KLL sketches of the column's values.
+    Null and NaN values are left out. Merged sketches know quantiles of any range of windows without the rows; a sketch of k = 400 is
+    within 1% of rank and takes a few kilobytes whatever it has seen."""
+    value = F.col(column).cast("double")
+    held = rows.where(value.isNotNull() & ~F.isnan(value)).groupBy(*keys, F.window(at, window).alias("_w"))
+    return held.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch")).select(*keys, F.col("_w.start").alias("start"), "n", "low", "high", "sketch")
+
+
+def sketched_percentiles(sketches: DataFrame, *keys: str, since=None, until=None, ranks: tuple[float, ...] = (0.5, 0.99), k: int = SKETCH_K) -> DataFrame:
+    """(keys, n, low, high, p50, p99, ...) from stored sketches alone, of the windows that start in [since, until)."""
+    rows = sketches
+    if since is not None:
+        rows = rows.where(F.col("start") >= F.lit(since))
+    if until is not None:
+        rows = rows.where(F.col("start") < F.lit(until))
+    merged = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("_s"))
+    return merged.select(*keys, "n", "low", "high", *[F.kll_sketch_get_quantile_double("_s", F.lit(r)).alias(f"p{r * 100:g}".replace(".", "_")) for r in ranks])
+
+
 def lag_report(messages: DataFrame) -> DataFrame:
     """Last lag per queue in seconds from enqueue to store, not below 0; rows without a stamp are left out."""
     lag = F.greatest((F.unix_micros("stored_at") - F.unix_micros("enqueued_at")) / 1e6, F.lit(0.0))
@@ -110,6 +137,37 @@ def backlog(published: DataFrame, acked: DataFrame) -> DataFrame:
     return published.select("queue").distinct().join(open_, "queue", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
+def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str = "total", block: int = 500_000) -> DataFrame:
+    """Adds the running sum of ``value`` per ``keys`` by ``order`` (unique within a key; null keys are a key, null values
+    count 0).
+
+    Rows are sorted into blocks of about ``block`` rows by range of (keys, order) and written to the shared folder with
+    their block. Block totals, of which there are few, are summed once; each block then adds what lies before it to its own
+    running sum. No task sees more than a block of a key, however many rows it has.
+    """
+    spark = rows.sparkSession
+    parts = max(1, -(-rows.count() // block))
+    path = f"{shared_dir(spark)}/prefix-{uuid.uuid4().hex}"
+    value_of = F.coalesce(F.col(value), F.lit(0))
+    rows.repartitionByRange(parts, *keys, *order).withColumn("_block", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.parquet(path)
+    totals = cut.groupBy(*keys, "_block").agg(F.sum(value_of).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.withColumn("_in", F.sum(value_of).over(within)).join(offsets, same).select(*rows.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
+def depth_over_time(published: DataFrame, acked: DataFrame, block: int = 500_000) -> DataFrame:
+    """(queue, at, id, step, depth): open messages of a queue after each publish (step 1) and acknowledgement (step -1), by
+    time, then step (publishes first), then id. Rows have queue, at and id."""
+    steps = published.select("queue", "at", "id", F.lit(1).alias("step")).unionByName(acked.select("queue", "at", "id", F.lit(-1).alias("step")))
+    return prefix_sums(steps.withColumn("_order", -F.col("step")), ["queue"], ["at", "_order", "id"], "step", "depth", block).drop("_order")
+
+
 def usage_by_tenant(usage: DataFrame) -> DataFrame:
     return usage.groupBy("tenant", "op").agg(F.sum("n").alias("n"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histspark.functions.jsonx import decode_cursor
+from histspark.session import shared_dir
 
 _NODE = ["tenant", "flow_id", "kind", "node_id", "ts", "collection", "entity_id", "version", "event_id", "activity_id", "type", "step", "caused_by"]
 
@@ -107,6 +109,31 @@ def flow_lineage(edges: DataFrame, depth: int = 3) -> DataFrame:
     return out.groupBy("tenant", "node", "ancestor").agg(F.min("distance").alias("distance"))
 
 
+def flow_closure(edges: DataFrame) -> DataFrame:
+    """(tenant, node, ancestor, distance, cycle): every ancestor of every node, at any depth, with the fewest steps to it;
+    ``cycle`` marks a node that is its own ancestor.
+
+    Paths double: after round k all pairs within 2^k steps are known, and the pairs of exactly 2^k steps, met with what lies
+    above their ancestors, give those within 2^(k+1). A chain of 1,000 takes ten rounds. Only the newest half of the pairs is
+    joined, each round is written to the shared folder, and it ends when no pair is 2^k steps long.
+    """
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
+    keys = ["tenant", "node", "ancestor"]
+    edges.where("cause is not null").select("tenant", F.col("child").alias("node"), F.col("cause").alias("ancestor")).distinct().withColumn("distance", F.lit(1)).write.parquet(f"{folder}/0")
+    rounds, reach = [f"{folder}/0"], 1
+    while True:
+        known = spark.read.parquet(*rounds)
+        ends = spark.read.parquet(rounds[-1]).where(F.col("distance") == reach)
+        if ends.isEmpty():
+            return known.withColumn("cycle", F.col("node") == F.col("ancestor"))
+        above = known.select("tenant", F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
+        longer = ends.join(above, ["tenant", "ancestor"]).groupBy("tenant", "node", F.col("further").alias("ancestor")).agg((F.min("more") + reach).alias("distance"))
+        longer.join(known.select(*keys), keys, "left_anti").write.parquet(f"{folder}/{len(rounds)}")
+        rounds.append(f"{folder}/{len(rounds)}")
+        reach *= 2
+
+
 def flows_of_entity(activities: DataFrame) -> DataFrame:
     """Reverse lookup: (tenant, collection, entity_id, flow_id) pairs that activities refer to."""
     r = activities.select("tenant", "flow_id", F.explode("refs").alias("r"))

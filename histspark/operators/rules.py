@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,9 @@ def _literal_text(value: Any) -> str:
     return key_text(value) or ""
 
 
-def compile_condition(node: Any, at: str = "condition") -> Column:
-    """A predicate that is never NULL, so ``not`` stays two-valued. Empty ``all`` is true, empty ``any`` false."""
+def parse_condition(node: Any, at: str = "condition") -> tuple:
+    """A checked condition as nested tuples: ("all" | "any", parts), ("not", part), ("match", parts of the pattern), or
+    (op, field, literal) with the literal as text, number or list of texts."""
     if not isinstance(node, dict):
         raise RuleError(f"{at}: not an object")
     kinds = [k for k in NODE_KINDS if k in node]
@@ -41,35 +43,29 @@ def compile_condition(node: Any, at: str = "condition") -> Column:
     if kind in ("all", "any"):
         if not isinstance(node[kind], list):
             raise RuleError(f"{at}.{kind}: not a list")
-        out = F.lit(kind == "all")
-        for i, child in enumerate(node[kind]):
-            part = compile_condition(child, f"{at}.{kind}[{i}]")
-            out = out & part if kind == "all" else out | part
-        return out
+        return kind, tuple(parse_condition(child, f"{at}.{kind}[{i}]") for i, child in enumerate(node[kind]))
     if kind == "not":
-        return ~compile_condition(node["not"], f"{at}.not")
+        return "not", parse_condition(node["not"], f"{at}.not")
     if kind == "match":
-        return _match(node["match"], f"{at}.match")
-    return _scalar(node, at)
+        return _parse_match(node["match"], f"{at}.match")
+    return _parse_scalar(node, at)
 
 
-def _scalar(node: dict, at: str) -> Column:
+def _parse_scalar(node: dict, at: str) -> tuple:
     field, op = node.get("field"), node.get("op")
     if field not in FIELDS:
         raise RuleError(f"{at}.field: unknown field {field!r}")
     if op not in SCALAR_OPS:
         raise RuleError(f"{at}.op: unknown op {op!r}")
-    c = F.coalesce(F.col(FIELDS[field]), F.lit(""))
-    value = node.get("value")
+    value, column = node.get("value"), FIELDS[field]
     if op == "exists":
-        return c != ""
+        return op, column, None
     if op in ("eq", "ne"):
-        text = _literal_text(value)
-        return ((c == text) & (c != "")) if op == "eq" else c != text
+        return op, column, _literal_text(value)
     if op == "in":
         if not isinstance(value, list):
             raise RuleError(f"{at}.value: a list is needed")
-        return c.isin([_literal_text(v) for v in value]) & (c != "") if value else F.lit(False)
+        return op, column, tuple(_literal_text(v) for v in value)
     if op == "regex":
         try:
             re.compile(value)
@@ -77,40 +73,91 @@ def _scalar(node: dict, at: str) -> Column:
             raise RuleError(f"{at}.value: bad pattern") from e
         if _FOREIGN.search(value):
             raise RuleError(f"{at}.value: unsupported pattern syntax")
-        return c.rlike(value) & (c != "")
+        return op, column, value
     try:
-        limit = float(value)
+        return op, column, float(value)
     except (TypeError, ValueError) as e:
         raise RuleError(f"{at}.value: a number is needed") from e
-    n = F.when(c.rlike(_NUMBER), c.try_cast("double"))
-    test = {"gt": n > limit, "gte": n >= limit, "lt": n < limit, "lte": n <= limit}[op]
-    return F.coalesce(test, F.lit(False))
 
 
-def _match(spec: Any, at: str) -> Column:
+def _parse_match(spec: Any, at: str) -> tuple:
     if not isinstance(spec, dict) or set(spec) - {"path", "op", "old", "new"}:
         raise RuleError(f"{at}: unknown keys")
     if spec.get("op") not in (None, "add", "change", "remove"):
         raise RuleError(f"{at}.op: unknown op {spec['op']!r}")
+    path = spec.get("path")
     try:
-        path = glob_regex(spec["path"]) if spec.get("path") is not None else None
+        pattern = glob_regex(path) if path is not None else None
     except ValueError as e:
         raise RuleError(f"{at}.path: {e}") from e
+    whole = path if path is not None and "*" not in path.split(".") else None
+    return "match", whole, pattern, spec.get("op"), tuple((side, dumps(spec[side])) for side in ("old", "new") if side in spec)
+
+
+def _bare(value: Any) -> Any:
+    """A literal as it stands in a plain predicate: a list stays a list, all else becomes a column."""
+    return list(value) if isinstance(value, tuple) else F.lit(value)
+
+
+def condition_column(tree: tuple, bind: Callable[[Any], Any] = _bare) -> Column:
+    """The predicate of a parsed condition, never NULL, so ``not`` stays two-valued. Empty ``all`` is true, empty ``any``
+    false. ``bind`` gives the column of a literal (lists: a list, or an array column)."""
+    kind = tree[0]
+    if kind in ("all", "any"):
+        out = F.lit(kind == "all")
+        for child in tree[1]:
+            part = condition_column(child, bind)
+            out = out & part if kind == "all" else out | part
+        return out
+    if kind == "not":
+        return ~condition_column(tree[1], bind)
+    if kind == "match":
+        return _match(tree, bind)
+    op, column, value = tree
+    c = F.coalesce(F.col(column), F.lit(""))
+    if op == "exists":
+        return c != ""
+    if op == "eq":
+        return (c == bind(value)) & (c != "")
+    if op == "ne":
+        return c != bind(value)
+    if op == "in":
+        if not value:
+            return F.lit(False)
+        values = bind(value)
+        return (c.isin(values) if isinstance(values, list) else F.array_contains(values, c)) & (c != "")
+    if op == "regex":
+        return F.rlike(c, bind(value)) & (c != "")
+    limit = bind(value)
+    n = F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    test = {"gt": n > limit, "gte": n >= limit, "lt": n < limit, "lte": n <= limit}[op]
+    return F.coalesce(test, F.lit(False))
+
+
+def _match(tree: tuple, bind: Callable[[Any], Any]) -> Column:
+    _, whole, pattern, op, sides = tree
+    at = pattern if whole is None else whole
+    path = bind(at) if at is not None else None
+    texts = [(side, bind(text)) for side, text in sides]
 
     def hit(c: Column) -> Column:
         out = F.lit(True)
         if path is not None:
-            out = out & c["path"].rlike(path)
-        if spec.get("op"):
-            out = out & (c["op"] == spec["op"])
-        for side in ("old", "new"):
-            if side in spec:
-                out = out & c[side].eqNullSafe(F.lit(dumps(spec[side])))
+            out = out & (c["path"] == path if whole is not None else F.rlike(c["path"], path))
+        if op:
+            out = out & (c["op"] == op)
+        for side, text in texts:
+            out = out & c[side].eqNullSafe(text)
         return F.coalesce(out, F.lit(False))
 
     return F.coalesce(F.exists("changes", hit), F.lit(False))
 
 
+def compile_condition(node: Any, at: str = "condition") -> Column:
+    """A predicate that is never NULL, so ``not`` stays two-valued. Empty ``all`` is true, empty ``any`` false."""
+    return condition_column(parse_condition(node, at))
+
+
 def validate_rule(rule: dict) -> list[str]:
     """Problems of one rule; empty when it may be saved."""
     out = []
@@ -139,32 +186,45 @@ def duplicate_rules(rules: DataFrame) -> DataFrame:
     return rules.groupBy("collection", "name").agg(F.count("*").alias("n")).where("n > 1")
 
 
-_ACTION = "struct<rule_id:string,rule_name:string,action:int,type:string,url:string,secret_ref:string,level:string,message:string,max_attempts:int,timeout_ms:int>"
+_ACTION_FIELDS = tuple((n, "int" if n in ("action", "max_attempts", "timeout_ms") else "string") for n in "rule_id rule_name action type url secret_ref level message max_attempts timeout_ms".split())
+_ACTION = "struct<" + ",".join(f"{n}:{t}" for n, t in _ACTION_FIELDS) + ">"
 
 
-def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row per (event, rule, action) that fires. Disabled rules and rules that do not compile, or
-    lack an id or an action's type, are skipped. One scan:
-    the rules, in chunks, become array columns that are exploded."""
-    chunks: list[Column] = []
-    firing: list[Column] = []
+def _usable(rules: list[dict]) -> list[tuple[dict, tuple, list[dict]]]:
+    """(rule, parsed condition, actions) of the rules that can fire: enabled, well formed, with an id and actions' types."""
+    out = []
     for rule in rules:
         if not rule.get("enabled", True):
             continue
         try:
-            test = compile_condition(rule["condition"])
-            kinds = [a["type"] for a in rule.get("actions") or []]
-            rule_id = rule["id"]
+            tree, actions = parse_condition(rule["condition"]), rule.get("actions") or []
+            rule["id"], [a["type"] for a in actions]
         except (RuleError, KeyError, TypeError):
             continue
+        out.append((rule, tree, actions))
+    return out
+
+
+def _action_row(rule: dict, i: int, a: dict) -> tuple:
+    """The fields of ``_ACTION``."""
+    text = lambda v: None if v is None else str(v)
+    whole = lambda v: None if v is None else int(v)
+    return (text(rule["id"]), text(rule.get("name")), i, text(a["type"]), text(a.get("url")), text(a.get("secret_ref")), _level(a.get("level")), text(a.get("message")), whole(a.get("max_attempts")), whole(a.get("timeout_ms")))
+
+
+def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
+    """One row per (event, rule, action) that fires. Disabled rules and rules that do not compile, or
+    lack an id or an action's type, are skipped. One scan:
+    the rules, in chunks, become array columns that are exploded. For more than some hundred rules ``match_rules_indexed``
+    gives the same rows."""
+    chunks: list[Column] = []
+    firing: list[Column] = []
+    for rule, tree, actions in _usable(rules):
+        test = condition_column(tree)
         if rule.get("collection"):
             test = test & (F.col("collection") == rule["collection"])
-        for i, a in enumerate(rule.get("actions") or []):
-            row = F.struct(
-                F.lit(rule_id).alias("rule_id"), F.lit(rule.get("name")).cast("string").alias("rule_name"), F.lit(i).alias("action"), F.lit(kinds[i]).alias("type"),
-                *[F.lit(a.get(k)).cast("string").alias(k) for k in ("url", "secret_ref")], F.lit(_level(a.get("level"))).alias("level"), F.lit(a.get("message")).cast("string").alias("message"),
-                F.lit(a.get("max_attempts")).cast("int").alias("max_attempts"), F.lit(a.get("timeout_ms")).cast("int").alias("timeout_ms"),
-            )
+        for i, a in enumerate(actions):
+            row = F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(_action_row(rule, i, a), _ACTION_FIELDS, strict=True)])
             firing.append(F.when(test, row))
             if len(firing) == CHUNK:
                 chunks.append(F.array_compact(F.array(*firing)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from histspark.functions import jsonx
-from histspark.operators import apply, asof, catalog, chain, compose, delivery, diff, flows, history, ingest, lifecycle, plugins, rules
+from histspark.operators import apply, asof, catalog, chain, compose, delivery, diff, flows, history, ingest, lifecycle, plugins, rule_index, rules
 from histspark.plans import driver
 from histspark.schemas import EVENTS, INTEGRITY, KEY, SNAPSHOTS
 from histspark.session import shared_dir
@@ -599,6 +599,33 @@ def _(spark, d):
     return rules.match_rules(driver.events(spark, d), RULES).select("entity_id", "version", "rule_id", "action", "type")
 
 
+def _many_rules(n: int = 5_000) -> list[dict]:
+    """``n`` rules of five kinds: one entity; an author's later entities; a changed type of two entities; an entity or an
+    author's purchases; a collection of its own."""
+    field = lambda f, op, v: {"field": f, "op": op, "value": v}
+    kinds = (
+        lambda i: field("entity_id", "eq", i),
+        lambda i: {"all": [field("author_id", "eq", i % 10), field("entity_id", "gte", i)]},
+        lambda i: {"all": [{"match": {"path": "type", "op": "change"}}, field("entity_id", "in", [i, i + 7])]},
+        lambda i: {"any": [field("entity_id", "eq", i), {"all": [field("source", "eq", "purchase"), field("author_id", "eq", i % 10), field("entity_id", "lt", 20)]}]},
+        lambda i: field("source", "regex", "^sign") if i == 4 else field("op", "eq", "create"),
+    )
+    own = lambda i: {"collection": "other.c"} if i % 5 == 4 and i > 4 else {}
+    return [{"id": f"r{i}", "name": f"r{i}", "condition": kinds[i % 5](i), "actions": [{"type": "log"}], **own(i)} for i in range(n)]
+
+
+@register("match_rules_indexed", EV + """, r AS (SELECT unnest(range(5000)) AS i), e AS (SELECT *, CAST(entity_id AS INT) AS u FROM ev),
+    typed AS (SELECT entity_id, version, CAST(entity_id AS INT) AS u FROM fc WHERE path = 'type' AND change_op = 'change'),
+    m AS (SELECT entity_id, version, i FROM e JOIN r ON u = i WHERE i % 5 = 0
+    UNION ALL SELECT entity_id, version, i FROM e JOIN r ON u % 10 = i % 10 AND u >= i WHERE i % 5 = 1
+    UNION ALL SELECT entity_id, version, i FROM typed JOIN r ON u = i OR u = i + 7 WHERE i % 5 = 2
+    UNION ALL SELECT entity_id, version, i FROM e JOIN r ON u = i OR (event_type = 'purchase' AND u % 10 = i % 10 AND u < 20) WHERE i % 5 = 3
+    UNION ALL SELECT entity_id, version, 4 FROM e WHERE event_type LIKE 'sign%')
+    SELECT entity_id, version, 'r' || i AS rule_id FROM m""")
+def _(spark, d):
+    return rule_index.match_rules_indexed(driver.events(spark, d), _many_rules()).select("entity_id", "version", "rule_id")
+
+
 @register("rule_match_counts", _MATCH + "SELECT 't' AS tenant, type, count(*) AS n FROM m GROUP BY ALL")
 def _(spark, d):
     return catalog.rule_match_counts(rules.match_rules(driver.events(spark, d), RULES))
@@ -744,6 +771,23 @@ def _(spark, d):
     return flows.flow_lineage(flows.flow_edges(_nodes(spark, d)), 3).drop("tenant")
 
 
+@register("flow_closure", _EDGES.replace("WITH cmd", "WITH RECURSIVE cmd", 1) + """, s AS (SELECT DISTINCT child AS node, cause AS ancestor FROM ed WHERE cause IS NOT NULL),
+    r AS (SELECT node, ancestor, 1 AS distance FROM s UNION SELECT r.node, s.ancestor, r.distance + 1 FROM r JOIN s ON s.node = r.ancestor)
+    SELECT node, ancestor, min(distance) AS distance, FALSE AS cycle FROM r GROUP BY ALL""")
+def _(spark, d):
+    return flows.flow_closure(flows.flow_edges(_nodes(spark, d))).drop("tenant")
+
+
+@register("flow_closure_chains", EV + "SELECT a.entity_id, a.version AS node, b.version AS ancestor, a.version - b.version AS distance FROM ev a JOIN ev b ON a.entity_id = b.entity_id AND a.version > b.version")
+def _(spark, d):
+    """Each event is caused by the entity's event before it: chains as long as histories."""
+    name = lambda v: F.concat_ws("/", "entity_id", v.cast("string"))
+    v = F.col("version")
+    e = driver.events(spark, d).select("tenant", name(v).alias("child"), F.when(v > 1, name(v - 1)).alias("cause"))
+    at = lambda c: F.substring_index(c, "/", -1).cast("long")
+    return flows.flow_closure(e).select(F.substring_index("node", "/", 1).alias("entity_id"), at("node").alias("node"), at("ancestor").alias("ancestor"), "distance")
+
+
 @register("flows_of_entity", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS entity_id, CAST(o_orderkey % 100 AS VARCHAR) AS flow_id FROM orders")
 def _(spark, d):
     ref = F.struct(F.lit(None).cast("string").alias("activity_id"), F.lit("crm.customers").alias("collection"), F.col("o_custkey").cast("string").alias("entity_id"))
@@ -866,6 +910,26 @@ def _(spark, d):
     return catalog.latency_percentiles(driver.table(spark, d, "events"), "value", "event_type", exact=True)
 
 
+@register("latency_sketches", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, TRUE AS p50_close, TRUE AS p99_close FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def _(spark, d):
+    """Percentiles of a range of stored windows, and whether their ranks among the rows are within 1%."""
+    e = driver.table(spark, d, "events")
+    path = _folder(spark, "sketches")
+    catalog.latency_sketches(e, "value", "ts", "event_type").write.parquet(path)
+    got = catalog.sketched_percentiles(spark.read.parquet(path), "event_type", since=FROM, until=TO)
+    rows = e.where((F.col("ts") >= F.lit(FROM)) & (F.col("ts") < F.lit(TO))).select("event_type", "value").join(F.broadcast(got), "event_type")
+    share = lambda test: F.count_if(test) / F.count("*")
+    close = lambda p, r: (share(F.col("value") < F.col(p)) <= r + 0.01) & (share(F.col("value") <= F.col(p)) >= r - 0.01)
+    return rows.groupBy("event_type", "n", "low", "high").agg(close("p50", 0.5).alias("p50_close"), close("p99", 0.99).alias("p99_close"))
+
+
+@register("depth_over_time", """WITH s AS (SELECT event_type AS queue, ts AS "at", event_id AS id, 1 AS step FROM events UNION ALL SELECT event_type, ts + INTERVAL 1 HOUR, event_id, -1 FROM events WHERE event_id % 4 <> 0)
+    SELECT queue, id, step, sum(step) OVER (PARTITION BY queue ORDER BY "at", step DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM s""")
+def _(spark, d):
+    e = driver.table(spark, d, "events").select(F.col("event_type").alias("queue"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return catalog.depth_over_time(e, e.where("id % 4 <> 0").withColumn("at", F.expr("at + INTERVAL 1 HOUR"))).select("queue", "id", "step", "depth")
+
+
 @register("lag_report", "SELECT event_type AS queue, arg_max(greatest(value - 50, 0), ts) AS lag_s FROM events WHERE user_id % 3 <> 0 GROUP BY ALL")
 def _(spark, d):
     e = driver.table(spark, d, "events")
