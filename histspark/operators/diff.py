@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import repeat
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +13,6 @@ from histspark.functions import jsonvalue as J
 from histspark.schemas import CHANGES
 from histspark.session import with_package
 
-_ARROW = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "op", "old", "new")]))
-
-
 def _document(text: str | None) -> tuple[bool, object]:
     """(present, value); malformed text is absent."""
     try:
@@ -21,15 +21,29 @@ def _document(text: str | None) -> tuple[bool, object]:
         return False, None
 
 
-def _changes(before: str | None, after: str | None, keys: dict | None) -> list[dict]:
-    if before == after:
-        return []
-    (has_a, a), (has_b, b) = _document(before), _document(after)
+def _changes(before: tuple[bool, object], after: tuple[bool, object], keys: dict | None) -> list[dict]:
+    (has_a, a), (has_b, b) = before, after
     if has_a and has_b:
         return J.changes_between(a, b, keys)
     return [{"path": "", "op": "change", "old": J.dumps(a) if has_a else None, "new": J.dumps(b) if has_b else None}] if has_a or has_b else []
 
 
+def _lists(befores: list, afters: list, keys: Iterable[dict | None]) -> pa.Array:
+    """Change lists of a batch, built by column. In the order of a history a row starts from the document the row before
+    ended in, so that one is not parsed again."""
+    starts, columns = [0], {c: [] for c in ("path", "op", "old", "new")}
+    held: tuple = (None, (False, None))
+    for before, after, key in zip(befores, afters, keys):  # noqa: B905  (keys may be endless)
+        if before != after:
+            start = held[1] if before == held[0] else _document(before)
+            held = (after, _document(after))
+            for c in _changes(start, held[1], key):
+                for name, column in columns.items():
+                    column.append(c[name])
+        starts.append(len(columns["path"]))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in columns.values()], list(columns)))
+
+
 def json_diff(df: DataFrame, before: str, after: str, array_keys: dict[str, str] | Column | None = None) -> DataFrame:
     """Add ``changes``: what turns ``before`` into ``after``, in depth-first order.
 
@@ -44,13 +58,13 @@ def json_diff(df: DataFrame, before: str, after: str, array_keys: dict[str, str]
 
         @F.arrow_udf(CHANGES)
         def by_row(a: pa.Array, b: pa.Array, keys: pa.Array) -> pa.Array:
-            return pa.array([_changes(x, y, dict(k) if k else None) for x, y, k in zip(a.to_pylist(), b.to_pylist(), keys.to_pylist(), strict=True)], _ARROW)
+            return _lists(a.to_pylist(), b.to_pylist(), (dict(k) if k else None for k in keys.to_pylist()))
 
         return df.withColumn("changes", by_row(before, after, array_keys))
 
     @F.arrow_udf(CHANGES)
     def diff(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_changes(x, y, array_keys) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], _ARROW)
+        return _lists(a.to_pylist(), b.to_pylist(), repeat(array_keys))
 
     return df.withColumn("changes", diff(before, after))
 
