@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,6 @@ END = ""
 
 _COUNTS = "word string, gram long, n long"
 _PARTIAL = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,tree:double>>"
-_RARE = pa.list_(pa.struct([("word", pa.string()), ("tree", pa.float64())]))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -193,9 +193,9 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
     common = {r["word"].encode(): r["n"] for r in words.where(F.col("n") >= max(1.0, COMMON_SHARE * total)).collect()} if total else {}  # at most 1/COMMON_SHARE
     common.setdefault(END.encode(), 0)
     whole = total + 0.5 * (kinds + 1)
-    base_of = lambda c: np.log10((c + 0.5) / whole)
-    known_base = {w: float(base_of(c)) for w, c in common.items()}
-    shares = {w: c / max(total, 1) for w, c in common.items()}
+    place = {w: i for i, w in enumerate(common, 1)}  # 0 stands for every rare word
+    times = np.array([0, *common.values()], float)
+    known_base, shares = np.log10((times + 0.5) / whole), times / max(total, 1)
     end_known = int(common[END.encode()] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,28 +205,30 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
             texts = [spelled(ws) for ws in lists]
             tokens = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
             known, base, score, rare = np.zeros(len(lists), np.int64), np.zeros(len(lists)), np.zeros(len(lists)), []
+            sizes, spellings = [np.zeros(1, np.int64)], [np.zeros(0)]
             for a, b in byte_chunks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK):
                 flat = [w for ws in lists[a:b] for w in (*ws, b"")]
                 first_token = np.concatenate([[0], np.cumsum(tokens[a:b])[:-1]])
-                own = np.array([known_base.get(w, 1.0) for w in flat])  # a base is never positive: 1 marks a rare word
+                own = np.fromiter(map(place.get, flat, repeat(0)), np.int64, len(flat))
                 keys, at = keys_of(texts[a:b])
                 last = (keys & 255 == 32) | (keys & 255 == 10)  # a token ends in its space, the text in its newline
                 spell = np.add.reduceat(tree.log10(keys), np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]))
-                is_rare = own > 0
-                share = np.array([shares.get(w, 0.0) for w in flat])
-                mixed = np.where(is_rare, 0.0, mixture(share, spell))
+                is_rare = own == 0
+                mixed = np.where(is_rare, 0.0, mixture(shares[own], spell))
                 known[a:b] = np.add.reduceat(~is_rare, first_token, dtype=np.int64)
                 if not end_known:
                     known[a:b] -= 1
-                base[a:b] = np.add.reduceat(np.where(is_rare, 0.0, own), first_token)
+                base[a:b] = np.add.reduceat(np.where(is_rare, 0.0, known_base[own]), first_token)
                 score[a:b] = np.add.reduceat(mixed, first_token)
                 at_rare = np.flatnonzero(is_rare)
-                cut = np.searchsorted(at_rare, np.append(first_token, len(flat)))
-                items = [{"word": flat[i].decode("utf-8", "replace"), "tree": t} for i, t in zip(at_rare.tolist(), spell[at_rare].tolist(), strict=True)]
-                rare += [items[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                sizes.append(np.diff(np.searchsorted(at_rare, np.append(first_token, len(flat)))))
+                rare += [flat[i].decode("utf-8", "replace") for i in at_rare.tolist()]
+                spellings.append(spell[at_rare])
+            items = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(np.concatenate(spellings))], ["word", "tree"])
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), items)
             size = len(texts)
             yield pa.record_batch(
-                [pa.array(np.arange(first + row, first + row + size), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, _RARE)],
+                [pa.array(np.arange(first + row, first + row + size), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare],
                 names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
             )
             row += size
