@@ -36,10 +36,21 @@ def canonical_json(col: Column | str) -> Column:
     Equal numbers are equal text, the same that the folds write: a whole number below 1e21 is its digits however it is
     written, other numbers are plain from 1e-6 on. Integers of up to 21 digits are exact; all else is read as a double.
     """
+    return respelled(parsed_text(col), col)
+
+
+def parsed_text(col: Column | str) -> Column:
+    """The first step of ``canonical_json``: parsed and written again with sorted keys, numbers as the JVM writes them."""
     c = F.col(col) if isinstance(col, str) else col
     # the parser stops behind one value; as the only element of an array, trailing text is malformed
     items = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).cast("array<variant>")
-    text = F.when(F.size(items) == 1, F.to_json(F.get(items, F.lit(0))))
+    return F.when(F.size(items) == 1, F.to_json(F.get(items, F.lit(0))))
+
+
+def respelled(text: Column | str, col: Column | str) -> Column:
+    """The second step: equal numbers as equal text. It uses ``text`` several times, so where that is a column of its own it
+    is parsed once a row; inside one expression Spark parses it again for every use."""
+    text, c = (F.col(x) if isinstance(x, str) else x for x in (text, col))
     spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: F.when(t.rlike(r"^-?\d"), _number_text(t)).otherwise(t)), "")
     return F.when(text.rlike("Infinity") & text.rlike(r'(?:^|[\[:,])-?"?Infinity"?(?:[,\]}]|$)') & ~c.contains("Infinity"), None).when(text.rlike(_UNSURE), spelled).otherwise(text)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonvalue as J
-from histspark.functions.jsonx import canonical_json, valid_collection, valid_json
+from histspark.functions.jsonx import parsed_text, respelled, valid_collection, valid_json
 from histspark.operators.diff import json_diff
 from histspark.operators.fold import sorted_fold
 from histspark.schemas import CHANGES, KEY
@@ -100,9 +100,12 @@ def drop_noops(commands: DataFrame, current: DataFrame | None = None) -> DataFra
     the stored current state). A state command without well-formed text keeps its row with ``code`` invalid_payload and
     is no predecessor of any other.
     """
-    text = F.when(F.col("kind") == "state", canonical_json("state"))
-    rows = commands.withColumn("_text", text)
+    rows = commands.withColumn("_parsed", F.when(F.col("kind") == "state", parsed_text("state")))  # a step of its own: parsed once
+    rows = rows.withColumn("_text", F.when(F.col("kind") == "state", respelled("_parsed", "state"))).drop("_parsed")
     rows = rows.withColumns({"code": F.when((F.col("kind") == "state") & F.col("_text").isNull(), "invalid_payload"), "state": F.coalesce("_text", F.when(F.col("kind") == "state", F.col("state")))}).drop("_text")
+    # as many partitions as are set, not fewer large ones: what a task sorts does not grow where these grow with the input;
+    # dealt by the key alone, later windows and joins on the key need no shuffle of their own
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     w = Window.partitionBy(*KEY, F.col("code").isNull()).orderBy("ts_received", "seq")
     if current is not None:
         held = current.select(*KEY, F.when(~F.col("deleted"), F.col("state")).alias("_held"))
@@ -145,6 +148,13 @@ PLANNED = (
 )
 
 
+#: What ``plan_step`` reads of a command, its collection's settings and its stored row.
+_READ = frozenset((
+    *KEY, "kind", "op", "expected_version", "author", "source", "ts_source", "ts_received", "seq", "event_id", "request_id", "meta", "state", "changes",
+    "first_event_op", "array_keys", "stored_version", "stored_deleted", "stored_state",
+))
+
+
 class Entity:
     """What the fold holds of an entity."""
 
@@ -206,6 +216,7 @@ def ingest(commands: DataFrame, current: DataFrame | None = None, first_event_op
     if current is not None:
         held = current.select(*KEY, F.col("version").alias("stored_version"), F.col("deleted").alias("stored_deleted"), F.col("state").alias("stored_state"))
         rows = commands.join(held, KEY, "left")
+    rows = rows.select(*[c for c in rows.columns if c in _READ])  # all that is sent is sorted and turned to Python
     return sorted_fold(rows, KEY, ["ts_received", "seq"], Entity, plan_step(first_event_op, check_versions, array_keys), PLANNED)
 
 

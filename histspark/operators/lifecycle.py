@@ -14,10 +14,13 @@ def apply_retention(events: DataFrame, config: DataFrame, now) -> tuple[DataFram
     """(kept events, dropped events) under each collection's policy: forever; days: received within N days; versions: the
     N newest of each entity. Config rows: name, retention_type, retention_value; a value that is unset (NULL or below 1)
     keeps everything, as does a row without a time. The snapshots of ``cut_snapshots`` have to
-    be written before the rewrite; reads above the cut start from them."""
+    be written before the rewrite; reads above the cut start from them.
+
+    Versions are ranked only where some policy counts them; else no event is shuffled or sorted here."""
     cfg = config.select(F.col("name").alias("collection"), "retention_type", "retention_value")
-    w = Window.partitionBy(*KEY).orderBy(F.col("version").desc())
-    rows = events.join(cfg, "collection", "left").withColumn("_newest", F.row_number().over(w))
+    counts = not config.where("retention_type = 'versions' and retention_value >= 1").isEmpty()  # settings
+    newest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("version").desc())) if counts else F.lit(1)
+    rows = events.join(cfg, "collection", "left").withColumn("_newest", newest)
     age_ok = F.col("ts_received") >= F.lit(now) - F.make_interval(days=F.col("retention_value").cast("int"))
     keep = F.when(F.col("retention_type") == "days", age_ok).when(F.col("retention_type") == "versions", F.col("_newest") <= F.col("retention_value")).otherwise(F.lit(True))
     keep = F.coalesce(keep, F.lit(True)) | ~F.coalesce(F.col("retention_value") >= 1, F.lit(False))

@@ -981,7 +981,7 @@ def _(spark, d):
 @register("retention_unset", EV + "SELECT entity_id, version, kind, kind = 'forever' OR kind = 'days' AS kept FROM ev, (VALUES ('days'), ('forever'), ('zero')) k(kind) WHERE kind <> 'zero' UNION ALL SELECT entity_id, version, 'zero', TRUE FROM ev")
 def _(spark, d):
     """A policy without a value, or with none above 0, keeps every event."""
-    e, out = driver.events(spark, d), []
+    e, out = tables.stored(driver.events(spark, d).select(*KEY, "version", "ts_received"), "events"), []
     for kind, (type_, value) in {"days": ("days", None), "forever": ("forever", None), "zero": ("versions", 0)}.items():
         cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit(type_).alias("retention_type"), F.lit(value).cast("int").alias("retention_value"))
         out += [part.select("entity_id", "version", F.lit(kind).alias("kind"), F.lit(kept).alias("kept")) for part, kept in zip(lifecycle.apply_retention(e, cfg, TO), (True, False), strict=True)]
