@@ -25,6 +25,8 @@ _ROW_BYTES = 64
 #: Versions of one block: events and spans of versions meet on (entity, block).
 BLOCK = 128
 _FAR = datetime(9999, 12, 31)
+#: What a replay reads of an event.
+_LOG = [*KEY, "version", "ts_received", "op", "changes"]
 
 
 def few(keys: DataFrame) -> bool:
@@ -195,12 +197,14 @@ def state_at(probes: DataFrame, events: DataFrame, snapshots: DataFrame | None =
 
 def flat_legal(events: DataFrame) -> DataFrame:
     """(key, legal): whether an entity's changes are scalar leaves of objects, so that ``state_at_flat`` holds for it."""
-    c = events.select(*KEY, F.explode("changes").alias("c")).select(*KEY, "c.*")
-    nested = c.where(F.col("path").rlike(r"\[|(^|\.)\d+(\.|$)") | (F.col("path") == "") | F.coalesce(F.col("new"), F.lit("")).rlike(r"^[{\[]") | F.coalesce(F.col("old"), F.lit("")).rlike(r"^[{\[]"))
-    paths = c.select(*KEY, "path").distinct()
-    parents = paths.select(*KEY, F.explode(F.sequence(F.lit(1), F.size(F.split("path", r"\.")))).alias("n"), "path").where(F.col("n") < F.size(F.split("path", r"\."))).select(*KEY, F.expr("substring_index(path, '.', n)").alias("path")).distinct()
-    bad = nested.select(*KEY).unionByName(parents.join(paths, [*KEY, "path"], "left_semi").select(*KEY)).distinct().withColumn("_bad", F.lit(True))
-    return events.select(*KEY).distinct().join(bad, KEY, "left").select(*KEY, F.col("_bad").isNull().alias("legal"))
+    c = events.select(*KEY, F.explode_outer("changes").alias("c")).select(*KEY, "c.*")
+    nested = F.col("path").rlike(r"\[|(^|\.)\d+(\.|$)") | (F.col("path") == "") | F.coalesce(F.col("new"), F.lit("")).rlike(r"^[{\[]") | F.coalesce(F.col("old"), F.lit("")).rlike(r"^[{\[]")
+    # the events are read once; an entity without any change is a row without a path
+    paths = stored(c.groupBy(*KEY, "path").agg(F.max(F.coalesce(nested, F.lit(False))).alias("_bad")), "paths")
+    steps = F.size(F.split("path", r"\."))
+    parents = paths.where(F.col("path").contains(".")).select(*KEY, F.explode(F.sequence(F.lit(1), steps - 1)).alias("n"), "path").select(*KEY, F.expr("substring_index(path, '.', n)").alias("path")).distinct()
+    above = parents.join(paths.select(*KEY, "path"), [*KEY, "path"], "left_semi").select(*KEY, F.lit(True).alias("_bad"))
+    return paths.select(*KEY, "_bad").unionByName(above).groupBy(*KEY).agg((~F.max("_bad")).alias("legal"))
 
 
 def state_at_flat(events: DataFrame, at=None) -> DataFrame:
@@ -218,7 +222,8 @@ def leaves_at(events: DataFrame, at=None, snapshots: DataFrame | None = None) ->
     """(key, path, value, version) of every live leaf at an instant: relationally for the entities where that is legal, by
     replay for the others. Leaves are scalars and empty objects and arrays, by their full paths, either way; ``version`` is
     the leaf's last change, and for a replayed entity the state's version."""
-    legal = flat_legal(events)
+    events = stored(events.select(*_LOG), "leaf-events")  # read several times below
+    legal = stored(flat_legal(events), "legal")
     flat = state_at_flat(events.join(legal.where("legal").select(*KEY), KEY, "left_semi"), at)
     rest = events.join(legal.where("not legal").select(*KEY), KEY, "left_semi")
     probes = rest.select(*KEY).distinct().withColumn("at", F.lit(at).cast("timestamp"))
@@ -242,6 +247,7 @@ def state_between(events: DataFrame, start, end, snapshots: DataFrame | None = N
     """Net change of each entity between two instants: key, from_version, to_version, changes. An entity that does not
     exist, or is deleted, at an instant has the empty object there; documents may nest. Entities without any event up to
     ``end`` give no row."""
+    events = stored(events.select(*_LOG), "between-events")  # read several times below
     keys = events.select(*KEY).distinct()
     probes = keys.withColumns({"at": F.explode(F.array(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))), "version": F.lit(None).cast("long")})
     shown = state_at(probes, events, snapshots).withColumn("_s", F.when(F.col("deleted"), F.lit("{}")).otherwise(F.col("state")))
