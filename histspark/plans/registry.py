@@ -415,6 +415,11 @@ def _fields(df):
     return df.select("entity_id", "version", "deleted", g("k").alias("k"), g("type").alias("type"), g("value").cast("double").alias("value"))
 
 
+def _log(spark, d) -> DataFrame:
+    """The events as a stored log, for queries that read it several times."""
+    return tables.stored(driver.events(spark, d).select(*KEY, "version", "ts_received", "op", "changes"), "log")
+
+
 @register("state_history", _SHOWN + "SELECT entity_id, version, deleted, k, type, value FROM shown")
 def _(spark, d):
     return _fields(asof.state_history(driver.events(spark, d)))
@@ -423,7 +428,7 @@ def _(spark, d):
 @register("state_history_segmented", _SHOWN + "SELECT entity_id, version, deleted, k, type, value FROM shown")
 def _(spark, d):
     """The same from snapshots: every segment between two snapshots is replayed on its own."""
-    e = driver.events(spark, d)
+    e = _log(spark, d)
     whole = asof.state_history(e)
     return _fields(asof.state_history(e, asof.build_snapshots(whole, 10).select(*KEY, "version", "ts", "deleted", "state"), 10))
 
@@ -998,7 +1003,7 @@ def _(spark, d):
     SELECT entity_id, version, deleted, k, type, value FROM shown JOIN m USING (entity_id) WHERE version > latest - 3""")
 def _(spark, d):
     """States of the three last versions, read from the five kept events and the snapshot at the cut."""
-    e = driver.events(spark, d)
+    e = _log(spark, d)
     cfg = spark.range(1).select(F.lit("app.users").alias("name"), F.lit("versions").alias("retention_type"), F.lit(5).alias("retention_value"))
     kept, dropped = lifecycle.apply_retention(e, cfg, TO)
     snaps = lifecycle.cut_snapshots(e, dropped)
