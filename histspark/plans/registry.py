@@ -1268,18 +1268,28 @@ def _(spark, d):
     return spark.read.parquet(path + "/out").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
+#: Rows of one file of a stream's input.
+_FILE_ROWS = 100_000
+
+
 def _by_time(spark, d, parts: int = 4, ahead: bool = False, **columns) -> DataFrame:
-    """The command stream in several micro-batches: its rows in ``parts`` files, one written after the other by time; with
-    ``ahead`` a last file moves the watermark 400 days on."""
+    """The command stream in several micro-batches: its rows in ``parts`` sets of files, one set written after the other by
+    time; with ``ahead`` a last file moves the watermark 400 days on. Every set has the same number of files, which grows with
+    the rows, so that a micro-batch is a set and is written and read by many tasks."""
     path, rows = _folder(spark, "by-time"), driver.table(spark, d, "events")
+    files = 1 + rows.count() // (parts * _FILE_ROWS)
     at = rows.agg(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)])).first()[0]
     for lo, hi in zip([None, *at], [*at, None], strict=True):
         part = rows.where((F.unix_micros("ts") > F.lit(lo)) if lo is not None else F.lit(True)).where((F.unix_micros("ts") <= F.lit(hi)) if hi is not None else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part = part.repartition(files) if files > 1 else part.coalesce(1)
+        held = len(spark.read.schema(rows.schema).parquet(path).inputFiles()) if lo is not None else 0
+        part.write.mode("append").parquet(path)
+        for _ in range(held + files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):  # a part of few rows
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
     if ahead:
         last = rows.groupBy().agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
         last.select(*[F.col("ts") if c == "ts" else F.lit(-1 if c in ("event_id", "user_id") else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
-    return driver.as_commands(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)).withColumns(columns)
+    return driver.as_commands(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)).withColumns(columns)
 
 
 def _appended(spark, rows: DataFrame) -> DataFrame:
