@@ -116,21 +116,32 @@ def flow_closure(edges: DataFrame) -> DataFrame:
     Paths double: after round k all pairs within 2^k steps are known, and the pairs of exactly 2^k steps, met with what lies
     above their ancestors, give those within 2^(k+1). A chain of 1,000 takes ten rounds. Only the newest half of the pairs is
     joined, each round is written to the shared folder, and it ends when no pair is 2^k steps long.
+
+    Where every node has one cause and no cycle has shown, a round cannot give a pair twice or one that is known, so nothing
+    is grouped or compared: the known pairs are shuffled once a round. A round that shows a cycle is made again in full.
     """
     spark = edges.sparkSession
     folder = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
     keys = ["tenant", "node", "ancestor"]
     edges.where("cause is not null").select("tenant", F.col("child").alias("node"), F.col("cause").alias("ancestor")).distinct().withColumn("distance", F.lit(1)).write.parquet(f"{folder}/0")
     rounds, reach = [f"{folder}/0"], 1
+    first = spark.read.parquet(f"{folder}/0")
+    single = first.where("node = ancestor").isEmpty() and first.groupBy("tenant", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     while True:
         known = spark.read.parquet(*rounds)
         ends = spark.read.parquet(rounds[-1]).where(F.col("distance") == reach)
         if ends.isEmpty():
             return known.withColumn("cycle", F.col("node") == F.col("ancestor"))
         above = known.select("tenant", F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
-        longer = ends.join(above, ["tenant", "ancestor"]).groupBy("tenant", "node", F.col("further").alias("ancestor")).agg((F.min("more") + reach).alias("distance"))
-        longer.join(known.select(*keys), keys, "left_anti").write.parquet(f"{folder}/{len(rounds)}")
-        rounds.append(f"{folder}/{len(rounds)}")
+        met, target = ends.join(above, ["tenant", "ancestor"]), f"{folder}/{len(rounds)}"
+        if single:
+            met.select("tenant", "node", F.col("further").alias("ancestor"), (F.col("more") + reach).alias("distance")).write.parquet(target)
+            single = spark.read.parquet(target).where("node = ancestor").isEmpty()
+            target = target if single else f"{target}-again"
+        if not single:
+            longer = met.groupBy("tenant", "node", F.col("further").alias("ancestor")).agg((F.min("more") + reach).alias("distance"))
+            longer.join(known.select(*keys), keys, "left_anti").write.parquet(target)
+        rounds.append(target)
         reach *= 2
 
 
