@@ -99,20 +99,27 @@ def _bare(value: Any) -> Any:
     return list(value) if isinstance(value, tuple) else F.lit(value)
 
 
-def condition_column(tree: tuple, bind: Callable[[Any], Any] = _bare) -> Column:
+def number_of(column: str) -> Column:
+    """The number that a field's text is, NULL for any other text."""
+    c = F.coalesce(F.col(column), F.lit(""))
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+
+
+def condition_column(tree: tuple, bind: Callable[[Any], Any] = _bare, number: Callable[[str], Column] = number_of, match: Callable[..., Column] | None = None) -> Column:
     """The predicate of a parsed condition, never NULL, so ``not`` stays two-valued. Empty ``all`` is true, empty ``any``
-    false. ``bind`` gives the column of a literal (lists: a list, or an array column)."""
+    false. ``bind`` gives the column of a literal (lists: a list, or an array column), ``number`` that of a field's number,
+    ``match`` that of a match on changes."""
     kind = tree[0]
     if kind in ("all", "any"):
         out = F.lit(kind == "all")
         for child in tree[1]:
-            part = condition_column(child, bind)
+            part = condition_column(child, bind, number, match)
             out = out & part if kind == "all" else out | part
         return out
     if kind == "not":
-        return ~condition_column(tree[1], bind)
+        return ~condition_column(tree[1], bind, number, match)
     if kind == "match":
-        return _match(tree, bind)
+        return (match or _match)(tree, bind)
     op, column, value = tree
     c = F.coalesce(F.col(column), F.lit(""))
     if op == "exists":
@@ -129,7 +136,7 @@ def condition_column(tree: tuple, bind: Callable[[Any], Any] = _bare) -> Column:
     if op == "regex":
         return F.rlike(c, bind(value)) & (c != "")
     limit = bind(value)
-    n = F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    n = number(column)
     test = {"gt": n > limit, "gte": n >= limit, "lt": n < limit, "lte": n <= limit}[op]
     return F.coalesce(test, F.lit(False))
 
