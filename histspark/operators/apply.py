@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonvalue as J
+from histspark.operators.fold import values
 from histspark.session import with_package
 
 
 def _applied(state: str | None, changes: list | None) -> dict:
     try:
-        return {"applied": J.dumps(J.apply(J.loads(state) if state is not None else {}, changes)), "code": None}
+        return {"applied": J.dumps(J.apply(J.loads(state) if state is not None else {}, changes, fresh=False)), "code": None}
     except J.ApplyError as e:
         return {"applied": None, "code": e.code}
     except (ValueError, TypeError):
@@ -26,7 +27,7 @@ def json_apply(df: DataFrame, state: str = "state", changes: str = "changes") ->
 
     @F.arrow_udf("applied string, code string")
     def run(states: pa.Array, lists: pa.Array) -> pa.Array:
-        return pa.array([_applied(s, c) for s, c in zip(states.to_pylist(), lists.to_pylist(), strict=True)], pa.struct([("applied", pa.string()), ("code", pa.string())]))
+        return pa.array([_applied(s, c) for s, c in zip(values(states), values(lists), strict=True)], pa.struct([("applied", pa.string()), ("code", pa.string())]))
 
     return df.withColumn("_applied", run(state, changes)).withColumns({"applied": F.col("_applied.applied"), "apply_error": F.col("_applied.code")}).drop("_applied")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histspark.functions import jsonvalue as J
+from histspark.operators.fold import values
 from histspark.schemas import CHANGES
 from histspark.session import with_package
 
@@ -32,15 +33,18 @@ def _lists(befores: list, afters: list, keys: Iterable[dict | None]) -> pa.Array
     """Change lists of a batch, built by column. In the order of a history a row starts from the document the row before
     ended in, so that one is not parsed again."""
     starts, columns = [0], {c: [] for c in ("path", "op", "old", "new")}
+    paths, ops, olds, news = columns.values()
     held: tuple = (None, (False, None))
     for before, after, key in zip(befores, afters, keys):  # noqa: B905  (keys may be endless)
         if before != after:
             start = held[1] if before == held[0] else _document(before)
             held = (after, _document(after))
             for c in _changes(start, held[1], key):
-                for name, column in columns.items():
-                    column.append(c[name])
-        starts.append(len(columns["path"]))
+                paths.append(c["path"])
+                ops.append(c["op"])
+                olds.append(c["old"])
+                news.append(c["new"])
+        starts.append(len(paths))
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in columns.values()], list(columns)))
 
 
@@ -58,13 +62,13 @@ def json_diff(df: DataFrame, before: str, after: str, array_keys: dict[str, str]
 
         @F.arrow_udf(CHANGES)
         def by_row(a: pa.Array, b: pa.Array, keys: pa.Array) -> pa.Array:
-            return _lists(a.to_pylist(), b.to_pylist(), (dict(k) if k else None for k in keys.to_pylist()))
+            return _lists(values(a), values(b), (dict(k) if k else None for k in keys.to_pylist()))
 
         return df.withColumn("changes", by_row(before, after, array_keys))
 
     @F.arrow_udf(CHANGES)
     def diff(a: pa.Array, b: pa.Array) -> pa.Array:
-        return _lists(a.to_pylist(), b.to_pylist(), repeat(array_keys))
+        return _lists(values(a), values(b), repeat(array_keys))
 
     return df.withColumn("changes", diff(before, after))
 

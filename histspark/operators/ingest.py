@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from histspark.functions import jsonvalue as J
 from histspark.functions.jsonx import parsed_text, respelled, valid_collection, valid_json
@@ -148,11 +149,10 @@ PLANNED = (
 )
 
 
+#: What an event has of its command as it is; of these a fold reads the key only.
+TAKEN = (*KEY, "author", "source", "ts_source", "ts_received", "event_id", "request_id", "meta", "seq")
 #: What ``plan_step`` reads of a command, its collection's settings and its stored row.
-_READ = frozenset((
-    *KEY, "kind", "op", "expected_version", "author", "source", "ts_source", "ts_received", "seq", "event_id", "request_id", "meta", "state", "changes",
-    "first_event_op", "array_keys", "stored_version", "stored_deleted", "stored_state",
-))
+_READ = frozenset((*KEY, "kind", "op", "expected_version", "state", "changes", "first_event_op", "array_keys", "stored_version", "stored_deleted", "stored_state"))
 
 
 class Entity:
@@ -160,6 +160,7 @@ class Entity:
 
     def __init__(self):
         self.version, self.live, self.value, self.fresh = 0, False, None, True
+        self.text: str | None = None  # of ``value``, where it has been written
 
     def load(self, row: dict) -> None:
         """Start from the stored row, once."""
@@ -170,16 +171,16 @@ class Entity:
 
 
 def plan_step(first_event_op: str, check_versions: bool, array_keys: dict | None):
-    """Step of the ingest fold: one command to at most one planned event or reject."""
+    """Step of the ingest fold: one command to at most one planned event or reject, without what it has of the command
+    as it is (``TAKEN``)."""
 
     def step(entity: Entity, row: dict) -> list[dict]:
         entity.load(row)
-        out = {c: row.get(c) for c in ("tenant", "collection", "entity_id", "author", "source", "ts_source", "ts_received", "event_id", "request_id", "meta", "seq")}
-        reject = lambda code: [{**out, "code": code, "version": None, "op": row.get("op"), "changes": None, "state": None, "deleted": None}]
+        reject = lambda code: [{"code": code, "version": None, "op": row.get("op"), "changes": None, "state": None, "deleted": None}]
         keys = dict(row["array_keys"]) if row.get("array_keys") else array_keys
         if check_versions and row.get("expected_version") is not None and row["expected_version"] != entity.version:
             return reject("version_conflict")
-        base = entity.value if entity.live else {}
+        base, text = (entity.value, entity.text) if entity.live else ({}, "{}")
         if row["kind"] == "delete":
             op, changes, after, live = "delete", [], base, False
         else:
@@ -194,16 +195,17 @@ def plan_step(first_event_op: str, check_versions: bool, array_keys: dict | None
                     changes = J.changes_between({}, after, keys)
                 else:
                     changes = row["changes"] or []
-                    after = J.apply(base, changes)
+                    after = J.apply(base if text is None else J.loads(text) if changes else base, changes, fresh=text is None)
             except (J.ApplyError, ValueError):
                 return reject("invalid_diff" if row["kind"] == "diff" else "invalid_payload")
             if not changes:
                 return []
             op = row.get("op") or ("update" if entity.live else row.get("first_event_op") or first_event_op)
-            live = True
+            live, text = True, None
+        text = J.dumps(after) if text is None else text
         entity.version += 1
-        entity.live, entity.value = live, after
-        return [{**out, "version": entity.version, "op": op, "changes": changes, "state": J.dumps(after), "deleted": not live, "code": None}]
+        entity.live, entity.value, entity.text = live, after, text
+        return [{"version": entity.version, "op": op, "changes": changes, "state": text, "deleted": not live, "code": None}]
 
     return step
 
@@ -216,8 +218,12 @@ def ingest(commands: DataFrame, current: DataFrame | None = None, first_event_op
     if current is not None:
         held = current.select(*KEY, F.col("version").alias("stored_version"), F.col("deleted").alias("stored_deleted"), F.col("state").alias("stored_state"))
         rows = commands.join(held, KEY, "left")
-    rows = rows.select(*[c for c in rows.columns if c in _READ])  # all that is sent is sorted and turned to Python
-    return sorted_fold(rows, KEY, ["ts_received", "seq"], Entity, plan_step(first_event_op, check_versions, array_keys), PLANNED)
+    # all that is sent is sorted, what the step reads is turned to Python, the rest goes on as it is
+    types = {f.name: f.dataType for f in _parse_datatype_string(PLANNED)}
+    own = [(F.col(c) if c in rows.columns else F.lit(None)).cast(types[c]).alias(c) for c in TAKEN]
+    rows = rows.select(*own, *[c for c in rows.columns if c in _READ and c not in TAKEN])
+    unread = [c for c in TAKEN if c not in KEY]
+    return sorted_fold(rows, KEY, ["ts_received", "seq"], Entity, plan_step(first_event_op, check_versions, array_keys), PLANNED, taken=TAKEN, unread=unread)
 
 
 def check_expected_version(commands: DataFrame, current: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from histspark.functions import jsonvalue as J
 from histspark.operators.chain import PREFIX, canonical_parts, genesis
-from histspark.operators.ingest import PLANNED, Entity, plan_step
+from histspark.operators.ingest import PLANNED, TAKEN, Entity, plan_step
 from histspark.schemas import KEY
 from histspark.session import with_package
 from histspark.streaming.stream import INPUT, TERMINAL, TICKETS
@@ -70,7 +70,7 @@ class KeyedIngest(StatefulProcessor):
                     prev = tip or row["_start"]
                     tip = "sha256:" + hashlib.sha256((prev + canonical_text(row, out)).encode()).hexdigest()
                     link = {"hash": tip, "prev_hash": prev}
-                out = {**out, **link, "changes": None if out["changes"] is None else [_CHANGE(*(c[n] for n in _CHANGE)) for c in out["changes"]]}
+                out = {**{c: row.get(c) for c in TAKEN}, **out, **link, "changes": None if out["changes"] is None else [_CHANGE(*(c[n] for n in _CHANGE)) for c in out["changes"]]}
                 yield self.row(*(out[c] for c in self.row))
         if entity.version:
             self.held.update((entity.version, entity.live, J.dumps(entity.value), tip))
