@@ -11,6 +11,7 @@ from histspark.functions.jsonx import parsed_text, respelled, valid_collection,
 from histspark.operators.diff import json_diff
 from histspark.operators.fold import sorted_fold
 from histspark.schemas import CHANGES, KEY
+from histspark.sources.tables import stored
 
 #: Payload bytes where a collection sets none.
 MAX_EVENT_BYTES = 1 << 20
@@ -94,6 +95,37 @@ def with_settings(commands: DataFrame, config: DataFrame) -> DataFrame:
     return out.withColumns({"first_event_op": F.coalesce("_first_event_op", F.lit("create")), "array_keys": F.col("_array_keys"), "snapshot_interval": F.coalesce("_snapshot_interval", F.lit(100))}).drop(*[c for c in out.columns if c.startswith("_") and c[1:] in ("first_event_op", "array_keys", "snapshot_interval")])
 
 
+def _parsed(commands: DataFrame) -> DataFrame:
+    """Commands with canonical states, and ``code`` invalid_payload where a state command has no well-formed text."""
+    rows = commands.withColumn("_parsed", F.when(F.col("kind") == "state", parsed_text("state")))  # a step of its own: parsed once
+    rows = rows.withColumn("_text", F.when(F.col("kind") == "state", respelled("_parsed", "state"))).drop("_parsed")
+    return rows.withColumns({"code": F.when((F.col("kind") == "state") & F.col("_text").isNull(), "invalid_payload"), "state": F.coalesce("_text", F.when(F.col("kind") == "state", F.col("state")))}).drop("_text")
+
+
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
+    """As many partitions as are set, not fewer large ones: what a task sorts does not grow where these grow with the input;
+    dealt by the key alone, later windows and joins on the key need no shuffle of their own."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, *more)
+
+
+def _order(*more: str):
+    return Window.partitionBy(*KEY, *more, F.col("code").isNull()).orderBy("ts_received", "seq")
+
+
+def _without_noops(rows: DataFrame, w, first_kind: Column, first_state: Column) -> DataFrame:
+    """``drop_noops`` inside a window's partitions; the first row of each follows a command of ``first_kind`` (NULL: none)
+    and ``first_state``."""
+    kind = F.coalesce(F.lag("kind").over(w), first_kind)
+    prior = F.when(kind.isNull(), F.coalesce("_held", F.lit("{}"))).when(kind == "delete", F.lit("{}")).otherwise(F.when(F.lag("kind").over(w).isNull(), first_state).otherwise(F.lag("state").over(w)))
+    return rows.withColumn("base", prior).where((F.col("kind") != "state") | F.col("code").isNotNull() | ~F.col("state").eqNullSafe(F.col("base")))
+
+
+def _on_held(rows: DataFrame, current: DataFrame | None) -> DataFrame:
+    if current is None:
+        return rows.withColumn("_held", F.lit(None).cast("string"))
+    return rows.join(current.select(*KEY, F.when(~F.col("deleted"), F.col("state")).alias("_held")), KEY, "left")
+
+
 def drop_noops(commands: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """State commands that change nothing go; adds ``base`` (the state an event starts from) and ``code``.
 
@@ -101,42 +133,86 @@ def drop_noops(commands: DataFrame, current: DataFrame | None = None) -> DataFra
     the stored current state). A state command without well-formed text keeps its row with ``code`` invalid_payload and
     is no predecessor of any other.
     """
-    rows = commands.withColumn("_parsed", F.when(F.col("kind") == "state", parsed_text("state")))  # a step of its own: parsed once
-    rows = rows.withColumn("_text", F.when(F.col("kind") == "state", respelled("_parsed", "state"))).drop("_parsed")
-    rows = rows.withColumns({"code": F.when((F.col("kind") == "state") & F.col("_text").isNull(), "invalid_payload"), "state": F.coalesce("_text", F.when(F.col("kind") == "state", F.col("state")))}).drop("_text")
-    # as many partitions as are set, not fewer large ones: what a task sorts does not grow where these grow with the input;
-    # dealt by the key alone, later windows and joins on the key need no shuffle of their own
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
-    w = Window.partitionBy(*KEY, F.col("code").isNull()).orderBy("ts_received", "seq")
-    if current is not None:
-        held = current.select(*KEY, F.when(~F.col("deleted"), F.col("state")).alias("_held"))
-        rows = rows.join(held, KEY, "left")
-    else:
-        rows = rows.withColumn("_held", F.lit(None).cast("string"))
-    prior = F.when(F.lag("kind").over(w).isNull(), F.coalesce("_held", F.lit("{}"))).when(F.lag("kind").over(w) == "delete", F.lit("{}")).otherwise(F.lag("state").over(w))
-    return rows.withColumn("base", prior).where((F.col("kind") != "state") | F.col("code").isNotNull() | ~F.col("state").eqNullSafe(F.col("base"))).drop("_held")
+    none = F.lit(None).cast("string")
+    return _without_noops(_on_held(_dealt(_parsed(commands)), current), _order(), none, none).drop("_held")
+
+
+#: Commands of one entity that one task takes; an entity with more is cut into blocks of time.
+HOT = 500_000
+#: An entity's block.
+_BLOCK = [*KEY, "_block"]
+
+
+def hot_entities(commands: DataFrame) -> DataFrame | None:
+    """Keys with more than ``HOT`` commands, a few rows at most (one count of the keys); None where there are none."""
+    keys = commands.groupBy(*KEY).count().where(F.col("count") > HOT).select(*KEY).dropna().collect()
+    return commands.sparkSession.createDataFrame(keys, ", ".join(f"{k} string" for k in KEY)) if keys else None
+
+
+def _carried(rows: DataFrame, *last: str) -> DataFrame:
+    """For each block of an entity what the blocks before it end in: the last row's columns (``_last``, NULL without one)
+    and how many rows they have (``_before``). Rejects and others are counted apart."""
+    ends = rows.groupBy(*_BLOCK, F.col("code").isNull().alias("_good")).agg(F.max_by(F.struct(*last), F.struct("ts_received", "seq")).alias("_end"), F.count("*").alias("_n"))
+    # a block without rows of its own still passes on what came before it
+    every = rows.select(*_BLOCK).distinct().withColumn("_good", F.explode(F.array(F.lit(True), F.lit(False))))
+    before = Window.partitionBy(*KEY, "_good").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = every.join(ends, [*_BLOCK, "_good"], "left")
+    return ends.select(*_BLOCK, "_good", F.last("_end", True).over(before).alias("_last"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    return rows.withColumn("_good", F.col("code").isNull()).join(F.broadcast(carried), [*_BLOCK, "_good"], "left").drop("_good")
+
+
+def _kept_rows(rows: DataFrame, current: DataFrame | None) -> DataFrame:
+    """Parsed commands without no-ops, with ``_prev`` (kind of the kept command before) and ``_number`` (place among them)."""
+    none = F.lit(None).cast("string")
+    kept = _without_noops(_on_held(_dealt(rows), current), _order(), none, none).drop("_held")
+    return kept.withColumns({"_prev": F.lag("kind").over(_order()), "_number": F.row_number().over(_order()).cast("long")})
+
+
+def _kept_rows_of_hot(rows: DataFrame, current: DataFrame | None) -> DataFrame:
+    """``_kept_rows`` for entities of which one has more commands than a task should take: the rows are dealt by ranges of
+    (key, time), every block works on its own, and what it has to know of those before is their last row and their count."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, so that a row's block is the same wherever it is read
+    rows = stored(rows.repartitionByRange(n, *KEY, "ts_received", "seq").withColumn("_block", F.spark_partition_id()), "hot-commands")
+    w = _order("_block")
+    kept = _without_noops(_with_carried(_dealt(_on_held(rows, current), "_block"), _carried(rows, "kind", "state")), w, F.col("_last.kind"), F.col("_last.state")).drop("_held", "_last", "_before")
+    kept = stored(kept, "hot-kept")
+    out = _with_carried(_dealt(kept, "_block"), _carried(kept, "kind"))
+    out = out.withColumns({"_prev": F.coalesce(F.lag("kind").over(w), F.col("_last.kind")), "_number": F.row_number().over(w).cast("long") + F.col("_before")})
+    return out.drop("_last", "_before", "_block")
+
+
+def _behind(kept: DataFrame, current: DataFrame | None) -> DataFrame:
+    """Rows with ``_alive`` and ``_tail`` of their stored row."""
+    return kept if current is None else kept.join(current.select(*KEY, (~F.col("deleted")).alias("_alive"), F.col("version").alias("_tail")), KEY, "left")
 
 
 def ingest_states(commands: DataFrame, current: DataFrame | None = None, first_event_op: str = "create", array_keys: dict | None = None) -> DataFrame:
     """Events of state and delete commands, without a fold: each depends on the previous command only. Rejects carry
     ``code`` and no version, as in ``ingest``.
 
-    Liveness is judged after no-ops are gone. One shuffle on the entity serves both windows. Commands may carry their
-    collection's first_event_op and array_keys (``with_settings``), which then win over the arguments.
+    Liveness is judged after no-ops are gone. One shuffle on the entity serves both windows; entities of more than ``HOT``
+    commands are cut into blocks of time. Commands may carry their collection's first_event_op and array_keys
+    (``with_settings``), which then win over the arguments.
     """
-    kept = drop_noops(commands, current)
-    w = Window.partitionBy(*KEY, F.col("code").isNull()).orderBy("ts_received", "seq")
-    kept = kept.withColumn("_prev", F.lag("kind").over(w))
+    rows, hot = _parsed(commands), hot_entities(commands)
+    if hot is None:
+        kept = _behind(_kept_rows(rows, current), current)
+    else:
+        cold, warm = (rows.join(F.broadcast(hot), KEY, how) for how in ("left_anti", "left_semi"))
+        few = None if current is None else F.broadcast(current.join(F.broadcast(hot), KEY, "left_semi"))
+        kept = _behind(_kept_rows(cold, current), current).unionByName(_behind(_kept_rows_of_hot(warm, few), few))
     live = F.col("_prev").isNotNull() & (F.col("_prev") != "delete")
     if current is not None:
-        held = current.select(*KEY, (~F.col("deleted")).alias("_alive"), F.col("version").alias("_tail"))
-        kept = kept.join(held, KEY, "left")
         live = live | (F.col("_prev").isNull() & F.coalesce("_alive", F.lit(False)))
     first = F.coalesce("first_event_op", F.lit(first_event_op)) if "first_event_op" in commands.columns else F.lit(first_event_op)
     op = F.when(F.col("kind") == "delete", "delete").otherwise(resolve_op(F.col("op"), live, first))
-    number = F.row_number().over(w).cast("long") + (F.coalesce("_tail", F.lit(0)) if current is not None else F.lit(0))
+    number = F.col("_number") + (F.coalesce("_tail", F.lit(0)) if current is not None else F.lit(0))
     good = F.col("code").isNull()
-    out = kept.withColumns({"op": F.when(good, op).otherwise(F.col("op")), "version": F.when(good, number), "_from": F.when(good, F.col("base"))}).drop("_prev", "_alive", "_tail")
+    out = kept.withColumns({"op": F.when(good, op).otherwise(F.col("op")), "version": F.when(good, number), "_from": F.when(good, F.col("base"))}).drop("_prev", "_number", "_alive", "_tail")
     out = out.withColumn("_to", F.when(good, F.when(F.col("kind") == "delete", F.col("base")).otherwise(F.col("state")))).drop("changes")
     keys = F.coalesce("array_keys", F.lit(None).cast("map<string,string>")) if "array_keys" in commands.columns else array_keys
     return json_diff(out, "_from", "_to", keys).drop("_from", "_to")
