@@ -1073,6 +1073,7 @@ def _(spark, d):
     """The log, appended in two batches and read by tenant and collection."""
     path, e = _folder(spark, "events"), driver.events(spark, d)
     e = e.withColumn("integrity", F.lit(None).cast(INTEGRITY)).select(*[c.split()[0] for c in EVENTS.split(", ")])
+    e = tables.stored(e, "both")  # made once for the two batches
     for part in (F.col("ts_received") < F.lit(AT), F.col("ts_received") >= F.lit(AT)):
         tables.append_events(e.where(part), path)
     return tables.read_events(spark, path, "app.users", "t").select("entity_id", "version", "op", "ts_received")
