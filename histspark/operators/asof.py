@@ -176,7 +176,7 @@ def state_at(probes: DataFrame, events: DataFrame, snapshots: DataFrame | None =
     snapshot's own version the time is the snapshot's.
     """
     asked = [c for c in ("at", "version") if c in probes.columns]
-    probes = probes.select(*KEY, *asked)
+    probes = stored(probes.select(*KEY, *asked), "asked")  # often made from the whole log, and read three times
     sent = few(probes.select(*KEY).distinct())
     # what is asked is written once: all below reads it several times, and the log only for the tails
     found = stored(resolve_version(probes, events, sent).where("target is not null").withColumnsRenamed({"at": "asked_at", "version": "asked_version"}), "probes")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from histspark.operators.asof import of_asked, state_at
 from histspark.schemas import EVENTS, KEY, SNAPSHOTS
-from histspark.sources.tables import PARTITIONS, exists, remove, upsert_snapshots
+from histspark.sources.tables import PARTITIONS, exists, remove, stored, upsert_snapshots
 
 
 def apply_retention(events: DataFrame, config: DataFrame, now) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +35,11 @@ def cut_versions(dropped: DataFrame) -> DataFrame:
 
 def cut_snapshots(events: DataFrame, dropped: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """Snapshot rows (key, version, ts, deleted, state) at each entity's cut, made from the events before the rewrite."""
-    probes = cut_versions(dropped).withColumn("at", F.lit(None).cast("timestamp"))
+    return _snapshots_at(cut_versions(dropped), events, snapshots)
+
+
+def _snapshots_at(cuts: DataFrame, events: DataFrame, snapshots: DataFrame | None) -> DataFrame:
+    probes = cuts.withColumn("at", F.lit(None).cast("timestamp"))
     return state_at(probes, events, snapshots).select(*KEY, "version", "ts", "deleted", "state")
 
 
@@ -87,8 +91,10 @@ def retain_stored(spark: SparkSession, path: str, snapshots: str, config: DataFr
         log = spark.read.schema(EVENTS).parquet(path).where(F.col("collection").isin(names))
         kept, dropped = apply_retention(log, policies, now)
         held = _stored(spark, snapshots, SNAPSHOTS)
-        upsert_snapshots(held, cut_snapshots(log, dropped, held), snapshots)
-        return dropped.select(*PARTITIONS).distinct(), kept
+        cuts = stored(cut_versions(dropped), "cuts")  # the log is ranked once for all that asks for the cuts
+        if not cuts.isEmpty():
+            upsert_snapshots(held, _snapshots_at(cuts, log, held), snapshots)
+        return cuts.select(*PARTITIONS).distinct(), kept
 
     _rewritten(spark, path, run, plan)
 

@@ -1051,7 +1051,7 @@ def _(spark, d):
     for run in ("one", "again"):
         lifecycle.retain_stored(spark, path, snaps, cfg, TO, run)
     log = tables.read_events(spark, path)
-    last = log.groupBy(*KEY).agg(F.max("version").alias("latest"), F.count("*").alias("events"))
+    last = tables.stored(log.groupBy(*KEY).agg(F.max("version").alias("latest"), F.count("*").alias("events")), "last")
     probes = last.select(*KEY, F.explode(F.sequence(F.greatest(F.col("latest") - 2, F.lit(1).cast("long")), F.col("latest"))).alias("version"))
     out = asof.state_at(probes, log, spark.read.schema(SNAPSHOTS).parquet(snaps)).join(last.select(*KEY, "events"), KEY)
     g = lambda n: F.get_json_object("state", f"$.{n}").alias(n)
