@@ -33,15 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, crc_mod, stored, text_of, tune
+from .common import batch_rows, byte_chunks, crc_mod, stored, text_of, tune
 from .suffix_tree import CONTEXT_SHARE, DEPTH, ENTRY_SHARE, GAIN, ROOT_PRIOR, SuffixTree, keys_of, mask
 
 #: Words of at least this share of all training tokens are counted in the tasks; there are at most 1/share.
 COMMON_SHARE = 1e-6
 #: Weight of the bytes' states in a token's probability; the token's share of the training tokens has the rest.
 TREE_WEIGHT = 0.5
-#: Bytes of text that are turned to keys at once, and keys merged at once.
-CHUNK, MERGE = 2 << 20, 3_000_000
+#: Bytes of text that are turned to keys at once, texts of a batch (about as many bytes: the more texts, the fewer of their
+#: keys differ), and keys merged at once.
+CHUNK, TEXTS, MERGE = 4 << 20, 1250, 3_000_000
 #: Name of the end token in the word counts; no word is empty.
 END = ""
 
@@ -186,7 +187,8 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == out).alias("held_out"), text_of().alias("text"))
     table = counts(rows.where(~F.col("held_out")))
-    both = stored(table.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
+    with batch_rows(docs.sparkSession, TEXTS):
+        both = stored(table.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
     words = both.where("word is not null").select("word", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = fit(both.where("gram is not null").select("gram", "n"))
@@ -233,7 +235,8 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
             )
             row += size
 
-    partial = stored(rows.mapInArrow(run, _PARTIAL), "lm-partial")
+    with batch_rows(docs.sparkSession, TEXTS):
+        partial = stored(rows.mapInArrow(run, _PARTIAL), "lm-partial")
     rest = partial.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tree").join(words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     own = F.log10((c + 0.5) / F.lit(float(whole)))
