@@ -61,9 +61,12 @@ def spelled(words: list[bytes]) -> bytes:
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed counts of distinct keys; the list is emptied, so that its arrays do not stay beside their copies."""
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    parts.clear()
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
@@ -85,7 +88,6 @@ def counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         def flush_grams() -> Iterator[pa.RecordBatch]:
             keys, n = _merge(parts)
-            parts.clear()
             for at in range(0, len(keys), 50_000):
                 part = keys[at : at + 50_000]
                 yield pa.record_batch([pa.nulls(len(part), pa.string()), pa.array(part, pa.int64()), pa.array(n[at : at + 50_000], pa.int64())], names=["word", "gram", "n"])
@@ -96,10 +98,12 @@ def counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
                 words.update(ws)
             words[b""] += len(lists)
             texts = [spelled(ws) for ws in lists]
+            del lists
             for a, b in byte_chunks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK):
                 keys, n = np.unique(keys_of(texts[a:b], depth)[0], return_counts=True)
                 parts.append((keys, n))
                 held += len(keys)
+                del keys, n
                 if held > MERGE:
                     parts[:] = [_merge(parts)]
                     held = len(parts[0][0])
