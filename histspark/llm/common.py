@@ -34,12 +34,16 @@ _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 @contextmanager
 def tables_of(spark: SparkSession) -> Iterator[list[str]]:
-    """The paths ``stored`` writes inside, in order; ``drop`` removes those that nothing reads any more."""
-    token = _tables.set([])
+    """The paths ``stored`` writes inside, in order; ``drop`` removes those that nothing reads any more. What is left in
+    the list joins that of an outer one."""
+    outer, mine = _tables.get(), []
+    token = _tables.set(mine)
     try:
-        yield _tables.get()
+        yield mine
     finally:
         _tables.reset(token)
+        if outer is not None:
+            outer += mine
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

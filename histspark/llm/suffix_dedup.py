@@ -15,6 +15,9 @@ on the input. Suffix arrays are local, so equal strings have to meet in one task
 Texts that equal a whole text of a smaller doc_id need none of this. An anchor with very many distinct segments is
 split by its windows instead and summed natively, so no task holds a hot group.
 
+Steps 3 and 4 go by slices of the anchors, one after the other, so that only one slice of the segments is shuffled at a
+time; a slice's segments, and every other table, go when nothing reads them any more.
+
 Defined results: null text is the empty text; rows repeated whole (same doc_id) do not remove each other; a null doc_id
 neither removes nor loses bytes; texts under 50 bytes stay whole; an empty table gives no rows; extra columns are ignored.
 """
@@ -23,13 +26,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, byte_chunks, mix64, stored, text_of, tune, utf8
+from .common import batch_rows, byte_chunks, drop, mix64, stored, tables_of, text_of, tune, utf8
 from .suffix_array import order
 
 #: Bytes of a repeated string, and of the strings that anchors are chosen from.
@@ -40,6 +44,8 @@ CHUNK, ARRAY = (1 << 20) - 64, 1 << 20
 BATCH = 2000
 #: Segments of one anchor that go through a suffix array at most.
 HOT = 20_000
+#: Bytes of text whose segments make one slice, and slices at most (each has two jobs and its own files).
+SLICE_BYTES, SLICES = 128 << 20, 16
 
 _BYTES = mix64(np.arange(301, 557, dtype=np.uint64))
 _STEP = 0x9E3779B97F4A7C15
@@ -159,8 +165,8 @@ HELD = 300_000
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: where a segment (named by 128 bits) lies. Kind 1: a distinct segment of the task with the least and the
-    largest doc_id it occurs in."""
+    """Kind 0: where a segment (named by 128 bits) lies, with its anchor. Kind 1: a distinct segment of the task with the
+    least and the largest doc_id it occurs in."""
     held: dict[bytes, list] = {}
 
     def halves(names: list[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -182,13 +188,14 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         text, first, count, h = anchors(flat, offsets)
         ids, uids, shared = (batch.column(c).to_pylist() for c in ("doc_id", "uid", "shared"))
         cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        names, owners, starts = [], [], []
+        names, owners, starts, hashes = [], [], [], []
         for i, doc in enumerate(ids):
             a, b = cut[i], cut[i + 1]
             hit = np.flatnonzero(np.isin(h[a:b], np.array(shared[i], np.int64))) + a
             base = int(offsets[i])
             owners += [uids[i]] * len(hit)
-            for s, n, x in zip(first[hit].tolist(), count[hit].tolist(), h[hit].tolist(), strict=True):
+            hashes += (own := h[hit].tolist())
+            for s, n, x in zip(first[hit].tolist(), count[hit].tolist(), own, strict=True):
                 body = raw[base + s : base + s + n + WINDOW - 1]
                 name = hashlib.blake2b(body, digest_size=16).digest()
                 names.append(name)
@@ -203,7 +210,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = slice(at, at + 50_000)
             size = len(names[part])
             none = pa.nulls(size, pa.int64())
-            yield pa.record_batch([pa.array([0] * size, pa.int32()), *halves(names[part]), pa.array(owners[part]), pa.array(starts[part]), none, none, none, pa.nulls(size, pa.binary())], names=_NAMES)
+            yield pa.record_batch([pa.array([0] * size, pa.int32()), *halves(names[part]), pa.array(owners[part]), pa.array(starts[part]), pa.array(hashes[part]), none, none, pa.nulls(size, pa.binary())], names=_NAMES)
         if len(held) > HELD:
             yield from flush()
     yield from flush()
@@ -237,72 +244,82 @@ def window_runs(bodies: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.nd
 
 
 def _sorted_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (h, s1); whole anchor groups are gathered to about ARRAY bytes for one suffix array. Only
+    """Rows arrive sorted by (h, s1, s2); whole anchor groups are gathered to about ARRAY bytes for one suffix array. Only
     windows that lie in some document above their least one come out."""
-    groups: dict[tuple[int, int], list] = {}
-    size, anchor = 0, None
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if not groups:
-            return
-        names, items = np.array(list(groups), np.int64), list(groups.values())
-        owner, lo, hi, least = window_runs([v[0] for v in items], [v[1] for v in items])
-        keep = least < np.array([v[2] for v in items], np.int64)[owner]
-        owner, lo, hi, least = owner[keep], lo[keep].astype(np.int32), hi[keep].astype(np.int32), least[keep]
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        s1, s2, low, high = (rows.column(c).to_numpy() for c in ("s1", "s2", "low", "high"))
+        first = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
+        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        owner, lo, hi, least = window_runs(rows.column("body").take(pa.array(first)).to_pylist(), low)
+        keep = least < high[owner]
+        owner, lo, hi, least = first[owner[keep]], lo[keep].astype(np.int32), hi[keep].astype(np.int32), least[keep]
         for a in range(0, len(owner), 50_000):
             part = slice(a, a + 50_000)
-            name = names[owner[part]]
-            yield pa.record_batch([pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(lo[part]), pa.array(hi[part]), pa.array(least[part])], names=["s1", "s2", "lo", "hi", "least"])
+            yield pa.record_batch([pa.array(s1[owner[part]]), pa.array(s2[owner[part]]), pa.array(lo[part]), pa.array(hi[part]), pa.array(least[part])], names=["s1", "s2", "lo", "hi", "least"])
 
     for batch in batches:
-        for h, s1, s2, low, high, body in zip(*(batch.column(c).to_pylist() for c in ("h", "s1", "s2", "low", "high", "body")), strict=True):
-            if h != anchor and size > ARRAY:
-                yield from out()
-                groups, size = {}, 0
-            anchor = h
-            if (have := groups.get((s1, s2))) is None:
-                groups[s1, s2] = [body, low, high]
-                size += len(body)
-            else:
-                have[1], have[2] = min(have[1], low), max(have[2], high)
-    yield from out()
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column("body").nbytes
+        if size > ARRAY:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            h = rows.column("h").to_numpy()
+            whole = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            if whole:
+                yield from out(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+            size = sum(b.column("body").nbytes for b in held)
+    if held:
+        yield from out(pa.Table.from_batches(held))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge covered ranges (sorted) and hash what is left."""
     for batch in batches:
-        removed, spans, kept = [], [], []
-        for doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
-            n, k, at, left = 0, 0, 0, hashlib.sha256()
-            lo = hi = None
-            for r in ranges:
-                if r["least"] >= doc:
-                    continue
-                if hi is not None and r["s"] <= hi:
-                    hi = max(hi, r["e"])
-                    continue
-                if hi is not None:
-                    left.update(text[at:lo])
-                    n, k, at = n + hi - lo, k + 1, hi
-                lo, hi = r["s"], r["e"]
-            if hi is not None:
-                left.update(text[at:lo])
-                n, k, at = n + hi - lo, k + 1, hi
-            left.update(text[at:])
-            removed.append(n)
-            spans.append(k)
+        flat, offsets = utf8(batch.column("text"))
+        ranges = batch.column("ranges")
+        owner = np.repeat(np.arange(batch.num_rows), ranges.value_lengths().to_numpy())
+        s, e, least = (x.to_numpy() for x in ranges.flatten().flatten())
+        keep = least < batch.column("doc_id").to_numpy()[owner]
+        owner, s, e = owner[keep], offsets[owner[keep]] + s[keep], offsets[owner[keep]] + e[keep]
+        reach = np.maximum.accumulate(e)
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] > reach[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        lo, hi, owner = s[first], reach[np.append(first[1:], len(s)) - 1] if len(s) else s, owner[first]
+        removed = np.zeros(batch.num_rows, np.int64)
+        np.add.at(removed, owner, hi - lo)
+        cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        kept = []
+        for i in range(batch.num_rows):
+            at, left = int(offsets[i]), hashlib.sha256()
+            for a, b in zip(lo[cut[i] : cut[i + 1]].tolist(), hi[cut[i] : cut[i + 1]].tolist(), strict=True):
+                left.update(flat[at:a])
+                at = b
+            left.update(flat[at : int(offsets[i + 1])])
             kept.append(left.hexdigest())
-        yield pa.record_batch([batch.column("c1"), batch.column("c2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["c1", "c2", "removed", "spans", "kept"])
+        yield pa.record_batch([batch.column("c1"), batch.column("c2"), pa.array(removed), pa.array(np.diff(cut).astype(np.int64)), pa.array(kept, pa.string())], names=["c1", "c2", "removed", "spans", "kept"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = tune(docs.sparkSession)
+    with tables_of(spark) as tables:
+        return _repeats(spark, docs, tables)
+
+
+def _repeats(spark: SparkSession, docs: DataFrame, tables: list[str]) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("c1"), F.xxhash64(F.lit(1), text).alias("c2"))
     rows = stored(base.select("doc_id", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "rows")
     lead = stored(rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= WINDOW)).groupBy("c1", "c2").agg(F.min("doc_id").alias("lead")), "contents")
+    slices = min(SLICES, -(-(rows.agg(F.sum("n_bytes")).first()[0] or 1) // SLICE_BYTES))
+    used = len(tables)  # rows and contents stay, the result reads them
 
     found = base.where((F.octet_length("text") >= WINDOW) & F.col("doc_id").isNotNull()).select("c1", "text").mapInArrow(_anchor_rows, "h long, c1 long")
     with batch_rows(spark, BATCH):
@@ -313,21 +330,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     if not rows.groupBy("doc_id", "c1", "c2").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["c1", "c2"])  # rows repeated whole are one content
     texts = stored(texts.withColumn("uid", F.monotonically_increasing_id()), "affected")
-    segments = stored(texts.mapInArrow(_segment_rows, _SEGMENTS), "segments", ("kind",))
-    bodies = segments.where("kind = 1").select("h", "s1", "s2", "low", "high", "body")
-    hot = bodies.groupBy("h").count().where(F.col("count") > HOT).select("h")
-    runs = bodies
-    if not hot.isEmpty():
-        runs = bodies.join(hot, "h", "left_anti")
-    runs = runs.repartition(tasks, "h").sortWithinPartitions("h", "s1").mapInArrow(_sorted_segments, _RESULT)
-    if not hot.isEmpty():
-        runs = runs.unionByName(_hot_runs(bodies.join(hot, "h", "left_semi")))
-    runs = stored(runs, "window-runs")
-    places = segments.where("kind = 0").select("s1", "s2", "uid", "start")
-    covered = places.join(runs, ["s1", "s2"]).select("uid", F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + WINDOW).alias("e"), "least").alias("r"))
-    ranges = stored(covered.groupBy("uid").agg(F.array_sort(F.collect_list("r")).alias("ranges")), "ranges")
+    drop(spark, [tables.pop(used)])  # shared-anchors
+    ranges = _ranges(spark, texts, slices, tasks, tables)
     marked = texts.select("uid", "doc_id", "c1", "c2", "text").join(ranges.hint("shuffle_hash"), "uid").drop("uid")
     cut = stored(marked.mapInArrow(_cut, "c1 long, c2 long, removed long, spans long, kept string"), "cut")
+    drop(spark, tables[used:-1])
+    del tables[used:-1]
 
     copy = F.col("doc_id") > F.col("lead")
     all_rows = rows.join(lead.join(cut, ["c1", "c2"], "left"), ["c1", "c2"], "left")
@@ -339,6 +347,36 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
 
+def _ranges(spark: SparkSession, texts: DataFrame, slices: int, tasks: int, tables: list[str]) -> DataFrame:
+    """uid and its sorted covered ranges, (start, end, least doc_id) each; one slice of the anchors after the other."""
+    part = F.pmod(F.xxhash64("h"), F.lit(slices)) + F.col("kind") * slices
+    anchor = F.when(F.col("kind") == 1, F.col("h")).alias("h")  # places need it for their slice alone
+    segments = stored(texts.mapInArrow(_segment_rows, _SEGMENTS).select("s1", "s2", "uid", "start", anchor, "low", "high", "body", part.cast("int").alias("part")), "segments", ("part",))
+    where, used = tables[-1], len(tables)
+    hot = stored(segments.where(F.col("part") >= slices).groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot-anchors")
+    any_hot = not hot.isEmpty()
+    per = max(-(-tasks // slices), min(tasks, 2 * spark.sparkContext.defaultParallelism))
+    covered = []
+    for i in range(slices):
+        bodies = segments.where(F.col("part") == slices + i).select("h", "s1", "s2", "low", "high", "body")
+        # at most one hot anchor for HOT rows
+        runs = bodies.join(F.broadcast(hot), "h", "left_anti") if any_hot else bodies
+        runs = runs.repartition(per, "h").sortWithinPartitions("h", "s1", "s2").mapInArrow(_sorted_segments, _RESULT)
+        if any_hot:
+            runs = runs.unionByName(_hot_runs(bodies.join(F.broadcast(hot), "h", "left_semi")))
+        with batch_rows(spark, BATCH):
+            runs = stored(runs, "window-runs")
+        drop(spark, [f"{where}/part={slices + i}"])
+        places = segments.where(F.col("part") == i).select("s1", "s2", "uid", "start")
+        covered.append(stored(places.join(runs, ["s1", "s2"]).select("uid", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + WINDOW).alias("e"), "least"), "covered"))
+        drop(spark, [f"{where}/part={i}", tables.pop(-2)])  # places and runs of the slice
+    whole = reduce(DataFrame.unionByName, covered)
+    ranges = stored(whole.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "e", "least"))).alias("ranges")), "ranges")
+    drop(spark, [where, *tables[used:-1]])
+    del tables[used - 1 : -1]
+    return ranges
+
+
 def _hot_runs(bodies: DataFrame) -> DataFrame:
     """The exact way for anchors of very many segments: windows as rows, least doc_id by aggregation."""
     one = bodies.groupBy("s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("body").alias("body"))

@@ -6,15 +6,19 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from histspark.llm import conversation_repair as repair
 from histspark.llm import hard_negatives as mining
 from histspark.llm import substring_dedup as dedup
+from histspark.llm import suffix_dedup
+from histspark.session import shared_dir
 
 from .test_operators import ROWS, make
 
@@ -292,3 +296,47 @@ def test_sql(spark, module):
     got = module.query(spark, SMALL)
     assert sorted(got.columns) == sorted(names)
     assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall())
+
+
+# repeated passages by slices
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_suffix_dedup_by_slices_keeps_no_table_that_nothing_reads(spark, monkeypatch, hot):
+    """Slices give what one slice gives; of the segments only slices to come are there, and at the end what the result reads."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before, left = set(shared.iterdir()), []
+
+    def names():
+        return sorted({p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before})
+
+    def watched(df, name, *args, f=suffix_dedup.stored):
+        out = f(df, name, *args)
+        if name == "covered":
+            left.append(len([p for p in set(shared.iterdir()) - before if p.name.startswith("segments") for _ in p.glob("part=*")]))
+            assert "shared-anchors" not in names() and names().count("window-runs") == 1
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    want = Counter(tuple(r) for r in suffix_dedup.repeats(make(spark, ROWS)).collect())
+    before = set(shared.iterdir())
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 20_000, raising=False)
+    got = Counter(tuple(r) for r in suffix_dedup.repeats(make(spark, ROWS)).collect())
+    assert got == want and sum(n for *_, n, _, _ in got if n) > 0
+    assert names() == ["contents", "cut", "rows"]
+    assert len(left) > 2 and left == sorted(left, reverse=True) and left[0] > left[-1] == 1
+
+
+def test_suffix_dedup_cuts_ranges_in_any_nesting():
+    """Ranges that touch, nest or overlap, some not of a smaller document; neighbours in a batch do not touch."""
+    texts, ids = [b"abcdefghij" * 10, b"", b"k" * 30, b"lm" * 20], [7, 8, 5, 3]
+    ranges = [[(0, 50, 1), (10, 20, 2), (50, 60, 9), (60, 61, 0), (61, 100, 6)], [], [(0, 30, 4)], [(0, 10, 2), (5, 12, 3), (12, 20, 1)]]
+    rows = [[{"s": s, "e": e, "least": v} for s, e, v in own] for own in ranges]
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("least", pa.int64())]))
+    batch = pa.record_batch({"doc_id": pa.array(ids), "c1": pa.array(ids), "c2": pa.array(ids), "text": pa.array(texts), "ranges": pa.array(rows, kind)})
+    (out,) = suffix_dedup._cut(iter([batch]))
+    for text, doc, own, removed, spans, kept in zip(texts, ids, ranges, *(out.column(c).to_pylist() for c in ("removed", "spans", "kept")), strict=True):
+        gone = {p for s, e, v in own if v < doc for p in range(s, e)}
+        assert (removed, spans) == (len(gone), len({p for p in gone if p - 1 not in gone}))
+        assert kept == hashlib.sha256(bytes(c for p, c in enumerate(text) if p not in gone)).hexdigest()
