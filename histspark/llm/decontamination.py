@@ -10,7 +10,8 @@ compared word by word.
 
 Native: words, seeds, join and verification are DataFrame functions. A seed row is lean (class, place, seed). Where all
 seeds and items together are under a bound in bytes they are sent to the documents, whose word hashes stay where they are;
-only hits carry a slice of them. Beyond the bound both sides shuffle on the seed, with no words beside it, and the distinct
+only hits carry a slice of them, no longer than the item, and equal ones become one where they are found, so a document of
+very many hits takes no more memory than its distinct diagonals. Beyond the bound both sides shuffle on the seed, with no words beside it, and the distinct
 diagonals return to the documents that have any.
 
 Defined results: null and empty texts have no words and hit nothing; rows repeated whole give one result; items of equal
@@ -71,16 +72,16 @@ def seed_table(benchmark: DataFrame, span: int = SPAN, share: float = SHARE) ->
     return seeds, items, named.select("cls", "item_id")
 
 
-def _agreeing(ih: Column, part: Column, span: int) -> Column:
-    """Largest share of agreeing words in a stretch of the item, ``part`` being the document's words along the diagonal."""
-    same = F.transform(F.sequence(F.lit(0), F.size(ih) - 1), lambda i: F.get(part, i).eqNullSafe(F.get(ih, i)).cast("int"))
-    width = F.least(F.size(ih), F.lit(span))
-    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(ih) - width), lambda j: F.aggregate(F.slice(same, j + 1, width), F.lit(0), lambda a, x: a + x))) / width
+def _beside(h: Column, diagonal: Column, n: Column) -> Column:
+    """The document's words beside an item's, as far as there are any: from item place 0, or from -diagonal below 0."""
+    return F.slice(h, F.greatest(diagonal, F.lit(0)) + 1, n + F.least(diagonal, F.lit(0)))
 
 
-def _along(h: Column, diagonal: Column, n: Column) -> Column:
-    """The document's words beside an item's, NULL outside the document."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(diagonal + i >= 0, F.get(h, diagonal + i)))
+def _agreeing(ih: Column, part: Column, diagonal: Column, span: int) -> Column:
+    """Largest share of agreeing words in a stretch of the item, ``part`` being the document's words beside it."""
+    same = F.transform(F.sequence(F.lit(0), F.size(ih) - 1), lambda i: F.get(part, i + F.least(diagonal, F.lit(0))).eqNullSafe(F.get(ih, i)).cast("int"))
+    width = F.least(F.size(ih), F.lit(span))
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(ih) - width), lambda j: F.aggregate(F.slice(same, j + 1, width), F.lit(0), lambda a, x: a + x))) / width
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float = SHARE, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -99,14 +100,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: flo
     grams = grams.select("doc_id", "_k1", "_k2", "h", "pos", F.explode(F.array(*[_seed(F.col("h"), F.col("pos"), m) for m in shapes])).alias("seed")).where("seed is not null")
     diagonal = (F.col("pos") - F.col("ipos")).alias("diagonal")
     pair = ["_k1", "_k2", "cls", "diagonal"]
-    if sent:
-        hits = grams.join(F.broadcast(seeds.drop("width")), "seed").select("doc_id", "_k1", "_k2", "cls", diagonal, _along(F.col("h"), F.col("pos") - F.col("ipos"), F.col("n")).alias("part"))
-        laid = hits.groupBy(*pair).agg(F.first("doc_id").alias("doc_id"), F.first("part").alias("part"))
+    if sent:  # what is selected here has to compile, with the distinct behind it: else all hits of a document are held with its words
+        hits = grams.join(F.broadcast(seeds.drop("width")), "seed").select("doc_id", "_k1", "_k2", "cls", diagonal, _beside(F.col("h"), F.col("pos") - F.col("ipos"), F.col("n")).alias("part"))
+        laid = hits.distinct()
     else:
         hits = grams.select("_k1", "_k2", "pos", "seed").join(seeds.drop("width"), "seed").select("_k1", "_k2", "cls", "n", diagonal).distinct()
         once = words.dropDuplicates(["_k1", "_k2"])
-        laid = hits.join(once, ["_k1", "_k2"]).select("doc_id", *pair, _along(F.col("h"), F.col("diagonal"), F.col("n")).alias("part"))
-    verified = laid.join(F.broadcast(items) if sent else items, "cls").select("doc_id", *pair, F.size("ih").alias("n"), _agreeing(F.col("ih"), F.col("part"), span).alias("agree")).where(F.col("agree") >= share)
+        laid = hits.join(once, ["_k1", "_k2"]).select("doc_id", *pair, _beside(F.col("h"), F.col("diagonal"), F.col("n")).alias("part"))
+    verified = laid.join(F.broadcast(items) if sent else items, "cls").select("doc_id", *pair, F.size("ih").alias("n"), _agreeing(F.col("ih"), F.col("part"), F.col("diagonal"), span).alias("agree")).where(F.col("agree") >= share)
     top = verified.groupBy("_k1", "_k2", "cls").agg(F.max_by(F.struct("doc_id", "diagonal", "n", "agree"), F.struct("agree", -F.col("diagonal"))).alias("b"))
     return top.join(named, "cls").select("b.doc_id", "item_id", F.greatest(F.col("b.diagonal"), F.lit(0)).cast("long").alias("first_word"), F.col("b.n").cast("long").alias("n_words"), F.col("b.agree").alias("agree"), "_k1", "_k2")
 

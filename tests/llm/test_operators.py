@@ -552,6 +552,16 @@ def test_decontamination_of_short_and_changed_items(spark, sent_bytes):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("sent_bytes", [decontamination.SENT_BYTES, 0])
+def test_decontamination_of_long_texts_of_very_many_hits(spark, sent_bytes):
+    """Nearly every word of 20,000 starts a hit; the hits are not held with all words of their text (16 GB)."""
+    item = [f"i{j}" for j in range(40)]
+    texts = [(1, " ".join(["before", *item * 500])), (2, " ".join(item[25:] + ["x"] + item * 2)), (3, " ".join(["y", *item[:30]])), (4, " ".join(item[24:]))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontamination.overlaps(make(spark, texts).coalesce(1), bench, sent_bytes=sent_bytes)
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"], r["agree"]) for r in got.collect()) == [(1, 1, 40, 1.0), (2, 16, 40, 1.0), (3, 1, 40, 1.0), (4, 0, 40, 0.8)]
+
+
 def test_licenses(spark, docs, empty):
     texts = [
         (1, "Licensed under the Apache License, Version 2.0."), (2, "apache  LICENSE and MIT-license, cc_by CC BY cc by"), (3, None), (4, ""), (5, "GNU general public licenses gnu General Public License"),
